@@ -24,6 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .spec import FitResult, ModelSpec, column_of, label_of
 
 PIVOT_TOL = 1e-9
@@ -579,18 +580,30 @@ def _effects(table: DataFrame, batch: _Batch, m: int, sol: _Solution, scales: tu
     )
 
 
-def fit_all(df: DataFrame, specs: Sequence[ModelSpec], keep_effects: bool = False) -> list[FitResult]:
+def fit_all(
+    df: DataFrame, specs: Sequence[ModelSpec], keep_effects: bool = False, cache: bool = True
+) -> list[FitResult]:
     """Fit every model; results come back in the order of the specs.
 
-    Persist or write ``df`` first if it is the end of a long pipeline: it is scanned two or
-    three times per batch.
+    The rows are scanned two or three times per batch, so their used columns are kept (memory,
+    then disk) while the fits run; ``cache=False`` scans ``df`` again instead, which is better
+    for a plain file scan.
     """
     names_by_key = {key: f"c{i}" for i, key in enumerate(_distinct_columns(specs))}
     columns = _distinct_columns(specs)
     keys = list(dict.fromkeys(g for s in specs for g in (*s.entity, *s.cluster)))
     rows = df.select(*keys, *[F.nanvl(columns[k], F.lit(None).cast("double")).alias(c) for k, c in names_by_key.items()])
-    scales = _centre_and_scale(rows, list(names_by_key.values()))
+    if cache:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_rows(rows, specs, names_by_key, keep_effects)
+    finally:
+        if cache:
+            rows.unpersist()
+
 
+def _fit_rows(rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, keep_effects: bool) -> list[FitResult]:
+    scales = _centre_and_scale(rows, list(names_by_key.values()))
     batches: dict[tuple, list[int]] = {}
     for i, s in enumerate(specs):
         batches.setdefault((_group_of(s), (*s.entity, *s.cluster)), []).append(i)
@@ -643,8 +656,8 @@ def fit_all(df: DataFrame, specs: Sequence[ModelSpec], keep_effects: bool = Fals
                     batch.plans[m], batch, totals[m], sols[m], meats.get(m), counts[m], {"trend": tscale}
                 )
                 if keep_effects and spec.entity:
-                    fresh = _absorb(_group_moments(stacked, group, batch.p), batch)
-                    fit.effects = (_effects(fresh, batch, m, sols[m], tscale), batch.plans[m], tscale)
+                    effects = _effects(table, batch, m, sols[m], tscale)
+                    fit.effects = (materialize(effects, "effects"), batch.plans[m], tscale)
                 results[i] = fit
         finally:
             if reused:
