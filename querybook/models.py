@@ -1 +1,573 @@
+"""J: estimators. SQL forms are closed forms for one or two regressors."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelspark.models import bygroup, grid as G, lasso, linear, wald
+from panelspark.models.engine import fit_all
+from panelspark.models.spec import ModelSpec, coefficients
+from panelspark.models.tables import coef_table
+from panelspark.operators.clean import cross_factors, interact, poly
+from panelspark.operators.extracts import corr_matrix
+from panelspark.operators.panel import Panel, lag_by, panel_features
+from panelspark.session import materialize
+
+from .common import WEEKLY_SQL, query, rounded, sig, sig_sql, table, weekly_panel, with_sql
+
+S7 = 7
+
+
+def coef_row(spark, fits, terms=None, digits=S7):
+    """(model_id, term, estimate, std_error) rounded for comparison."""
+    out = coefficients(spark, fits)
+    if terms:
+        out = out.filter(F.col("term").isin(*terms))
+    return out.select("model_id", "term", sig("estimate", digits).alias("estimate"), sig("std_error", digits).alias("std_error"))
+
+
+def one_sql(name, term, b, v, src, digits=S7):
+    """SELECT with slope b and variance v from a one-row source."""
+    return (
+        f"SELECT '{name}' AS model_id, '{term}' AS term, {sig_sql(b, digits)} AS estimate, {sig_sql(f'sqrt({v})', digits)} AS std_error FROM {src}"
+    )
+
+
+def simple(src="weekly", y="revenue", x="qty"):
+    """CTEs of a one-regressor fit with constant: b(n, sxx, xm, slope, icpt) and e(x, dx, err)."""
+    return (
+        f"b AS (SELECT count(*) AS n, regr_sxx({y}, {x}) AS sxx, regr_avgx({y}, {x}) AS xm, regr_slope({y}, {x}) AS slope, "
+        f"regr_intercept({y}, {x}) AS icpt FROM {src})",
+        f"e AS (SELECT s.*, {x} - xm AS dx, {y} - icpt - slope * {x} AS err, n, sxx, slope FROM {src} s, b)",
+    )
+
+
+@query(
+    "J1_ols_hc1",
+    with_sql(WEEKLY_SQL, *simple(), "v AS (SELECT max(slope) AS b, max(n) / (max(n) - 2.0) * sum(err * err * dx * dx) / max(sxx * sxx) AS v FROM e)")
+    + one_sql("ols", "qty", "b", "v", "v"),
+)
+def j1(spark, sf):
+    return coef_row(spark, [linear.ols(weekly_panel(spark, sf), "revenue", ["qty"])], ["qty"])
+
+
+@query(
+    "J2_ols_cluster",
+    with_sql(
+        WEEKLY_SQL, *simple(),
+        "g AS (SELECT state, sum(err * dx) AS s, max(n) AS n, max(sxx) AS sxx, max(slope) AS slope FROM e GROUP BY 1)",
+        "v AS (SELECT max(slope) AS b, count(*) / (count(*) - 1.0) * (max(n) - 1.0) / (max(n) - 2.0) * sum(s * s) / max(sxx * sxx) AS v FROM g)",
+    )
+    + one_sql("ols", "qty", "b", "v", "v"),
+)
+def j2(spark, sf):
+    return coef_row(spark, [linear.ols(weekly_panel(spark, sf), "revenue", ["qty"], vce="cluster", cluster="state")], ["qty"])
+
+
+@query(
+    "J3_ols_classical",
+    with_sql(WEEKLY_SQL, *simple(), "v AS (SELECT max(slope) AS b, sum(err * err) / (max(n) - 2.0) / max(sxx) AS v FROM e)")
+    + one_sql("ols", "qty", "b", "v", "v"),
+)
+def j3(spark, sf):
+    return coef_row(spark, [linear.ols(weekly_panel(spark, sf), "revenue", ["qty"], vce="classical")], ["qty"])
+
+
+HC2 = "sum(dx * dx * err * err / (1 - 1.0 / n - dx * dx / sxx)) / max(sxx * sxx)"
+
+
+@query(
+    "J4_ols_hc2",
+    with_sql(WEEKLY_SQL, *simple(), f"v AS (SELECT max(slope) AS b, {HC2} AS v FROM e)") + one_sql("ols", "qty", "b", "v", "v"),
+)
+def j4(spark, sf):
+    return coef_row(spark, [linear.ols(weekly_panel(spark, sf), "revenue", ["qty"], vce="hc2")], ["qty"])
+
+
+GROUPED = (
+    "b AS (SELECT state, count(*) AS n, regr_sxx(revenue, qty) AS sxx, regr_avgx(revenue, qty) AS xm, regr_slope(revenue, qty) AS slope, regr_intercept(revenue, qty) AS icpt FROM weekly GROUP BY 1)",
+    "e AS (SELECT state, qty - xm AS dx, revenue - icpt - slope * qty AS err, n, sxx, slope FROM weekly JOIN b USING (state))",
+    f"v AS (SELECT state, max(slope) AS b, {HC2} AS v, max(n) AS n FROM e GROUP BY 1)",
+)
+
+
+@query(
+    "J5_regression_per_group",
+    with_sql(WEEKLY_SQL, *GROUPED) + f"SELECT state, n::BIGINT AS n, {sig_sql('b', S7)} AS estimate, {sig_sql('sqrt(v)', S7)} AS std_error, {sig_sql('b / sqrt(v)', 6)} AS statistic FROM v",
+)
+def j5(spark, sf):
+    out = bygroup.ols_by(weekly_panel(spark, sf), "state", "revenue", "qty")
+    return out.select("state", F.col("n").cast("long").alias("n"), sig("estimate", S7).alias("estimate"), sig("std_error", S7).alias("std_error"), sig("statistic", 6).alias("statistic"))
+
+
+def demeaned(src, cols, by="state", extra=""):
+    return f"SELECT {by}{extra}, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}" for c in cols) + f" FROM {src}"
+
+
+def fe_fit(src, y, x, g="state", k_extra="0"):
+    """Within fit of demeaned columns with entity-cluster variance."""
+    return (
+        f"m AS (SELECT count(*) AS n, count(DISTINCT {g}) AS g, sum({x} * {y}) / sum({x} * {x}) AS b, sum({x} * {x}) AS sxx FROM {src})",
+        f"s AS (SELECT {g}, sum({x} * ({y} - b * {x})) AS s FROM {src}, m GROUP BY 1)",
+        f"v AS (SELECT max(b) AS b, max(g) / (max(g) - 1.0) * (max(n) - 1.0) / (max(n) - max(g) - 1.0 - {k_extra}) * sum(s * s) / max(sxx * sxx) AS v FROM s, m)",
+    )
+
+
+@query(
+    "J6_entity_effects",
+    with_sql(WEEKLY_SQL, "d AS (" + demeaned("weekly", ["revenue", "qty"]) + ")", *fe_fit("d", "revenue", "qty")) + one_sql("fe", "qty", "b", "v", "v"),
+)
+def j6(spark, sf):
+    spec = ModelSpec("fe", "revenue", ["qty"], entity="state", vce="cluster", cluster="state")
+    return coef_row(spark, [linear.fit(weekly_panel(spark, sf), spec)], ["qty"])
+
+
+def detrend(src, cols, t="t", out="d1"):
+    """Residuals of each column from its entity's line in t."""
+    parts = ", ".join(f"regr_slope({c}, {t}) AS s_{c}, regr_intercept({c}, {t}) AS i_{c}" for c in cols)
+    cols_sql = ", ".join(f"{c} - i_{c} - s_{c} * {t} AS {c}" for c in cols)
+    return f"{out}_c AS (SELECT state, {parts} FROM {src} GROUP BY 1), {out} AS (SELECT state, {cols_sql} FROM {src} JOIN {out}_c USING (state))"
+
+
+@query(
+    "J7_linear_trends",
+    with_sql(WEEKLY_SQL, detrend("weekly", ["revenue", "qty"]), *fe_fit("d1", "revenue", "qty", k_extra="max(g)")) + one_sql("trend", "qty", "b", "v", "v"),
+)
+def j7(spark, sf):
+    spec = ModelSpec("trend", "revenue", ["qty"], entity="state", trend=("t", 1), vce="cluster", cluster="state")
+    return coef_row(spark, [linear.fit(weekly_panel(spark, sf), spec)], ["qty"])
+
+
+@query(
+    "J7_quadratic_trends",
+    with_sql(
+        WEEKLY_SQL,
+        "w2 AS (SELECT state, t, (t / 100.0) * (t / 100.0) AS t2, revenue, qty FROM weekly)",
+        detrend("w2", ["revenue", "qty", "t2"]),
+        detrend("d1", ["revenue", "qty"], t="t2", out="d2"),
+        *fe_fit("d2", "revenue", "qty", k_extra="2 * max(g)"),
+    )
+    + one_sql("trend", "qty", "b", "v", "v"),
+)
+def j7q(spark, sf):
+    spec = ModelSpec("trend", "revenue", ["qty"], entity="state", trend=("t", 2), vce="cluster", cluster="state")
+    return coef_row(spark, [linear.fit(weekly_panel(spark, sf), spec)], ["qty"])
+
+
+@query(
+    "J8_period_effects",
+    with_sql(
+        WEEKLY_SQL,
+        "d AS (" + demeaned("weekly", ["revenue", "qty"], by="wk") + ")",
+        "m AS (SELECT count(*) AS n, count(DISTINCT wk) AS g, sum(qty * revenue) / sum(qty * qty) AS b, sum(qty * qty) AS sxx FROM d)",
+        "v AS (SELECT max(b) AS b, max(n) / (max(n) - max(g) - 1.0) * sum(qty * qty * (revenue - b * qty) * (revenue - b * qty)) / max(sxx * sxx) AS v FROM d, m)",
+    )
+    + one_sql("period", "qty", "b", "v", "v"),
+)
+def j8(spark, sf):
+    return coef_row(spark, [linear.ols(weekly_panel(spark, sf), "revenue", ["qty"], name="period", entity="wk")], ["qty"])
+
+
+@query("J8_entity_and_period_effects")
+def j8_two_way(spark, sf):
+    panel = materialize(weekly_panel(spark, sf).select("state", "wk", "revenue", "qty", "n_items"), "two_way")
+    spec = ModelSpec("two_way", "revenue", ["qty", "n_items"], entity="state", vce="cluster", cluster="state")
+    return coef_row(spark, [linear.fit_two_way(panel, spec, "wk")])
+
+
+TWO = (
+    "c AS (SELECT count(*) AS n, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1, covar_pop(x2, y) AS s2, var_pop(y) AS sy FROM d)",
+    "f AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2 FROM c)",
+    "q AS (SELECT *, (sy - b1 * s1 - b2 * s2) / (n - 3.0) AS s2e FROM f)",
+)
+TWO_OUT = (
+    f"SELECT 'poly' AS model_id, '{{a}}' AS term, {sig_sql('b1', 6)} AS estimate, {sig_sql('sqrt(s2e * s22 / det)', 6)} AS std_error FROM q "
+    f"UNION ALL SELECT 'poly', '{{b}}', {sig_sql('b2', 6)}, {sig_sql('sqrt(s2e * s11 / det)', 6)} FROM q"
+)
+
+
+@query(
+    "J9_polynomial",
+    with_sql(WEEKLY_SQL, "d AS (SELECT revenue AS y, qty AS x1, qty * qty AS x2 FROM weekly)", *TWO) + TWO_OUT.format(a="qty", b="qty^2"),
+)
+def j9(spark, sf):
+    spec = ModelSpec("poly", "revenue", poly("qty", 2), vce="classical")
+    return coef_row(spark, [linear.fit(weekly_panel(spark, sf), spec)], ["qty", "qty^2"], 6)
+
+
+@query(
+    "J10_factor_interactions",
+    f"SELECT 'by_flag' AS model_id, 'l_returnflag=' || l_returnflag || ':l_quantity' AS term, {sig_sql('regr_slope(l_extendedprice, l_quantity)', 6)} AS estimate FROM lineitem GROUP BY l_returnflag",
+)
+def j10(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    spec = ModelSpec("by_flag", "l_extendedprice", interact("l_returnflag", ["A", "N", "R"], "l_quantity"), entity="l_returnflag", vce="classical")
+    return coef_row(spark, [fit_all(rows, [spec], cache=False)[0]], digits=6).filter(F.col("term") != "_cons").select("model_id", "term", "estimate")
+
+
+@query(
+    "J10_factor_by_factor",
+    f"SELECT 'cells' AS model_id, 'l_returnflag=' || l_returnflag || ':l_linestatus=' || l_linestatus AS term, {sig_sql('avg(l_extendedprice)', 6)} AS estimate FROM lineitem GROUP BY l_returnflag, l_linestatus",
+)
+def j10_cells(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    terms = cross_factors("l_returnflag", ["A", "N", "R"], "l_linestatus", ["F", "O"])
+    spec = ModelSpec("cells", "l_extendedprice", terms, constant=False, vce="classical")
+    return coef_row(spark, [fit_all(rows, [spec], cache=False)[0]], digits=6).select("model_id", "term", "estimate")
+
+
+def iv_fit(src, y, w, z, g="state", k_extra=""):
+    return (
+        f"m AS (SELECT count(*) AS n, count(DISTINCT {g}) AS g, sum({z} * {y}) / sum({z} * {w}) AS b, sum({z} * {w}) AS szw FROM {src})",
+        f"s AS (SELECT {g}, sum({z} * ({y} - b * {w})) AS s FROM {src}, m GROUP BY 1)",
+        "v AS (SELECT max(b) AS b, max(g) / (max(g) - 1.0) * sum(s * s) / max(szw * szw) AS v, max(n) AS n FROM s, m)",
+    )
+
+
+DIFFED = (
+    "f AS (SELECT state, t, revenue - lag(revenue) OVER w AS d_revenue, price - lag(price) OVER w AS d_price, qty - lag(qty) OVER w AS d_qty, "
+    "disc - lag(disc) OVER w AS d_disc, CAST(n_items - lag(n_items) OVER w AS DOUBLE) AS d_n_items FROM weekly WINDOW w AS (PARTITION BY state ORDER BY t))",
+    "c0 AS (SELECT * FROM f WHERE d_revenue IS NOT NULL)",
+    "d AS (" + demeaned("c0", ["d_revenue", "d_price", "d_qty", "d_disc", "d_n_items"]) + ")",
+)
+
+
+def differenced(spark, sf):
+    p = weekly_panel(spark, sf).withColumn("n_items", F.col("n_items").cast("double"))
+    return panel_features(Panel(p, "state", "t"), ["revenue", "price", "qty", "disc", "n_items"], 1)
+
+
+@query(
+    "J11_tsls_just_identified",
+    with_sql(WEEKLY_SQL, *DIFFED, *iv_fit("d", "d_revenue", "d_price", "d_qty")) + one_sql("iv", "d_price", "b", "v", "v", 6),
+)
+def j11(spark, sf):
+    fit = linear.tsls(differenced(spark, sf), "d_revenue", ["d_price"], ["d_qty"], name="iv", entity="state", vce="cluster", cluster="state")
+    return coef_row(spark, [fit], ["d_price"], 6)
+
+
+@query(
+    "J12_tsls_over_identified",
+    with_sql(
+        WEEKLY_SQL,
+        "c AS (SELECT covar_pop(qty, qty) AS s11, covar_pop(disc, disc) AS s22, covar_pop(qty, disc) AS s12, covar_pop(qty, price) AS s1, covar_pop(disc, price) AS s2 FROM weekly)",
+        "p AS (SELECT (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS p1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS p2 FROM c)",
+        "h AS (SELECT revenue AS y, price AS w, p1 * qty + p2 * disc AS hat FROM weekly, p)",
+        "b AS (SELECT covar_pop(hat, y) / covar_pop(hat, w) AS b, avg(y) - covar_pop(hat, y) / covar_pop(hat, w) * avg(w) AS a, avg(hat) AS hm, covar_pop(hat, w) * count(*) AS den FROM h)",
+        "v AS (SELECT max(b) AS b, sum((hat - hm) * (hat - hm) * (y - a - b * w) * (y - a - b * w)) / max(den * den) AS v FROM h, b)",
+    )
+    + one_sql("iv", "price", "b", "v", "v", 6),
+)
+def j12(spark, sf):
+    fit = linear.tsls(weekly_panel(spark, sf), "revenue", ["price"], ["qty", "disc"], name="iv")
+    return coef_row(spark, [fit], ["price"], 6)
+
+
+@query(
+    "J13_tsls_two_endogenous",
+    with_sql(
+        WEEKLY_SQL,
+        *DIFFED,
+        "c AS (SELECT sum(d_qty * d_price) AS a11, sum(d_qty * d_disc) AS a12, sum(d_n_items * d_price) AS a21, sum(d_n_items * d_disc) AS a22, sum(d_qty * d_revenue) AS c1, sum(d_n_items * d_revenue) AS c2 FROM d)",
+        "s AS (SELECT (a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a21) AS b1, (a11 * c2 - a21 * c1) / (a11 * a22 - a12 * a21) AS b2 FROM c)",
+    )
+    + f"SELECT 'iv2' AS model_id, 'd_price' AS term, {sig_sql('b1', 6)} AS estimate FROM s UNION ALL SELECT 'iv2', 'd_disc', {sig_sql('b2', 6)} FROM s",
+)
+def j13(spark, sf):
+    fit = linear.tsls(differenced(spark, sf), "d_revenue", ["d_price", "d_disc"], ["d_qty", "d_n_items"], name="iv2", entity="state", vce="cluster", cluster="state")
+    return coef_row(spark, [fit], ["d_price", "d_disc"], 6).select("model_id", "term", "estimate")
+
+
+@query(
+    "J14_residual_and_fitted",
+    with_sql(
+        WEEKLY_SQL,
+        "r AS (SELECT state, t, CASE WHEN n_items > 3 THEN revenue END AS revenue, qty FROM weekly)",
+        "k AS (SELECT * FROM r WHERE revenue IS NOT NULL)",
+        "mm AS (SELECT state, avg(revenue) AS my, avg(qty) AS mx FROM k GROUP BY 1)",
+        "b AS (SELECT sum((qty - mx) * (revenue - my)) / sum((qty - mx) * (qty - mx)) AS b FROM k JOIN mm USING (state))",
+    )
+    + f"SELECT state, t, {sig_sql('CASE WHEN revenue IS NOT NULL THEN my + b * (qty - mx) END', 7, '1e-3')} AS fit, "
+    f"{sig_sql('revenue - my - b * (qty - mx)', 6, '1e-2')} AS res FROM r LEFT JOIN mm USING (state), b",
+)
+def j14(spark, sf):
+    p = weekly_panel(spark, sf).withColumn("revenue", F.when(F.col("n_items") > 3, F.col("revenue")))
+    out, _ = linear.with_fit(p, ModelSpec("m", "revenue", ["qty"], entity="state"), "fit", "res")
+    return out.select("state", "t", sig("fit", 7, 1e-3).alias("fit"), sig("res", 6, 1e-2).alias("res"))
+
+
+def partialled(panel):
+    """Measure projected on the instrument and controls, then cleared of the controls."""
+    first = ModelSpec("first", "d_price", ["d_qty", "d_disc"], entity="state")
+    hat = linear.fitted(panel, first, "hat")
+    return linear.residualize(hat, ModelSpec("second", "hat", ["d_disc"], entity="state"), "hat_resid")
+
+
+@query(
+    "J15_projection_partialling_out",
+    with_sql(
+        WEEKLY_SQL,
+        *DIFFED,
+        "dt AS (SELECT state, t, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY state) AS {c}" for c in ("d_price", "d_qty", "d_disc")) + " FROM c0)",
+        "a AS (SELECT sum(d_qty * d_disc) / sum(d_disc * d_disc) AS a FROM dt)",
+        "z AS (SELECT state, t, d_price, d_qty - a * d_disc AS zz FROM dt, a)",
+        "p AS (SELECT sum(zz * d_price) / sum(zz * zz) AS p FROM z)",
+        "fr AS (SELECT state, t, p * zz AS r FROM z, p)",
+        "al AS (SELECT weekly.state, weekly.t, r FROM weekly LEFT JOIN fr USING (state, t))",
+    )
+    + f"SELECT state, t, {sig_sql('lag(r, 1) OVER (PARTITION BY state ORDER BY t)', 6, '1e-2')} AS hat_resid_m1, {sig_sql('lag(r, 2) OVER (PARTITION BY state ORDER BY t)', 6, '1e-2')} AS hat_resid_m2 FROM al",
+)
+def j15(spark, sf):
+    out = partialled(materialize(differenced(spark, sf), "diffs")).select("state", "t", "hat_resid")
+    out = lag_by(Panel(out, "state", "t"), ["hat_resid"], [1, 2])
+    return out.select("state", "t", sig("hat_resid_m1", 6, 1e-2).alias("hat_resid_m1"), sig("hat_resid_m2", 6, 1e-2).alias("hat_resid_m2"))
+
+
+@query(
+    "J16_single_wald",
+    with_sql(WEEKLY_SQL, *DIFFED, *fe_fit("d", "d_price", "d_qty"))
+    + f"SELECT 'd_qty' AS test, {sig_sql('b * b / v', 6)} AS statistic, 1 AS df1, CAST((SELECT g FROM m) - 1 AS DOUBLE) AS df2 FROM v",
+)
+def j16(spark, sf):
+    spec = ModelSpec("first", "d_price", ["d_qty"], entity="state", vce="cluster", cluster="state")
+    t = wald.test_term(linear.fit(differenced(spark, sf), spec), "d_qty")
+    return wald.tests_table(spark, [t]).select("test", sig("statistic", 6).alias("statistic"), "df1", "df2")
+
+
+@query(
+    "J17_joint_wald",
+    with_sql(WEEKLY_SQL, "d AS (SELECT revenue AS y, qty AS x1, qty * qty AS x2 FROM weekly)", *TWO)
+    + f"SELECT 'qty qty^2' AS test, {sig_sql('((b1 * s1 + b2 * s2) / 2) / ((sy - b1 * s1 - b2 * s2) / (n - 3.0))', 6)} AS statistic, 2 AS df1, CAST(n - 3 AS DOUBLE) AS df2 FROM q",
+)
+def j17(spark, sf):
+    fit = linear.fit(weekly_panel(spark, sf), ModelSpec("poly", "revenue", poly("qty", 2), vce="classical"))
+    t = wald.test_joint(fit, ["qty", "qty^2"])
+    return wald.tests_table(spark, [t]).select("test", sig("statistic", 6).alias("statistic"), "df1", "df2")
+
+
+@query(
+    "J18_equality_test",
+    with_sql(
+        WEEKLY_SQL,
+        *DIFFED,
+        "m AS (SELECT count(DISTINCT state) * 2.0 AS g, sum(d_qty * d_revenue) / sum(d_qty * d_price) AS b1, sum(d_qty * d_price) AS w1, sum(d_qty * d_revenue) / sum(d_qty * d_disc) AS b2, sum(d_qty * d_disc) AS w2 FROM d)",
+        "s AS (SELECT state, sum(d_qty * (d_revenue - b1 * d_price)) AS s1, sum(d_qty * (d_revenue - b2 * d_disc)) AS s2 FROM d, m GROUP BY 1)",
+        "v AS (SELECT max(b1) AS b1, max(b2) AS b2, max(g) / (max(g) - 1) * (sum(s1 * s1) / max(w1 * w1) + sum(s2 * s2) / max(w2 * w2)) AS v FROM s, m)",
+    )
+    + f"SELECT 'number=1:both = number=2:both' AS test, {sig_sql('(b1 - b2) * (b1 - b2) / v', 6)} AS statistic, 1 AS df1 FROM v",
+)
+def j18(spark, sf):
+    _, t = G.equality_test(differenced(spark, sf), "d_revenue", ("d_price", "d_disc"), "d_qty", [], "state")
+    return wald.tests_table(spark, [t]).select("test", sig("statistic", 6).alias("statistic"), "df1")
+
+
+@query("J19_iv_diagnostics")
+def j19(spark, sf):
+    fit = linear.tsls(weekly_panel(spark, sf), "revenue", ["price"], ["qty", "disc"], name="iv")
+    return wald.tests_table(spark, wald.iv_diagnostics(fit))
+
+
+@query(
+    "J19_first_stage_f",
+    with_sql(WEEKLY_SQL, *simple(y="price"), "v AS (SELECT max(slope) AS b, sum(err * err) / (max(n) - 2.0) / max(sxx) AS v, max(n) AS n FROM e)")
+    + f"SELECT 'weak_instruments:price' AS test, {sig_sql('b * b / v', 6)} AS statistic, 1 AS df1, CAST(n - 2 AS DOUBLE) AS df2 FROM v",
+)
+def j19_first(spark, sf):
+    fit = linear.tsls(weekly_panel(spark, sf), "revenue", ["price"], ["qty"], name="iv")
+    out = wald.tests_table(spark, wald.iv_diagnostics(fit)).filter(F.col("test") == "weak_instruments:price")
+    return out.select("test", sig("statistic", 6).alias("statistic"), "df1", "df2")
+
+
+def fe_slopes(pairs):
+    """UNION of within slopes: (model, term, numerator instrument, regressor)."""
+    return " UNION ALL ".join(
+        f"SELECT '{m}' AS model_id, '{w}' AS term, {sig_sql(f'sum({z} * d_revenue) / sum({z} * {w})', 6)} AS estimate FROM d" for m, w, z in pairs
+    )
+
+
+@query(
+    "J20_attenuation_comparison",
+    with_sql(WEEKLY_SQL, *DIFFED)
+    + fe_slopes([("ols", "d_price", "d_price"), ("iv_instrument", "d_price", "d_n_items"), ("iv_other_measure", "d_price", "d_qty")]),
+)
+def j20(spark, sf):
+    specs = G.attenuation_specs("d_revenue", "d_price", "d_qty", "d_n_items", [], "state")
+    return coef_row(spark, G.run_grid(differenced(spark, sf), specs).fits, ["d_price"], 6).select("model_id", "term", "estimate")
+
+
+LASSO_X = [f"qty_m{k}" for k in (1, 2, 3, 4)]
+
+
+def lag_data(spark, sf):
+    p = lag_by(Panel(weekly_panel(spark, sf).select("state", "t", "revenue", "qty"), "state", "t"), ["qty"], [1, 2, 3, 4])
+    return materialize(lasso.standardize(p, "revenue", LASSO_X), "lasso")
+
+
+@query(
+    "J21_lasso_one_regressor",
+    with_sql(
+        WEEKLY_SQL,
+        "c AS (SELECT count(*) AS n, avg(qty) AS mx, stddev_samp(qty) AS sd, avg(revenue) AS my FROM weekly)",
+        "z AS (SELECT (qty - mx) / sd AS x, revenue - my AS y, n FROM weekly, c)",
+        "g AS (SELECT sum(x * y) / sqrt(sum(x * x) / max(n)) / max(n) AS c, sqrt(sum(x * x) / max(n)) AS s FROM z)",
+        "l AS (SELECT i + 1 AS step, abs(c) * exp(ln(0.0001) * i / 99.0) AS lam, c, s FROM g, (SELECT unnest(range(100)) AS i))",
+    )
+    + f"SELECT CAST(step AS INTEGER) AS step, {sig_sql('lam', 6)} AS lambda, {sig_sql('sign(c) * greatest(abs(c) - lam, 0) / s', 6, '1e-2')} AS estimate FROM l",
+)
+def j21_one(spark, sf):
+    data = lasso.standardize(weekly_panel(spark, sf).select("revenue", "qty"), "revenue", ["qty"])
+    out = lasso.lasso_path(data, "revenue", ["qty"]).table(spark)
+    return out.select("step", sig("lambda", 6).alias("lambda"), sig("estimate", 6, 1e-2).alias("estimate"))
+
+
+@query("J21_lasso_path")
+def j21(spark, sf):
+    return lasso.lasso_path(lag_data(spark, sf), "revenue", LASSO_X).table(spark)
+
+
+@query("J22_cross_validated_lasso")
+def j22(spark, sf):
+    return lasso.cv_lasso(lag_data(spark, sf), "revenue", LASSO_X, ["state", "t"]).selected(spark)
+
+
+MEASURES = ["d_price", "d_qty", "d_disc"]
+
+
+def model_panel(spark, sf):
+    """Weekly panel with two 0/1 policy columns and all lags, written once for the fits."""
+    p = weekly_panel(spark, sf).select(
+        "state",
+        "t",
+        "revenue",
+        "price",
+        "qty",
+        "disc",
+        F.col("n_items").cast("double").alias("n_items"),
+        (F.col("n_items") > 8).cast("int").alias("emerg"),
+        (F.col("disc") > 0.3).cast("int").alias("gath"),
+    )
+    return materialize(panel_features(Panel(p, "state", "t"), ["revenue", "price", "qty", "disc", "n_items", "emerg", "gath"], 5), "grid")
+
+
+@query("J23_model_grid")
+def j23(spark, sf):
+    panel = model_panel(spark, sf)
+    first = G.first_stage_specs(MEASURES, "d_n_items", ["emerg", "gath", "d_revenue_m1"], "state", "t")
+    second = G.second_stage_specs("d_revenue", MEASURES, "d_n_items", ["emerg", "gath"], [1, 2, 3, 4], "state", "t")
+    two = G.two_lag_specs("d_revenue", MEASURES, "d_n_items", ["emerg", "gath"], (1, 3), "state")
+    return G.run_grid(panel, [*first, *second, *two]).coefficients
+
+
+def _grid_sql():
+    out = []
+    for k in (1, 2):
+        for m in MEASURES:
+            w, z = f"{m}_m{k}", f"d_n_items_m{k}"
+            cols = ["d_revenue", w, z]
+            d = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY state) AS {c}" for c in cols)
+            ok = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+            out.append(
+                f"SELECT 'b_{m}_m{k}' AS model_id, 'mobility_m{k}' AS role, {sig_sql(f'sum({z} * d_revenue) / sum({z} * {w})', 6)} AS estimate "
+                f"FROM (SELECT {d} FROM lg WHERE {ok})"
+            )
+    lags = ", ".join(f"lag({c}, {k}) OVER w AS {c}_m{k}" for c in [*MEASURES, "d_n_items"] for k in (1, 2))
+    return with_sql(WEEKLY_SQL, DIFFED[0], f"lg AS (SELECT state, d_revenue, {lags} FROM f WINDOW w AS (PARTITION BY state ORDER BY t))") + " UNION ALL ".join(out)
+
+
+@query("J23_grid_entity_effects", _grid_sql())
+def j23_b(spark, sf):
+    specs = G.second_stage_specs("d_revenue", MEASURES, "d_n_items", ["emerg", "gath"], [1, 2], "state", "t")
+    out = G.run_grid(model_panel(spark, sf), specs).coefficients
+    return out.filter(F.col("model_id").startswith("b_") & F.col("role").startswith("mobility")).select("model_id", "role", sig("estimate", 6).alias("estimate"))
+
+
+@query("J24_coefficient_table")
+def j24(spark, sf):
+    specs = G.first_stage_specs(["d_price", "d_qty"], "d_n_items", ["emerg", "d_revenue_m1"], "state", "t")
+    grid = G.run_grid(model_panel(spark, sf), specs)
+    return coef_table(
+        grid.coefficients, grid.models, ["d_n_items", "emerg", "d_revenue_m1", "_cons"], [s.name for s in specs],
+        labels={"d_n_items": "Instrument", "_cons": "Constant"},
+    )
+
+
+@query(
+    "J25_tidy_one_term",
+    with_sql(WEEKLY_SQL)
+    + " UNION ALL ".join(f"SELECT 'y{y}' AS model_id, 'qty' AS term, {sig_sql('regr_slope(revenue, qty)', S7)} AS estimate FROM weekly WHERE yr = {y}" for y in (1996, 1997, 1998)),
+)
+def j25(spark, sf):
+    p = materialize(weekly_panel(spark, sf), "tidy")
+    specs = [ModelSpec(f"y{y}", ("revenue", F.when(F.col("yr") == y, F.col("revenue"))), ["qty"], vce="classical") for y in (1996, 1997, 1998)]
+    # The outcome's label is shared, so each year's expression is its own column.
+    specs = [ModelSpec(s.name, (s.name, s.y[1]), ["qty"], vce="classical") for s in specs]
+    out = bygroup.tidy_term(G.run_grid(p, specs).coefficients, "qty")
+    return out.select("model_id", "term", sig("estimate", S7).alias("estimate"))
+
+
+@query(
+    "J26_standardize",
+    with_sql(WEEKLY_SQL)
+    + f"SELECT state, t, {sig_sql('revenue - avg(revenue) OVER ()', 7, '1e-2')} AS revenue, {sig_sql('(qty - avg(qty) OVER ()) / stddev_samp(qty) OVER ()', 7, '1e-6')} AS qty FROM weekly",
+)
+def j26(spark, sf):
+    out = lasso.standardize(weekly_panel(spark, sf).select("state", "t", "revenue", "qty"), "revenue", ["qty"])
+    return out.select("state", "t", sig("revenue", 7, 1e-2).alias("revenue"), sig("qty", 7, 1e-6).alias("qty"))
+
+
+CORR = ["price", "qty", "disc"]
+
+
+@query(
+    "J27_correlation_matrix",
+    with_sql(WEEKLY_SQL)
+    + " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, {sig_sql(f'corr({a}, {b})')} AS corr FROM weekly" for i, a in enumerate(CORR) for b in CORR[i:]),
+)
+def j27(spark, sf):
+    return rounded(corr_matrix(weekly_panel(spark, sf), CORR), ["corr"])
+
+
+@query(
+    "J28_iv_design",
+    with_sql(WEEKLY_SQL)
+    + " UNION ALL ".join(
+        f"SELECT 'd:{m}' AS model_id, '{w}' AS term, {sig_sql(e, 6)} AS estimate FROM weekly"
+        for m, w, e in (
+            ("first_stage", "qty", "regr_slope(price, qty)"),
+            ("reduced_form", "qty", "regr_slope(revenue, qty)"),
+            ("endogenous", "price", "regr_slope(revenue, price)"),
+            ("iv", "price", "covar_pop(qty, revenue) / covar_pop(qty, price)"),
+        )
+    ),
+)
+def j28(spark, sf):
+    specs = G.iv_design("d", "revenue", "price", "qty")
+    out = coef_row(spark, G.run_grid(weekly_panel(spark, sf), specs).fits, digits=6)
+    return out.filter(F.col("term") != "_cons").select("model_id", "term", "estimate")
+
+
+@query(
+    "J29_source_agreement",
+    with_sql(WEEKLY_SQL, *GROUPED)
+    + f"SELECT state, {sig_sql('b', S7)} AS estimate, {sig_sql('sqrt(v)', S7)} AS std_error FROM v UNION ALL "
+    f"SELECT 'pooled', {sig_sql('(SELECT regr_slope(revenue, qty) FROM weekly)', S7)}, "
+    f"(WITH {', '.join(simple())} SELECT {sig_sql('sqrt(' + HC2 + ')', S7)} FROM e)",
+)
+def j29(spark, sf):
+    pooled, per_state = bygroup.agreement(materialize(weekly_panel(spark, sf), "agree"), "state", "revenue", "qty")
+    a = per_state.select("state", "estimate", "std_error")
+    b = coefficients(spark, [pooled]).filter(F.col("term") == "qty").select(F.lit("pooled").alias("state"), "estimate", "std_error")
+    return rounded(a.unionByName(b), ["estimate", "std_error"], S7)
+
+
+@query(
+    "J30_collinear_terms",
+    with_sql(WEEKLY_SQL)
+    + f"SELECT 'm' AS model_id, 'qty' AS term, {sig_sql('regr_slope(revenue, qty)', S7)} AS estimate FROM weekly "
+    f"UNION ALL SELECT 'm', 'twice', NULL UNION ALL SELECT 'm', '_cons', {sig_sql('regr_intercept(revenue, qty)', 6)} FROM weekly",
+)
+def j30(spark, sf):
+    spec = ModelSpec("m", "revenue", ["qty", ("twice", 2 * F.col("qty") + 1)], vce="classical")
+    out = coefficients(spark, [linear.fit(weekly_panel(spark, sf), spec)])
+    est = F.when(F.col("term") == "_cons", sig("estimate", 6)).otherwise(sig("estimate", S7))
+    return out.select("model_id", "term", est.alias("estimate"))
