@@ -15,6 +15,7 @@ complete-case sample it lies, with the model's columns in numbered slots. Then
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -62,17 +63,20 @@ class _Batch:
         self.plans: list[_Plan] = []
 
 
-def _key(term) -> tuple[str, str]:
-    return label_of(term), str(column_of(term))
+def _key(term):
+    """Identity of a term: its column name, or its label and expression."""
+    return term if isinstance(term, str) else (term[0], str(term[1]))
 
 
-def _distinct_columns(specs: Sequence[ModelSpec]) -> dict[tuple[str, str], Column]:
+def _distinct_columns(specs: Sequence[ModelSpec]) -> dict:
     out = {}
     for s in specs:
         for t in s.columns:
-            out.setdefault(_key(t), column_of(t))
-        if s.trend:
-            out.setdefault(_key(s.trend[0]), column_of(s.trend[0]))
+            key = _key(t)
+            if key not in out:
+                out[key] = column_of(t)
+        if s.trend and s.trend[0] not in out:
+            out[s.trend[0]] = column_of(s.trend[0])
     return out
 
 
@@ -94,7 +98,7 @@ def _stack(rows: DataFrame, batch: _Batch, names: dict, scales: dict) -> DataFra
     The layouts are data, a constant array of column positions, shifts and scales: the generated
     code stays the same size whatever the number of models, so it is always compiled.
     """
-    values = [F.lit(0.0)]  # position 0 pads unused slots
+    values: list = [F.lit(0.0)]  # position 0 pads unused slots
     at: dict = {}
 
     def position(key, column):
@@ -113,7 +117,7 @@ def _stack(rows: DataFrame, batch: _Batch, names: dict, scales: dict) -> DataFra
             labels.append(label_of(t))
             shift.append(m if free else 0.0)
             scale.append(s)
-            where.append(position(c, F.col(c)))
+            where.append(position(c, c))
         pad = batch.width - len(labels)
         trend = []
         if spec.trend:
@@ -126,12 +130,10 @@ def _stack(rows: DataFrame, batch: _Batch, names: dict, scales: dict) -> DataFra
         where += [0] * pad + trend + [0] * (batch.degree - len(trend))
         fill = batch.p - len(labels)
         layouts.append(
-            F.struct(
-                F.lit(i).alias("model"),
-                *[F.lit(w).alias(f"i{j}") for j, w in enumerate(where)],
-                *[F.lit(float(m)).alias(f"m{j}") for j, m in enumerate(shift + [0.0] * fill)],
-                *[F.lit(1.0 / s).alias(f"r{j}") for j, s in enumerate(scale + [1.0] * fill)],
-            )
+            {"model": i}
+            | {f"i{j}": w for j, w in enumerate(where)}
+            | {f"m{j}": m for j, m in enumerate(shift + [0.0] * fill)}
+            | {f"r{j}": 1.0 / s for j, s in enumerate(scale + [1.0] * fill)}
         )
         n_e, n_x = len(spec.endog), len(spec.x)
         batch.plans.append(
@@ -147,7 +149,12 @@ def _stack(rows: DataFrame, batch: _Batch, names: dict, scales: dict) -> DataFra
         )
     keys = _all_keys(batch)
     base = rows.na.drop(subset=keys) if keys else rows
-    wide = base.select(*keys, F.array(*values).alias("x"), F.explode(F.array(*layouts)).alias("l"))
+    slots = range(batch.p)
+    fields = ["model int", *[f"i{j} int" for j in slots], *[f"m{j} double" for j in slots], *[f"r{j} double" for j in slots]]
+    # One literal, folded to a constant array when the plan is made.
+    layout = F.from_json(F.lit(json.dumps(layouts)), f"array<struct<{','.join(f.replace(' ', ':') for f in fields)}>>")
+    # The array is built in a projection of its own, below the explode: once per input row.
+    wide = base.select(*keys, F.array(*values).alias("x")).select(*keys, "x", F.explode(layout).alias("l"))
     slots = [
         ((F.get("x", F.col(f"l.i{j}")) - F.col(f"l.m{j}")) * F.col(f"l.r{j}")).alias(f"v{j}") for j in range(batch.p)
     ]
@@ -172,14 +179,19 @@ def _pairs(p: int):
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _c(prefix: str, i: int, j: int) -> Column:
-    return F.col(f"{prefix}_{min(i, j)}_{max(i, j)}")
+def _at(prefix: str, i: int, j: int) -> str:
+    """Name of the cell (i, j) of a symmetric matrix kept as its upper triangle."""
+    return f"{prefix}_{min(i, j)}_{max(i, j)}"
+
+
+def _model_in(members: Sequence[int]) -> str:
+    return f"model IN ({', '.join(map(str, members))})" if members else "false"
 
 
 def _group_moments(stacked: DataFrame, group: Sequence[str], p: int) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(f"v{i}").alias(f"s_{i}") for i in range(p)]
-    aggs += [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"S_{i}_{j}") for i, j in _pairs(p)]
+    aggs = [F.expr("count(1) AS n")]
+    aggs += [F.expr(f"sum(v{i}) AS s_{i}") for i in range(p)]
+    aggs += [F.expr(f"sum(v{i} * v{j}) AS S_{i}_{j}") for i, j in _pairs(p)]
     return stacked.groupBy("model", *group).agg(*aggs)
 
 
@@ -187,24 +199,25 @@ def _absorb(table: DataFrame, batch: _Batch) -> DataFrame:
     """Adds A_i_j, the cross-products net of the model's absorbed effects, the number of effects
     (``rank``), and per slot the mean and the trend slopes that were removed."""
     p, width = batch.p, batch.width
-    with_fe = [i for i, s in enumerate(batch.specs) if s.entity]
-    fe = F.col("model").isin(*with_fe) if with_fe else F.lit(False)
-    cols = {f"a_{i}": F.when(fe, F.col(f"s_{i}") / F.col("n")).otherwise(F.lit(0.0)) for i in range(p)}
-    table = table.withColumns(cols)
-    table = table.withColumns(
-        {f"A_{i}_{j}": F.col(f"S_{i}_{j}") - F.col(f"a_{i}") * F.col(f"s_{j}") for i, j in _pairs(p)}
-        | {"rank": F.when(fe, F.lit(1)).otherwise(F.lit(0))}
+    fe = _model_in([i for i, s in enumerate(batch.specs) if s.entity])
+    table = table.selectExpr(
+        "*",
+        *[f"CASE WHEN {fe} THEN s_{i} / n ELSE 0.0D END AS a_{i}" for i in range(p)],
+        f"CASE WHEN {fe} THEN 1 ELSE 0 END AS rank",
     )
+    table = table.selectExpr("*", *[f"S_{i}_{j} - a_{i} * s_{j} AS A_{i}_{j}" for i, j in _pairs(p)])
     for d in range(batch.degree):
         t = width + d
-        usable = (_c("A", t, t) > F.lit(ABSORB_TOL) * _c("S", t, t)) & fe
-        table = table.withColumn("__inv", F.when(usable, 1.0 / _c("A", t, t)).otherwise(F.lit(0.0)))
-        table = table.withColumns(
-            {f"b{d}_{i}": _c("A", i, t) * F.col("__inv") for i in range(p) if i != t}
-            | {"rank": F.col("rank") + F.when(usable, F.lit(1)).otherwise(F.lit(0))}
-        )
-        table = table.withColumns(
-            {f"A_{i}_{j}": F.col(f"A_{i}_{j}") - F.col(f"b{d}_{i}") * _c("A", j, t) for i, j in _pairs(p) if t not in (i, j)}
+        usable = f"({fe} AND {_at('A', t, t)} > {ABSORB_TOL}D * {_at('S', t, t)})"
+        inverse = f"CASE WHEN {usable} THEN 1.0D / {_at('A', t, t)} ELSE 0.0D END"
+        table = table.selectExpr("*", f"{inverse} AS inv{d}", f"CASE WHEN {usable} THEN 1 ELSE 0 END AS used{d}")
+        table = table.selectExpr("*", *[f"{_at('A', i, t)} * inv{d} AS b{d}_{i}" for i in range(p) if i != t])
+        swept = {f"A_{i}_{j}" for i, j in _pairs(p) if t not in (i, j)}
+        kept = [c for c in table.columns if c not in swept and c not in ("rank", f"inv{d}", f"used{d}")]
+        table = table.selectExpr(
+            *kept,
+            f"rank + used{d} AS rank",
+            *[f"A_{i}_{j} - b{d}_{i} * {_at('A', j, t)} AS A_{i}_{j}" for i, j in _pairs(p) if t not in (i, j)],
         )
     return table
 
@@ -213,10 +226,10 @@ def _totals(table: DataFrame, batch: _Batch) -> dict[int, dict]:
     width = batch.width
     base = ["n", *batch.group, *[f"a_{i}" for i in range(batch.p)]]
     base += [f"b{d}_{i}" for d in range(batch.degree) for i in range(batch.p) if i != width + d]
-    aggs = [F.sum("n").alias("n"), F.sum("rank").alias("rank"), F.count(F.lit(1)).alias("groups")]
-    aggs += [F.sum(f"s_{i}").alias(f"s_{i}") for i in range(width)]
-    aggs += [F.sum(f"S_{i}_{i}").alias(f"S_{i}_{i}") for i in range(width)]
-    aggs += [F.sum(f"A_{i}_{j}").alias(f"A_{i}_{j}") for i, j in _pairs(width)]
+    aggs = [F.expr(e) for e in ("sum(n) AS n", "sum(rank) AS rank", "count(1) AS groups")]
+    aggs += [F.expr(f"sum(s_{i}) AS s_{i}") for i in range(width)]
+    aggs += [F.expr(f"sum(S_{i}_{i}) AS S_{i}_{i}") for i in range(width)]
+    aggs += [F.expr(f"sum(A_{i}_{j}) AS A_{i}_{j}") for i, j in _pairs(width)]
     if batch.group:
         first = F.struct(*batch.group)
         aggs.append(F.min_by(F.struct(*base), first).alias("base"))
@@ -329,13 +342,12 @@ def _sum_terms(terms: list[Column]) -> Column:
     return out
 
 
-def _outer_sums(df: DataFrame, names: Sequence[str], weight: Column | None = None) -> dict[int, np.ndarray]:
-    w = weight if weight is not None else F.lit(1.0)
-    aggs = [
-        F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"M_{i}_{j}") for i, j in _pairs(len(names))
-    ]
+def _outer_sums(df: DataFrame, names: Sequence[str], weight: str = "") -> dict[int, np.ndarray]:
+    """Per model the matrix of Σ weight·name_i·name_j."""
+    w = f"{weight} * " if weight else ""
+    aggs = [F.expr(f"sum({w}{names[i]} * {names[j]}) AS M_{i}_{j}") for i, j in _pairs(len(names))]
     out = {}
-    for r in df.groupBy("model").agg(*aggs).collect():
+    for r in df.groupBy("model").agg(*aggs).collect():  # one row per model
         m = np.zeros((len(names), len(names)))
         for i, j in _pairs(len(names)):
             m[i, j] = m[j, i] = r[f"M_{i}_{j}"] or 0.0
@@ -347,17 +359,15 @@ def _cluster_meat(table: DataFrame, batch: _Batch, sols: dict[int, _Solution]) -
     """Score sums per cluster are linear in the cluster's cross-products."""
     w = batch.width
     coef = _resid_table(table.sparkSession, sols, batch.p, False)
-    own = [m for m in sols if not batch.specs[m].entity]
-    is_own = F.col("model").isin(*own) if own else F.lit(False)
-    e = [F.element_at("e", i + 1) for i in range(w + 1)]
-    u0 = F.when(is_own, e[0] * F.col("n") + _sum_terms([e[l + 1] * F.col(f"s_{l}") for l in range(w)])).otherwise(0.0)
-    us = [u0.alias("u0")]
+    own = _model_in([m for m in sols if not batch.specs[m].entity])
+    const = " + ".join([f"e[0] * n", *[f"e[{l + 1}] * s_{l}" for l in range(w)]])
+    scores = [f"CASE WHEN {own} THEN {const} ELSE 0.0D END AS u0"]
     for z in range(w):
-        score = _sum_terms([e[l + 1] * _c("A", z, l) for l in range(w)])
-        score = score + F.when(is_own, e[0] * F.col(f"s_{z}")).otherwise(0.0)
-        us.append(score.alias(f"u{z + 1}"))
-    picked = table.filter(F.col("model").isin(*sols)).join(coef, ["model"])
-    return _outer_sums(picked.select("model", *us), [f"u{i}" for i in range(w + 1)])
+        terms = [f"CASE WHEN {own} THEN e[0] * s_{z} ELSE 0.0D END"]
+        terms += [f"e[{l + 1}] * {_at('A', z, l)}" for l in range(w)]
+        scores.append(" + ".join(terms) + f" AS u{z + 1}")
+    picked = table.filter(_model_in(list(sols))).join(coef, ["model"])
+    return _outer_sums(picked.selectExpr("model", *scores), [f"u{i}" for i in range(w + 1)])
 
 
 def _within_rows(stacked: DataFrame, table: DataFrame, batch: _Batch) -> DataFrame:
@@ -367,12 +377,10 @@ def _within_rows(stacked: DataFrame, table: DataFrame, batch: _Batch) -> DataFra
     p, width = batch.p, batch.width
     extra = [f"a_{i}" for i in range(p)] + [f"b{d}_{i}" for d in range(batch.degree) for i in range(p) if i != width + d]
     joined = stacked.join(table.select("model", *batch.group, *extra), ["model", *batch.group])
-    joined = joined.withColumns({f"v{i}": F.col(f"v{i}") - F.col(f"a_{i}") for i in range(p)})
+    joined = joined.withColumns({f"v{i}": F.expr(f"v{i} - a_{i}") for i in range(p)})
     for d in range(batch.degree):
         t = width + d
-        joined = joined.withColumns(
-            {f"v{i}": F.col(f"v{i}") - F.col(f"b{d}_{i}") * F.col(f"v{t}") for i in range(p) if i != t}
-        )
+        joined = joined.withColumns({f"v{i}": F.expr(f"v{i} - b{d}_{i} * v{t}") for i in range(p) if i != t})
     return joined.drop(*extra)
 
 
@@ -400,22 +408,16 @@ def _row_meat(
     coef = _resid_table(rows.sparkSession, sols, batch.p, kind == "hc2", bases, types)
     df = rows.filter(F.col("model").isin(*sols)).join(coef, ["model"]).withColumn("z0", one)
     names = ["z0"] + [f"v{i}" for i in range(w)]
-    err = _sum_terms([F.element_at("e", i + 1) * F.col(c) for i, c in enumerate(names)])
-    df = df.withColumn("err", err)
+    df = df.withColumn("err", F.expr(" + ".join(f"e[{i}] * {c}" for i, c in enumerate(names))))
     if kind == "cluster":
-        scores = df.groupBy("model", *cluster).agg(*[F.sum(F.col("err") * F.col(c)).alias(f"u{i}") for i, c in enumerate(names)])
+        scores = df.groupBy("model", *cluster).agg(*[F.expr(f"sum(err * {c}) AS u{i}") for i, c in enumerate(names)])
         return _outer_sums(scores, [f"u{i}" for i in range(w + 1)])
-    weight = F.col("err") * F.col("err")
+    weight = "err * err"
     if kind == "hc2":
         p1 = batch.p + 1
-        lev = _sum_terms(
-            [
-                F.element_at("h", i * p1 + j + 1) * F.col(a) * F.col(b)
-                for i, a in enumerate(names)
-                for j, b in enumerate(names)
-            ]
-        )
-        weight = weight / (1.0 - lev)
+        lev = " + ".join(f"h[{i * p1 + j}] * {a} * {b}" for i, a in enumerate(names) for j, b in enumerate(names))
+        df = df.withColumn("lev", F.expr(lev))
+        weight = "err * err / (1.0D - lev)"
     return _outer_sums(df, names, weight)
 
 
@@ -589,8 +591,8 @@ def fit_all(
     then disk) while the fits run; ``cache=False`` scans ``df`` again instead, which is better
     for a plain file scan.
     """
-    names_by_key = {key: f"c{i}" for i, key in enumerate(_distinct_columns(specs))}
     columns = _distinct_columns(specs)
+    names_by_key = {key: f"c{i}" for i, key in enumerate(columns)}
     keys = list(dict.fromkeys(g for s in specs for g in (*s.entity, *s.cluster)))
     rows = df.select(*keys, *[F.nanvl(columns[k], F.lit(None).cast("double")).alias(c) for k, c in names_by_key.items()])
     if cache:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "projections", "joins", "aggregates", "windows", "shapes", "scalars", "models", "extracts", "builders")
+MODULES = ("flagship", "sources", "projections", "joins", "aggregates", "windows", "shapes", "scalars", "models", "extracts", "builders")
 
 
 def load_all():
