@@ -1 +1,733 @@
+"""L: dataset builders and model suites over stand-in inputs derived from the tables.
 
+Nations play the states, customers the countries and counties, order dates the calendar.
+"""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from panelspark.functions.scalars import clock_to_date, safe_div, week52
+from panelspark.models.spec import coefficients
+from panelspark.models.wald import tests_table
+from panelspark.operators.panel import DELAY_COLUMNS
+from panelspark.operators.reshape import union_all
+from panelspark.plans import cross_section as C
+from panelspark.plans import ingest as I
+from panelspark.plans import panels as P
+from panelspark.plans import suites as S
+from panelspark.session import materialize
+
+from .common import EVENT_TYPES, NATIONS, query, rounded, sig, sig_sql, table, week_sql, with_sql
+from .sources import PRIORITY_CODE
+
+
+# -- shared stand-ins -----------------------------------------------------------
+
+
+def order_facts(spark, sf):
+    """One row per order: state, customer, day, priority, status and its line sums."""
+    lines = (
+        table(spark, sf, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(
+            F.sum("l_quantity").alias("qty"),
+            F.sum("l_extendedprice").alias("price"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("l_discount").alias("disc"),
+            F.sum("l_tax").alias("tax"),
+        )
+    )
+    orders = table(spark, sf, "orders")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nations = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("state"))
+    return (
+        orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .withColumn("date", clock_to_date("o_orderdate"))
+    )
+
+
+FACTS_SQL = (
+    "facts AS (SELECT n_name AS state, o_custkey, CAST(o_orderdate AS DATE) AS date, o_orderpriority, o_orderstatus, o_totalprice, o_orderkey, c_mktsegment, q.* "
+    "FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS qty, sum(l_extendedprice) AS price, count(*) AS n, sum(l_discount) AS disc, sum(l_tax) AS tax FROM lineitem GROUP BY 1) q "
+    "ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+)
+
+
+def state_days(spark, sf):
+    """(state, date) sums, rounded to what the input can express."""
+    return (
+        order_facts(spark, sf)
+        .groupBy("state", "date")
+        .agg(
+            F.round(F.sum("qty"), 0).alias("qty"),
+            F.round(F.sum("price"), 2).alias("price"),
+            F.sum("n").alias("n"),
+            F.round(F.sum("disc"), 2).alias("disc"),
+            F.round(F.sum("tax"), 2).alias("tax"),
+        )
+    )
+
+
+DAYS_SQL = "sday AS (SELECT state, date, round(sum(qty), 0) AS qty, round(sum(price), 2) AS price, sum(n)::BIGINT AS n, round(sum(disc), 2) AS disc, round(sum(tax), 2) AS tax FROM facts GROUP BY 1, 2)"
+
+
+def stand_ins(spark, sf):
+    """Inputs of the state panels. The facts are written once: nine tables are cut from them."""
+    facts = materialize(
+        order_facts(spark, sf).select("state", "o_custkey", "date", "qty", "price", "n", "disc", "tax"), "facts"
+    )
+    day = (
+        facts.groupBy("state", "date")
+        .agg(
+            F.round(F.sum("qty"), 0).alias("qty"),
+            F.round(F.sum("price"), 2).alias("price"),
+            F.sum("n").alias("n"),
+            F.round(F.sum("disc"), 2).alias("disc"),
+            F.round(F.sum("tax"), 2).alias("tax"),
+        )
+    )
+    weekly = P.with_week(day).groupBy("state", "year", "week").agg(
+        F.min("date").alias("date"), F.sum("qty").alias("total_mortality"), F.sum("n").cast("double").alias("COVID_mortality")
+    )
+    national = weekly.groupBy("year", "week").agg(
+        F.sum("total_mortality").alias("US_total_mortality"), F.sum("COVID_mortality").alias("US_COVID_mortality")
+    )
+    mortality = (
+        weekly.join(national, ["year", "week"])
+        .withColumns(
+            {
+                "COVID_mortality_frac": safe_div("COVID_mortality", "total_mortality"),
+                "US_COVID_mortality_frac": safe_div("US_COVID_mortality", "US_total_mortality"),
+            }
+        )
+        .drop("year", "week")
+    )
+    policy_cols = [(F.col("qty") > 40 * i).cast("int").alias(p) for i, p in enumerate(P.POLICIES, start=1)]
+    return {
+        "deaths": facts.select("state", "date", F.col("qty").alias("COVID_mortality")),
+        "infections": facts.select("state", "date", F.col("n").alias("COVID_infections")),
+        "population": facts.groupBy("state", "o_custkey").agg(F.max("o_custkey").alias("population")).select("state", "population"),
+        "mortality": mortality,
+        "mobility": day.select(
+            "state",
+            "date",
+            F.col("n").alias("state_population"),
+            (F.col("disc") / 10).alias("daily_distance_diff"),
+            (F.col("tax") / 10).alias("daily_visitation_diff"),
+        ),
+        "twitter": day.filter(F.dayofyear("date") % 2 == 0).select("state", "date", (F.col("price") / 1e5).alias("twitter_social_distancing")),
+        "index": day.select("state", "date", (F.col("price") / 1e4).alias("dl_mobility")),
+        "rain": day.select("state", "date", F.col("qty").alias("avg_precip")),
+        "policy": day.select("state", "date", *policy_cols),
+    }
+
+
+# -- L1–L9 ----------------------------------------------------------------------
+
+
+@query(
+    "L1_epidemic_rates",
+    "SELECT n_name AS country, sum(CASE WHEN code IS NULL THEN 1 ELSE 0 END) / 4.0 AS pop_thousands, "
+    + sig_sql("sum(CASE WHEN code IN (20, 380) THEN 1 ELSE 0 END) / (sum(CASE WHEN code IS NULL THEN 1 ELSE 0 END) / 4.0)")
+    + f" AS infection_deaths FROM (SELECT n_name, {PRIORITY_CODE} AS code FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey "
+    "WHERE year(o_orderdate) BETWEEN 1995 AND 1998) GROUP BY 1",
+)
+def l1(spark, sf):
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = orders.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.year("o_orderdate").alias("yr"), F.expr(PRIORITY_CODE).cast("int").alias("code"), "n_name"
+    )
+    matrix = rows.groupBy("yr", "code").pivot("n_name", NATIONS).agg(F.count(F.lit(1)))
+    matrix = matrix.withColumn("row_id", F.coalesce(F.col("code"), F.lit(1)))
+    reports = {y: matrix.filter(F.col("yr") == y).drop("yr") for y in (1995, 1996, 1997, 1998)}
+    return rounded(I.epidemic_rates(reports, NATIONS, 1, 399), ["infection_deaths"])
+
+
+@query("L2_health_index", "SELECT p_name AS country, p_retailprice AS hqi FROM part WHERE p_type = 'PROMO' AND p_size = 30")
+def l2(spark, sf):
+    raw = table(spark, sf, "part").select(
+        F.col("p_type").alias("indicator_name"), F.col("p_size").alias("year_id"), F.col("p_name").alias("location_name"), F.col("p_retailprice").alias("val")
+    )
+    return I.health_index(raw, "PROMO", 30)
+
+
+@query("L3_safety_ratings", "SELECT s_name AS country, s_acctbal AS covid_safety FROM supplier UNION ALL SELECT c_name, c_acctbal FROM customer")
+def l3(spark, sf):
+    a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("rank"), F.col("s_name").alias("country"), F.col("s_acctbal").alias("score"))
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("rank"), F.col("c_name").alias("country"), F.col("c_acctbal").alias("score"))
+    return I.safety_ratings([a, b])
+
+
+DAY_HEADERS = [f"1/{d}/24" for d in range(1, 31)]
+
+
+def wide_counts(spark, sf):
+    """User rows with one count column per day, headed M/D/YY."""
+    rows = table(spark, sf, "events").select("user_id", F.date_format("ts", "M/d/yy").alias("day"))
+    wide = rows.groupBy("user_id").pivot("day", DAY_HEADERS).agg(F.count(F.lit(1)))
+    return wide.select(
+        F.when(F.col("user_id") % 3 == 0, F.lit("part")).alias("Province/State"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("Country/Region"),
+        *[F.col(f"`{d}`") for d in DAY_HEADERS],
+    )
+
+
+@query(
+    "L4_country_counts_at_date",
+    "SELECT 'user' || user_id AS country, nullif(count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-18'), 0)::BIGINT AS covid_infections FROM events WHERE user_id % 3 <> 0 GROUP BY user_id",
+)
+def l4(spark, sf):
+    return I.country_counts(wide_counts(spark, sf), "1/18/24", "covid_infections")
+
+
+@query(
+    "L5_counts_long",
+    "WITH c AS (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM events), "
+    "k AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date) "
+    "SELECT 'user' || u.user_id AS state, k.date, n AS \"COVID_infections\" FROM u CROSS JOIN k LEFT JOIN c ON c.user_id = u.user_id AND c.date = k.date",
+)
+def l5(spark, sf):
+    return I.us_counts_long(wide_counts(spark, sf), 2, "COVID_infections", entity="Country/Region")
+
+
+@query("L5_population", "SELECT c_mktsegment AS state, c_custkey AS population FROM customer")
+def l5_population(spark, sf):
+    raw = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("Province_State"), F.col("c_custkey").alias("Population"))
+    return I.us_population(raw)
+
+
+@query(
+    "L6_gdp_per_capita",
+    "SELECT c_name AS country, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS gdp_per_capita FROM customer",
+)
+def l6(spark, sf):
+    text = F.when(F.col("c_custkey") % 7 == 0, "..").otherwise(F.col("c_acctbal").cast("string"))
+    raw = table(spark, sf, "customer").select(F.concat(F.col("c_name"), F.lit("é")).alias("Country Name"), text.alias("2018"))
+    return I.gdp_per_capita(raw, "2018", keep_ascii=True)
+
+
+@query(
+    "L7_weekly_mortality",
+    with_sql(
+        FACTS_SQL,
+        DAYS_SQL,
+        f"w AS (SELECT state, CAST(year(date) AS INTEGER) AS y, {week_sql('date')} AS k, min(date) AS d, sum(qty) AS t, sum(n)::DOUBLE AS c FROM sday GROUP BY 1, 2, 3)",
+        "dd AS (SELECT y, k, min(d) AS date FROM w GROUP BY 1, 2)",
+        "r AS (SELECT state, date, t, c FROM w JOIN dd USING (y, k) UNION ALL SELECT 'United States', date, sum(t), sum(c) FROM w JOIN dd USING (y, k) GROUP BY date)",
+    )
+    + f"SELECT a.state, a.date, a.t AS total_mortality, a.c AS \"COVID_mortality\", {sig_sql('a.c / a.t')} AS \"COVID_mortality_frac\", u.t AS \"US_total_mortality\", u.c AS \"US_COVID_mortality\", {sig_sql('u.c / u.t')} AS \"US_COVID_mortality_frac\" "
+    "FROM r a JOIN (SELECT * FROM r WHERE state = 'United States') u USING (date) WHERE a.state <> 'NATION_9'",
+)
+def l7(spark, sf):
+    w = P.with_week(state_days(spark, sf)).groupBy("state", "year", "week").agg(
+        F.min("date").alias("d"), F.sum("qty").alias("t"), F.sum("n").cast("double").alias("c")
+    )
+    ends = w.groupBy("year", "week").agg(F.min("d").alias("date"))
+    rows = w.join(ends, ["year", "week"]).select("state", "date", "t", "c")
+    us = rows.groupBy("date").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("state", F.lit("United States"))
+    raw = rows.unionByName(us).select(
+        F.col("date").alias("Week Ending Date"),
+        F.col("state").alias("State"),
+        F.col("t").alias("Observed Number"),
+        F.col("c").alias("Excess"),
+        F.lit(I.PREDICTED).alias("Type"),
+        F.lit(I.ALL_CAUSES).alias("Outcome"),
+        F.when(F.col("state") == "NATION_9", I.SUPPRESSED_COUNTS).alias("Suppress"),
+    )
+    other = raw.withColumn("Type", F.lit("Unweighted"))
+    return rounded(I.weekly_mortality(raw.unionByName(other)), ["COVID_mortality_frac", "US_COVID_mortality_frac"])
+
+
+@query(
+    "L8_wide_mobility",
+    "SELECT CAST(ts AS DATE) AS date, CASE event_type WHEN 'click' THEN 'Alaska' WHEN 'error' THEN 'Alabama' ELSE event_type END AS state, count(*) AS twitter_social_distancing FROM events GROUP BY 1, 2",
+)
+def l8_wide(spark, sf):
+    rows = table(spark, sf, "events").select(clock_to_date("ts").alias("_c0"), "event_type")
+    wide = rows.groupBy("_c0").pivot("event_type", EVENT_TYPES).agg(F.count(F.lit(1)))
+    wide = wide.withColumnsRenamed({"click": " AK", "error": "AL"})
+    return I.wide_mobility(wide, "twitter_social_distancing")
+
+
+@query(
+    "L8_state_mobility",
+    with_sql(FACTS_SQL, DAYS_SQL) + "SELECT state, n AS state_population, date, disc AS daily_distance_diff, tax AS daily_visitation_diff FROM sday",
+)
+def l8_state(spark, sf):
+    raw = state_days(spark, sf).withColumnsRenamed(
+        {"state": "state_name", "n": "state_population", "disc": "daily_distance_diff", "tax": "daily_visitation_diff"}
+    )
+    return I.state_mobility(raw)
+
+
+@query(
+    "L8_index_mobility",
+    with_sql(FACTS_SQL, DAYS_SQL) + "SELECT date, state, qty AS dl_mobility, price / 100 AS dl_mobility_relative_to_normal FROM sday WHERE n > 2",
+)
+def l8_index(spark, sf):
+    raw = state_days(spark, sf).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"),
+        F.when(F.col("n") > 2, 1).otherwise(2).alias("admin_level"),
+        F.col("state").alias("admin1"),
+        F.col("qty").alias("m50"),
+        F.col("price").alias("m50_index"),
+    )
+    return I.index_mobility(raw)
+
+
+@query("L8_rainfall", "SELECT CAST(ts AS DATE) AS date, event_type AS state, value AS avg_precip FROM events")
+def l8_rain(spark, sf):
+    raw = table(spark, sf, "events").select(
+        F.date_format("ts", "M/d/yy").alias("Date"), F.col("value").alias("Avg_Precip"), F.col("event_type").alias("State")
+    )
+    return I.rainfall(raw)
+
+
+def temperatures(spark, sf):
+    month = F.date_format("date", "yyyyMM")
+    v = order_facts(spark, sf).groupBy(F.col("state").alias("Location"), month.alias("Date")).agg(
+        F.count(F.lit(1)).alias("k"), F.round(F.sum("o_totalprice"), 2).alias("p")
+    )
+    return v.select("Location", "Date", F.when(F.col("k") < 4, -99.0).otherwise(F.col("p")).alias("Value"))
+
+
+TEMP_SQL = "temp AS (SELECT state AS \"State\", CAST(date_trunc('month', date) AS DATE) AS \"Date\", CASE WHEN count(*) < 4 THEN NULL ELSE round(sum(o_totalprice), 2) END AS \"Tavg\" FROM facts GROUP BY 1, 2)"
+
+
+@query("L9_monthly_temperature", with_sql(FACTS_SQL, TEMP_SQL) + 'SELECT "State", "Date", "Tavg" FROM temp')
+def l9_temp(spark, sf):
+    return I.monthly_temperature(temperatures(spark, sf))
+
+
+def influenza_raw(spark, sf):
+    month = F.date_format("date", "yyyy/MM")
+    m = order_facts(spark, sf).groupBy(F.col("state").alias("State"), month.alias("Month Code")).agg(F.count(F.lit(1)).alias("k"))
+    return m.select("State", "`Month Code`", F.when(F.col("k") < 6, "Suppressed").otherwise(F.col("k").cast("string")).alias("Deaths"))
+
+
+FLU_SQL = (
+    "flu AS (SELECT state AS \"State\", y AS \"Year\", coalesce(sum(CASE WHEN k >= 6 THEN k END), 0)::DOUBLE AS \"Influenza_Deaths\" FROM "
+    "(SELECT state, CAST(year(date) AS INTEGER) AS y, month(date) AS m, count(*) AS k FROM facts GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+)
+
+
+@query("L9_influenza", with_sql(FACTS_SQL, FLU_SQL) + "SELECT * FROM flu")
+def l9_flu(spark, sf):
+    return I.influenza_deaths(influenza_raw(spark, sf))
+
+
+def swine_raw(spark, sf):
+    s = order_facts(spark, sf).groupBy(F.col("state").alias("State")).agg(
+        F.count(F.lit(1)).alias("c"), F.countDistinct("o_custkey").alias("d")
+    )
+    return s.select(
+        "State", F.concat(F.format_number(F.col("c") * 1000, 0), F.lit("[12]")).alias("Cases"), F.concat(F.col("d").cast("string"), F.lit("[130]")).alias("Deaths")
+    )
+
+
+SWINE_SQL = "swine AS (SELECT state AS \"State\", count(*) * 1000 AS \"Swineflu_Cases\", count(DISTINCT o_custkey) AS \"Swineflu_Deaths\" FROM facts GROUP BY 1)"
+
+
+@query("L9_swine_flu", with_sql(FACTS_SQL, SWINE_SQL) + "SELECT * FROM swine")
+def l9_swine(spark, sf):
+    return I.swine_flu(swine_raw(spark, sf))
+
+
+def census(spark, sf):
+    return order_facts(spark, sf).groupBy(
+        F.col("state").alias("State"),
+        F.col("o_orderpriority").alias("Age Group Code"),
+        F.col("c_mktsegment").alias("Gender Code"),
+        F.col("o_orderstatus").alias("Race"),
+        F.year("date").alias("Yearly July 1st Estimates Code"),
+    ).agg(F.count(F.lit(1)).alias("Population"))
+
+
+SHARES_SQL = (
+    "cens AS (SELECT state AS \"State\", o_orderpriority AS \"AgeGroup\", c_mktsegment AS \"Gender\", o_orderstatus AS \"Race\", CAST(year(date) AS INTEGER) AS \"Year\", count(*) AS \"Population\" FROM facts GROUP BY 1, 2, 3, 4, 5), "
+    "shares AS (SELECT *, sum(\"Population\") OVER (PARTITION BY \"State\", \"Year\")::BIGINT AS \"TotPop\" FROM cens)"
+)
+
+
+@query("L9_population_shares", with_sql(FACTS_SQL, SHARES_SQL) + f"SELECT *, {sig_sql('\"Population\" / \"TotPop\"')} AS \"PopShare\" FROM shares")
+def l9_shares(spark, sf):
+    return rounded(I.population_shares(census(spark, sf)), ["PopShare"])
+
+
+# -- L10–L13: outbreak, delays, mobility, cross-section --------------------------
+
+
+def outbreak_inputs(spark, sf):
+    f = order_facts(spark, sf)
+    county = f.groupBy(F.col("state").alias("State"), F.col("date").alias("Date"), "c_mktsegment").agg(
+        F.sum(F.when(F.col("n") > 5, F.col("n")).otherwise(0)).cast("long").alias("Deaths"),
+        F.sum(F.when(F.col("n") > 2, F.col("n")).otherwise(0)).cast("long").alias("Cases"),
+        F.count(F.lit(1)).alias("Population"),
+    )
+    return county.select("State", "Date", "Deaths", "Population"), county.select("State", "Date", "Cases")
+
+
+OUTBREAK_SQL = (
+    "so AS (SELECT state AS s, date AS d, sum(CASE WHEN n > 5 THEN n ELSE 0 END)::BIGINT AS deaths, sum(CASE WHEN n > 2 THEN n ELSE 0 END)::BIGINT AS cases, count(*) AS pop FROM facts GROUP BY 1, 2), "
+    "ff AS (SELECT s, min(CASE WHEN cases > 0 THEN d END) AS fc, min(CASE WHEN deaths > 0 THEN d END) AS fd, max(pop) AS pop, arg_max(cases, d) AS tc, arg_max(deaths, d) AS td FROM so GROUP BY 1), "
+    "ob AS (SELECT s AS \"State\", fc AS \"First_Case_Date\", fd AS \"First_Death_Date\", pop AS \"Population\", tc AS \"Corona_Cases\", td AS \"Corona_Deaths\", "
+    "(SELECT max(deaths) FROM so WHERE so.s = ff.s AND d BETWEEN fd AND fd + 30) AS \"Early_Deaths\", (SELECT max(cases) FROM so WHERE so.s = ff.s AND d BETWEEN fc AND fc + 30) AS \"Early_Cases\" FROM ff)"
+)
+OUT_SHARES = ", ".join(f"{sig_sql(f'\"{c}\" / \"Population\"')} AS \"{c}_Share\"" for c in ("Early_Deaths", "Early_Cases", "Corona_Cases", "Corona_Deaths"))
+SHARE_COLS = ["Early_Deaths_Share", "Early_Cases_Share", "Corona_Cases_Share", "Corona_Deaths_Share"]
+
+
+@query("L10_outbreak_summary", with_sql(FACTS_SQL, OUTBREAK_SQL) + f"SELECT *, {OUT_SHARES} FROM ob")
+def l10(spark, sf):
+    return rounded(C.outbreak_summary(*outbreak_inputs(spark, sf)), SHARE_COLS)
+
+
+def policy_rows(spark, sf):
+    return order_facts(spark, sf).select(
+        F.col("state").alias("State"),
+        F.col("o_orderpriority").alias("StatePolicy"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("Mandate"),
+        (F.col("o_custkey") % 2).cast("int").alias("StateWide"),
+        F.col("date").alias("DateIssued"),
+    )
+
+
+US_CASE, US_DEATH = date(1994, 12, 1), date(1994, 12, 20)
+POLICY_LIST = ["1-URGENT", "2-HIGH", "5-LOW"]
+DELAY_SQL = (
+    "pol AS (SELECT state AS s, o_orderpriority AS p, date AS d, rank() OVER (PARTITION BY state, o_orderpriority ORDER BY date) AS r FROM facts "
+    "WHERE o_orderstatus = 'F' AND o_custkey % 2 = 1 AND o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')), "
+    "dl AS (SELECT pol.s AS \"State\", avg(d - fc) AS ndays_first_case, avg(d - fd) AS ndays_first_death, avg(d - DATE '1994-12-01') AS ndays_first_uscase, avg(d - DATE '1994-12-20') AS ndays_first_usdeath "
+    "FROM pol JOIN ff ON pol.s = ff.s WHERE r = 1 GROUP BY 1)"
+)
+
+
+def delay_table(spark, sf, outbreak):
+    return C.policy_delays(policy_rows(spark, sf), outbreak, POLICY_LIST, US_CASE, US_DEATH)
+
+
+@query(
+    "L11_policy_delay_index",
+    with_sql(FACTS_SQL, OUTBREAK_SQL, DELAY_SQL) + 'SELECT "State", ' + ", ".join(f"{sig_sql(c)} AS {c}" for c in DELAY_COLUMNS) + " FROM dl",
+)
+def l11(spark, sf):
+    outbreak = materialize(C.outbreak_summary(*outbreak_inputs(spark, sf)), "outbreak")
+    return rounded(delay_table(spark, sf, outbreak), DELAY_COLUMNS)
+
+
+FIRST_COLS, SECOND_COLS = ["daily_distance_diff", "daily_visitation_diff", "encounters_rate"], ["m50_index"]
+
+
+def mobility_sources(spark, sf):
+    d = state_days(spark, sf)
+    first = d.select(
+        F.col("state").alias("State"), F.col("date").alias("Date"), F.col("disc").alias("daily_distance_diff"),
+        F.col("tax").alias("daily_visitation_diff"), F.col("qty").alias("encounters_rate"),
+    )
+    second = d.filter(F.col("n") > 3).select(F.col("state").alias("State"), F.col("date").alias("Date"), F.col("price").alias("m50_index"))
+    return first, second
+
+
+MOB_SQL = (
+    "fm AS (SELECT state AS \"State\", date AS \"Date\", " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {n}" for c, n in (("disc", FIRST_COLS[0]), ("tax", FIRST_COLS[1]), ("qty", FIRST_COLS[2]))) + " FROM sday), "
+    "sm AS (SELECT state AS \"State\", date AS \"Date\", (price - avg(price) OVER ()) / stddev_samp(price) OVER () AS m50_index FROM sday WHERE n > 3), "
+    "mob AS (SELECT * FROM fm FULL JOIN sm USING (\"State\", \"Date\"))"
+)
+
+
+@query(
+    "L12_merged_mobility",
+    with_sql(FACTS_SQL, DAYS_SQL, MOB_SQL) + 'SELECT "State", "Date", ' + ", ".join(f"{sig_sql(c, 7, '1e-5')} AS {c}" for c in FIRST_COLS + SECOND_COLS) + " FROM mob",
+)
+def l12(spark, sf):
+    a, b = mobility_sources(spark, sf)
+    return rounded(C.merged_mobility(a, b, FIRST_COLS, SECOND_COLS), FIRST_COLS + SECOND_COLS, 7, 1e-5)
+
+
+BANDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+SENIOR = ["4-NOT SPECIFIED", "5-LOW"]
+
+
+def cross_section(spark, sf):
+    outbreak = materialize(C.outbreak_summary(*outbreak_inputs(spark, sf)), "outbreak")
+    a, b = mobility_sources(spark, sf)
+    return C.state_cross_section(
+        I.population_shares(census(spark, sf)),
+        I.monthly_temperature(temperatures(spark, sf)),
+        I.swine_flu(swine_raw(spark, sf)),
+        I.influenza_deaths(influenza_raw(spark, sf)),
+        delay_table(spark, sf, outbreak),
+        C.merged_mobility(a, b, FIRST_COLS, SECOND_COLS),
+        outbreak,
+        BANDS,
+        SENIOR,
+        1996,
+        1998,
+        (date(1997, 4, 17), date(1997, 8, 11)),
+        FIRST_COLS + SECOND_COLS,
+    )
+
+
+CROSS_REAL = [
+    *BANDS, "65+", "Swineflu_Tavg", "Influenza_Tavg", "Swineflu_Case_Share", "Swineflu_Deaths_Share", "Influenza_Deaths_Share",
+    *DELAY_COLUMNS, *FIRST_COLS, *SECOND_COLS, *SHARE_COLS,
+]
+CROSS_SQL = with_sql(
+    FACTS_SQL, DAYS_SQL, SHARES_SQL, TEMP_SQL, FLU_SQL, SWINE_SQL, OUTBREAK_SQL, DELAY_SQL, MOB_SQL,
+    "tot AS (SELECT \"State\", \"Year\", max(\"TotPop\") AS tp FROM shares GROUP BY 1, 2)",
+    "ag AS (SELECT \"State\", " + ", ".join(f"sum(CASE WHEN \"AgeGroup\" = '{b}' THEN \"Population\" / \"TotPop\" END) AS \"{b}\"" for b in BANDS) + " FROM shares WHERE \"Year\" = 1996 GROUP BY 1)",
+    "st AS (SELECT \"State\", avg(\"Tavg\") AS \"Swineflu_Tavg\" FROM temp WHERE \"Date\" BETWEEN DATE '1997-04-17' AND DATE '1997-08-11' GROUP BY 1)",
+    "ft AS (SELECT \"State\", avg(\"Tavg\") AS \"Influenza_Tavg\" FROM temp WHERE year(\"Date\") = 1998 GROUP BY 1)",
+    "sw AS (SELECT swine.*, \"Swineflu_Cases\" / tp AS \"Swineflu_Case_Share\", \"Swineflu_Deaths\" / tp AS \"Swineflu_Deaths_Share\" FROM swine JOIN tot USING (\"State\") WHERE \"Year\" = 1996)",
+    "fs AS (SELECT \"State\", \"Influenza_Deaths\", \"Influenza_Deaths\" / tp AS \"Influenza_Deaths_Share\" FROM flu JOIN tot USING (\"State\", \"Year\") WHERE \"Year\" = 1998)",
+    "nm AS (SELECT \"State\", " + ", ".join(f"avg({c}) AS {c}" for c in FIRST_COLS + SECOND_COLS) + " FROM mob JOIN ff ON s = \"State\" WHERE \"Date\" <= fc + 14 GROUP BY 1)",
+    "x AS (SELECT *, \"4-NOT SPECIFIED\" + \"5-LOW\" AS \"65+\", " + ", ".join(f"\"{c}\" / \"Population\" AS \"{c}_Share\"" for c in ("Early_Deaths", "Early_Cases", "Corona_Cases", "Corona_Deaths"))
+    + " FROM st JOIN ag USING (\"State\") JOIN ft USING (\"State\") JOIN sw USING (\"State\") JOIN fs USING (\"State\") JOIN dl USING (\"State\") JOIN nm USING (\"State\") JOIN ob USING (\"State\"))",
+) + 'SELECT "State", "Swineflu_Cases", "Swineflu_Deaths", "Influenza_Deaths", "Population", "Corona_Cases", "Corona_Deaths", "Early_Deaths", "Early_Cases", ' + ", ".join(
+    f"{sig_sql(f'\"{c}\"', 7, '1e-5')} AS \"{c}\"" for c in CROSS_REAL
+) + " FROM x"
+
+
+@query("L13_state_cross_section", CROSS_SQL)
+def l13(spark, sf):
+    out = cross_section(spark, sf)
+    return out.withColumns({c: sig(F.col(f"`{c}`"), 7, 1e-5) for c in CROSS_REAL})
+
+
+# -- L14–L18: panels --------------------------------------------------------------
+
+
+@query(
+    "L14_daily_policy_panel",
+    with_sql(FACTS_SQL)[:-1]
+    + ", f AS (SELECT state, " + ", ".join(f"min(CASE WHEN o_orderpriority = '{p}' AND o_orderstatus = 'F' THEN date END) AS \"m{i}\"" for i, p in enumerate(POLICY_LIST))
+    + " FROM facts GROUP BY 1), c AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1995-04-02', INTERVAL 1 DAY)) AS DATE) AS date) SELECT date, state, "
+    + ", ".join(f"CAST(coalesce(date >= m{i}, false) AS INTEGER) AS \"{p}\"" for i, p in enumerate(POLICY_LIST)) + " FROM f CROSS JOIN c",
+)
+def l14(spark, sf):
+    rows = policy_rows(spark, sf).withColumnsRenamed({"State": "StateName", "DateIssued": "DateEnacted"})
+    return P.policy_panel(rows, POLICY_LIST, date(1995, 1, 1), date(1995, 4, 2))
+
+
+def country_tables(spark, sf):
+    c = table(spark, sf, "customer")
+    per = order_facts(spark, sf).groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.round(F.sum("price"), 2).alias("p"), F.sum("qty").alias("q"),
+        F.round(F.sum("disc"), 2).alias("disc"),
+    )
+    j = materialize(c.join(per, ["c_custkey"]).select(F.col("c_name").alias("country"), "c_acctbal", "c_custkey", "k", "n", "p", "q", "disc"), "countries")
+    health = j.select("country", F.col("p").alias("hqi"))
+    return (
+        j.select("country", F.col("c_acctbal").alias("covid_safety")),
+        j.select("country", F.col("n").cast("double").alias("pop_thousands"), safe_div("disc", "q").alias("infection_deaths")),
+        union_all([health, health, health.filter(F.col("hqi") > 2e5).withColumn("hqi", F.col("hqi") + 1)]),
+        j.select("country", F.col("q").alias("covid_infections")),
+        j.filter(F.col("k") > 2).select("country", F.col("k").alias("covid_deaths")),
+        j.select("country", (F.col("p") / F.col("n")).alias("gdp_per_capita")),
+    )
+
+
+COUNTRY_SQL = with_sql(
+    FACTS_SQL,
+    "j AS (SELECT c_name AS country, c_acctbal, count(*) AS k, sum(n) AS n, round(sum(price), 2) AS p, sum(qty) AS q, round(sum(disc), 2) AS dsc FROM facts JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)",
+    "m AS (SELECT country, c_acctbal AS covid_safety, n::DOUBLE AS pop_thousands, dsc / q AS infection_deaths, p AS hqi, q AS covid_infections, k AS covid_deaths, p / n AS gdp_per_capita FROM j WHERE k > 2)",
+)
+
+
+@query(
+    "L15_country_cross_section",
+    COUNTRY_SQL
+    + "SELECT country, covid_safety, pop_thousands, hqi, covid_infections, covid_deaths, "
+    + ", ".join(
+        f"{sig_sql(e, 7, '1e-5')} AS {n}"
+        for n, e in (
+            ("infection_deaths", "infection_deaths"),
+            ("gdp_per_capita", "gdp_per_capita"),
+            ("normalized_safety", "(covid_safety - avg(covid_safety) OVER ()) / stddev_samp(covid_safety) OVER ()"),
+            ("normalized_hqi", "(hqi - avg(hqi) OVER ()) / stddev_samp(hqi) OVER ()"),
+            ("log_deaths", "CASE WHEN infection_deaths > 0 THEN ln(10000 * infection_deaths) END"),
+            ("log_covid_deaths", "ln(10000.0 * covid_deaths / (pop_thousands * 1000))"),
+            ("log_covid_infections", "ln(10000.0 * covid_infections / (pop_thousands * 1000))"),
+        )
+    )
+    + " FROM m",
+)
+def l15(spark, sf):
+    out = C.country_cross_section(*country_tables(spark, sf))
+    real = ["infection_deaths", "gdp_per_capita", "normalized_safety", "normalized_hqi", "log_deaths", "log_covid_deaths", "log_covid_infections"]
+    return rounded(out, real, 7, 1e-5)
+
+
+WEEK_BASE = [
+    FACTS_SQL,
+    DAYS_SQL,
+    f"wk AS (SELECT *, CAST(year(date) AS INTEGER) AS y, {week_sql('date')} AS w FROM sday)",
+    "base AS (SELECT state, y, w, avg(qty) AS dth, avg(n) AS inf, min(date) AS date, sum(qty) AS tm, sum(n)::DOUBLE AS cm, avg(1 + disc / 10) AS ud, avg(1 + tax / 10) AS uv, "
+    "avg(CASE WHEN dayofyear(date) % 2 = 0 THEN price / 1e5 END) AS tw, avg(price / 1e4) AS dl, avg(qty) AS rain, " + ", ".join(f"max(CASE WHEN qty > {40 * i} THEN 1 ELSE 0 END) AS p{i}" for i in range(1, 8)) + " FROM wk GROUP BY 1, 2, 3)",
+    "us AS (SELECT y, w, sum(tm) AS us_t, sum(cm) AS us_c FROM base GROUP BY 1, 2)",
+    "pop AS (SELECT state, sum(o_custkey)::BIGINT AS population FROM (SELECT DISTINCT state, o_custkey FROM facts) GROUP BY 1)",
+]
+
+
+def zs(c, by="state"):
+    return f"({c} - avg({c}) OVER (PARTITION BY {by})) / stddev_samp({c}) OVER (PARTITION BY {by})"
+
+
+PANEL_REAL = {
+    "COVID_mortality": "dth",
+    "COVID_infections": "inf",
+    "COVID_mortality_frac": "cm / tm",
+    "una_pct_distance": "ud / lag(ud) OVER o - 1",
+    "una_log_distance": "ln(ud) - ln(lag(ud) OVER o)",
+    "una_pct_visitation": "uv / lag(uv) OVER o - 1",
+    "una_log_visitation": "ln(uv) - ln(lag(uv) OVER o)",
+    "una_distance": zs("ud"),
+    "una_visitation": zs("uv"),
+    "twitter_social_distancing": zs("tw"),
+    "dl_mobility": zs("dl"),
+    "avg_precip": "rain",
+}
+
+
+@query(
+    "L17_state_week_panel",
+    with_sql(*WEEK_BASE)
+    + "SELECT state, y AS year, w AS week, date, population, us_c AS \"US_COVID_mortality\", us_t AS \"US_total_mortality\", CAST(dense_rank() OVER (ORDER BY state) AS INTEGER) AS state_id, "
+    + ", ".join(f"CAST(p{i} AS INTEGER) AS \"{p}\"" for i, p in enumerate(P.POLICIES, start=1)) + ", "
+    + ", ".join(f"{sig_sql(e, 5, '1e-4')} AS \"{n}\"" for n, e in PANEL_REAL.items())
+    + " FROM base JOIN us USING (y, w) JOIN pop USING (state) WINDOW o AS (PARTITION BY state ORDER BY y, w)",
+)
+def l17(spark, sf):
+    return rounded(P.state_week_panel(**stand_ins(spark, sf)), list(PANEL_REAL), 5, 1e-4)
+
+
+DAY_REAL = {
+    "una_distance": zs("1 + disc / 10"),
+    "una_visitation": zs("1 + tax / 10"),
+    "dl_mobility": zs("price / 1e4"),
+}
+
+
+@query(
+    "L18_state_day_panel",
+    with_sql(
+        FACTS_SQL,
+        DAYS_SQL,
+        WEEK_BASE[-1],
+        "tz AS (SELECT state, date, " + zs("price / 1e5") + " AS z FROM sday WHERE dayofyear(date) % 2 = 0)",
+    )
+    + f"SELECT state, date, CAST(year(date) AS INTEGER) AS year, {week_sql('date')} AS week, qty AS \"COVID_mortality\", n AS \"COVID_infections\", population, n AS state_population, qty AS avg_precip, "
+    "CAST(dense_rank() OVER (ORDER BY state) AS INTEGER) AS state_id, "
+    + ", ".join(f"CAST(CASE WHEN qty > {40 * i} THEN 1 ELSE 0 END AS INTEGER) AS \"{p}\"" for i, p in enumerate(P.POLICIES, start=1)) + ", "
+    + ", ".join(f"{sig_sql(e, 7, '1e-5')} AS {n}" for n, e in DAY_REAL.items())
+    + ", " + sig_sql("last_value(z IGNORE NULLS) OVER (PARTITION BY state ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", 7, "1e-5") + " AS twitter_social_distancing"
+    + " FROM sday LEFT JOIN tz USING (state, date) JOIN pop USING (state)",
+)
+def l18(spark, sf):
+    parts = stand_ins(spark, sf)
+    parts.pop("mortality")
+    return rounded(P.state_day_panel(**parts), [*DAY_REAL, "twitter_social_distancing"], 7, 1e-5)
+
+
+@query(
+    "L16_state_year_week",
+    with_sql(
+        *WEEK_BASE[:-1],
+        "g AS (SELECT state, y, w, date, n, disc / 10 AS a, tax / 10 AS b, row_number() OVER (PARTITION BY state, y, w ORDER BY date) AS rn FROM wk)",
+        "ch AS (SELECT state, y, w, exp(sum(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + a) END)) - 1 AS da, exp(sum(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + b) END)) - 1 AS db, avg(n) AS sp FROM g GROUP BY 1, 2, 3)",
+        "zc AS (SELECT state, y, w, sp, (da - avg(da) OVER ()) / stddev_samp(da) OVER () AS distance_diff, (db - avg(db) OVER ()) / stddev_samp(db) OVER () AS visitation_diff FROM ch)",
+        "tw AS (SELECT state, y, w, (tw - avg(tw) OVER ()) / stddev_samp(tw) OVER () AS tz FROM base WHERE tw IS NOT NULL)",
+        "m AS (SELECT state, y, w, cm, tm, cm / tm AS fr, us_c, us_t, us_c / us_t AS uf, distance_diff, visitation_diff, sp, tz FROM base JOIN us USING (y, w) JOIN zc USING (state, y, w) LEFT JOIN tw USING (state, y, w))",
+        "bk AS (SELECT *, lag(fr) OVER o * (uf - lag(uf) OVER o) / lag(uf) OVER o + (1 - lag(fr) OVER o) * (lag(uf) OVER o - uf) / (1 - lag(uf) OVER o) AS bartik FROM m WINDOW o AS (PARTITION BY state ORDER BY y, w))",
+    )
+    + "SELECT state, y AS year, w AS week, tm AS total_mortality, cm AS \"COVID_mortality\", us_t AS \"US_total_mortality\", us_c AS \"US_COVID_mortality\", 3 AS _merge, CAST(dense_rank() OVER (ORDER BY state) AS INTEGER) AS state_id, "
+    + ", ".join(
+        f"{sig_sql(e, 5, '1e-5')} AS \"{n}\""
+        for n, e in {
+            "COVID_mortality_frac": "fr",
+            "US_COVID_mortality_frac": "uf",
+            "state_population": "sp",
+            "twitter_social_distancing": "tz",
+            "distance_diff": "distance_diff",
+            "visitation_diff": "visitation_diff",
+            "bartik": "bartik",
+            "COVID_per_capita": "cm / sp",
+            "lagged_twitter": "lag(tz) OVER o",
+            "lagged_dist": "lag(distance_diff) OVER o",
+            "lagged_visit": "lag(visitation_diff) OVER o",
+            "lagged_bartik": "lag(bartik) OVER o",
+        }.items()
+    )
+    + " FROM bk WINDOW o AS (PARTITION BY state ORDER BY y, w)",
+)
+def l16(spark, sf):
+    parts = stand_ins(spark, sf)
+    out = P.state_year_week(parts["mortality"], parts["twitter"], parts["mobility"])
+    real = [
+        "COVID_mortality_frac", "US_COVID_mortality_frac", "state_population", "twitter_social_distancing", "distance_diff",
+        "visitation_diff", "bartik", "COVID_per_capita", "lagged_twitter", "lagged_dist", "lagged_visit", "lagged_bartik",
+    ]
+    return rounded(out, real, 5, 1e-5)
+
+
+# -- L19–L25: model suites ----------------------------------------------------------
+
+
+def week_panel(spark, sf):
+    return materialize(P.state_week_panel(**stand_ins(spark, sf)), "week-panel")
+
+
+def result(spark, fits):
+    return coefficients(spark, fits)
+
+
+@query("L19_weekly_model_suite")
+def l19(spark, sf):
+    suite = S.weekly_suite(S.weekly_features(week_panel(spark, sf)))
+    parts = [suite.first_stage, suite.second_stage, suite.two_lag, suite.attenuation]
+    return result(spark, [f for p in parts for f in p.fits])
+
+
+@query("L20_daily_model_suite")
+def l20(spark, sf):
+    parts = stand_ins(spark, sf)
+    parts.pop("mortality")
+    features = S.daily_features(P.state_day_panel(**parts))
+    return S.daily_suite(features)[0].coefficients
+
+
+@query("L21_lag_selection")
+def l21(spark, sf):
+    panel = S.weekly_features(week_panel(spark, sf), lags=1, variables=["COVID_mortality_pc", "avg_precip", "dl_mobility"])
+    cv, _ = S.lag_selection(panel, "d_dl_mobility", "d_avg_precip", ["EmergDec", "GathRestrictAny"], "COVID_mortality_pc")
+    return cv.selected(spark)
+
+
+@query("L22_country_iv_suite")
+def l22(spark, sf):
+    grid, joint = S.country_suite(materialize(C.country_cross_section(*country_tables(spark, sf)), "countries"))
+    tests = tests_table(spark, [joint]).select(F.lit("fs_final").alias("model_id"), "test", "statistic", "p_value")
+    coefs = grid.coefficients.select("model_id", F.col("term").alias("test"), "statistic", "p_value")
+    return coefs.unionByName(tests)
+
+
+@query("L23_weekly_specification_search")
+def l23(spark, sf):
+    return result(spark, S.weekly_search(S.weekly_features(week_panel(spark, sf))).fits)
+
+
+@query("L24_state_iv_suite")
+def l24(spark, sf):
+    grid, tests = S.state_iv_suite(materialize(cross_section(spark, sf), "cross"))
+    coefs = grid.coefficients.select("model_id", F.col("term").alias("test"), "statistic", "p_value")
+    return coefs.unionByName(tests_table(spark, tests).select(F.lit("iv").alias("model_id"), "test", "statistic", "p_value"))
+
+
+@query("L25_shift_share_models")
+def l25(spark, sf):
+    return S.shift_share_suite(week_panel(spark, sf)).coefficients
