@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark import StorageLevel
@@ -479,7 +479,8 @@ def _assemble(plan: _Plan, batch: _Batch, tot: dict, sol: _Solution, meat, clust
     else:
         influence = sloped @ (sol.bread @ sol.proj.T)
         picks = list(sol.keep_z)
-        if based and spec.vce != "cluster":
+        # Clustered by the absorbed entity, the base effect's own residuals sum to zero.
+        if based and not (spec.vce == "cluster" and spec.cluster == spec.entity):
             influence = np.column_stack([influence, np.append(np.zeros(m), 1.0)])
             picks.append(0)
         cov = influence @ meat[np.ix_(picks, picks)] @ influence.T
@@ -517,7 +518,7 @@ def _assemble(plan: _Plan, batch: _Batch, tot: dict, sol: _Solution, meat, clust
     beta[dropped] = math.nan
     cov_out[dropped, :] = math.nan
     cov_out[:, dropped] = math.nan
-    if based and degree and spec.vce != "cluster":
+    if based and degree and not (spec.vce == "cluster" and spec.cluster == spec.entity):
         # With trends the base intercept has a sampling term of its own, which is not formed.
         cov_out[-1, :] = math.nan
         cov_out[:, -1] = math.nan
@@ -565,20 +566,20 @@ def _effects(table: DataFrame, batch: _Batch, m: int, sol: _Solution, scales: tu
     degree = batch.degree
     t0 = batch.width
     if degree == 0:
-        return rows.select(*batch.group, combine("a_").alias("e0"))
+        return rows.select(*batch.group, combine("a_").alias("__e0"))
     if degree == 1:
         return rows.select(
             *batch.group,
-            (combine("a_") - combine("b0_") * F.col(f"a_{t0}")).alias("e0"),
-            combine("b0_").alias("e1"),
+            (combine("a_") - combine("b0_") * F.col(f"a_{t0}")).alias("__e0"),
+            combine("b0_").alias("__e1"),
         )
     g0, g1, q = combine("b0_"), combine("b1_"), F.col(f"b0_{t0 + 1}")
     ut, u2 = F.col(f"a_{t0}"), F.col(f"a_{t0 + 1}")
     return rows.select(
         *batch.group,
-        (combine("a_") - g0 * ut - g1 * (u2 - q * ut)).alias("e0"),
-        (g0 - g1 * q).alias("e1"),
-        g1.alias("e2"),
+        (combine("a_") - g0 * ut - g1 * (u2 - q * ut)).alias("__e0"),
+        (g0 - g1 * q).alias("__e1"),
+        g1.alias("__e2"),
     )
 
 
@@ -593,15 +594,25 @@ def fit_all(
     """
     columns = _distinct_columns(specs)
     names_by_key = {key: f"c{i}" for i, key in enumerate(columns)}
-    keys = list(dict.fromkeys(g for s in specs for g in (*s.entity, *s.cluster)))
-    rows = df.select(*keys, *[F.nanvl(columns[k], F.lit(None).cast("double")).alias(c) for k, c in names_by_key.items()])
+    # Keys get names of their own, so that no column name of the caller can clash.
+    keys = {g: f"__g{i}" for i, g in enumerate(dict.fromkeys(g for s in specs for g in (*s.entity, *s.cluster)))}
+    inner = [
+        replace(s, entity=tuple(keys[g] for g in s.entity), cluster=tuple(keys[g] for g in s.cluster)) for s in specs
+    ]
+    rows = df.select(*[F.col(g).alias(k) for g, k in keys.items()], *[F.nanvl(columns[k], F.lit(None).cast("double")).alias(c) for k, c in names_by_key.items()])
     if cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit_rows(rows, specs, names_by_key, keep_effects)
+        results = _fit_rows(rows, inner, names_by_key, keep_effects)
     finally:
         if cache:
             rows.unpersist()
+    for fit, spec in zip(results, specs):
+        fit.spec = spec
+        if fit.effects:
+            table, *rest = fit.effects
+            fit.effects = (table.withColumnsRenamed({k: g for g, k in keys.items()}), *rest)
+    return results
 
 
 def _fit_rows(rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, keep_effects: bool) -> list[FitResult]:

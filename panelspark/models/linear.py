@@ -29,7 +29,7 @@ def tsls(df: DataFrame, y, endog, instruments, exog=(), name: str = "tsls", **op
 def _present(spec: ModelSpec) -> Column:
     cond = F.lit(True)
     for t in spec.columns:
-        cond = cond & column_of(t).isNotNull()
+        cond = cond & column_of(t).isNotNull() & ~F.isnan(column_of(t))
     for g in (*spec.entity, *spec.cluster):
         cond = cond & F.col(g).isNotNull()
     if spec.trend:
@@ -61,12 +61,12 @@ def with_fit(
             b = result.coef(label_of(t))
             if not np.isnan(b):
                 offset -= b * plan.shift[plan.labels.index(label_of(t))]
-        effect = F.lit(offset) + F.lit(plan.scale[0]) * F.col("e0")
+        effect = F.lit(offset) + F.lit(plan.scale[0]) * F.col("__e0")
         if spec.trend:
             u = (F.col(spec.trend[0]).cast("double") - F.lit(centre)) / F.lit(scale)
-            effect = effect + F.lit(plan.scale[0]) * F.col("e1") * u
+            effect = effect + F.lit(plan.scale[0]) * F.col("__e1") * u
             if spec.trend[1] == 2:
-                effect = effect + F.lit(plan.scale[0]) * F.col("e2") * u * u
+                effect = effect + F.lit(plan.scale[0]) * F.col("__e2") * u * u
         out = df.join(table, list(spec.entity), "left")
         linear = linear + effect
     elif spec.constant:

@@ -117,8 +117,8 @@ def stand_ins(spark, sf):
             "state",
             "date",
             F.col("n").alias("state_population"),
-            (F.col("disc") / 10).alias("daily_distance_diff"),
-            (F.col("tax") / 10).alias("daily_visitation_diff"),
+            (F.col("disc") / 7).alias("daily_distance_diff"),
+            (F.col("tax") / 7).alias("daily_visitation_diff"),
         ),
         "twitter": day.filter(F.dayofyear("date") % 2 == 0).select("state", "date", (F.col("price") / 1e5).alias("twitter_social_distancing")),
         "index": day.select("state", "date", (F.col("price") / 1e4).alias("dl_mobility")),
@@ -567,7 +567,7 @@ WEEK_BASE = [
     FACTS_SQL,
     DAYS_SQL,
     f"wk AS (SELECT *, CAST(year(date) AS INTEGER) AS y, {week_sql('date')} AS w FROM sday)",
-    "base AS (SELECT state, y, w, avg(qty) AS dth, avg(n) AS inf, min(date) AS date, sum(qty) AS tm, sum(n)::DOUBLE AS cm, avg(1 + disc / 10) AS ud, avg(1 + tax / 10) AS uv, "
+    "base AS (SELECT state, y, w, avg(qty) AS dth, avg(n) AS inf, min(date) AS date, sum(qty) AS tm, sum(n)::DOUBLE AS cm, avg(1 + disc / 7) AS ud, avg(1 + tax / 7) AS uv, "
     "avg(CASE WHEN dayofyear(date) % 2 = 0 THEN price / 1e5 END) AS tw, avg(price / 1e4) AS dl, avg(qty) AS rain, " + ", ".join(f"max(CASE WHEN qty > {40 * i} THEN 1 ELSE 0 END) AS p{i}" for i in range(1, 8)) + " FROM wk GROUP BY 1, 2, 3)",
     "us AS (SELECT y, w, sum(tm) AS us_t, sum(cm) AS us_c FROM base GROUP BY 1, 2)",
     "pop AS (SELECT state, sum(o_custkey)::BIGINT AS population FROM (SELECT DISTINCT state, o_custkey FROM facts) GROUP BY 1)",
@@ -599,16 +599,16 @@ PANEL_REAL = {
     with_sql(*WEEK_BASE)
     + "SELECT state, y AS year, w AS week, date, population, us_c AS \"US_COVID_mortality\", us_t AS \"US_total_mortality\", CAST(dense_rank() OVER (ORDER BY state) AS INTEGER) AS state_id, "
     + ", ".join(f"CAST(p{i} AS INTEGER) AS \"{p}\"" for i, p in enumerate(P.POLICIES, start=1)) + ", "
-    + ", ".join(f"{sig_sql(e, 5, '1e-4')} AS \"{n}\"" for n, e in PANEL_REAL.items())
+    + ", ".join(f"{sig_sql(e, 7, '1e-5')} AS \"{n}\"" for n, e in PANEL_REAL.items())
     + " FROM base JOIN us USING (y, w) JOIN pop USING (state) WINDOW o AS (PARTITION BY state ORDER BY y, w)",
 )
 def l17(spark, sf):
-    return rounded(P.state_week_panel(**stand_ins(spark, sf)), list(PANEL_REAL), 5, 1e-4)
+    return rounded(P.state_week_panel(**stand_ins(spark, sf)), list(PANEL_REAL), 7, 1e-5)
 
 
 DAY_REAL = {
-    "una_distance": zs("1 + disc / 10"),
-    "una_visitation": zs("1 + tax / 10"),
+    "una_distance": zs("1 + disc / 7"),
+    "una_visitation": zs("1 + tax / 7"),
     "dl_mobility": zs("price / 1e4"),
 }
 
@@ -638,7 +638,7 @@ def l18(spark, sf):
     "L16_state_year_week",
     with_sql(
         *WEEK_BASE[:-1],
-        "g AS (SELECT state, y, w, date, n, disc / 10 AS a, tax / 10 AS b, row_number() OVER (PARTITION BY state, y, w ORDER BY date) AS rn FROM wk)",
+        "g AS (SELECT state, y, w, date, n, disc / 7 AS a, tax / 7 AS b, row_number() OVER (PARTITION BY state, y, w ORDER BY date) AS rn FROM wk)",
         "ch AS (SELECT state, y, w, exp(sum(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + a) END)) - 1 AS da, exp(sum(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + b) END)) - 1 AS db, avg(n) AS sp FROM g GROUP BY 1, 2, 3)",
         "zc AS (SELECT state, y, w, sp, (da - avg(da) OVER ()) / stddev_samp(da) OVER () AS distance_diff, (db - avg(db) OVER ()) / stddev_samp(db) OVER () AS visitation_diff FROM ch)",
         "tw AS (SELECT state, y, w, (tw - avg(tw) OVER ()) / stddev_samp(tw) OVER () AS tz FROM base WHERE tw IS NOT NULL)",
