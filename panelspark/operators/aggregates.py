@@ -78,7 +78,8 @@ def attach_group_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, tup
     """Group statistics on every row, as an aggregate joined back.
 
     The aggregate combines map-side and a join splits hot keys, so a group of any size is
-    never gathered in one task, as a window over it would be.
+    never gathered in one task, as a window over it would be. ``df`` is read twice: write it
+    first if it is the end of a long pipeline.
     """
     table = collapse(df, by, stats)
     out = merge(df, table, by, card="m:1", keep="left", right_unique=True)

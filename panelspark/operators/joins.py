@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,19 +114,26 @@ def _merge_encoded(left: DataFrame, side: Side, on: list[str], taken: set[str],
     return out, fresh
 
 
-def merge_many(left: DataFrame, sides: Sequence[Side], keys: Sequence[str], left_unique: bool = False) -> DataFrame:
-    """Chain of merges on the same keys; the left table is shuffled once for all of them."""
-    on = _key_names(keys)
+def merge_many(
+    left: DataFrame, sides: Sequence[Side], keys: Sequence[str], left_unique: bool = False, null_keys: bool = True
+) -> DataFrame:
+    """Chain of merges on the same keys; the left table is shuffled once for all of them.
+
+    ``null_keys=False`` says that the keys are never missing. They are then joined as they are,
+    so a table that was just grouped by them is not shuffled again.
+    """
+    on = _key_names(keys) if null_keys else list(keys)
     others = [c for c in left.columns if c not in keys]
-    out = _encode(left, keys, "left").select(*on, *[F.col(f"`{c}`") for c in others])
+    out = _encode(left, keys, "left") if null_keys else left
+    out = out.select(*on, *[F.col(f"`{c}`") for c in others])
     taken = set(others) | set(keys)
     for side in sides:
-        enc = Side(_encode(side.df, keys, "right"), side.card, side.keep, side.known_unique, side.indicator)
-        out, fresh = _merge_encoded(out, enc, on, taken, check_left=not left_unique)
+        right = _encode(side.df, keys, "right") if null_keys else side.df
+        out, fresh = _merge_encoded(out, replace(side, df=right), on, taken, check_left=not left_unique)
         others = others + fresh
         taken |= set(fresh)
         left_unique = left_unique or side.card == "1:1"
-    return _decode(out, keys, others)
+    return _decode(out, keys, others) if null_keys else out.select(*keys, *[F.col(f"`{c}`") for c in others])
 
 
 def merge(
@@ -138,6 +145,7 @@ def merge(
     indicator: str | None = None,
     left_unique: bool = False,
     right_unique: bool = False,
+    null_keys: bool = True,
 ) -> DataFrame:
     """Join two tables on keys.
 
@@ -147,7 +155,7 @@ def merge(
     * columns the two tables share besides the keys are taken from the left;
     * ``indicator`` adds 1 (left only), 2 (right only), 3 (matched).
     """
-    return merge_many(left, [Side(right, card, keep, right_unique, indicator)], keys, left_unique)
+    return merge_many(left, [Side(right, card, keep, right_unique, indicator)], keys, left_unique, null_keys)
 
 
 def common_columns(left: DataFrame, right: DataFrame) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import days_between, safe_div, safe_ln
-from ..session import broadcast_if_small, materialize
+from ..session import materialize
 from .aggregates import argmin_rows, attach_group_stats
 from .joins import merge
 from .reshape import calendar
@@ -251,8 +251,17 @@ def fill_forward(panel: Panel, cols: Sequence[str]) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in names])
 
 
+def zscore_panel(panel: Panel, cols: Mapping[str, str]) -> DataFrame:
+    """Z-scores within the entity in one scan: a panel's entity has one row per period, so the
+    window is bounded by the calendar and shares its shuffle with the ordered functions."""
+    w = Window.partitionBy(*panel.entity)
+    new = {o: safe_div(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w)) for c, o in cols.items()}
+    return panel.df.withColumns(new)
+
+
 def zscore_by(df: DataFrame, by: Sequence[str], cols: Mapping[str, str]) -> DataFrame:
-    """Group z-scores ``{column: output}``; missing for a constant or one-row group."""
+    """Group z-scores ``{column: output}`` over groups of any size; missing for a constant or
+    one-row group. ``df`` is read twice (statistics, rows): write it first if it is costly."""
     stats = {}
     for c in cols:
         stats[f"__m_{c}"] = ("mean", c)
@@ -277,16 +286,14 @@ def zscore(df: DataFrame, cols: Mapping[str, str], strict: bool = False) -> Data
 ID_ROWS_IN_ONE_TASK = 200_000
 
 
-def dense_ids(df: DataFrame, col: str, name: str, one_task_rows: int = ID_ROWS_IN_ONE_TASK) -> DataFrame:
-    """Table (entity, id) numbering the distinct entities 1..N in sorted order.
-
-    Beyond ``one_task_rows`` entities the sorted ranges are written, counted per range, and
-    numbered with the range's offset, so no task holds more than its range.
-    """
+def _few_values(df: DataFrame, col: str, limit: int) -> tuple[DataFrame, bool]:
     values = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    if values.limit(one_task_rows + 1).count() <= one_task_rows:
-        w = Window.orderBy(col)
-        return values.select(col, F.row_number().over(w).alias(name))
+    return values, values.limit(limit + 1).count() <= limit
+
+
+def _numbered(values: DataFrame, col: str, name: str, few: bool) -> DataFrame:
+    if few:
+        return values.select(col, F.row_number().over(Window.orderBy(col)).alias(name))
     ranged = values.repartitionByRange(col).withColumn("__p", F.spark_partition_id())
     ranged = materialize(ranged, "ids")
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
@@ -298,9 +305,21 @@ def dense_ids(df: DataFrame, col: str, name: str, one_task_rows: int = ID_ROWS_I
     )
 
 
+def dense_ids(df: DataFrame, col: str, name: str, one_task_rows: int = ID_ROWS_IN_ONE_TASK) -> DataFrame:
+    """Table (entity, id) numbering the distinct entities 1..N in sorted order.
+
+    Beyond ``one_task_rows`` entities the sorted ranges are written, counted per range, and
+    numbered with the range's offset, so no task holds more than its range.
+    """
+    values, few = _few_values(df, col, one_task_rows)
+    return _numbered(values, col, name, few)
+
+
 def with_dense_id(df: DataFrame, col: str, name: str) -> DataFrame:
-    ids = dense_ids(df, col, name)
-    return df.join(broadcast_if_small(ids), [col], "left").select(*df.columns, name)
+    """Adds the id. The entities are counted first, so ``df`` should be a written table."""
+    values, few = _few_values(df, col, ID_ROWS_IN_ONE_TASK)
+    ids = _numbered(values, col, name, few)
+    return df.join(F.broadcast(ids) if few else ids, [col], "left").select(*df.columns, name)
 
 
 def shift_share(panel: Panel, share: str, national: str, name: str) -> DataFrame:

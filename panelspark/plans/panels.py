@@ -22,8 +22,9 @@ from ..operators.panel import (
     step_panel,
     with_dense_id,
     zscore,
-    zscore_by,
+    zscore_panel,
 )
+from ..session import materialize
 
 # Policy columns of the step panel (fixed names).
 POLICIES = (
@@ -67,6 +68,10 @@ def _population(county: DataFrame) -> DataFrame:
     return county.groupBy("state").agg(sum_zero("population").alias("population"))
 
 
+def _scored(df: DataFrame, time: tuple[str, ...], *cols: str) -> DataFrame:
+    return zscore_panel(Panel(df, "state", time), {c: c for c in cols})
+
+
 def state_week_panel(
     deaths: DataFrame,
     infections: DataFrame,
@@ -106,10 +111,10 @@ def state_week_panel(
         },
         across_entities,
     )
-    una = zscore_by(una, ["state"], {"una_distance": "una_distance", "una_visitation": "una_visitation"})
+    una = _scored(una, ("year", "week"), "una_distance", "una_visitation")
     twit = weekly_mean(twitter, ["twitter_social_distancing"], year)
-    twit = zscore_by(twit, ["state"], {"twitter_social_distancing": "twitter_social_distancing"})
-    dl = zscore_by(weekly_mean(index, ["dl_mobility"]), ["state"], {"dl_mobility": "dl_mobility"})
+    twit = _scored(twit, ("year", "week"), "twitter_social_distancing")
+    dl = _scored(weekly_mean(index, ["dl_mobility"]), ("year", "week"), "dl_mobility")
     wet = weekly_mean(rain, ["avg_precip"])
     flags = with_week(drop_blank(policy, "state")).groupBy(*WEEK_KEYS).agg(*[F.max(p).alias(p) for p in policies])
 
@@ -128,7 +133,8 @@ def state_week_panel(
         WEEK_KEYS,
         left_unique=True,
     )
-    return with_dense_id(out, "state", "state_id")
+    # Written once: the id step and everything later read the table, not the eight sources.
+    return with_dense_id(materialize(out, "state-week"), "state", "state_id")
 
 
 def state_day_panel(
@@ -152,16 +158,16 @@ def state_day_panel(
         (F.col("daily_distance_diff") + 1).alias("una_distance"),
         (F.col("daily_visitation_diff") + 1).alias("una_visitation"),
     )
-    una = zscore_by(una, ["state"], {"una_distance": "una_distance", "una_visitation": "una_visitation"})
-    twit = zscore_by(twitter, ["state"], {"twitter_social_distancing": "twitter_social_distancing"})
-    dl = zscore_by(index, ["state"], {"dl_mobility": "dl_mobility"})
+    una = _scored(una, ("date",), "una_distance", "una_visitation")
+    twit = _scored(twitter, ("date",), "twitter_social_distancing")
+    dl = _scored(index, ("date",), "dl_mobility")
 
     out = merge(base, cases, keys, keep="all", left_unique=True, right_unique=True)
     out = merge(out, _population(population), ["state"], card="m:1", keep="all", right_unique=True)
     out = merge_many(out, [Side(una), Side(twit)], keys, left_unique=True)
     out = fill_forward(Panel(out, "state", "date"), ["twitter_social_distancing"])
     out = merge_many(out, [Side(dl), Side(rain), Side(policy.select(*keys, *policies))], keys, left_unique=True)
-    return with_dense_id(with_week(out), "state", "state_id")
+    return with_dense_id(materialize(with_week(out), "state-day"), "state", "state_id")
 
 
 def state_year_week(mortality: DataFrame, twitter: DataFrame, mobility: DataFrame) -> DataFrame:
@@ -196,7 +202,7 @@ def state_year_week(mortality: DataFrame, twitter: DataFrame, mobility: DataFram
     }
     out = lag_by(Panel(out, "state", ("year", "week")), list(lagged), [1])
     out = out.withColumnsRenamed({f"{c}_m1": name for c, name in lagged.items()})
-    return with_dense_id(out, "state", "state_id")
+    return with_dense_id(materialize(out, "state-year-week"), "state", "state_id")
 
 
 def per_capita(panel: DataFrame, counts: Mapping[str, str], population: str = "population") -> DataFrame:

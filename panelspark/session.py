@@ -1,4 +1,4 @@
-"""Session helpers: where written intermediates go and when a side may be broadcast."""
+"""Session helpers: where written intermediates go."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Row limit under which a key-level table is sent to every executor.
-BROADCAST_ROWS = 200_000
-
 
 @functools.cache
 def _local_fallback() -> str:
@@ -38,13 +33,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Checks the size by reading at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count was checked; otherwise AQE decides."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import clock_to_date, signif, week52
+from panelspark.session import materialize
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -102,6 +103,13 @@ def weekly_panel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def weekly_table(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """The panel as a written table, for queries that read it more than once: the raw tables
+    are then scanned once."""
+    panel = weekly_panel(spark, sf)
+    return materialize(panel.select(*cols) if cols else panel, "weekly")
+
+
 WEEKLY_SQL = f"""weekly AS (
   SELECT *, CAST((yr - 1995) * 52 + wk AS INTEGER) AS t FROM (
     SELECT n_name AS state, CAST(year(o_orderdate) AS INTEGER) AS yr, {week_sql('o_orderdate')} AS wk,

@@ -15,7 +15,7 @@ from panelspark.operators.clean import complete_cases, poly
 from panelspark.operators.panel import Panel, difference, lag_by
 from panelspark.operators.reshape import literal_table
 
-from .common import DAILY_SQL, WEEKLY_SQL, daily_types, query, rounded, sig, sig_sql, table, weekly_panel, with_sql
+from .common import DAILY_SQL, WEEKLY_SQL, daily_types, query, rounded, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 from .windows import DELAY_SQL, delays
 
 
@@ -41,7 +41,7 @@ def k1(spark, sf):
     + ", ".join(["SELECT " + sig_sql("x", 7, "1e-6") + " AS x", sig_sql("y", 7, "1e-6") + " AS y", sig_sql("slope", 7) + " AS slope", sig_sql("intercept + slope * x", 6, "1e-5") + " AS line"]) + " FROM p, l",
 )
 def k2(spark, sf):
-    p = weekly_panel(spark, sf)
+    p = weekly_table(spark, sf, "revenue", "price", "qty")
     p = residualize(p, ModelSpec("p", "price", ["qty"]), "rx")
     p = residualize(p, ModelSpec("r", "revenue", ["qty"]), "ry")
     p = p.select((F.col("rx") / 1e5).alias("rx"), (F.col("ry") / 1e5).alias("ry"))
@@ -61,7 +61,7 @@ def k2(spark, sf):
     + f"SELECT {sig_sql('pow(10, x)', 6)} AS x, {sig_sql('pow(10, b0 + b1 * x + b2 * x * x)', 5)} AS y FROM g",
 )
 def k3(spark, sf):
-    p = weekly_panel(spark, sf).select(F.log10("price").alias("x"), F.log10("revenue").alias("y"))
+    p = weekly_table(spark, sf, "price", "revenue").select(F.log10("price").alias("x"), F.log10("revenue").alias("y"))
     fit = fit_all(p, [ModelSpec("curve", "y", poly("x", 2))])[0]
     lo, hi = p.agg(F.min("x"), F.max("x")).first()
     grid = X.curve_grid(spark, lo, hi, 50, {0: fit.coef("_cons"), 1: fit.coef("x"), 2: fit.coef("x^2")}, log10=True)

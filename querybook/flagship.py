@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.models import linear
 from panelspark.models.spec import ModelSpec
-from panelspark.operators.panel import Panel, panel_features, zscore_by
+from panelspark.operators.panel import Panel, panel_features, zscore_panel
 from panelspark.session import materialize
 
 from .common import WEEKLY_SQL, query, sig, sig_sql, weekly_panel, with_sql
@@ -29,7 +29,7 @@ SQL = with_sql(
 @query("weekly_effect", SQL)
 def weekly_effect(spark: SparkSession, sf: str) -> DataFrame:
     """One row (n, beta, se): the effect of a one-sd rise of the instrumented measure."""
-    panel = zscore_by(weekly_panel(spark, sf), ["state"], {"price": "mobility", "qty": "rain"})
+    panel = zscore_panel(Panel(weekly_panel(spark, sf), "state", "t"), {"price": "mobility", "qty": "rain"})
     panel = panel.select("state", "t", "revenue", "mobility", "rain")
     panel = materialize(panel_features(Panel(panel, "state", "t"), ["revenue", "mobility", "rain"], 1), "flagship")
     spec = ModelSpec("effect", "d_revenue", (), ["d_mobility"], ["d_rain"], entity="state", vce="cluster", cluster="state")

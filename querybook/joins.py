@@ -11,14 +11,14 @@ from panelspark.operators import joins
 from panelspark.operators.panel import step_panel_long
 from panelspark.operators.reshape import append_total
 
-from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, sig, sig_sql, table, weekly_panel, with_sql
+from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 
 KEYS = ["state", "yr", "wk"]
 
 
 def even_odd(spark, sf):
     """Left table with the panel's early weeks, right table with its late weeks; both overlap."""
-    p = weekly_panel(spark, sf)
+    p = weekly_table(spark, sf)
     left = p.filter(F.col("wk") <= 30).select(*KEYS, "revenue", "qty")
     right = p.filter(F.col("wk") >= 20).select(*KEYS, F.lit(-1.0).alias("qty"), "n_items")
     return left, right
@@ -71,7 +71,7 @@ def lookup(spark, sf):
         .agg(F.count(F.lit(1)).alias("population"))
     )
     pop = pop.unionByName(spark.createDataFrame([("NOWHERE", 0)], "state string, population long"))
-    panel = weekly_panel(spark, sf).filter(F.col("state") != "NATION_4").select(*KEYS, "revenue")
+    panel = weekly_table(spark, sf, *KEYS, "revenue").filter(F.col("state") != "NATION_4")
     return joins.merge(panel, pop, ["state"], card="m:1", keep="all")
 
 
@@ -133,7 +133,7 @@ def natural_full(spark, sf):
     + f"SELECT state, t, {sig_sql('price - a1 - b1 * qty', 7, '1e-4')} AS price_resid, {sig_sql('revenue - a2 - b2 * qty', 7, '1e-4')} AS revenue_resid FROM weekly, b",
 )
 def residuals(spark, sf):
-    p = weekly_panel(spark, sf)
+    p = weekly_table(spark, sf, "state", "t", "revenue", "price", "qty")
     p = residualize(p, ModelSpec("p", "price", ["qty"]), "price_resid")
     p = residualize(p, ModelSpec("r", "revenue", ["qty"]), "revenue_resid")
     return p.select("state", "t", sig("price_resid", 7, 1e-4).alias("price_resid"), sig("revenue_resid", 7, 1e-4).alias("revenue_resid"))

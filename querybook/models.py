@@ -13,7 +13,7 @@ from panelspark.operators.extracts import corr_matrix
 from panelspark.operators.panel import Panel, lag_by, panel_features
 from panelspark.session import materialize
 
-from .common import WEEKLY_SQL, query, rounded, sig, sig_sql, table, weekly_panel, with_sql
+from .common import WEEKLY_SQL, query, rounded, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 
 S7 = 7
 
@@ -96,7 +96,7 @@ GROUPED = (
     with_sql(WEEKLY_SQL, *GROUPED) + f"SELECT state, n::BIGINT AS n, {sig_sql('b', S7)} AS estimate, {sig_sql('sqrt(v)', S7)} AS std_error, {sig_sql('b / sqrt(v)', 6)} AS statistic FROM v",
 )
 def j5(spark, sf):
-    out = bygroup.ols_by(weekly_panel(spark, sf), "state", "revenue", "qty")
+    out = bygroup.ols_by(weekly_table(spark, sf, "state", "revenue", "qty"), "state", "revenue", "qty")
     return out.select("state", F.col("n").cast("long").alias("n"), sig("estimate", S7).alias("estimate"), sig("std_error", S7).alias("std_error"), sig("statistic", 6).alias("statistic"))
 
 
@@ -170,7 +170,7 @@ def j8(spark, sf):
 
 @query("J8_entity_and_period_effects")
 def j8_two_way(spark, sf):
-    panel = materialize(weekly_panel(spark, sf).select("state", "wk", "revenue", "qty", "n_items"), "two_way")
+    panel = weekly_table(spark, sf, "state", "wk", "revenue", "qty", "n_items")
     spec = ModelSpec("two_way", "revenue", ["qty", "n_items"], entity="state", vce="cluster", cluster="state")
     return coef_row(spark, [linear.fit_two_way(panel, spec, "wk")])
 
@@ -291,7 +291,7 @@ def j13(spark, sf):
     f"{sig_sql('revenue - my - b * (qty - mx)', 6, '1e-2')} AS res FROM r LEFT JOIN mm USING (state), b",
 )
 def j14(spark, sf):
-    p = weekly_panel(spark, sf).withColumn("revenue", F.when(F.col("n_items") > 3, F.col("revenue")))
+    p = weekly_table(spark, sf, "state", "t", "revenue", "qty", "n_items").withColumn("revenue", F.when(F.col("n_items") > 3, F.col("revenue")))
     out, _ = linear.with_fit(p, ModelSpec("m", "revenue", ["qty"], entity="state"), "fit", "res")
     return out.select("state", "t", sig("fit", 7, 1e-3).alias("fit"), sig("res", 6, 1e-2).alias("res"))
 
@@ -497,7 +497,7 @@ def j24(spark, sf):
     + " UNION ALL ".join(f"SELECT 'y{y}' AS model_id, 'qty' AS term, {sig_sql('regr_slope(revenue, qty)', S7)} AS estimate FROM weekly WHERE yr = {y}" for y in (1996, 1997, 1998)),
 )
 def j25(spark, sf):
-    p = materialize(weekly_panel(spark, sf), "tidy")
+    p = weekly_table(spark, sf, "yr", "revenue", "qty")
     specs = [ModelSpec(f"y{y}", ("revenue", F.when(F.col("yr") == y, F.col("revenue"))), ["qty"], vce="classical") for y in (1996, 1997, 1998)]
     # The outcome's label is shared, so each year's expression is its own column.
     specs = [ModelSpec(s.name, (s.name, s.y[1]), ["qty"], vce="classical") for s in specs]
@@ -554,7 +554,7 @@ def j28(spark, sf):
     f"(WITH {', '.join(simple())} SELECT {sig_sql('sqrt(' + HC2 + ')', S7)} FROM e)",
 )
 def j29(spark, sf):
-    pooled, per_state = bygroup.agreement(materialize(weekly_panel(spark, sf), "agree"), "state", "revenue", "qty")
+    pooled, per_state = bygroup.agreement(weekly_table(spark, sf, "state", "revenue", "qty"), "state", "revenue", "qty")
     a = per_state.select("state", "estimate", "std_error")
     b = coefficients(spark, [pooled]).filter(F.col("term") == "qty").select(F.lit("pooled").alias("state"), "estimate", "std_error")
     return rounded(a.unionByName(b), ["estimate", "std_error"], S7)

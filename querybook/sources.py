@@ -25,7 +25,7 @@ from panelspark.sources.readers import (
 )
 from panelspark.sources.writers import ModelStore, export_table, write_table
 
-from .common import DAILY_SQL, NATIONS, WEEKLY_SQL, daily_types, query, sig, sig_sql, table, weekly_panel, with_sql
+from .common import DAILY_SQL, NATIONS, WEEKLY_SQL, daily_types, query, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 
 
 @query(
@@ -155,7 +155,7 @@ def model_store(spark, sf):
     + "SELECT state, yr, wk, revenue, infections, population FROM weekly LEFT JOIN inf USING (state, yr, wk) LEFT JOIN pop USING (state)",
 )
 def side_tables(spark, sf):
-    panel = weekly_panel(spark, sf)
+    panel = weekly_table(spark, sf)
     side = panel.filter(F.col("wk") % 2 == 0).groupBy("state", "yr", "wk").agg(F.sum("n_items").alias("infections"))
     nations = table(spark, sf, "nation")
     pop = (
@@ -165,7 +165,7 @@ def side_tables(spark, sf):
         .agg(F.count(F.lit(1)).alias("population"))
     )
     out = merge_many(
-        panel.select("state", "yr", "wk", "revenue"), [Side(side, known_unique=True)], ["state", "yr", "wk"], left_unique=True
+        panel.select("state", "yr", "wk", "revenue"), [Side(side, known_unique=True)], ["state", "yr", "wk"], left_unique=True, null_keys=False
     )
     return merge_many(out, [Side(pop, card="m:1", known_unique=True)], ["state"])
 

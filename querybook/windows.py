@@ -12,13 +12,14 @@ from panelspark.operators.aggregates import argmin_rows, row_number_in
 from panelspark.operators.joins import first_date_when
 from panelspark.operators.reshape import calendar
 
-from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, rounded, sig, sig_sql, table, week_sql, weekly_panel, with_sql
+from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, rounded, sig, sig_sql, table, week_sql, weekly_panel, weekly_table, with_sql
 
 OVER = "OVER (PARTITION BY state ORDER BY t)"
 
 
 def weekly(spark, sf, block=None):
-    return P.Panel(weekly_panel(spark, sf), "state", "t", block)
+    panel = weekly_panel(spark, sf) if block is None else weekly_table(spark, sf, "state", "t", "qty")
+    return P.Panel(panel, "state", "t", block)
 
 
 @query(
@@ -112,7 +113,8 @@ def w6(spark, sf):
 
 @query("W6_changes_across_entities", with_sql(WEEKLY_SQL) + _change_sql("OVER (ORDER BY state, t)"))
 def w6_across(spark, sf):
-    out = P.changes(weekly(spark, sf), {"revenue": ("pct", "log")}, across_entities=True)
+    panel = P.Panel(weekly_table(spark, sf, "state", "t", "revenue"), "state", "t")
+    out = P.changes(panel, {"revenue": ("pct", "log")}, across_entities=True)
     return out.select("state", "t", sig("pct").alias("pct"), sig("log").alias("log"))
 
 
@@ -174,7 +176,17 @@ def w9(spark, sf):
     + f"SELECT state, t, {sig_sql('(revenue - avg(revenue) OVER (PARTITION BY state)) / stddev_samp(revenue) OVER (PARTITION BY state)', 8, '1e-6')} AS z FROM weekly",
 )
 def w10(spark, sf):
-    out = P.zscore_by(weekly_panel(spark, sf), ["state"], {"revenue": "z"})
+    out = P.zscore_by(weekly_table(spark, sf, "state", "t", "revenue"), ["state"], {"revenue": "z"})
+    return out.select("state", "t", sig("z", 8, 1e-6).alias("z"))
+
+
+@query(
+    "W10_panel_zscore",
+    with_sql(WEEKLY_SQL)
+    + f"SELECT state, t, {sig_sql('(revenue - avg(revenue) OVER (PARTITION BY state)) / stddev_samp(revenue) OVER (PARTITION BY state)', 8, '1e-6')} AS z FROM weekly",
+)
+def w10_panel(spark, sf):
+    out = P.zscore_panel(weekly(spark, sf), {"revenue": "z"})
     return out.select("state", "t", sig("z", 8, 1e-6).alias("z"))
 
 
@@ -214,7 +226,7 @@ NATIONAL = (
 
 
 def national_panel(spark, sf):
-    p = weekly_panel(spark, sf)
+    p = weekly_table(spark, sf, "state", "t", "qty", "n_items", "disc")
     nat = p.groupBy("t").agg(
         F.sum("qty").alias("us_qty"), F.sum("n_items").cast("double").alias("us_items"), F.sum("disc").alias("us_disc")
     )
@@ -288,5 +300,5 @@ def w17(spark, sf):
     + f"SELECT state, t, {sig_sql('revenue - avg(revenue) OVER (PARTITION BY state)', 7, '1e-3')} AS revenue_dm, {sig_sql('qty - avg(qty) OVER (PARTITION BY state)', 7, '1e-6')} AS qty_dm FROM weekly",
 )
 def w18(spark, sf):
-    out = P.demean(weekly_panel(spark, sf), ["state"], ["revenue", "qty"])
+    out = P.demean(weekly_table(spark, sf, "state", "t", "revenue", "qty"), ["state"], ["revenue", "qty"])
     return out.select("state", "t", sig("revenue_dm", 7, 1e-3).alias("revenue_dm"), sig("qty_dm", 7, 1e-6).alias("qty_dm"))
