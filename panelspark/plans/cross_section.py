@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_div, safe_ln, scaled_log_rate, sum_strict
 from ..operators.aggregates import band_rollup, one_row_per_key
 from ..operators.clean import in_period, in_year, recode
-from ..operators.joins import first_date_when, join_all, max_after_first, merge_many, natural_join, Side, up_to_event
+from ..operators.joins import Side, join_all, max_after_first, merge_many, natural_join, up_to_event
 from ..operators.panel import delay_index, delay_rows, zscore
+from ..session import materialize
 
 EARLY_DAYS = 30
 
@@ -28,7 +29,8 @@ def outbreak_summary(deaths: DataFrame, cases: DataFrame, days: int = EARLY_DAYS
         sum_strict("Deaths").alias("Deaths"), sum_strict("Population").alias("Population")
     )
     c = cases.groupBy("State", "Date").agg(sum_strict("Cases").alias("Cases"))
-    both = natural_join(d, c, "full_outer")
+    # Five aggregates read the state-day table, so it is written once.
+    both = materialize(natural_join(d, c, "full_outer"), "outbreak-days")
     per_state = both.groupBy("State").agg(
         F.min(F.when(F.col("Cases") > 0, F.col("Date"))).alias("First_Case_Date"),
         F.min(F.when(F.col("Deaths") > 0, F.col("Date"))).alias("First_Death_Date"),
@@ -87,7 +89,8 @@ def state_cross_section(
     days: int = 14,
 ) -> DataFrame:
     """Inner join of the state features: age shares, temperatures, past epidemics, policy delay,
-    mobility in the two weeks after the first case, outbreak."""
+    mobility in the two weeks after the first case, outbreak. The inputs are clean tables; some
+    are read twice, so they should be written ones."""
     ages = band_rollup(
         shares.filter(F.col("Year") == share_year), ["State"], "AgeGroup", "PopShare", bands, {"65+": list(senior)}
     )

@@ -58,11 +58,16 @@ FACTS_SQL = (
 )
 
 
-def state_days(spark, sf):
+def facts_table(spark, sf):
+    """The facts as a written table, for queries that cut several tables from them."""
+    cols = ["state", "o_custkey", "date", "o_orderpriority", "o_orderstatus", "o_totalprice", "c_mktsegment"]
+    return materialize(order_facts(spark, sf).select(*cols, "qty", "price", "n", "disc", "tax"), "facts")
+
+
+def state_days(facts):
     """(state, date) sums, rounded to what the input can express."""
     return (
-        order_facts(spark, sf)
-        .groupBy("state", "date")
+        facts.groupBy("state", "date")
         .agg(
             F.round(F.sum("qty"), 0).alias("qty"),
             F.round(F.sum("price"), 2).alias("price"),
@@ -77,20 +82,10 @@ DAYS_SQL = "sday AS (SELECT state, date, round(sum(qty), 0) AS qty, round(sum(pr
 
 
 def stand_ins(spark, sf):
-    """Inputs of the state panels. The facts are written once: nine tables are cut from them."""
-    facts = materialize(
-        order_facts(spark, sf).select("state", "o_custkey", "date", "qty", "price", "n", "disc", "tax"), "facts"
-    )
-    day = (
-        facts.groupBy("state", "date")
-        .agg(
-            F.round(F.sum("qty"), 0).alias("qty"),
-            F.round(F.sum("price"), 2).alias("price"),
-            F.sum("n").alias("n"),
-            F.round(F.sum("disc"), 2).alias("disc"),
-            F.round(F.sum("tax"), 2).alias("tax"),
-        )
-    )
+    """Inputs of the state panels. Facts and daily sums are written once: nine tables are cut
+    from them."""
+    facts = facts_table(spark, sf)
+    day = materialize(state_days(facts), "days")
     weekly = P.with_week(day).groupBy("state", "year", "week").agg(
         F.min("date").alias("date"), F.sum("qty").alias("total_mortality"), F.sum("n").cast("double").alias("COVID_mortality")
     )
@@ -224,7 +219,7 @@ def l6(spark, sf):
     "FROM r a JOIN (SELECT * FROM r WHERE state = 'United States') u USING (date) WHERE a.state <> 'NATION_9'",
 )
 def l7(spark, sf):
-    w = P.with_week(state_days(spark, sf)).groupBy("state", "year", "week").agg(
+    w = P.with_week(materialize(state_days(order_facts(spark, sf)), "days")).groupBy("state", "year", "week").agg(
         F.min("date").alias("d"), F.sum("qty").alias("t"), F.sum("n").cast("double").alias("c")
     )
     ends = w.groupBy("year", "week").agg(F.min("d").alias("date"))
@@ -259,7 +254,7 @@ def l8_wide(spark, sf):
     with_sql(FACTS_SQL, DAYS_SQL) + "SELECT state, n AS state_population, date, disc AS daily_distance_diff, tax AS daily_visitation_diff FROM sday",
 )
 def l8_state(spark, sf):
-    raw = state_days(spark, sf).withColumnsRenamed(
+    raw = state_days(order_facts(spark, sf)).withColumnsRenamed(
         {"state": "state_name", "n": "state_population", "disc": "daily_distance_diff", "tax": "daily_visitation_diff"}
     )
     return I.state_mobility(raw)
@@ -270,7 +265,7 @@ def l8_state(spark, sf):
     with_sql(FACTS_SQL, DAYS_SQL) + "SELECT date, state, qty AS dl_mobility, price / 100 AS dl_mobility_relative_to_normal FROM sday WHERE n > 2",
 )
 def l8_index(spark, sf):
-    raw = state_days(spark, sf).select(
+    raw = state_days(order_facts(spark, sf)).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         F.when(F.col("n") > 2, 1).otherwise(2).alias("admin_level"),
         F.col("state").alias("admin1"),
@@ -288,9 +283,9 @@ def l8_rain(spark, sf):
     return I.rainfall(raw)
 
 
-def temperatures(spark, sf):
+def temperatures(facts):
     month = F.date_format("date", "yyyyMM")
-    v = order_facts(spark, sf).groupBy(F.col("state").alias("Location"), month.alias("Date")).agg(
+    v = facts.groupBy(F.col("state").alias("Location"), month.alias("Date")).agg(
         F.count(F.lit(1)).alias("k"), F.round(F.sum("o_totalprice"), 2).alias("p")
     )
     return v.select("Location", "Date", F.when(F.col("k") < 4, -99.0).otherwise(F.col("p")).alias("Value"))
@@ -301,12 +296,12 @@ TEMP_SQL = "temp AS (SELECT state AS \"State\", CAST(date_trunc('month', date) A
 
 @query("L9_monthly_temperature", with_sql(FACTS_SQL, TEMP_SQL) + 'SELECT "State", "Date", "Tavg" FROM temp')
 def l9_temp(spark, sf):
-    return I.monthly_temperature(temperatures(spark, sf))
+    return I.monthly_temperature(temperatures(order_facts(spark, sf)))
 
 
-def influenza_raw(spark, sf):
+def influenza_raw(facts):
     month = F.date_format("date", "yyyy/MM")
-    m = order_facts(spark, sf).groupBy(F.col("state").alias("State"), month.alias("Month Code")).agg(F.count(F.lit(1)).alias("k"))
+    m = facts.groupBy(F.col("state").alias("State"), month.alias("Month Code")).agg(F.count(F.lit(1)).alias("k"))
     return m.select("State", "`Month Code`", F.when(F.col("k") < 6, "Suppressed").otherwise(F.col("k").cast("string")).alias("Deaths"))
 
 
@@ -318,11 +313,11 @@ FLU_SQL = (
 
 @query("L9_influenza", with_sql(FACTS_SQL, FLU_SQL) + "SELECT * FROM flu")
 def l9_flu(spark, sf):
-    return I.influenza_deaths(influenza_raw(spark, sf))
+    return I.influenza_deaths(influenza_raw(order_facts(spark, sf)))
 
 
-def swine_raw(spark, sf):
-    s = order_facts(spark, sf).groupBy(F.col("state").alias("State")).agg(
+def swine_raw(facts):
+    s = facts.groupBy(F.col("state").alias("State")).agg(
         F.count(F.lit(1)).alias("c"), F.countDistinct("o_custkey").alias("d")
     )
     return s.select(
@@ -335,11 +330,11 @@ SWINE_SQL = "swine AS (SELECT state AS \"State\", count(*) * 1000 AS \"Swineflu_
 
 @query("L9_swine_flu", with_sql(FACTS_SQL, SWINE_SQL) + "SELECT * FROM swine")
 def l9_swine(spark, sf):
-    return I.swine_flu(swine_raw(spark, sf))
+    return I.swine_flu(swine_raw(order_facts(spark, sf)))
 
 
-def census(spark, sf):
-    return order_facts(spark, sf).groupBy(
+def census(facts):
+    return facts.groupBy(
         F.col("state").alias("State"),
         F.col("o_orderpriority").alias("Age Group Code"),
         F.col("c_mktsegment").alias("Gender Code"),
@@ -356,15 +351,15 @@ SHARES_SQL = (
 
 @query("L9_population_shares", with_sql(FACTS_SQL, SHARES_SQL) + f"SELECT *, {sig_sql('\"Population\" / \"TotPop\"')} AS \"PopShare\" FROM shares")
 def l9_shares(spark, sf):
-    return rounded(I.population_shares(census(spark, sf)), ["PopShare"])
+    cells = materialize(census(order_facts(spark, sf)), "census")
+    return rounded(I.population_shares(cells), ["PopShare"])
 
 
 # -- L10–L13: outbreak, delays, mobility, cross-section --------------------------
 
 
-def outbreak_inputs(spark, sf):
-    f = order_facts(spark, sf)
-    county = f.groupBy(F.col("state").alias("State"), F.col("date").alias("Date"), "c_mktsegment").agg(
+def outbreak_inputs(facts):
+    county = facts.groupBy(F.col("state").alias("State"), F.col("date").alias("Date"), "c_mktsegment").agg(
         F.sum(F.when(F.col("n") > 5, F.col("n")).otherwise(0)).cast("long").alias("Deaths"),
         F.sum(F.when(F.col("n") > 2, F.col("n")).otherwise(0)).cast("long").alias("Cases"),
         F.count(F.lit(1)).alias("Population"),
@@ -384,11 +379,11 @@ SHARE_COLS = ["Early_Deaths_Share", "Early_Cases_Share", "Corona_Cases_Share", "
 
 @query("L10_outbreak_summary", with_sql(FACTS_SQL, OUTBREAK_SQL) + f"SELECT *, {OUT_SHARES} FROM ob")
 def l10(spark, sf):
-    return rounded(C.outbreak_summary(*outbreak_inputs(spark, sf)), SHARE_COLS)
+    return rounded(C.outbreak_summary(*outbreak_inputs(facts_table(spark, sf))), SHARE_COLS)
 
 
-def policy_rows(spark, sf):
-    return order_facts(spark, sf).select(
+def policy_rows(facts):
+    return facts.select(
         F.col("state").alias("State"),
         F.col("o_orderpriority").alias("StatePolicy"),
         (F.col("o_orderstatus") == "F").cast("int").alias("Mandate"),
@@ -407,8 +402,8 @@ DELAY_SQL = (
 )
 
 
-def delay_table(spark, sf, outbreak):
-    return C.policy_delays(policy_rows(spark, sf), outbreak, POLICY_LIST, US_CASE, US_DEATH)
+def delay_table(facts, outbreak):
+    return C.policy_delays(policy_rows(facts), outbreak, POLICY_LIST, US_CASE, US_DEATH)
 
 
 @query(
@@ -416,15 +411,16 @@ def delay_table(spark, sf, outbreak):
     with_sql(FACTS_SQL, OUTBREAK_SQL, DELAY_SQL) + 'SELECT "State", ' + ", ".join(f"{sig_sql(c)} AS {c}" for c in DELAY_COLUMNS) + " FROM dl",
 )
 def l11(spark, sf):
-    outbreak = materialize(C.outbreak_summary(*outbreak_inputs(spark, sf)), "outbreak")
-    return rounded(delay_table(spark, sf, outbreak), DELAY_COLUMNS)
+    facts = facts_table(spark, sf)
+    outbreak = materialize(C.outbreak_summary(*outbreak_inputs(facts)), "outbreak")
+    return rounded(delay_table(facts, outbreak), DELAY_COLUMNS)
 
 
 FIRST_COLS, SECOND_COLS = ["daily_distance_diff", "daily_visitation_diff", "encounters_rate"], ["m50_index"]
 
 
-def mobility_sources(spark, sf):
-    d = state_days(spark, sf)
+def mobility_sources(facts):
+    d = state_days(facts)
     first = d.select(
         F.col("state").alias("State"), F.col("date").alias("Date"), F.col("disc").alias("daily_distance_diff"),
         F.col("tax").alias("daily_visitation_diff"), F.col("qty").alias("encounters_rate"),
@@ -445,7 +441,7 @@ MOB_SQL = (
     with_sql(FACTS_SQL, DAYS_SQL, MOB_SQL) + 'SELECT "State", "Date", ' + ", ".join(f"{sig_sql(c, 7, '1e-5')} AS {c}" for c in FIRST_COLS + SECOND_COLS) + " FROM mob",
 )
 def l12(spark, sf):
-    a, b = mobility_sources(spark, sf)
+    a, b = mobility_sources(facts_table(spark, sf))
     return rounded(C.merged_mobility(a, b, FIRST_COLS, SECOND_COLS), FIRST_COLS + SECOND_COLS, 7, 1e-5)
 
 
@@ -454,14 +450,15 @@ SENIOR = ["4-NOT SPECIFIED", "5-LOW"]
 
 
 def cross_section(spark, sf):
-    outbreak = materialize(C.outbreak_summary(*outbreak_inputs(spark, sf)), "outbreak")
-    a, b = mobility_sources(spark, sf)
+    facts = facts_table(spark, sf)
+    outbreak = materialize(C.outbreak_summary(*outbreak_inputs(facts)), "outbreak")
+    a, b = mobility_sources(facts)
     return C.state_cross_section(
-        I.population_shares(census(spark, sf)),
-        I.monthly_temperature(temperatures(spark, sf)),
-        I.swine_flu(swine_raw(spark, sf)),
-        I.influenza_deaths(influenza_raw(spark, sf)),
-        delay_table(spark, sf, outbreak),
+        materialize(I.population_shares(materialize(census(facts), "census")), "shares"),
+        materialize(I.monthly_temperature(temperatures(facts)), "temperature"),
+        I.swine_flu(swine_raw(facts)),
+        I.influenza_deaths(influenza_raw(facts)),
+        delay_table(facts, outbreak),
         C.merged_mobility(a, b, FIRST_COLS, SECOND_COLS),
         outbreak,
         BANDS,
@@ -510,7 +507,7 @@ def l13(spark, sf):
     + ", ".join(f"CAST(coalesce(date >= m{i}, false) AS INTEGER) AS \"{p}\"" for i, p in enumerate(POLICY_LIST)) + " FROM f CROSS JOIN c",
 )
 def l14(spark, sf):
-    rows = policy_rows(spark, sf).withColumnsRenamed({"State": "StateName", "DateIssued": "DateEnacted"})
+    rows = policy_rows(order_facts(spark, sf)).withColumnsRenamed({"State": "StateName", "DateIssued": "DateEnacted"})
     return P.policy_panel(rows, POLICY_LIST, date(1995, 1, 1), date(1995, 4, 2))
 
 
@@ -693,6 +690,31 @@ def l19(spark, sf):
     return result(spark, [f for p in parts for f in p.fits])
 
 
+def _first_stage_sql():
+    parts = []
+    for m, c in (("d_dl_mobility", "dl"), ("d_una_distance", "ud")):
+        parts.append(
+            f"SELECT 'b_{m}' AS model_id, 'd_avg_precip' AS term, {sig_sql(f'sum(r * {c}) / sum(r * r)', 6)} AS estimate FROM "
+            f"(SELECT r - avg(r) OVER (PARTITION BY state) AS r, {c} - avg({c}) OVER (PARTITION BY state) AS {c} FROM f WHERE r IS NOT NULL AND {c} IS NOT NULL)"
+        )
+    return (
+        with_sql(
+            *WEEK_BASE[:-2],
+            f"zz AS (SELECT state, y, w, rain, {zs('dl')} AS dl, {zs('ud')} AS ud FROM base)",
+            "f AS (SELECT state, rain - lag(rain) OVER o AS r, dl - lag(dl) OVER o AS dl, ud - lag(ud) OVER o AS ud FROM zz WINDOW o AS (PARTITION BY state ORDER BY y, w))",
+        )
+        + " UNION ALL ".join(parts)
+    )
+
+
+@query("L19_weekly_first_stages", _first_stage_sql())
+def l19_first(spark, sf):
+    features = S.weekly_features(week_panel(spark, sf), lags=1)
+    specs = S.G.first_stage_specs(S.MEASURES[:2], "d_avg_precip", ["EmergDec", "GathRestrictAny", "d_COVID_mortality_pc_m1"], "state_id", "week")
+    out = S.G.run_grid(features, specs).coefficients.filter(F.col("model_id").startswith("b_") & (F.col("term") == "d_avg_precip"))
+    return out.select("model_id", "term", sig("estimate", 6).alias("estimate"))
+
+
 @query("L20_daily_model_suite")
 def l20(spark, sf):
     parts = stand_ins(spark, sf)
