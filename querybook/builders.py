@@ -723,6 +723,37 @@ def l20(spark, sf):
     return S.daily_suite(features)[0].coefficients
 
 
+def _reduced_sql():
+    out = []
+    for k in (1, 2):
+        out.append(
+            f"SELECT 'reduced_b_d_precip_m{k}' AS model_id, 'd_precip_m{k}' AS term, {sig_sql('sum(x * yy) / sum(x * x)', 6)} AS estimate FROM "
+            f"(SELECT yy - avg(yy) OVER (PARTITION BY state) AS yy, x{k} - avg(x{k}) OVER (PARTITION BY state) AS x FROM f WHERE yy IS NOT NULL AND x{k} IS NOT NULL)"
+        )
+    lag = "lag(qty, {0}) OVER o"
+    return (
+        with_sql(
+            FACTS_SQL,
+            DAYS_SQL,
+            WEEK_BASE[-1],
+            "f AS (SELECT state, (qty - lag(qty) OVER o) / population AS yy, "
+            + ", ".join(f"{lag.format(k)} - {lag.format(k + 1)} AS x{k}" for k in (1, 2))
+            + " FROM sday JOIN pop USING (state) WINDOW o AS (PARTITION BY state ORDER BY date))",
+        )
+        + " UNION ALL ".join(out)
+    )
+
+
+@query("L20_daily_reduced_forms", _reduced_sql())
+def l20_reduced(spark, sf):
+    parts = stand_ins(spark, sf)
+    parts.pop("mortality")
+    features = S.daily_features(P.state_day_panel(**parts))
+    specs = [m for m in S.daily_specs() if m.name in ("reduced_b_d_precip_m1", "reduced_b_d_precip_m2")]
+    out = S.G.run_grid(features, specs).coefficients.filter(F.col("term").startswith("d_precip"))
+    return out.select("model_id", "term", sig("estimate", 6).alias("estimate"))
+
+
 @query("L21_lag_selection")
 def l21(spark, sf):
     panel = S.weekly_features(week_panel(spark, sf), lags=1, variables=["COVID_mortality_pc", "avg_precip", "dl_mobility"])
@@ -738,6 +769,19 @@ def l22(spark, sf):
     return coefs.unionByName(tests)
 
 
+@query(
+    "L22_country_first_stage",
+    COUNTRY_SQL[:-1]
+    + ", z AS (SELECT (covid_safety - avg(covid_safety) OVER ()) / stddev_samp(covid_safety) OVER () AS s, CASE WHEN infection_deaths > 0 THEN ln(10000 * infection_deaths) END AS d FROM m), "
+    "b AS (SELECT regr_count(s, d) AS n, regr_sxx(s, d) AS sxx, regr_avgx(s, d) AS xm, regr_slope(s, d) AS b, regr_intercept(s, d) AS a FROM z) "
+    f"SELECT 'fs_1' AS model_id, {sig_sql('max(b)', 5)} AS estimate, {sig_sql('sqrt(max(n) / (max(n) - 2.0) * sum(pow((d - xm) * (s - a - b * d), 2))) / max(sxx)', 5)} AS std_error FROM z, b",
+)
+def l22_first(spark, sf):
+    cross = materialize(C.country_cross_section(*country_tables(spark, sf)), "countries")
+    out = S.G.run_grid(cross, [m for m in S.country_specs() if m.name == "fs_1"]).coefficients.filter(F.col("term") == "log_deaths")
+    return out.select("model_id", sig("estimate", 5).alias("estimate"), sig("std_error", 5).alias("std_error"))
+
+
 @query("L23_weekly_specification_search")
 def l23(spark, sf):
     return result(spark, S.weekly_search(S.weekly_features(week_panel(spark, sf))).fits)
@@ -753,3 +797,21 @@ def l24(spark, sf):
 @query("L25_shift_share_models")
 def l25(spark, sf):
     return S.shift_share_suite(week_panel(spark, sf)).coefficients
+
+
+@query(
+    "L25_shift_share_own_lag",
+    with_sql(
+        *WEEK_BASE,
+        "m AS (SELECT state, y, w, dth / population AS pc, cm / tm AS fr, us_c, us_t - us_c AS us_o FROM base JOIN us USING (y, w) JOIN pop USING (state))",
+        "k AS (SELECT *, lag(fr) OVER o AS f0, lag(us_c) OVER o AS c0, lag(us_o) OVER o AS o0, pc - lag(pc) OVER o AS d FROM m WINDOW o AS (PARTITION BY state ORDER BY y, w))",
+        "q AS (SELECT *, CASE WHEN f0 = 0 THEN (us_o - o0) / o0 ELSE f0 * (us_c - c0) / c0 + (1 - f0) * (us_o - o0) / o0 END AS bk FROM k)",
+        "l AS (SELECT state, d, lag(d, 2) OVER o AS d2, lag(bk, 2) OVER o AS z FROM q WINDOW o AS (PARTITION BY state ORDER BY y, w))",
+        "e AS (SELECT d - avg(d) OVER (PARTITION BY state) AS d, d2 - avg(d2) OVER (PARTITION BY state) AS d2, z - avg(z) OVER (PARTITION BY state) AS z FROM l WHERE d IS NOT NULL AND d2 IS NOT NULL AND z IS NOT NULL)",
+    )
+    + f"SELECT 'own_lag' AS model_id, 'd_COVID_mortality_pc_m2' AS term, {sig_sql('sum(z * d) / sum(z * d2)', 5)} AS estimate FROM e",
+)
+def l25_own(spark, sf):
+    out = S.shift_share_suite(week_panel(spark, sf)).coefficients
+    out = out.filter((F.col("model_id") == "own_lag") & (F.col("term") == "d_COVID_mortality_pc_m2"))
+    return out.select("model_id", "term", sig("estimate", 5).alias("estimate"))

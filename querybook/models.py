@@ -11,7 +11,8 @@ from panelspark.models.tables import coef_table
 from panelspark.operators.clean import cross_factors, interact, poly
 from panelspark.operators.extracts import corr_matrix
 from panelspark.operators.panel import Panel, lag_by, panel_features
-from panelspark.session import materialize
+from panelspark.session import materialize, scratch_path
+from panelspark.sources.writers import export_table
 
 from .common import WEEKLY_SQL, query, rounded, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 
@@ -491,6 +492,43 @@ def j24(spark, sf):
     )
 
 
+def _cells(y):
+    b, v = f"b_{y}", f"v_{y}"
+    return (
+        f"{b} AS (SELECT count(*) AS n, regr_sxx({y}, qty) AS sxx, regr_slope({y}, qty) AS b, regr_intercept({y}, qty) AS a, regr_r2({y}, qty) AS r2 FROM weekly), "
+        f"{v} AS (SELECT '{y}' AS m, max(n) AS n, max(b) AS b, sqrt(sum(pow({y} - a - b * qty, 2)) / (max(n) - 2.0) / max(sxx)) AS se, max(r2) AS r2 FROM weekly, {b}), "
+        f"t_{y} AS (SELECT unnest([0, 1, 2, 3, 4]) AS row, unnest(['qty', '', 'N', 'R2', 'Adj. R2']) AS label, "
+        f"unnest([format('{{:,.3f}}', b) || '***', '(' || format('{{:,.3f}}', se) || ')', format('{{:,}}', n), format('{{:.3f}}', r2), format('{{:.3f}}', 1 - (1 - r2) * (n - 1.0) / (n - 2.0))]) AS cell FROM {v})"
+    )
+
+
+TABLE_SQL = with_sql(WEEKLY_SQL, _cells("revenue"), _cells("price"))
+
+
+def plain_table(spark, sf):
+    specs = [ModelSpec(y, y, ["qty"], vce="classical") for y in ("revenue", "price")]
+    grid = G.run_grid(weekly_panel(spark, sf), specs)
+    return coef_table(grid.coefficients, grid.models, ["qty"], ["revenue", "price"])
+
+
+@query(
+    "J24_table_cells",
+    TABLE_SQL + "SELECT CAST(row AS INTEGER) AS row, label, a.cell AS revenue, b.cell AS price FROM t_revenue a JOIN t_price b USING (row, label)",
+)
+def j24_cells(spark, sf):
+    return plain_table(spark, sf)
+
+
+@query(
+    "A12_table_lines",
+    TABLE_SQL + "SELECT label || ' & ' || a.cell || ' & ' || b.cell || ' \\\\' AS value FROM t_revenue a JOIN t_price b USING (row, label)",
+)
+def a12_lines(spark, sf):
+    path = scratch_path(spark, "tables")
+    export_table(plain_table(spark, sf), path, order=["row"])
+    return spark.read.text(path)
+
+
 @query(
     "J25_tidy_one_term",
     with_sql(WEEKLY_SQL)
