@@ -80,8 +80,10 @@ def _distinct_columns(specs: Sequence[ModelSpec]) -> dict:
     return out
 
 
-def _centre_and_scale(rows: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
-    aggs = [a for c in names for a in (F.avg(c).alias(f"m{c}"), F.stddev_pop(c).alias(f"s{c}"))]
+def _centre_and_scale(rows: DataFrame, names: Sequence[str]) -> tuple[dict[str, tuple[float, float]], int]:
+    """Mean and spread of each column, and the number of rows."""
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    aggs += [a for c in names for a in (F.avg(c).alias(f"m{c}"), F.stddev_pop(c).alias(f"s{c}"))]
     got = rows.agg(*aggs).first()
     out = {}
     for c in names:
@@ -89,7 +91,21 @@ def _centre_and_scale(rows: DataFrame, names: Sequence[str]) -> dict[str, tuple[
         m = 0.0 if m is None else float(m)
         s = 1.0 if s is None or s == 0.0 or s < 1e-14 * abs(m) else float(s)
         out[c] = (m, s)
-    return out
+    return out, int(got["n_rows"])
+
+
+# Stacked rows a task should have at least before the work is spread further.
+STACKED_ROWS_PER_TASK = 250_000
+
+
+def _spread(rows: DataFrame, n_rows: int, n_models: int) -> DataFrame:
+    """A panel of few partitions would keep the stacked work (rows × models) in few tasks."""
+    wanted = min(
+        rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows * n_models / STACKED_ROWS_PER_TASK)
+    )
+    if n_models < 4 or wanted < 2:
+        return rows
+    return rows.repartition(wanted) if wanted > 1.5 * rows.rdd.getNumPartitions() else rows
 
 
 def _stack(rows: DataFrame, batch: _Batch, names: dict, scales: dict) -> DataFrame:
@@ -616,7 +632,8 @@ def fit_all(
 
 
 def _fit_rows(rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, keep_effects: bool) -> list[FitResult]:
-    scales = _centre_and_scale(rows, list(names_by_key.values()))
+    scales, n_rows = _centre_and_scale(rows, list(names_by_key.values()))
+    rows = _spread(rows, n_rows, len(specs))
     batches: dict[tuple, list[int]] = {}
     for i, s in enumerate(specs):
         batches.setdefault((_group_of(s), (*s.entity, *s.cluster)), []).append(i)

@@ -154,6 +154,9 @@ def merge(
       the side is unique by construction (it comes from a group-by on the keys);
     * columns the two tables share besides the keys are taken from the left;
     * ``indicator`` adds 1 (left only), 2 (right only), 3 (matched).
+
+    A many-to-one merge that keeps all rows reads the left table twice (join, unmatched keys):
+    write it first if it is costly.
     """
     return merge_many(left, [Side(right, card, keep, right_unique, indicator)], keys, left_unique, null_keys)
 
@@ -202,6 +205,8 @@ def max_after_first(
 ) -> DataFrame:
     """Largest value within ``days`` of the entity's first positive date; 0 without one.
 
+    ``df`` is read twice (first dates, values): write it first if it is costly.
+
     ``national=True`` takes the maximum over all entities in the entity's window. The daily
     maximum is formed first, and the window is spelled out as ``days + 1`` dates per entity, so
     the join is an equality on the date.
