@@ -30,6 +30,7 @@ QUERIES = [
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    from panelspark.session import name_shared_folder
     from querybook import load_all
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -45,6 +46,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    name_shared_folder(spark)
     registry = load_all()
     registry["A8_clean_table_read"].run(spark, sf).collect()  # start the session's machinery
     times = {}

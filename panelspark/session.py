@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-import functools
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-@functools.cache
-def _local_fallback() -> str:
-    return tempfile.mkdtemp(prefix="panelspark-")
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the checkpoint
+    folder that the caller set on the context."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return base.rstrip("/")
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """Fresh folder for a written intermediate.
 
-    It lies under the shared folder named by ``spark.checkpoint.dir``. Only a local
-    session, where every task runs on this machine, may fall back to a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_fallback()
-    return f"{base.rstrip('/')}/panelspark/{label}-{uuid.uuid4().hex}"
+def name_shared_folder(spark: SparkSession) -> None:
+    """For entry points (driver contract, bench): where nothing names a shared folder, a local
+    session gets one that is removed at exit. On a cluster the folder has to be named."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="panelspark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(path)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """Fresh folder for a written intermediate, in the shared folder."""
+    return f"{shared_folder(spark)}/panelspark/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -10,6 +10,8 @@ import sys
 import time
 import traceback
 
+from panelspark.session import name_shared_folder
+
 from .common import REGISTRY
 
 
@@ -74,6 +76,7 @@ def session(cpus: str = "8"):
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    name_shared_folder(spark)
     return spark
 
 
