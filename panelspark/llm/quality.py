@@ -175,8 +175,9 @@ def fit(
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(label_id).cast("long").alias("id")).agg(F.min(label).cast("double").alias("y"))
     ids = docs.where(learn & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id")).distinct()
     some = materialize(known.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(SAMPLE), "sample")
-    rows = docs.where(learn).withColumn("id_of_label", F.col(doc_id).cast("long")).join(F.broadcast(some), F.col("id_of_label") == some["id"])  # SAMPLE ids at most
-    got = with_statistics(rows.select("id_of_label", "y", F.col(text)), "id_of_label", text, F.col("y")).dropDuplicates(["key"]).collect()
+    texts = docs.where(learn).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    rows = texts.join(F.broadcast(some), "id")  # SAMPLE ids at most
+    got = with_statistics(rows, "id", "t", F.col("y")).dropDuplicates(["key"]).collect()
     got.sort(key=lambda r: r["key"])
     x = np.array([r["x"] for r in got], np.float64).reshape(-1, len(NAMES))
     return train(x, np.array([r["y"] for r in got], np.float64))

@@ -1,9 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives, any other texts the unlabelled ones. A logistic classifier over words' presence minimises
+Confirmed toxic texts are the positives; texts drawn from all rows, whatever their label, are the unlabelled ones. A logistic classifier over words' presence minimises
 prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]): the second term is the risk of the negatives, corrected by the class prior,
 and is not allowed below zero. Its words are those whose share among positives differs most from that among the
-unlabelled, chosen by a Spark count.
+unlabelled, and by some standard errors at least, chosen by a Spark count.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .common import materialize
 from .winnowing import _WORD_BYTES
 
 POSITIVES, UNLABELLED, WORDS = 3000, 9000, 1024  # bounds of the training sample and of the vocabulary
+APART = 4.0  # standard errors by which a word's two shares differ at least
 
 
 def words_of(text: str | None) -> set[bytes]:
@@ -39,7 +40,7 @@ class ToxicityModel:
 
 
 def train(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, slack: float = 0.0
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4, slack: float = 0.0
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk over two 0/1 matrices, by full-batch Adam steps.
 
@@ -65,14 +66,14 @@ def train(
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, text: str, label_id: str, label: str) -> DataFrame:
-    """(positive, t): confirmed toxic texts and other texts of the rows that may be learned from, both by the order of a hash
-    of their ids, POSITIVES and UNLABELLED at most."""
+    """(positive, t): POSITIVES confirmed toxic texts at most, and UNLABELLED texts at most from all rows that may be learned from, whatever
+    their label, so that the class prior holds among them. Both are taken by the order of a hash of their ids."""
     toxic = labels.where(F.col(label) == 1).select(F.col(label_id).cast("long").alias("id")).distinct()
     ids = docs.where(learn & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id")).distinct()
     marked = materialize(ids.join(toxic.withColumn("positive", F.lit(True)), "id", "left"), "ids")
-    order = [F.xxhash64("id"), "id"]
-    some = marked.where("positive").orderBy(*order).limit(POSITIVES).unionByName(marked.where("positive is null").orderBy(*order).limit(UNLABELLED))
-    some = materialize(some.select("id", F.coalesce("positive", F.lit(False)).alias("positive")), "sample")
+    confirmed = marked.where("positive").orderBy(F.xxhash64("id"), "id").limit(POSITIVES)
+    any_row = marked.orderBy(F.xxhash64("id", F.lit("any")), "id").limit(UNLABELLED).withColumn("positive", F.lit(False))
+    some = materialize(confirmed.unionByName(any_row), "sample")
     texts = docs.where(learn).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     return texts.join(F.broadcast(some), "id").select("id", "positive", "t")  # at most POSITIVES + UNLABELLED ids
 
@@ -80,7 +81,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, tex
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic"
 ) -> ToxicityModel:
-    """Learns from the rows of ``docs`` where ``learn`` holds; a label of 1 confirms a positive, all other rows count as unlabelled.
+    """Learns from the rows of ``docs`` where ``learn`` holds; a label of 1 confirms a positive, and all rows, those included, count as unlabelled.
     The class prior is the share of 1 among the labels of such rows. Without a positive every score is the prior."""
     learnable = docs.where(learn).select(F.col(doc_id).alias(label_id)).distinct()
     seen = labels.where(F.col(label).isNotNull()).join(learnable, label_id, "left_semi")
@@ -94,7 +95,8 @@ def fit(
             words = [sorted(words_of(t.as_py())) for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("positive"), pa.array(words, pa.list_(pa.binary()))], names=["id", "positive", "words"])
 
-    rows = materialize(plain.mapInArrow(split, "id long, positive boolean, words array<binary>"), "sample_words")
+    rows = plain.mapInArrow(split, "id long, positive boolean, words array<binary>")
+    rows = materialize(rows.dropDuplicates(["positive", "words"]), "sample_words")  # copies tell nothing new
     size = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
     n_pos, n_unl = size.get(True, 0), size.get(False, 0)
     if not n_pos or not n_unl:
@@ -104,7 +106,8 @@ def fit(
     )
     usual = (F.col("u") + F.col("p") + 1) / F.lit(n_unl + n_pos + 2.0)
     apart = (F.col("p") / n_pos - F.col("u") / n_unl) / F.sqrt(usual * (1 - usual) * (1.0 / n_pos + 1.0 / n_unl))
-    chosen = counts.where("p + u >= 5").orderBy(F.desc(F.abs(apart)), "word").limit(WORDS).select("word").collect()
+    telling = counts.where("p + u >= 5").withColumn("apart", F.abs(apart)).where(F.col("apart") >= APART)
+    chosen = telling.orderBy(F.desc("apart"), "word").limit(WORDS).select("word").collect()
     words = [bytes(r["word"]) for r in chosen]
     number = {w: i for i, w in enumerate(words)}
 
