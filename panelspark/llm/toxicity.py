@@ -1,14 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; texts drawn from all rows, whatever their label, are the unlabelled ones. A logistic classifier over words' presence minimises
+Confirmed toxic texts are the positives; texts drawn from all rows, whatever their label, are the unlabelled ones. A logistic classifier over the presence of words, and of beginnings that several words share, minimises
 prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]): the second term is the risk of the negatives, corrected by the class prior,
-and is not allowed below zero. Its words are those whose share among positives differs most from that among the
-unlabelled, and by some standard errors at least, chosen by a Spark count.
+and is not allowed below zero. Its signs are those whose share among positives exceeds that among the
+unlabelled most, and by some standard errors at least, chosen by a Spark count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Container, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +19,45 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .winnowing import _WORD_BYTES
 
-POSITIVES, UNLABELLED, WORDS = 3000, 9000, 1024  # bounds of the training sample and of the vocabulary
-APART = 4.0  # standard errors by which a word's two shares differ at least
+POSITIVES, UNLABELLED = 3000, 9000  # bounds of the training sample
+CANDIDATES, WORDS = 50_000, 1024  # bounds of the signs that are counted and of those that are used
+STEMS = range(4, 9)  # lengths of word beginnings, in bytes
+APART = 4.0  # standard errors by which a sign's share among positives is the higher one at least
 
 
-def words_of(text: str | None) -> set[bytes]:
-    """Distinct words: runs of ASCII letters (lower-cased), digits and non-ASCII characters."""
-    return set((text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split())
+def words_of(text: str | None) -> Counter:
+    """Words with how often they occur: runs of ASCII letters (lower-cased), digits and non-ASCII characters."""
+    return Counter((text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split())
+
+
+def signs_of(words: Counter, among: Container[bytes] | None = None) -> set[bytes]:
+    """Words, and beginnings that at least 2 or 4 words share (``stem-2``, ``stem-4``); of all, or of given signs."""
+    stems: dict[bytes, int] = {}
+    for w, n in words.items():
+        for k in STEMS[: max(0, len(w) - STEMS[0] + 1)]:
+            stem = w[:k]
+            stems[stem] = stems.get(stem, 0) + n
+    out = {stem + b"-2" for stem, n in stems.items() if n >= 2} | {stem + b"-4" for stem, n in stems.items() if n >= 4}
+    out.update(words)
+    return out if among is None else {s for s in out if s in among}
 
 
 class ToxicityModel:
-    def __init__(self, words: Sequence[bytes], weights: np.ndarray, bias: float):
-        self.number = {w: i for i, w in enumerate(words)}
+    """Weights of signs, and a bias."""
+
+    def __init__(self, signs: Sequence[bytes], weights: np.ndarray, bias: float):
+        self.number = {w: i for i, w in enumerate(signs)}
         self.weights, self.bias = weights, bias
 
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
         for i, t in enumerate(texts):
-            total[i] += sum(self.weights[self.number[w]] for w in words_of(t) & self.number.keys())
+            total[i] += sum(self.weights[self.number[w]] for w in signs_of(words_of(t), self.number))
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
 def train(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4, slack: float = 0.0
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, slack: float = 0.0
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk over two 0/1 matrices, by full-batch Adam steps.
 
@@ -78,6 +95,23 @@ def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, tex
     return texts.join(F.broadcast(some), "id").select("id", "positive", "t")  # at most POSITIVES + UNLABELLED ids
 
 
+def _again(words: list[dict]) -> Counter:
+    return Counter({w["word"]: w["n"] for w in words})
+
+
+def _counted(rows: DataFrame, among: set[bytes] | None) -> DataFrame:
+    """(sign, n): texts of the sample that have a sign, of all or of given ones; counted in each task, then summed."""
+
+    def run(batches):
+        counter: Counter = Counter()
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                counter.update(signs_of(_again(words), among))
+        yield pa.RecordBatch.from_pydict({"sign": pa.array(list(counter), pa.binary()), "n": pa.array(list(counter.values()), pa.int64())})
+
+    return rows.select("words").mapInArrow(run, "sign binary, n long").groupBy("sign").agg(F.sum("n").alias("n"))
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic"
 ) -> ToxicityModel:
@@ -92,28 +126,31 @@ def fit(
 
     def split(batches):
         for batch in batches:
-            words = [sorted(words_of(t.as_py())) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("positive"), pa.array(words, pa.list_(pa.binary()))], names=["id", "positive", "words"])
+            words = [sorted(words_of(t.as_py()).items()) for t in batch.column("t")]
+            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+            words = pa.array([[{"word": w, "n": n} for w, n in ws] for ws in words], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("positive"), words], names=["id", "positive", "words"])
 
-    rows = plain.mapInArrow(split, "id long, positive boolean, words array<binary>")
+    rows = plain.mapInArrow(split, "id long, positive boolean, words array<struct<word:binary,n:int>>")
     rows = materialize(rows.dropDuplicates(["positive", "words"]), "sample_words")  # copies tell nothing new
     size = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
     n_pos, n_unl = size.get(True, 0), size.get(False, 0)
     if not n_pos or not n_unl:
         return ToxicityModel([], np.zeros(0), float(np.log(prior / (1 - prior))))
-    counts = rows.select("positive", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")
-    )
-    usual = (F.col("u") + F.col("p") + 1) / F.lit(n_unl + n_pos + 2.0)
-    apart = (F.col("p") / n_pos - F.col("u") / n_unl) / F.sqrt(usual * (1 - usual) * (1.0 / n_pos + 1.0 / n_unl))
-    telling = counts.where("p + u >= 5").withColumn("apart", F.abs(apart)).where(F.col("apart") >= APART)
-    chosen = telling.orderBy(F.desc("apart"), "word").limit(WORDS).select("word").collect()
-    words = [bytes(r["word"]) for r in chosen]
+    often = _counted(rows.where("positive"), None).where("n >= 5").orderBy(F.desc("n"), "sign").limit(CANDIDATES)
+    in_pos = {bytes(r["sign"]): r["n"] for r in often.collect()}
+    in_unl = {bytes(r["sign"]): r["n"] for r in _counted(rows.where("not positive"), set(in_pos)).collect()}
+    apart = {}
+    for w, p in in_pos.items():
+        u = in_unl.get(w, 0)
+        usual = (p + u + 1) / (n_pos + n_unl + 2)
+        apart[w] = (p / n_pos - u / n_unl) / np.sqrt(usual * (1 - usual) * (1 / n_pos + 1 / n_unl))
+    words = sorted((w for w in apart if apart[w] >= APART), key=lambda w: (-apart[w], w))[:WORDS]
     number = {w: i for i, w in enumerate(words)}
 
     def look(batches):
         for batch in batches:
-            found = [[number[w] for w in ws if w in number] for ws in batch.column("words").to_pylist()]
+            found = [[number[w] for w in signs_of(_again(ws), number)] for ws in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], names=["positive", "words"])
 
     got = rows.select("positive", "words").mapInArrow(look, "positive boolean, words array<int>").collect()  # a bounded sample
