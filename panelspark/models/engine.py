@@ -30,7 +30,7 @@ from .spec import FitResult, ModelSpec, column_of, label_of
 
 PIVOT_TOL = 1e-9
 ABSORB_TOL = 1e-12
-MAX_SLOTS = 40
+ROUNDING = 1e-14
 
 
 # -- stacking -----------------------------------------------------------------
@@ -57,9 +57,8 @@ class _Batch:
         self.group = group
         self.width = max(len(s.columns) for s in specs)
         self.degree = max((s.trend[1] if s.trend else 0) for s in specs)
-        if self.width + self.degree > MAX_SLOTS:
-            raise ValueError(f"a model has more than {MAX_SLOTS} columns; absorb factors instead of listing dummies")
         self.p = self.width + self.degree
+        self.absorbed = any(s.entity for s in specs)
         self.plans: list[_Plan] = []
 
 
@@ -80,10 +79,9 @@ def _distinct_columns(specs: Sequence[ModelSpec]) -> dict:
     return out
 
 
-def _centre_and_scale(rows: DataFrame, names: Sequence[str]) -> tuple[dict[str, tuple[float, float]], int]:
-    """Mean and spread of each column, and the number of rows."""
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    aggs += [a for c in names for a in (F.avg(c).alias(f"m{c}"), F.stddev_pop(c).alias(f"s{c}"))]
+def _centre_and_scale(rows: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and spread of each column."""
+    aggs = [a for c in names for a in (F.avg(c).alias(f"m{c}"), F.stddev_pop(c).alias(f"s{c}"))]
     got = rows.agg(*aggs).first()
     out = {}
     for c in names:
@@ -91,21 +89,7 @@ def _centre_and_scale(rows: DataFrame, names: Sequence[str]) -> tuple[dict[str,
         m = 0.0 if m is None else float(m)
         s = 1.0 if s is None or s == 0.0 or s < 1e-14 * abs(m) else float(s)
         out[c] = (m, s)
-    return out, int(got["n_rows"])
-
-
-# Stacked rows a task should have at least before the work is spread further.
-STACKED_ROWS_PER_TASK = 250_000
-
-
-def _spread(rows: DataFrame, n_rows: int, n_models: int) -> DataFrame:
-    """A panel of few partitions would keep the stacked work (rows × models) in few tasks."""
-    wanted = min(
-        rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows * n_models / STACKED_ROWS_PER_TASK)
-    )
-    if n_models < 4 or wanted < 2:
-        return rows
-    return rows.repartition(wanted) if wanted > 1.5 * rows.rdd.getNumPartitions() else rows
+    return out
 
 
 def _stack(rows: DataFrame, batch: _Batch, names: dict, scales: dict) -> DataFrame:
@@ -204,16 +188,22 @@ def _model_in(members: Sequence[int]) -> str:
     return f"model IN ({', '.join(map(str, members))})" if members else "false"
 
 
-def _group_moments(stacked: DataFrame, group: Sequence[str], p: int) -> DataFrame:
+def _group_moments(stacked: DataFrame, group: Sequence[str], p: int, absorbed: bool) -> DataFrame:
+    """Counts, sums and cross-products by group. For absorbed groups the co-moments about the group's own means (``C``) are
+    aggregated, which stays exact however far apart the groups lie; the raw cross-products follow from them."""
     aggs = [F.expr("count(1) AS n")]
     aggs += [F.expr(f"sum(v{i}) AS s_{i}") for i in range(p)]
-    aggs += [F.expr(f"sum(v{i} * v{j}) AS S_{i}_{j}") for i, j in _pairs(p)]
-    return stacked.groupBy("model", *group).agg(*aggs)
+    if not absorbed:
+        aggs += [F.expr(f"sum(v{i} * v{j}) AS S_{i}_{j}") for i, j in _pairs(p)]
+        return stacked.groupBy("model", *group).agg(*aggs)
+    aggs += [F.expr(f"count(1) * covar_pop(v{i}, v{j}) AS C_{i}_{j}") for i, j in _pairs(p)]
+    table = stacked.groupBy("model", *group).agg(*aggs)
+    return table.selectExpr("*", *[f"C_{i}_{j} + s_{i} * s_{j} / n AS S_{i}_{j}" for i, j in _pairs(p)])
 
 
 def _absorb(table: DataFrame, batch: _Batch) -> DataFrame:
     """Adds A_i_j, the cross-products net of the model's absorbed effects, the number of effects
-    (``rank``), and per slot the mean and the trend slopes that were removed."""
+    (``rank``), per slot the mean and the trend slopes that were removed, and W_i, the square sum before trends."""
     p, width = batch.p, batch.width
     fe = _model_in([i for i, s in enumerate(batch.specs) if s.entity])
     table = table.selectExpr(
@@ -221,7 +211,9 @@ def _absorb(table: DataFrame, batch: _Batch) -> DataFrame:
         *[f"CASE WHEN {fe} THEN s_{i} / n ELSE 0.0D END AS a_{i}" for i in range(p)],
         f"CASE WHEN {fe} THEN 1 ELSE 0 END AS rank",
     )
-    table = table.selectExpr("*", *[f"S_{i}_{j} - a_{i} * s_{j} AS A_{i}_{j}" for i, j in _pairs(p)])
+    net = "CASE WHEN {fe} THEN C_{i}_{j} ELSE S_{i}_{j} END" if batch.absorbed else "S_{i}_{j}"
+    table = table.selectExpr("*", *[net.format(fe=fe, i=i, j=j) + f" AS A_{i}_{j}" for i, j in _pairs(p)])
+    table = table.selectExpr("*", *[f"A_{i}_{i} AS W_{i}" for i in range(width)])
     for d in range(batch.degree):
         t = width + d
         usable = f"({fe} AND {_at('A', t, t)} > {ABSORB_TOL}D * {_at('S', t, t)})"
@@ -245,6 +237,7 @@ def _totals(table: DataFrame, batch: _Batch) -> dict[int, dict]:
     aggs = [F.expr(e) for e in ("sum(n) AS n", "sum(rank) AS rank", "count(1) AS groups")]
     aggs += [F.expr(f"sum(s_{i}) AS s_{i}") for i in range(width)]
     aggs += [F.expr(f"sum(S_{i}_{i}) AS S_{i}_{i}") for i in range(width)]
+    aggs += [F.expr(f"sum(W_{i}) AS W_{i}") for i in range(width)]
     aggs += [F.expr(f"sum(A_{i}_{j}) AS A_{i}_{j}") for i, j in _pairs(width)]
     if batch.group:
         first = F.struct(*batch.group)
@@ -296,7 +289,8 @@ def _solve(plan: _Plan, tot: dict, width: int) -> _Solution:
     for i in range(1, size):
         for j in range(i, size):
             gram[i, j] = gram[j, i] = tot[f"A_{i - 1}_{j - 1}"]
-        ref[i] = tot[f"S_{i - 1}_{i - 1}"]
+        # within square sum; below the floor a column is constant in every group but for rounding
+        ref[i] = max(tot[f"W_{i - 1}"], ROUNDING * tot[f"S_{i - 1}_{i - 1}"])
     spec = plan.spec
     own_const = spec.constant and not spec.entity
     if own_const:
@@ -632,8 +626,7 @@ def fit_all(
 
 
 def _fit_rows(rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, keep_effects: bool) -> list[FitResult]:
-    scales, n_rows = _centre_and_scale(rows, list(names_by_key.values()))
-    rows = _spread(rows, n_rows, len(specs))
+    scales = _centre_and_scale(rows, list(names_by_key.values()))
     batches: dict[tuple, list[int]] = {}
     for i, s in enumerate(specs):
         batches.setdefault((_group_of(s), (*s.entity, *s.cluster)), []).append(i)
@@ -641,7 +634,7 @@ def _fit_rows(rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, k
     for (group, _), members in batches.items():
         batch = _Batch([specs[i] for i in members], group)
         stacked = _stack(rows, batch, names_by_key, scales)
-        table = _absorb(_group_moments(stacked, group, batch.p), batch)
+        table = _absorb(_group_moments(stacked, group, batch.p, batch.absorbed), batch)
         reused = bool(group)
         if reused:
             table = table.persist(StorageLevel.MEMORY_AND_DISK)

@@ -55,11 +55,14 @@ def gram_by(df: DataFrame, cols: Sequence[str], by: Column | None = None) -> dic
     return out
 
 
+SWEEPS = 1_000_000  # a fit that needs more fails
+
+
 def _soft(value: float, by: float) -> float:
     return np.sign(value) * max(abs(value) - by, 0.0)
 
 
-def _descend(gram: np.ndarray, lambdas: Sequence[float], tol: float = 1e-12, steps: int = 10000) -> np.ndarray:
+def _descend(gram: np.ndarray, lambdas: Sequence[float], tol: float = 1e-12) -> np.ndarray:
     """Coefficients for each lambda on (1/2n)|y − Xb|² + lambda·|b| without intercept.
 
     ``gram`` is over (1, y, x…). Inside, each x is divided by its population sd.
@@ -73,7 +76,7 @@ def _descend(gram: np.ndarray, lambdas: Sequence[float], tol: float = 1e-12, ste
     b = np.zeros(len(c))
     out = np.zeros((len(lambdas), len(c)))
     for row, lam in enumerate(lambdas):
-        for _ in range(steps):
+        for _ in range(SWEEPS):
             biggest = 0.0
             for j in range(len(c)):
                 if a[j, j] <= 0.0:
@@ -83,6 +86,8 @@ def _descend(gram: np.ndarray, lambdas: Sequence[float], tol: float = 1e-12, ste
                 b[j] = new
             if biggest < tol * (1.0 + np.abs(b).max()):
                 break
+        else:
+            raise ArithmeticError(f"no convergence in {SWEEPS} sweeps at lambda {lam}")
         out[row] = b / sd
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clean import complete_cases
+from ..session import materialize
 from .engine import fit_all
 from .spec import FitResult, ModelSpec, column_of, label_of
 
@@ -90,49 +92,81 @@ def fitted(df: DataFrame, spec: ModelSpec, name: str) -> DataFrame:
 
 # -- period effects next to entity effects -------------------------------------
 
-MAX_PERIODS = 2000
+STEPS = 1000  # conjugate-gradient steps; a system that needs more fails
+CLOSE = 1e-12
 
 
-def remove_period_effects(df: DataFrame, spec: ModelSpec, period: str) -> tuple[DataFrame, ModelSpec]:
-    """Complete-case rows with exact period effects taken out of every model column.
+def _period_effects(cells: DataFrame, entity: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(__p, d<col>…): period effects net of entity effects for every column, by conjugate gradients.
 
-    The period effects net of entity effects solve a periods × periods system. Its matrix needs
-    the number of rows per (entity, period) only; the right-hand sides are period sums of the
-    entity-demeaned columns. Afterwards the entity effect alone is left to absorb.
+    The matrix is diag(rows per period) less the overlap of periods through entities; it is applied by two joins and
+    two aggregates of the cells table (rows and sums per entity and period), all columns at once. Vectors over periods stay in
+    written tables; the driver sees two numbers per column and step.
     """
+    ids = range(len(cols))
+    totals = materialize(
+        cells.groupBy(*entity).agg(F.sum("n").alias("__n"), *[(F.sum(c) / F.sum("n")).alias(f"m{c}") for c in cols]), "entity-means"
+    )
+    state = (
+        cells.join(totals, list(entity))
+        .groupBy("__p")
+        .agg(F.sum("n").alias("np"), *[F.sum(F.col(c) - F.col("n") * F.col(f"m{c}")).alias(f"r{i}") for i, c in zip(ids, cols)])
+        .select("__p", "np", *[f"r{i}" for i in ids], *[(F.col(f"r{i}") / F.col("np")).alias(f"d{i}") for i in ids], *[F.lit(0.0).alias(f"x{i}") for i in ids])
+    )
+    state = materialize(state, "periods")
+
+    def sums(df: DataFrame, product) -> list[float]:
+        got = df.agg(*[F.sum(product(i)).alias(f"s{i}") for i in ids]).first()
+        return [float(got[f"s{i}"] or 0.0) for i in ids]
+
+    left = sums(state, lambda i: F.col(f"r{i}") * F.col(f"r{i}") / F.col("np"))
+    start = list(left)
+    for _ in range(STEPS):
+        if all(now <= CLOSE**2 * first for now, first in zip(left, start)):
+            break
+        near = (
+            cells.select(*entity, "__p", "n").join(state.select("__p", *[f"d{i}" for i in ids]), "__p")
+            .groupBy(*entity).agg(*[(F.sum(F.col("n") * F.col(f"d{i}")) / F.sum("n")).alias(f"u{i}") for i in ids])
+        )
+        pulled = cells.select(*entity, "__p", "n").join(near, list(entity)).groupBy("__p").agg(*[F.sum(F.col("n") * F.col(f"u{i}")).alias(f"q{i}") for i in ids])
+        both = materialize(
+            state.join(pulled, "__p").select(*state.columns, *[(F.col("np") * F.col(f"d{i}") - F.col(f"q{i}")).alias(f"q{i}") for i in ids]), "step"
+        )
+        curve = sums(both, lambda i: F.col(f"d{i}") * F.col(f"q{i}"))
+        step = [now / c if c > 0 and now > CLOSE**2 * first else 0.0 for now, c, first in zip(left, curve, start)]
+        moved = both.select(
+            "__p", "np",
+            *[(F.col(f"r{i}") - F.lit(step[i]) * F.col(f"q{i}")).alias(f"r{i}") for i in ids],
+            *[f"d{i}" for i in ids],
+            *[(F.col(f"x{i}") + F.lit(step[i]) * F.col(f"d{i}")).alias(f"x{i}") for i in ids],
+        )
+        after = sums(moved, lambda i: F.col(f"r{i}") * F.col(f"r{i}") / F.col("np"))
+        turn = [a / b if b > 0 else 0.0 for a, b in zip(after, left)]
+        state = materialize(moved.withColumns({f"d{i}": F.col(f"r{i}") / F.col("np") + F.lit(turn[i]) * F.col(f"d{i}") for i in ids}), "periods")
+        left = after
+    else:
+        raise ArithmeticError(f"period effects do not converge in {STEPS} steps")
+    return state.select("__p", *[F.col(f"x{i}").alias(f"d{c}") for i, c in zip(ids, cols)])
+
+
+def remove_period_effects(df: DataFrame, spec: ModelSpec, period: str) -> tuple[DataFrame, ModelSpec, float]:
+    """Complete-case rows with exact period effects taken out of every model column, the model for them, and the
+    total square sum of y before. Afterwards the entity effect alone is left to absorb."""
     labels = [label_of(t) for t in spec.columns]
     cols = [f"__w{i}" for i in range(len(labels))]
     rows = df.select(
         *dict.fromkeys((*spec.entity, *spec.cluster)), F.col(period).alias("__p"), *[column_of(t).alias(c) for t, c in zip(spec.columns, cols)]
     )
-    rows = complete_cases(rows, rows.columns)
+    rows = materialize(complete_cases(rows, rows.columns), "two-way")
     entity = list(spec.entity)
     if not entity:
         raise ValueError("without an entity effect the period can be absorbed as the entity")
-    periods = [r[0] for r in rows.select("__p").distinct().orderBy("__p").limit(MAX_PERIODS + 1).collect()]
-    if len(periods) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods")
-    at = {v: i for i, v in enumerate(periods)}
-    cells = rows.groupBy(*entity, "__p").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in cols])
-    means = rows.groupBy(*entity).agg(F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(f"m{c}") for c in cols])
-    rhs = (
-        cells.join(means, entity)
-        .groupBy("__p")
-        .agg(F.sum("n").alias("n"), *[F.sum(F.col(c) - F.col("n") * F.col(f"m{c}")).alias(c) for c in cols])
-    )
-    size = len(periods)
-    b = np.zeros((size, len(cols)))
-    a = np.zeros((size, size))
-    for r in rhs.collect():  # one row per period
-        a[at[r["__p"]], at[r["__p"]]] = r["n"]
-        b[at[r["__p"]]] = [r[c] for c in cols]
-    a -= _overlap(cells, entity, at)
-    delta = np.linalg.lstsq(a, b, rcond=1e-10)[0]
-    table = df.sparkSession.createDataFrame(
-        [(v, *[float(x) for x in delta[i]]) for v, i in at.items()],
-        "__p " + rows.schema["__p"].dataType.simpleString() + ", " + ", ".join(f"d{c} double" for c in cols),
-    )
-    cleaned = rows.join(F.broadcast(table), ["__p"]).withColumns({c: F.col(c) - F.col(f"d{c}") for c in cols})
+    # Centred, so that sums over cells keep the digits of the variation.
+    facts = rows.agg(F.countDistinct("__p").alias("periods"), F.count(F.lit(1)).alias("n"), F.var_pop(cols[0]).alias("var"), *[F.avg(c).alias(c) for c in cols]).first()
+    centred = {c: F.col(c) - F.lit(facts[c]) for c in cols}
+    cells = materialize(rows.groupBy(*entity, "__p").agg(F.count(F.lit(1)).alias("n"), *[F.sum(centred[c]).alias(c) for c in cols]), "cells")
+    effects = materialize(_period_effects(cells, entity, cols), "period-effects")
+    cleaned = rows.join(effects, ["__p"]).withColumns({c: F.col(c) - F.col(f"d{c}") for c in cols})
     back = dict(zip(labels, cols))
 
     def moved(terms: Sequence):
@@ -144,52 +178,17 @@ def remove_period_effects(df: DataFrame, spec: ModelSpec, period: str) -> tuple[
         x=moved(spec.x),
         endog=moved(spec.endog),
         instruments=moved(spec.instruments),
-        extra_k=spec.extra_k + size - 1,
+        extra_k=spec.extra_k + facts["periods"] - 1,
     )
-    return cleaned, new
-
-
-def _overlap(cells: DataFrame, entity: Sequence[str], at: dict) -> np.ndarray:
-    """Σ over entities of n_p·n_q / n: each task adds up its entities' period counts as one
-    dense block, so a task gives at most periods² cells whatever its number of entities."""
-    size = len(at)
-    codes = cells.sparkSession.createDataFrame(
-        list(at.items()), "__p " + cells.schema["__p"].dataType.simpleString() + ", code int"
-    )
-    lists = (
-        cells.join(F.broadcast(codes), ["__p"])
-        .groupBy(*entity)
-        .agg(F.collect_list(F.struct("code", "n")).alias("cells"))  # at most one cell per period
-        .select(
-            F.transform("cells", lambda c: c["code"]).alias("code"), F.transform("cells", lambda c: c["n"]).alias("n")
-        )
-    )
-
-    def blocks(frames):
-        import pandas as pd
-
-        total = np.zeros((size, size))
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            m = np.zeros((len(pdf), size))
-            for i, (code, n) in enumerate(zip(pdf["code"], pdf["n"])):
-                m[i, np.asarray(code, dtype=int)] = np.asarray(n, dtype=float)
-            m /= np.sqrt(m.sum(axis=1, keepdims=True))
-            total += m.T @ m
-        i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "v": total[i, j]})
-
-    out = np.zeros((size, size))
-    sums = lists.mapInPandas(blocks, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    for r in sums.collect():  # at most periods² rows
-        out[r["i"], r["j"]] = r["v"]
-    return out
+    return cleaned, new, float(facts["var"] * facts["n"])
 
 
 def fit_two_way(df: DataFrame, spec: ModelSpec, period: str) -> FitResult:
-    """Model with entity and period effects."""
-    rows, inner = remove_period_effects(df, replace(spec, constant=False), period)
+    """Model with entity and period effects. R² counts both kinds of effects as explained."""
+    rows, inner, total = remove_period_effects(df, replace(spec, constant=False), period)
     result = fit(rows, inner)
     result.spec = replace(spec, constant=False, extra_k=inner.extra_k)
+    free = result.n - result.k
+    result.r2 = 1.0 - result.rss / total if total > 0 else math.nan
+    result.adj_r2 = 1.0 - (1.0 - result.r2) * (result.n - 1) / free if free > 0 else math.nan
     return result

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_col, blank_to_null
+from .joins import assert_unique
 
 
 def columns_from(df: DataFrame, start: int, stop: int | None = None, also: Sequence[int] = ()) -> list[str]:
@@ -84,29 +85,20 @@ def replace_if(df: DataFrame, col: str, cond: Column, value) -> DataFrame:
     return df.withColumn(col, F.when(cond, new).otherwise(F.col(col)))
 
 
-# Literal recode lists longer than this are joined as a table.
-INLINE_RECODES = 100
-
-
 def recode(df: DataFrame, col: str, mapping: Mapping[str, str] | DataFrame, trim: bool = False) -> DataFrame:
     """Replace listed values of a key, leave all others.
 
-    A short mapping becomes one CASE expression. A mapping table has columns ``old`` and
-    ``new`` and is joined; Spark broadcasts it when it is small.
+    A mapping becomes one lookup in a constant map. A mapping table has columns ``old`` and ``new``; it is joined,
+    and the job fails if an ``old`` value repeats in it.
     """
     source = F.trim(F.col(col)) if trim else F.col(col)
-    if isinstance(mapping, Mapping) and len(mapping) <= INLINE_RECODES:
-        out = source
-        case = None
-        for old, new in mapping.items():
-            case = F.when(source == old, new) if case is None else case.when(source == old, new)
-        if case is not None:
-            out = case.otherwise(source)
-        return df.withColumn(col, out)
     if isinstance(mapping, Mapping):
-        mapping = df.sparkSession.createDataFrame(list(mapping.items()), "old string, new string")
+        if not mapping:
+            return df.withColumn(col, source)
+        pairs = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+        return df.withColumn(col, F.coalesce(F.try_element_at(pairs, source), source))
     names = df.columns
-    table = mapping.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+    table = assert_unique(mapping.where("old IS NOT NULL").select(F.col("old").alias("__old"), F.col("new").alias("__new")), ["__old"], "recode")
     joined = df.withColumn(col, source).join(table, F.col(col) == F.col("__old"), "left")
     return joined.withColumn(col, F.coalesce("__new", col)).select(*[F.col(f"`{c}`") for c in names])
 

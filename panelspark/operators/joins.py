@@ -56,14 +56,14 @@ def _decode(df: DataFrame, keys: Sequence[str], others: Sequence[str]) -> DataFr
     return df.select(*back, *[F.col(f"`{c}`") for c in others])
 
 
-def _assert_unique(df: DataFrame, on: Sequence[str], what: str) -> DataFrame:
+def assert_unique(df: DataFrame, on: Sequence[str], what: str) -> DataFrame:
     """Fails the job on the first repeated key.
 
     The row number runs over the partitioning and order that the sort-merge join on the same
     keys needs anyway, and it streams: no group is held in memory.
     """
     w = Window.partitionBy(*on).orderBy(*on)
-    failed = F.raise_error(F.lit(f"key is not unique in the {what} table of a merge")).cast("boolean")
+    failed = F.raise_error(F.lit(f"key is not unique in the {what} table")).cast("boolean")
     return (
         df.withColumn("__rn", F.row_number().over(w))
         .filter(F.when(F.col("__rn") > 1, failed).otherwise(F.lit(True)))
@@ -89,9 +89,9 @@ def _merge_encoded(left: DataFrame, side: Side, on: list[str], taken: set[str],
     fresh = [c for c in right.columns if c not in on and c not in taken]
     right = right.select(*on, *[F.col(f"`{c}`") for c in fresh])
     if not side.known_unique:
-        right = _assert_unique(right, on, "right")
+        right = assert_unique(right, on, "right")
     if check_left and side.card == "1:1":
-        left = _assert_unique(left, on, "left")
+        left = assert_unique(left, on, "left")
     if side.indicator:
         left = left.withColumn("__l", F.lit(True))
         right = right.withColumn("__r", F.lit(True))

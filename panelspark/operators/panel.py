@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import days_between, safe_div, safe_ln
 from ..session import materialize
 from .aggregates import argmin_rows, attach_group_stats
-from .joins import merge
+from .joins import assert_unique, merge
 from .reshape import calendar
 
 _LAST_BLOCK = 2**62
@@ -48,17 +48,22 @@ class Panel:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.entity).orderBy(*self.order)
 
-    def position(self) -> Column:
-        """Time as one integer (composite keys count 100 sub-periods per period)."""
-        types = {f.name: f.dataType for f in self.df.schema.fields}
-        out = F.lit(0).cast("long")
+    def unique(self) -> Panel:
+        """The same panel, whose use fails on the first repeated (entity, time) pair. The streaming check runs over
+        the partitioning that the ordered functions need anyway."""
+        return self.with_df(assert_unique(self.df, [*self.entity, *self.time], "panel"))
+
+    def blocked(self) -> DataFrame:
+        """Rows with the number ``__b`` of their block of ``block`` periods. Periods are numbered by the dense rank of
+        the distinct time keys, whatever their types; rows without a time key form the last block."""
+        cond = F.lit(True)
         for t in self.time:
-            if isinstance(types[t], T.DateType):
-                here = F.unix_date(F.col(t)).cast("long")
-            else:
-                here = F.col(t).cast("long")
-            out = out * 100 + here if len(self.time) > 1 else here
-        return out
+            cond = cond & F.col(t).isNotNull()
+        periods = _numbered(self.df.select(*self.time).where(cond).distinct(), self.time, "__at")
+        periods = materialize(periods, "periods")
+        numbered = self.df.join(periods, list(self.time), "left")
+        block = F.floor((F.col("__at") - 1) / F.lit(self.block)).cast("long")
+        return numbered.select(*[F.col(f"`{c}`") for c in self.df.columns], F.coalesce(block, F.lit(_LAST_BLOCK)).alias("__b"))
 
 
 def over_rows(panel: Panel, reach: int, build: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
@@ -67,9 +72,7 @@ def over_rows(panel: Panel, reach: int, build: Callable[[DataFrame, WindowSpec],
         return build(panel.df, panel.window())
 
     names = panel.df.columns
-    blocked = panel.df.withColumn(
-        "__b", F.coalesce(F.floor(panel.position() / F.lit(panel.block)).cast("long"), F.lit(_LAST_BLOCK))
-    )
+    blocked = panel.blocked()
     inside = [*panel.entity, "__b"]
     backwards = Window.partitionBy(*inside).orderBy(*[F.col(t).desc_nulls_first() for t in panel.time])
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
@@ -235,9 +238,7 @@ def fill_forward(panel: Panel, cols: Sequence[str]) -> DataFrame:
         w = panel.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return panel.df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
     names = panel.df.columns
-    df = panel.df.withColumn(
-        "__b", F.coalesce(F.floor(panel.position() / F.lit(panel.block)).cast("long"), F.lit(_LAST_BLOCK))
-    )
+    df = panel.blocked()
     inside = [*panel.entity, "__b"]
     at = F.struct(*panel.time)
     ends = df.groupBy(*inside).agg(
@@ -282,44 +283,27 @@ def zscore(df: DataFrame, cols: Mapping[str, str], strict: bool = False) -> Data
     return df.withColumns({o: safe_div(F.col(c) - scalars[f"m_{c}"], scalars[f"s_{c}"]) for c, o in cols.items()})
 
 
-# Entities up to this number are numbered in one sorted task.
-ID_ROWS_IN_ONE_TASK = 200_000
-
-
-def _few_values(df: DataFrame, col: str, limit: int) -> tuple[DataFrame, bool]:
-    values = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    return values, values.limit(limit + 1).count() <= limit
-
-
-def _numbered(values: DataFrame, col: str, name: str, few: bool) -> DataFrame:
-    if few:
-        return values.select(col, F.row_number().over(Window.orderBy(col)).alias(name))
-    ranged = values.repartitionByRange(col).withColumn("__p", F.spark_partition_id())
+def _numbered(values: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
+    """Distinct rows numbered from 1 in sorted order: sorted ranges are written, counted per range, and numbered with
+    the range's offset, so no task holds more than its range."""
+    ranged = values.repartitionByRange(*cols).withColumn("__p", F.spark_partition_id())
     ranged = materialize(ranged, "ids")
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = counts.select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__o"))
-    w = Window.partitionBy("__p").orderBy(col)
-    return ranged.join(F.broadcast(offsets), ["__p"]).select(
-        col, (F.row_number().over(w) + F.col("__o")).cast("int").alias(name)
-    )
+    w = Window.partitionBy("__p").orderBy(*cols)
+    return ranged.join(offsets, ["__p"]).select(*cols, (F.row_number().over(w) + F.col("__o")).cast("int").alias(name))
 
 
-def dense_ids(df: DataFrame, col: str, name: str, one_task_rows: int = ID_ROWS_IN_ONE_TASK) -> DataFrame:
-    """Table (entity, id) numbering the distinct entities 1..N in sorted order.
-
-    Beyond ``one_task_rows`` entities the sorted ranges are written, counted per range, and
-    numbered with the range's offset, so no task holds more than its range.
-    """
-    values, few = _few_values(df, col, one_task_rows)
-    return _numbered(values, col, name, few)
+def dense_ids(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Table (entity, id) numbering the distinct entities 1..N in sorted order."""
+    return _numbered(df.select(col).filter(F.col(col).isNotNull()).distinct(), [col], name)
 
 
 def with_dense_id(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Adds the id. The entities are counted first, so ``df`` should be a written table."""
-    values, few = _few_values(df, col, ID_ROWS_IN_ONE_TASK)
-    ids = _numbered(values, col, name, few)
-    return df.join(F.broadcast(ids) if few else ids, [col], "left").select(*df.columns, name)
+    """Adds the id; ``df`` is read twice, so it should be a written table."""
+    ids = materialize(dense_ids(df, col, name), "ids")
+    return df.join(ids, [col], "left").select(*df.columns, name)
 
 
 def shift_share(panel: Panel, share: str, national: str, name: str) -> DataFrame:

@@ -37,19 +37,26 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
 
 
 def read_wide_csv(
-    spark: SparkSession, path: str, id_types: dict[str, str], value_type: str, sep: str = ","
+    spark: SparkSession, path: str | Sequence[str], id_types: dict[str, str], value_type: str, sep: str = ","
 ) -> DataFrame:
-    """Wide matrix file: known id columns, every other header becomes a value column."""
-    fields = [
-        T.StructField(name, T._parse_datatype_string(id_types.get(name, value_type)))
-        for name in header_of(spark, path, sep)
-    ]
-    return spark.read.option("header", True).option("sep", sep).schema(T.StructType(fields)).csv(path)
+    """Wide matrix files: known id columns, every other header becomes a value column. Each file is read by its own
+    header and the files are matched by name: a column that some file lacks is missing on its rows."""
+    out = None
+    for one in [path] if isinstance(path, str) else path:
+        names = header_of(spark, one, sep)
+        lacking = [c for c in id_types if c not in names]
+        if lacking:
+            raise ValueError(f"{one} has no column {lacking}")
+        fields = [T.StructField(name, T._parse_datatype_string(id_types.get(name, value_type))) for name in names]
+        reader = spark.read.option("header", True).option("enforceSchema", False).option("sep", sep)
+        rows = reader.schema(T.StructType(fields)).csv(one)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def read_years(spark: SparkSession, paths: Sequence[str], schema: str | T.StructType, sep: str = ",") -> DataFrame:
-    """Yearly files stacked in one scan; the year is read from the file name."""
-    df = spark.read.option("header", True).option("sep", sep).schema(schema).csv(list(paths))
+    """Yearly files stacked in one scan; the year is read from the file name. A file whose header is not the schema's fails."""
+    df = spark.read.option("header", True).option("enforceSchema", False).option("sep", sep).schema(schema).csv(list(paths))
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     in_name = F.regexp_extract(name, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +34,26 @@ class ModelStore:
 
     def save(self, store: str, results: Sequence) -> None:
         """Replace the store with the results, numbered from 1."""
+        self._write(store, results, 1, "overwrite")
+
+    def append(self, store: str, results: Sequence) -> None:
+        """Add the results after the store's last one; a new store begins at 1."""
+        self._write(store, results, 1 + self._size(store), "append")
+
+    def _size(self, store: str) -> int:
+        try:
+            return self.models(store).agg(F.max("position")).first()[0] or 0
+        except AnalysisException:  # nothing was stored yet
+            return 0
+
+    def _write(self, store: str, results: Sequence, first: int, mode: str) -> None:
         coefs, models = [], []
-        for position, r in enumerate(results, start=1):
+        for position, r in enumerate(results, start=first):
             coefs += [(store, position, *row) for row in r.coefficient_rows()]
             models.append((store, position, *r.model_row()))
-        self._write("coefficients", coefs, COEFFICIENT_SCHEMA, store)
-        self._write("models", models, MODEL_SCHEMA, store)
-
-    def _write(self, part: str, rows, schema: str, store: str) -> None:
-        df = self.spark.createDataFrame(rows, schema).coalesce(1)
-        df.drop("store").write.mode("overwrite").parquet(f"{self.path}/{part}/store={store}")
+        for part, rows, schema in (("coefficients", coefs, COEFFICIENT_SCHEMA), ("models", models, MODEL_SCHEMA)):
+            df = self.spark.createDataFrame(rows, schema).coalesce(1)
+            df.drop("store").write.mode(mode).parquet(f"{self.path}/{part}/store={store}")
 
     def coefficients(self, store: str, position: int | None = None) -> DataFrame:
         return self._read("coefficients", COEFFICIENT_SCHEMA, store, position)

@@ -206,7 +206,7 @@ def w12(spark, sf):
 
 @query("W12_dense_id_by_ranges", "SELECT c_name, CAST(dense_rank() OVER (ORDER BY c_name) AS INTEGER) AS id FROM customer")
 def w12_ranges(spark, sf):
-    return P.dense_ids(table(spark, sf, "customer"), "c_name", "id", one_task_rows=100)
+    return P.dense_ids(table(spark, sf, "customer"), "c_name", "id")
 
 
 @query(

@@ -143,6 +143,61 @@ def test_two_way_effects(df, sample):
     ref = dense(s.y.values, x, vce="cluster", cluster=s.g.values)
     fit = linear.fit_two_way(df, ModelSpec("tw", "y", ["x", "w"], entity="g", vce="cluster", cluster="g"), "t")
     check(fit, ref, count=2)
+    q, _ = np.linalg.qr(x)
+    y = s.y.values
+    r2 = 1 - np.sum((y - q @ (q.T @ y)) ** 2) / np.sum((y - y.mean()) ** 2)
+    assert fit.r2 == pytest.approx(r2, rel=1e-8)
+    assert fit.adj_r2 == pytest.approx(1 - (1 - r2) * (len(y) - 1) / (len(y) - ref[2]), rel=1e-8)
+
+
+def test_two_way_effects_of_many_periods(spark):
+    rng = np.random.default_rng(3)
+    g, t = np.repeat(np.arange(12), 2500), np.tile(np.arange(2500), 12)
+    keep = rng.random(len(g)) < 0.7
+    g, t = g[keep], t[keep]
+    x = rng.normal(size=len(g)) + 0.1 * g + np.sin(t)
+    y = 1.5 * x + g + 3 * np.cos(t) + rng.normal(size=len(g))
+    frame = spark.createDataFrame(pd.DataFrame(dict(g=g, t=t, x=x, y=y)))
+    fit = linear.fit_two_way(frame, ModelSpec("tw", "y", ["x"], entity="g", vce="classical"), "t")
+    a, b = x.copy(), y.copy()
+    for v in (a, b):
+        for _ in range(200):
+            for k in (g, t):
+                v -= (np.bincount(k, v) / np.maximum(np.bincount(k), 1))[k]
+    assert fit.coef("x") == pytest.approx(a @ b / (a @ a), rel=1e-9)
+
+
+def test_entities_far_apart(spark):
+    rng = np.random.default_rng(5)
+    g = np.repeat(np.arange(8), 40)
+    t = np.tile(np.arange(40.0), 8)
+    x = rng.normal(size=len(g)) + 1e6 * g
+    w = rng.normal(size=len(g)) - 1e6 * g
+    y = 1.5 * x - 0.5 * w + rng.normal(size=len(g)) + 1e7 * g
+    frame = spark.createDataFrame(pd.DataFrame(dict(g=g, t=t, x=x, w=w, y=y, fixed=1.1 * g)))
+    c = {"vce": "cluster", "cluster": "g"}
+    fits = engine.fit_all(frame, [ModelSpec("fe", "y", ["x", "w", "fixed"], entity="g", **c), ModelSpec("hc", "y", ["x", "w"], entity="g"), ModelSpec("tr", "y", ["x", "w"], entity="g", trend=("t", 1), **c)])
+    within = lambda v: v - (np.bincount(g, v) / 40)[g]
+    d = np.c_[within(x), within(w)]
+    ref = np.linalg.lstsq(d, within(y), rcond=None)[0]
+    for fit in fits[:2]:
+        assert [fit.coef("x"), fit.coef("w")] == pytest.approx(ref, rel=1e-6)
+    assert math.isnan(fits[0].coef("fixed"))
+    u = within(t)
+    slopes = lambda v: v - (np.bincount(g, v * u) / np.bincount(g, u * u))[g] * u
+    ref = np.linalg.lstsq(np.c_[slopes(d[:, 0]), slopes(d[:, 1])], slopes(within(y)), rcond=None)[0]
+    assert [fits[2].coef("x"), fits[2].coef("w")] == pytest.approx(ref, rel=1e-6)
+
+
+def test_sixty_columns(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 60))
+    y = x @ np.linspace(-1, 1, 60) + rng.normal(size=400)
+    names = [f"x{i}" for i in range(60)]
+    frame = spark.createDataFrame(pd.DataFrame(np.c_[y, x], columns=["y", *names]))
+    fit = linear.fit(frame, ModelSpec("wide", "y", names))
+    ref = np.linalg.lstsq(np.c_[x, np.ones(400)], y, rcond=None)[0]
+    assert fit.beta == pytest.approx(ref, rel=1e-8)
 
 
 def test_polynomial_and_interactions(df, sample):

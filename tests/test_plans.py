@@ -151,6 +151,10 @@ def test_store_and_export(spark, tmp_path):
     store = ModelStore(spark, str(tmp_path / "store"))
     store.save("s", g.fits)
     store.save("s", g.fits)
+    store.append("more", g.fits)
+    store.append("more", g.fits[:1])
+    assert [r["model_id"] for r in store.models("more").orderBy("position").collect()] == ["a", "b", "a"]
+    assert store.models("more", 3).count() == 1 and store.coefficients("more").count() == 6
     assert store.coefficients("s").count() == 4 and store.models("s", 2).first()["model_id"] == "b"
     table = coef_table(g.coefficients, g.models, ["avg_precip", "_cons"], ["a", "b"])
     export_table(table, str(tmp_path / "t"), order=["row"])
@@ -167,3 +171,17 @@ def test_lag_selection_finds_the_lag(spark):
     panel = panel.withColumn("y", 3 * F.col("d_avg_precip_m2") + 0.01 * F.col("COVID_mortality"))
     cv, path = suites.lag_selection(panel, "d_dl_mobility", "d_avg_precip", ["EmergDec", "StayAtHome"], "y", excluded=())
     assert int(np.argmax(np.abs(cv.beta_1se))) == 1 and path.beta.shape == (100, 4)
+
+
+def test_headers_are_checked(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,1/1/20,1/2/20\nx,1,2\n")
+    (tmp_path / "b.csv").write_text("1/2/20,id,1/3/20\n5,y,6\n")
+    (tmp_path / "y2001.csv").write_text("k,v\nx,1\n")
+    (tmp_path / "y2002.csv").write_text("v,k\n2,x\n")
+    wide = read_wide_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], {"id": "string"}, "int")
+    got = {r["id"]: (r["1/1/20"], r["1/2/20"], r["1/3/20"]) for r in wide.collect()}
+    assert got == {"x": (1, 2, None), "y": (None, 5, 6)}
+    with pytest.raises(ValueError):
+        read_wide_csv(spark, str(tmp_path / "a.csv"), {"other": "string"}, "int")
+    with pytest.raises(Exception, match="header|Header|conform"):
+        read_years(spark, [str(tmp_path / "y2001.csv"), str(tmp_path / "y2002.csv")], "k string, v int").collect()

@@ -138,11 +138,36 @@ def test_one_row_per_key_puts_missing_last(spark):
     assert A.one_row_per_key(df, ["k"], ["o"]).first()["v"] == 3
 
 
-def test_dense_ids_by_ranges_match_one_task(spark):
-    df = spark.createDataFrame([(f"n{i:04d}",) for i in range(500)], "k string")
-    small = {tuple(r) for r in dense_ids(df, "k", "id").collect()}
-    ranged = {tuple(r) for r in dense_ids(df, "k", "id", one_task_rows=10).collect()}
-    assert small == ranged and len(small) == 500
+def test_dense_ids(spark):
+    df = spark.createDataFrame([(f"n{i:04d}",) for i in range(500)] * 2 + [(None,)], "k string").repartition(7)
+    assert {tuple(r) for r in dense_ids(df, "k", "id").collect()} == {(f"n{i:04d}", i + 1) for i in range(500)}
+
+
+def test_recode_table_must_be_unique(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "k string")
+    once = spark.createDataFrame([("a", "A"), (None, "n")], "old string, new string")
+    assert {r["k"] for r in clean.recode(df, "k", once).collect()} == {"A", "b"}
+    with pytest.raises(Exception, match="not unique"):
+        clean.recode(df, "k", once.union(once)).collect()
+
+
+def test_blocks_follow_composite_and_timestamp_keys(spark):
+    rows = [(e, y, d, float(y * 400 + d)) for e in "ab" for y in (2019, 2020) for d in (*range(1, 5), *range(362, 366))]
+    df = spark.createDataFrame(rows, "e string, y int, d int, v double").selectExpr("*", "timestamp_seconds(CAST(y AS BIGINT) * 31622400 + d * 86400) AS ts")
+    for time in (("y", "d"), ("ts",)):
+        plain = lag_by(Panel(df, "e", time), ["v"], [1, 2])
+        for block in (3, 5):
+            assert sorted(map(tuple, lag_by(Panel(df, "e", time, block=block), ["v"], [1, 2]).collect())) == sorted(map(tuple, plain.collect()))
+        holes = df.withColumn("v", F.when(F.col("d") % 3 == 0, F.col("v")))
+        want = fill_forward(Panel(holes, "e", time), ["v"]).collect()
+        assert sorted(map(str, fill_forward(Panel(holes, "e", time, block=3), ["v"]).collect())) == sorted(map(str, want))
+
+
+def test_panel_uniqueness_check(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("a", 2, 4.0)], "e string, t int, v double")
+    assert lag_by(Panel(df.limit(2), "e", "t").unique(), ["v"]).count() == 2
+    with pytest.raises(Exception, match="not unique"):
+        lag_by(Panel(df, "e", "t").unique(), ["v"]).collect()
 
 
 def test_interval_maxima(spark):
