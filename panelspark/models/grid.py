@@ -25,6 +25,11 @@ class GridResult:
     def __getitem__(self, name: str) -> FitResult:
         return next(f for f in self.fits if f.spec.name == name)
 
+    def with_fits(self, more: Sequence[FitResult]) -> GridResult:
+        """The grid and further fits, in all three parts."""
+        fits, spark = [*self.fits, *more], self.models.sparkSession
+        return GridResult(fits, coefficients(spark, fits), models(spark, fits))
+
 
 def run_grid(panel: DataFrame, specs: Sequence[ModelSpec]) -> GridResult:
     """Fit all specifications together (the number of Spark jobs does not grow with them)."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import complete_cases
+from ..session import materialize
 
 N_LAMBDA = 100
 MIN_RATIO = 1e-4
@@ -17,7 +18,7 @@ MIN_RATIO = 1e-4
 
 def standardize(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
     """Complete rows with y centred and every x centred and divided by its sample sd."""
-    rows = complete_cases(df, [y, *x])
+    rows = materialize(complete_cases(df, [y, *x]), "lasso")
     stats = rows.agg(
         F.struct(
             F.avg(y).alias("my"),

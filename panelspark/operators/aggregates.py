@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div, sum_strict, sum_zero
+from ..session import materialize
 from .joins import merge
 
 STATS = ("sum", "sum_strict", "mean", "sd", "min", "max", "first", "last", "count")
@@ -78,10 +79,11 @@ def attach_group_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, tup
     """Group statistics on every row, as an aggregate joined back.
 
     The aggregate combines map-side and a join splits hot keys, so a group of any size is
-    never gathered in one task, as a window over it would be. ``df`` is read twice: write it
-    first if it is the end of a long pipeline.
+    never gathered in one task, as a window over it would be. The aggregate is written first, so
+    that its size is known when the join is planned and a small one is broadcast without moving the rows.
+    ``df`` is read twice: write it first if it is the end of a long pipeline.
     """
-    table = collapse(df, by, stats)
+    table = materialize(collapse(df, by, stats), "group-stats")
     out = merge(df, table, by, card="m:1", keep="left", right_unique=True)
     return out.select(*[F.col(f"`{c}`") for c in [*df.columns, *stats]])
 
@@ -142,7 +144,7 @@ def band_rollup(
 
 def argmin_rows(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Rows at the group's smallest value, ties kept. Groups without a value give no row."""
-    low = df.groupBy(*by).agg(F.min(value).alias("__low"))
+    low = materialize(df.groupBy(*by).agg(F.min(value).alias("__low")), "lowest")
     out = merge(df, low, by, card="m:1", keep="left", right_unique=True)
     return out.filter(F.col(value) == F.col("__low")).drop("__low")
 

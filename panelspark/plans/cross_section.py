@@ -165,7 +165,7 @@ def country_cross_section(
         Side(recode(gdp, "country", maps["gdp"]), keep="matched"),
     ]
     out = merge_many(safety, sides, ["country"])
-    out = zscore(out, {"covid_safety": "normalized_safety", "hqi": "normalized_hqi"})
+    out = zscore(materialize(out, "countries"), {"covid_safety": "normalized_safety", "hqi": "normalized_hqi"})
     people = F.col("pop_thousands") * 1000
     return out.withColumns(
         {

@@ -118,7 +118,8 @@ def state_week_panel(
     wet = weekly_mean(rain, ["avg_precip"])
     flags = with_week(drop_blank(policy, "state")).groupBy(*WEEK_KEYS).agg(*[F.max(p).alias(p) for p in policies])
 
-    out = merge(base, cases, WEEK_KEYS, keep="all", left_unique=True, right_unique=True)
+    # Written: the merge below reads its left side twice.
+    out = materialize(merge(base, cases, WEEK_KEYS, keep="all", left_unique=True, right_unique=True), "week-counts")
     out = merge(out, _population(population), ["state"], card="m:1", keep="all", right_unique=True)
     out = merge_many(
         out,
@@ -162,7 +163,8 @@ def state_day_panel(
     twit = _scored(twitter, ("date",), "twitter_social_distancing")
     dl = _scored(index, ("date",), "dl_mobility")
 
-    out = merge(base, cases, keys, keep="all", left_unique=True, right_unique=True)
+    # Written: the merge below reads its left side twice.
+    out = materialize(merge(base, cases, keys, keep="all", left_unique=True, right_unique=True), "day-counts")
     out = merge(out, _population(population), ["state"], card="m:1", keep="all", right_unique=True)
     out = merge_many(out, [Side(una), Side(twit)], keys, left_unique=True)
     out = fill_forward(Panel(out, "state", "date"), ["twitter_social_distancing"])
@@ -174,7 +176,7 @@ def state_year_week(mortality: DataFrame, twitter: DataFrame, mobility: DataFram
     """Weekly mortality with two mobility sources, the chained weekly index of daily changes, the
     shift-share variable and one-row lags."""
     deaths = with_week(mortality).drop("date")
-    twit = zscore(weekly_mean(twitter, ["twitter_social_distancing"]), {"twitter_social_distancing": "twitter_social_distancing"})
+    twit = zscore(materialize(weekly_mean(twitter, ["twitter_social_distancing"]), "twitter"), {"twitter_social_distancing": "twitter_social_distancing"})
     daily = chain_index(
         with_week(mobility),
         WEEK_KEYS,
@@ -186,7 +188,7 @@ def state_year_week(mortality: DataFrame, twitter: DataFrame, mobility: DataFram
         F.max_by("visitation_diff", "date").alias("visitation_diff"),
         F.avg("state_population").alias("state_population"),
     )
-    una = zscore(una, {"distance_diff": "distance_diff", "visitation_diff": "visitation_diff"})
+    una = zscore(materialize(una, "mobility"), {"distance_diff": "distance_diff", "visitation_diff": "visitation_diff"})
     out = merge_many(
         deaths,
         [Side(twit, keep="all", known_unique=True), Side(una, keep="all", known_unique=True, indicator="_merge")],

@@ -297,7 +297,7 @@ def weekly_search(features: DataFrame) -> G.GridResult:
     spec = ModelSpec(
         "fs_levels_two_way", "d_dl_mobility", ["d_avg_precip", *six], entity="state_id", vce="cluster", cluster="state_id"
     )
-    return G.GridResult([*result.fits, fit_two_way(features, spec, "week")], result.coefficients, result.models)
+    return result.with_fits([fit_two_way(features, spec, "week")])
 
 
 def state_iv_specs(mean_temp: str = "Influenza_Tavg", senior: str = "65+") -> list[ModelSpec]:

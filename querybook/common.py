@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalars import clock_to_date, signif, week52
 from panelspark.session import materialize
 
-NATIONS = [f"NATION_{i}" for i in range(25)]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -39,6 +38,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def event_days(spark: SparkSession, sf: str) -> tuple:
+    """First and last day of the events."""
+    day = clock_to_date("ts")
+    return tuple(table(spark, sf, "events").agg(F.min(day), F.max(day)).first())
+
+
 def sig(col, digits: int = 9, zero: float = 1e-9):
     return signif(col, digits, zero)
 

@@ -11,7 +11,7 @@ from panelspark.operators import joins
 from panelspark.operators.panel import step_panel_long
 from panelspark.operators.reshape import append_total
 
-from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
+from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, event_days, query, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 
 KEYS = ["state", "yr", "wk"]
 
@@ -143,14 +143,12 @@ def residuals(spark, sf):
     "C11_policy_entity_calendar",
     "WITH f AS (SELECT user_id, event_type, min(CAST(ts AS DATE)) AS d FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2), "
     "u AS (SELECT DISTINCT user_id FROM events), p AS (SELECT unnest(['purchase', 'signup']) AS event_type), "
-    "c AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date) "
+    "c AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS DATE) AS date) "
     "SELECT date, user_id, event_type, CAST(coalesce(date >= d, false) AS INTEGER) AS implemented FROM u CROSS JOIN p CROSS JOIN c LEFT JOIN f USING (user_id, event_type)",
 )
 def spine(spark, sf):
-    from datetime import date
-
     ev = table(spark, sf, "events").select("user_id", "event_type", clock_to_date("ts").alias("day"))
-    return step_panel_long(ev, "user_id", "event_type", "day", ["purchase", "signup"], date(2024, 1, 1), date(2024, 1, 30))
+    return step_panel_long(ev, "user_id", "event_type", "day", ["purchase", "signup"], *event_days(spark, sf))
 
 
 @query(

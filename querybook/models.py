@@ -169,6 +169,60 @@ def j8(spark, sf):
     return coef_row(spark, [linear.ols(weekly_panel(spark, sf), "revenue", ["qty"], name="period", entity="wk")], ["qty"])
 
 
+FAR = "CAST(regexp_extract(state, '[0-9]+') AS DOUBLE)"
+
+
+@query(
+    "J6_entity_levels_far_apart",
+    with_sql(
+        WEEKLY_SQL,
+        f"far AS (SELECT state, revenue + 1e9 * {FAR} AS revenue, qty + 1e6 * {FAR} AS qty FROM weekly)",
+        "d AS (" + demeaned("far", ["revenue", "qty"]) + ")",
+        *fe_fit("d", "revenue", "qty"),
+    )
+    + one_sql("far", "qty", "b", "v", "v"),
+)
+def j6_far(spark, sf):
+    level = F.regexp_extract("state", "[0-9]+", 0).cast("double")
+    panel = weekly_panel(spark, sf).withColumns({"revenue": F.col("revenue") + 1e9 * level, "qty": F.col("qty") + 1e6 * level})
+    return coef_row(spark, [linear.fit(panel, ModelSpec("far", "revenue", ["qty"], entity="state", vce="cluster", cluster="state"))], ["qty"])
+
+
+def swept(src, cols, rounds):
+    """CTEs that take entity and period means out in turn; the last is ``p<rounds>``."""
+    out, at = [], src
+    for k in range(1, rounds + 1):
+        for name, by in (("a", "state"), ("p", "wk")):
+            out.append(f"{name}{k} AS (SELECT state, wk, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}" for c in cols) + f" FROM {at})")
+            at = f"{name}{k}"
+    return out
+
+
+TWO_WAY = (
+    *swept("weekly", ["revenue", "qty"], 15),
+    *fe_fit("p15", "revenue", "qty", k_extra="(SELECT count(DISTINCT wk) - 1 FROM weekly)"),
+)
+
+
+@query(
+    "J8_two_way_fit",
+    with_sql(
+        WEEKLY_SQL,
+        *TWO_WAY,
+        "r AS (SELECT 1 - sum(power(revenue - b * qty, 2)) / (SELECT var_pop(revenue) * count(*) FROM weekly) AS r2, count(*) AS n FROM p15, v)",
+        "k AS (SELECT count(DISTINCT wk) + count(DISTINCT state) AS k FROM weekly)",
+    )
+    + f"SELECT {sig_sql('b', S7)} AS estimate, {sig_sql('sqrt(v)', S7)} AS std_error, {sig_sql('r2', S7)} AS r2, "
+    f"{sig_sql('1 - (1 - r2) * (n - 1) / (n - k)', S7)} AS adj_r2 FROM v, r, k",
+)
+def j8_two_way_fit(spark, sf):
+    panel = weekly_table(spark, sf, "state", "wk", "revenue", "qty")
+    fit = linear.fit_two_way(panel, ModelSpec("two_way", "revenue", ["qty"], entity="state", vce="cluster", cluster="state"), "wk")
+    row = [(fit.coef("qty"), float(fit.se[0]), fit.r2, fit.adj_r2)]
+    out = spark.createDataFrame(row, "estimate double, std_error double, r2 double, adj_r2 double")
+    return rounded(out, out.columns, S7)
+
+
 @query("J8_entity_and_period_effects")
 def j8_two_way(spark, sf):
     panel = weekly_table(spark, sf, "state", "wk", "revenue", "qty", "n_items")
@@ -532,11 +586,12 @@ def a12_lines(spark, sf):
 @query(
     "J25_tidy_one_term",
     with_sql(WEEKLY_SQL)
-    + " UNION ALL ".join(f"SELECT 'y{y}' AS model_id, 'qty' AS term, {sig_sql('regr_slope(revenue, qty)', S7)} AS estimate FROM weekly WHERE yr = {y}" for y in (1996, 1997, 1998)),
+    + f"SELECT 'y' || yr AS model_id, 'qty' AS term, {sig_sql('regr_slope(revenue, qty)', S7)} AS estimate FROM weekly GROUP BY yr",
 )
 def j25(spark, sf):
     p = weekly_table(spark, sf, "yr", "revenue", "qty")
-    specs = [ModelSpec(f"y{y}", ("revenue", F.when(F.col("yr") == y, F.col("revenue"))), ["qty"], vce="classical") for y in (1996, 1997, 1998)]
+    years = sorted(r["yr"] for r in p.select("yr").distinct().collect())
+    specs = [ModelSpec(f"y{y}", ("revenue", F.when(F.col("yr") == y, F.col("revenue"))), ["qty"], vce="classical") for y in years]
     # The outcome's label is shared, so each year's expression is its own column.
     specs = [ModelSpec(s.name, (s.name, s.y[1]), ["qty"], vce="classical") for s in specs]
     out = bygroup.tidy_term(G.run_grid(p, specs).coefficients, "qty")

@@ -13,7 +13,7 @@ from panelspark.operators import clean
 from panelspark.operators.panel import Panel, lag_by
 from panelspark.operators.reshape import mapping_table, to_long
 
-from .common import DAILY_SQL, EVENT_TYPES, WEEKLY_SQL, daily_types, query, sig, sig_sql, table, weekly_panel, with_sql
+from .common import DAILY_SQL, WEEKLY_SQL, daily_types, query, sig, sig_sql, table, weekly_panel, with_sql
 
 
 @query(
@@ -140,13 +140,13 @@ def recode_keys(spark, sf):
 
 @query(
     "B14_header_codes",
-    "SELECT CAST(ts AS DATE) AS date, CASE event_type WHEN 'click' THEN 'Click' WHEN 'error' THEN 'Error' WHEN 'purchase' THEN 'Purchase' "
-    "WHEN 'signup' THEN 'Signup' ELSE 'View' END AS state, count(*) AS n FROM events GROUP BY 1, 2",
+    "SELECT CAST(ts AS DATE) AS date, upper(event_type[1]) || event_type[2:] AS state, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def header_codes(spark, sf):
-    wide = daily_types(spark, sf).groupBy("date").pivot("state", EVENT_TYPES).agg(F.sum("n"))
-    wide = wide.withColumnRenamed("click", " click")  # a header with a leading blank
-    codes = mapping_table(spark, {c: c.capitalize() for c in EVENT_TYPES}, "old", "new")
+    wide = daily_types(spark, sf).groupBy("date").pivot("state").agg(F.sum("n"))
+    types = [c for c in wide.columns if c != "date"]
+    wide = wide.withColumnRenamed(types[0], f" {types[0]}")  # a header with a leading blank
+    codes = mapping_table(spark, {c: c.capitalize() for c in types}, "old", "new")
     long = to_long(wide, ["date"], None, "state", "n")
     return clean.recode(long, "state", codes, trim=True).filter(F.col("n").isNotNull())
 

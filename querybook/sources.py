@@ -25,7 +25,7 @@ from panelspark.sources.readers import (
 )
 from panelspark.sources.writers import ModelStore, export_table, write_table
 
-from .common import DAILY_SQL, NATIONS, WEEKLY_SQL, daily_types, query, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
+from .common import DAILY_SQL, WEEKLY_SQL, daily_types, query, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 
 
 @query(
@@ -109,14 +109,15 @@ def report_matrix(spark, sf):
     matrix = (
         named.select(F.expr(PRIORITY_CODE).cast("int").alias("code"), "n_name")
         .groupBy("code")
-        .pivot("n_name", NATIONS)
+        .pivot("n_name")
         .agg(F.count(F.lit(1)))
         .withColumn("row_id", F.coalesce(F.col("code"), F.lit(1)))
     )
+    names = [c for c in matrix.columns if c not in ("code", "row_id")]
     path = scratch_path(spark, "report")
     matrix.write.option("header", True).csv(path)
     wide = read_wide_csv(spark, path, {"code": "int", "row_id": "int"}, "double")
-    return read_report_matrix(wide, "row_id", 1, 399, "code", {"population": [None], "deaths": [20, 380]}, NATIONS)
+    return read_report_matrix(wide, "row_id", 1, 399, "code", {"population": [None], "deaths": [20, 380]}, names)
 
 
 @query("A8_clean_table_read", "SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY 1")
@@ -125,11 +126,11 @@ def clean_read(spark, sf):
     return df.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("top"))
 
 
-@query("A9_clean_table_write", with_sql(WEEKLY_SQL) + "SELECT state, wk, revenue, n_items FROM weekly WHERE yr = 1999")
+@query("A9_clean_table_write", with_sql(WEEKLY_SQL) + "SELECT yr, state, wk, revenue, n_items FROM weekly")
 def clean_write(spark, sf):
     path = scratch_path(spark, "panel")
     write_table(weekly_panel(spark, sf), path, partition_by=["yr"])
-    return read_table(spark, path).filter(F.col("yr") == 1999).select("state", "wk", "revenue", "n_items")
+    return read_table(spark, path).select("yr", "state", "wk", "revenue", "n_items")
 
 
 @query(

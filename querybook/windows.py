@@ -12,7 +12,7 @@ from panelspark.operators.aggregates import argmin_rows, row_number_in
 from panelspark.operators.joins import first_date_when
 from panelspark.operators.reshape import calendar
 
-from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, rounded, sig, sig_sql, table, week_sql, weekly_panel, weekly_table, with_sql
+from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, event_days, query, rounded, sig, sig_sql, table, week_sql, weekly_panel, weekly_table, with_sql
 
 OVER = "OVER (PARTITION BY state ORDER BY t)"
 
@@ -135,14 +135,14 @@ def w7(spark, sf):
 
 
 FULL_CALENDAR = (
-    "u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date), "
+    "u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS DATE) AS date), "
     "full_cal AS (SELECT u.user_id, c.date, v FROM u CROSS JOIN c LEFT JOIN users ON users.user_id = u.user_id AND users.date = c.date)"
 )
 
 
 def full_calendar(spark, sf):
     users = table(spark, sf, "events").select("user_id").distinct()
-    spine = calendar(users, date(2024, 1, 1), date(2024, 1, 30), "date")
+    spine = calendar(users, *event_days(spark, sf), "date")
     return spine.join(daily_users(spark, sf), ["user_id", "date"], "left").select("user_id", "date", "v")
 
 
@@ -259,13 +259,13 @@ def w15(spark, sf):
     "W16_step_panel",
     "WITH f AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' AND value > 60 THEN CAST(ts AS DATE) END) AS p, "
     "min(CASE WHEN event_type = 'signup' AND value > 60 THEN CAST(ts AS DATE) END) AS s FROM events GROUP BY 1), "
-    "c AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date) "
+    "c AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS DATE) AS date) "
     "SELECT date, user_id, CAST(coalesce(date >= p, false) AS INTEGER) AS purchase, CAST(coalesce(date >= s, false) AS INTEGER) AS signup FROM f CROSS JOIN c",
 )
 def w16(spark, sf):
     ev = table(spark, sf, "events").withColumn("day", clock_to_date("ts"))
     return P.step_panel(
-        ev, "user_id", "event_type", "day", ["purchase", "signup"], date(2024, 1, 1), date(2024, 1, 30), counts=F.col("value") > 60
+        ev, "user_id", "event_type", "day", ["purchase", "signup"], *event_days(spark, sf), counts=F.col("value") > 60
     )
 
 
