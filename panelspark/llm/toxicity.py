@@ -9,7 +9,7 @@ unlabelled most, and by some standard errors at least, chosen by a Spark count.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Container, Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from .winnowing import _WORD_BYTES
 
 POSITIVES, UNLABELLED = 3000, 9000  # bounds of the training sample
 CANDIDATES, WORDS = 50_000, 1024  # bounds of the signs that are counted and of those that are used
+SPREAD = 24  # tasks that count the sample
 STEMS = range(4, 9)  # lengths of word beginnings, in bytes
 APART = 4.0  # standard errors by which a sign's share among positives is the higher one at least
 
@@ -30,8 +31,8 @@ def words_of(text: str | None) -> Counter:
     return Counter((text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split())
 
 
-def signs_of(words: Counter, among: Container[bytes] | None = None) -> set[bytes]:
-    """Words, and beginnings that at least 2 or 4 words share (``stem-2``, ``stem-4``); of all, or of given signs."""
+def signs_of(words: Counter) -> set[bytes]:
+    """Words, and beginnings that at least 2 or 4 words share (``stem-2``, ``stem-4``)."""
     stems: dict[bytes, int] = {}
     for w, n in words.items():
         for k in STEMS[: max(0, len(w) - STEMS[0] + 1)]:
@@ -39,7 +40,27 @@ def signs_of(words: Counter, among: Container[bytes] | None = None) -> set[bytes
             stems[stem] = stems.get(stem, 0) + n
     out = {stem + b"-2" for stem, n in stems.items() if n >= 2} | {stem + b"-4" for stem, n in stems.items() if n >= 4}
     out.update(words)
-    return out if among is None else {s for s in out if s in among}
+    return out
+
+
+class SignFinder:
+    """Finds given signs: only words that begin like one of their stems are looked at closely."""
+
+    def __init__(self, signs: Iterable[bytes]):
+        self.signs = frozenset(signs)
+        self.stems = frozenset(s[:-2] for s in self.signs if s[-2:-1] == b"-")
+        self.begins = frozenset(s[: STEMS[0]] for s in self.stems)
+
+    def find(self, words: Counter) -> set[bytes]:
+        """signs_of(words) so far as it is among the given signs."""
+        shared: dict[bytes, int] = {}
+        for w, n in words.items():
+            if w[: STEMS[0]] in self.begins:
+                for k in STEMS[: max(0, len(w) - STEMS[0] + 1)]:
+                    if (stem := w[:k]) in self.stems:
+                        shared[stem] = shared.get(stem, 0) + n
+        out = {stem + level for stem, n in shared.items() for level, least in ((b"-2", 2), (b"-4", 4)) if n >= least}
+        return (out | words.keys()) & self.signs
 
 
 class ToxicityModel:
@@ -47,12 +68,13 @@ class ToxicityModel:
 
     def __init__(self, signs: Sequence[bytes], weights: np.ndarray, bias: float):
         self.number = {w: i for i, w in enumerate(signs)}
+        self.finder = SignFinder(signs)
         self.weights, self.bias = weights, bias
 
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
         for i, t in enumerate(texts):
-            total[i] += sum(self.weights[self.number[w]] for w in signs_of(words_of(t), self.number))
+            total[i] += sum(self.weights[self.number[w]] for w in self.finder.find(words_of(t)))
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
@@ -101,12 +123,13 @@ def _again(words: list[dict]) -> Counter:
 
 def _counted(rows: DataFrame, among: set[bytes] | None) -> DataFrame:
     """(sign, n): texts of the sample that have a sign, of all or of given ones; counted in each task, then summed."""
+    finder = None if among is None else SignFinder(among)
 
     def run(batches):
         counter: Counter = Counter()
         for batch in batches:
             for words in batch.column("words").to_pylist():
-                counter.update(signs_of(_again(words), among))
+                counter.update(signs_of(_again(words)) if finder is None else finder.find(_again(words)))
         yield pa.RecordBatch.from_pydict({"sign": pa.array(list(counter), pa.binary()), "n": pa.array(list(counter.values()), pa.int64())})
 
     return rows.select("words").mapInArrow(run, "sign binary, n long").groupBy("sign").agg(F.sum("n").alias("n"))
@@ -132,7 +155,8 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("positive"), words], names=["id", "positive", "words"])
 
     rows = plain.mapInArrow(split, "id long, positive boolean, words array<struct<word:binary,n:int>>")
-    rows = materialize(rows.dropDuplicates(["positive", "words"]), "sample_words")  # copies tell nothing new
+    rows = rows.dropDuplicates(["positive", "words"])  # copies tell nothing new
+    rows = materialize(rows.repartition(SPREAD), "sample_words")
     size = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
     n_pos, n_unl = size.get(True, 0), size.get(False, 0)
     if not n_pos or not n_unl:
@@ -146,11 +170,11 @@ def fit(
         usual = (p + u + 1) / (n_pos + n_unl + 2)
         apart[w] = (p / n_pos - u / n_unl) / np.sqrt(usual * (1 - usual) * (1 / n_pos + 1 / n_unl))
     words = sorted((w for w in apart if apart[w] >= APART), key=lambda w: (-apart[w], w))[:WORDS]
-    number = {w: i for i, w in enumerate(words)}
+    number, finder = {w: i for i, w in enumerate(words)}, SignFinder(words)
 
     def look(batches):
         for batch in batches:
-            found = [[number[w] for w in signs_of(_again(ws), number)] for ws in batch.column("words").to_pylist()]
+            found = [[number[w] for w in finder.find(_again(ws))] for ws in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], names=["positive", "words"])
 
     got = rows.select("positive", "words").mapInArrow(look, "positive boolean, words array<int>").collect()  # a bounded sample

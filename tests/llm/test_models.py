@@ -76,6 +76,15 @@ def test_risk_is_not_negative():
     assert score[u[:, 0]].mean() > 0.6 > 0.2 > score[~u[:, 0]].mean()
 
 
+def test_finder_like_all_signs():
+    rng = random.Random(4)
+    for _ in range(200):
+        words = toxicity.words_of(" ".join("".join(rng.choices("abé", k=rng.randint(1, 11))) for _ in range(rng.randint(0, 60))))
+        every = toxicity.signs_of(words)
+        some = {s for s in every if rng.random() < 0.3} | {b"aaaa-2", b"zzzz-4", b"zz"}
+        assert toxicity.SignFinder(some).find(words) == every & some
+
+
 def _auc(score, label):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
