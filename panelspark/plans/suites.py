@@ -342,3 +342,22 @@ def shift_share_suite(panel: DataFrame) -> G.GridResult:
         ModelSpec("own_lag", y, [], [f"{y}_m2"], ["bartik_m2"], entity="state_id"),
     ]
     return G.run_grid(materialize(df, "shift-share"), specs)
+
+
+def state_year_week_specs() -> list[ModelSpec]:
+    """Lagged mobility on the mortality share: endogenous fits, reduced form, first stages, one over-identified and two
+    just-identified two-stage fits, all with robust errors."""
+    y, z = "COVID_mortality_frac", "lagged_bartik"
+    lagged = {"twitter": "lagged_twitter", "dist": "lagged_dist", "visit": "lagged_visit"}
+    now = {"twitter": "twitter_social_distancing", "dist": "distance_diff", "visit": "visitation_diff"}
+    out = [ModelSpec(f"endogenous_{k}", y, [c]) for k, c in lagged.items()]
+    out.append(ModelSpec("reduced_form", y, [z]))
+    out += [ModelSpec(f"first_stage_{k}", c, ["bartik"]) for k, c in now.items()]
+    out.append(ModelSpec("iv_twitter", y, (), [lagged["twitter"]], [z, lagged["dist"], lagged["visit"]]))
+    out += [ModelSpec(f"iv_{k}", y, (), [lagged[k]], [z]) for k in ("dist", "visit")]
+    return out
+
+
+def state_year_week_suite(panel: DataFrame) -> G.GridResult:
+    """``panel`` as ``plans.panels.state_year_week`` makes it."""
+    return G.run_grid(panel, state_year_week_specs())

@@ -632,17 +632,20 @@ def l18(spark, sf):
     return rounded(P.state_day_panel(**parts), [*DAY_REAL, "twitter_social_distancing"], 7, 1e-5)
 
 
+YEAR_WEEK = (
+    *WEEK_BASE[:-1],
+    "g AS (SELECT state, y, w, date, n, disc / 7 AS a, tax / 7 AS b, row_number() OVER (PARTITION BY state, y, w ORDER BY date) AS rn FROM wk)",
+    "ch AS (SELECT state, y, w, exp(sum(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + a) END)) - 1 AS da, exp(sum(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + b) END)) - 1 AS db, avg(n) AS sp FROM g GROUP BY 1, 2, 3)",
+    "zc AS (SELECT state, y, w, sp, (da - avg(da) OVER ()) / stddev_samp(da) OVER () AS distance_diff, (db - avg(db) OVER ()) / stddev_samp(db) OVER () AS visitation_diff FROM ch)",
+    "tw AS (SELECT state, y, w, (tw - avg(tw) OVER ()) / stddev_samp(tw) OVER () AS tz FROM base WHERE tw IS NOT NULL)",
+    "m AS (SELECT state, y, w, cm, tm, cm / tm AS fr, us_c, us_t, us_c / us_t AS uf, distance_diff, visitation_diff, sp, tz FROM base JOIN us USING (y, w) JOIN zc USING (state, y, w) LEFT JOIN tw USING (state, y, w))",
+    "bk AS (SELECT *, lag(fr) OVER o * (uf - lag(uf) OVER o) / lag(uf) OVER o + (1 - lag(fr) OVER o) * (lag(uf) OVER o - uf) / (1 - lag(uf) OVER o) AS bartik FROM m WINDOW o AS (PARTITION BY state ORDER BY y, w))",
+)
+
+
 @query(
     "L16_state_year_week",
-    with_sql(
-        *WEEK_BASE[:-1],
-        "g AS (SELECT state, y, w, date, n, disc / 7 AS a, tax / 7 AS b, row_number() OVER (PARTITION BY state, y, w ORDER BY date) AS rn FROM wk)",
-        "ch AS (SELECT state, y, w, exp(sum(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + a) END)) - 1 AS da, exp(sum(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + b) END)) - 1 AS db, avg(n) AS sp FROM g GROUP BY 1, 2, 3)",
-        "zc AS (SELECT state, y, w, sp, (da - avg(da) OVER ()) / stddev_samp(da) OVER () AS distance_diff, (db - avg(db) OVER ()) / stddev_samp(db) OVER () AS visitation_diff FROM ch)",
-        "tw AS (SELECT state, y, w, (tw - avg(tw) OVER ()) / stddev_samp(tw) OVER () AS tz FROM base WHERE tw IS NOT NULL)",
-        "m AS (SELECT state, y, w, cm, tm, cm / tm AS fr, us_c, us_t, us_c / us_t AS uf, distance_diff, visitation_diff, sp, tz FROM base JOIN us USING (y, w) JOIN zc USING (state, y, w) LEFT JOIN tw USING (state, y, w))",
-        "bk AS (SELECT *, lag(fr) OVER o * (uf - lag(uf) OVER o) / lag(uf) OVER o + (1 - lag(fr) OVER o) * (lag(uf) OVER o - uf) / (1 - lag(uf) OVER o) AS bartik FROM m WINDOW o AS (PARTITION BY state ORDER BY y, w))",
-    )
+    with_sql(*YEAR_WEEK)
     + "SELECT state, y AS year, w AS week, tm AS total_mortality, cm AS \"COVID_mortality\", us_t AS \"US_total_mortality\", us_c AS \"US_COVID_mortality\", 3 AS _merge, CAST(dense_rank() OVER (ORDER BY state) AS INTEGER) AS state_id, "
     + ", ".join(
         f"{sig_sql(e, 5, '1e-5')} AS \"{n}\""
@@ -673,6 +676,62 @@ def l16(spark, sf):
     return rounded(out, real, 5, 1e-5)
 
 
+def _ols_hc1(name, y, x, src="l"):
+    """(sql, CTEs) of a slope and its HC1 variance."""
+    rows = f"(SELECT {y} AS y, {x} AS x FROM {src} WHERE {y} IS NOT NULL AND {x} IS NOT NULL)"
+    return (
+        f"{name}_b AS (SELECT count(*) AS n, avg(x) AS xm, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM {rows})",
+        f"{name} AS (SELECT max(b) AS b, max(n) / (max(n) - 2.0) * sum(pow((x - xm) * (y - a - b * x), 2)) / max(sxx * sxx) AS v FROM {rows}, {name}_b)",
+    )
+
+
+def _iv_hc0(name, y, x, zs_, src="l"):
+    """CTEs of a two-stage slope and its HC0 variance; several instruments are made orthogonal in turn."""
+    keep = " AND ".join(f"{c} IS NOT NULL" for c in (y, x, *zs_))
+    cols = ", ".join(f"{c} - avg({c}) OVER () AS {n}" for c, n in ((y, "y"), (x, "x"), *((z, f"z{i}") for i, z in enumerate(zs_))))
+    out = [f"{name}_0 AS (SELECT {cols} FROM {src} WHERE {keep})"]
+    k = len(zs_)
+    for i in range(1, k):
+        less = " ".join(f"- (SELECT sum(z{i} * z{j}) / sum(z{j} * z{j}) FROM {name}_{i - 1}) * z{j}" for j in range(i))
+        kept = ", ".join(["y", "x", *(f"z{j}" for j in range(k) if j != i)])
+        out.append(f"{name}_{i} AS (SELECT {kept}, z{i} {less} AS z{i} FROM {name}_{i - 1})")
+    hat = " + ".join(f"(SELECT sum(x * z{j}) / sum(z{j} * z{j}) FROM {name}_{k - 1}) * z{j}" for j in range(k))
+    out.append(f"{name}_h AS (SELECT y, x, {hat} AS h FROM {name}_{k - 1})")
+    out.append(f"{name}_b AS (SELECT sum(h * y) / sum(h * x) AS b, sum(h * x) AS hx FROM {name}_h)")
+    out.append(f"{name} AS (SELECT max(b) AS b, sum(pow(h * (y - b * x), 2)) / max(hx * hx) AS v FROM {name}_h, {name}_b)")
+    return tuple(out)
+
+
+def _year_week_sql():
+    lags = {"lt": "tz", "ld": "distance_diff", "lv": "visitation_diff", "lb": "bartik"}
+    ctes = ["l AS (SELECT *, " + ", ".join(f"lag({c}) OVER o AS {n}" for n, c in lags.items()) + " FROM bk WINDOW o AS (PARTITION BY state ORDER BY y, w))"]
+    named = {"twitter": ("lt", "lagged_twitter"), "dist": ("ld", "lagged_dist"), "visit": ("lv", "lagged_visit")}
+    now = {"twitter": ("tz", "twitter_social_distancing"), "dist": ("distance_diff", "distance_diff"), "visit": ("visitation_diff", "visitation_diff")}
+    rows = []
+
+    def add(model, term, made):
+        ctes.extend(made)
+        rows.append(f"SELECT '{model}' AS model_id, '{term}' AS term, {sig_sql('b', 6)} AS estimate, {sig_sql('sqrt(v)', 6)} AS std_error FROM m_{model}")
+
+    for k, (c, label) in named.items():
+        add(f"endogenous_{k}", label, _ols_hc1(f"m_endogenous_{k}", "fr", c))
+    add("reduced_form", "lagged_bartik", _ols_hc1("m_reduced_form", "fr", "lb"))
+    for k, (c, _) in now.items():
+        add(f"first_stage_{k}", "bartik", _ols_hc1(f"m_first_stage_{k}", c, "bartik"))
+    add("iv_twitter", "lagged_twitter", _iv_hc0("m_iv_twitter", "fr", "lt", ["lb", "ld", "lv"]))
+    for k in ("dist", "visit"):
+        add(f"iv_{k}", named[k][1], _iv_hc0(f"m_iv_{k}", "fr", named[k][0], ["lb"]))
+    return with_sql(*YEAR_WEEK, *ctes) + " UNION ALL ".join(rows)
+
+
+@query("L16_state_year_week_suite", _year_week_sql())
+def l16_suite(spark, sf):
+    parts = stand_ins(spark, sf)
+    panel = P.state_year_week(parts["mortality"], parts["twitter"], parts["mobility"])
+    out = S.state_year_week_suite(materialize(panel, "year-week")).coefficients.filter("term <> '_cons'")
+    return out.select("model_id", "term", sig("estimate", 6).alias("estimate"), sig("std_error", 6).alias("std_error"))
+
+
 # -- L19–L25: model suites ----------------------------------------------------------
 
 
