@@ -775,6 +775,37 @@ def l19_first(spark, sf):
     return out.select("model_id", "term", sig("estimate", 6).alias("estimate"))
 
 
+def _first_stage_f_sql():
+    ctes, parts = [], []
+    for m, c in (("d_dl_mobility", "dl"), ("d_una_distance", "ud")):
+        src = f"(SELECT state, r - avg(r) OVER (PARTITION BY state) AS r, {c} - avg({c}) OVER (PARTITION BY state) AS x FROM f WHERE r IS NOT NULL AND {c} IS NOT NULL)"
+        ctes += [
+            f"{c}_w AS {src}",
+            f"{c}_m AS (SELECT count(*) AS n, count(DISTINCT state) AS g, sum(r * x) / sum(r * r) AS b, sum(r * r) AS sxx FROM {c}_w)",
+            f"{c}_s AS (SELECT state, sum(r * (x - b * r)) AS s FROM {c}_w, {c}_m GROUP BY 1)",
+            f"{c}_v AS (SELECT max(b) AS b, max(g) / (max(g) - 1.0) * (max(n) - 1.0) / (max(n) - max(g) - 1.0) * sum(s * s) / max(sxx * sxx) AS v, max(g) - 1 AS df FROM {c}_s, {c}_m)",
+        ]
+        parts.append(f"SELECT 'b_{m}' AS model_id, round(b * b / v, 3) AS f, 1 AS df1, CAST(df AS DOUBLE) AS df2 FROM {c}_v")
+    return (
+        with_sql(
+            *WEEK_BASE[:-2],
+            f"zz AS (SELECT state, y, w, rain, {zs('dl')} AS dl, {zs('ud')} AS ud FROM base)",
+            "f AS (SELECT state, rain - lag(rain) OVER o AS r, dl - lag(dl) OVER o AS dl, ud - lag(ud) OVER o AS ud FROM zz WINDOW o AS (PARTITION BY state ORDER BY y, w))",
+            *ctes,
+        )
+        + " UNION ALL ".join(parts)
+    )
+
+
+@query("L19_first_stage_f", _first_stage_f_sql())
+def l19_f(spark, sf):
+    """F of rain in the entity-effect first stages, clustered by state."""
+    features = S.weekly_features(week_panel(spark, sf), lags=1)
+    specs = S.G.first_stage_specs(S.MEASURES[:2], "d_avg_precip", ["EmergDec", "GathRestrictAny", "d_COVID_mortality_pc_m1"], "state_id", "week")
+    grid = S.G.run_grid(features, [m for m in specs if m.name.startswith("b_")])
+    return S.G.f_statistics(grid, "d_avg_precip").select("model_id", "f", "df1", "df2")
+
+
 @query("L20_daily_model_suite")
 def l20(spark, sf):
     parts = stand_ins(spark, sf)
