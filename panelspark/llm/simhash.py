@@ -6,9 +6,11 @@ with v. The vectors of at most ``radius`` differing positions span a proper subs
 orthogonal to all of them: that table masks every differing bit and the two fingerprints share a bucket.
 
 Buckets are sorted runs of a range partitioning on (table, masked value, fingerprint), so a large bucket
-spreads over tasks. A run that lies inside one task and has at most ``BLOCK`` members is compared there;
-a run at a task's edge, or a longer one, is compared block against block in a second step. Either way only a
-spanning forest of the links leaves a task, never all pairs.
+spreads over tasks. A run that lies inside one task and has at most ``BLOCK`` members is compared there, and one at a
+task's edge in a second step. Larger buckets are covered once more: their members differ only in the bits that the
+table masks, so the same construction over those bits splits them without losing a pair. As fingerprints are
+distinct, what is left of a bucket has no more members than its last free bits have values; it is compared
+block against block. Only a spanning forest of the links leaves a task, never all pairs.
 """
 
 from __future__ import annotations
@@ -93,6 +95,18 @@ def covering_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def refining_masks(radius: int) -> list[list[int]]:
+    """For each covering mask, masks that keep its bits and cover the rest: values that agree under it and differ in at most
+    ``radius`` bits agree under one of its refinements."""
+    out, size = [], 2 ** (radius + 1)
+    for mask in covering_masks(radius):
+        free = [i for i in range(64) if not mask >> i & 1]
+        vectors = {b: 1 + n % (size - 1) for n, b in enumerate(free)}
+        finer = [(mask & (1 << 64) - 1) | sum(1 << b for b, m in vectors.items() if (m & v).bit_count() % 2) for v in range(1, size)]
+        out.append([m - (1 << 64) if m >> 63 else m for m in finer])
+    return out
+
+
 def forest(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For each class of nodes whose fingerprints hang together within ``radius``: links to its first node."""
     n = len(fp)
@@ -150,29 +164,21 @@ def _within_task(radius: int, block: int):
     return run
 
 
-def hamming_links(fps: DataFrame, words: int, radius: int, block: int = BLOCK) -> DataFrame:
-    """(node, other): links that join exactly the fp0 values whose rows hang together by some word's
-    fingerprints at ``radius`` or fewer differing bits.
+def _masked(rows: DataFrame, masks: Sequence[int], first: int) -> DataFrame:
+    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("at", "key")
+    return rows.select("fp", "node", keys).select((F.col("at") + first).alias("tab"), "key", "fp", "node")
 
-    ``fps``: distinct rows of fp0 ... fp<words-1>; a row's node is its fp0 (equal fp0 are linked anyway).
-    """
-    masks = covering_masks(radius)
-    rows = None
-    for w in range(words):
-        word = fps.select(F.col(f"fp{w}").alias("fp"), F.col("fp0").alias("node"))
-        keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("tab", "key")
-        one = word.select("fp", "node", keys).select((F.col("tab") + w * len(masks)).alias("tab"), "key", "fp", "node")
-        rows = one if rows is None else rows.unionByName(one)
+
+def _buckets(rows: DataFrame, radius: int, block: int) -> DataFrame:
+    """One pass over bucket rows: links found inside tasks (kind 0), members of open buckets (kind 1)."""
     order = ["tab", "key", "fp", "node"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    step = materialize(ranged.mapInArrow(_within_task(radius, block), _STEP), "buckets")
-
-    members = step.where("kind = 1").select("tab", "key", "part", "block", "fp", "node")
-    blocks = (
-        members.groupBy("tab", "key")
-        .agg(F.collect_set(F.struct("part", "block")).alias("blocks"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
+    ranged = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ranged.mapInArrow(_within_task(radius, block), _STEP), "buckets")
+
+
+def _across(members: DataFrame, radius: int) -> DataFrame:
+    """Links inside open buckets, block against block."""
+    blocks = members.groupBy("tab", "key").agg(F.collect_set(F.struct("part", "block")).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = (
         blocks.select("tab", "key", F.explode("blocks").alias("p"), "blocks")
         .select("tab", "key", "p", F.explode("blocks").alias("q"))
@@ -185,13 +191,48 @@ def hamming_links(fps: DataFrame, words: int, radius: int, block: int = BLOCK) -
         left, right = forest(group.column("fp").to_numpy(), group.column("node").to_numpy(), radius)
         return pa.table({"node": pa.array(left, pa.int64()), "other": pa.array(right, pa.int64())})
 
-    across = (
+    return (
         wanted.join(members, ["tab", "key", "part", "block"])
         .select("tab", "key", "p", "q", "fp", "node")
         .groupBy("tab", "key", "p", "q")
         .applyInArrow(compare, "node long, other long")
     )
-    return step.where("kind = 0").select("node", "other").unionByName(across)
+
+
+def hamming_links(fps: DataFrame, words: int, radius: int, block: int = BLOCK) -> DataFrame:
+    """(node, other): links that join exactly the fp0 values whose rows hang together by some word's
+    fingerprints at ``radius`` or fewer differing bits.
+
+    ``fps``: distinct rows of fp0 ... fp<words-1>; a row's node is its fp0 (equal fp0 are linked anyway). Nodes with
+    one fingerprint in another word are linked to the least of them, which stands for them in that word's buckets.
+    """
+    masks, finer = covering_masks(radius), refining_masks(radius)
+    links = rows = None
+    for w in range(words):
+        word = fps.select("fp0").distinct().select(F.col("fp0").alias("fp"), F.col("fp0").alias("node")) if w == 0 else None
+        if word is None:
+            pairs = fps.select(F.col(f"fp{w}").alias("fp"), F.col("fp0").alias("node"))
+            word = materialize(pairs.groupBy("fp").agg(F.min("node").alias("node")), "word")
+            same = pairs.join(word.select("fp", F.col("node").alias("other")), "fp").where("node <> other").select("node", "other")
+            links = same if links is None else links.unionByName(same)
+        one = _masked(word, masks, w * len(masks))
+        rows = one if rows is None else rows.unionByName(one)
+    step = _buckets(rows, radius, block)
+    inside = step.where("kind = 0").select("node", "other")
+    links = inside if links is None else links.unionByName(inside)
+
+    members = step.where("kind = 1").drop("kind", "other")
+    sizes = materialize(members.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    sized = members.join(sizes, ["tab", "key"])
+    links = links.unionByName(_across(sized.where(F.col("n") <= block).drop("n"), radius))
+    if sizes.where(F.col("n") > block).isEmpty():
+        return links
+    table = F.array(*[F.array(*[F.lit(m) for m in each]) for each in finer])
+    large = sized.where(F.col("n") > block).select("tab", "fp", "node", F.posexplode(F.get(table, F.col("tab") % len(masks))).alias("at", "mask"))
+    again = large.select((F.col("tab") * len(masks) + F.col("at")).alias("tab"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node")
+    step = _buckets(again, radius, block)
+    links = links.unionByName(step.where("kind = 0").select("node", "other"))
+    return links.unionByName(_across(step.where("kind = 1").drop("kind", "other"), radius))
 
 
 def _classes(docs: DataFrame, keys: list[str], text: str, shingle: int, radius: int, words: int) -> DataFrame:
@@ -235,8 +276,7 @@ def drop_near_duplicates(
     rows = _classes(marked, [doc_id, mark], text, shingle, radius, words)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("k0").isNull().alias("late"), "k0", "k1")).alias("first"))
     kept = materialize(first.select("first.k0", "first.k1"), "kept")
-    same = F.col(doc_id).eqNullSafe(F.col("k0")) & (F.col(mark) == F.col("k1"))
-    inside = {c.lower() for c in docs.columns} & {"k0", "k1"}
-    if inside:
-        raise ValueError(f"columns {sorted(inside)} are reserved")
+    left, right = fresh(marked, "kept_id"), fresh(marked, "kept_mark")
+    kept = kept.select(F.col("k0").alias(left), F.col("k1").alias(right))
+    same = F.col(doc_id).eqNullSafe(F.col(left)) & (F.col(mark) == F.col(right))
     return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, mark]).drop(mark)

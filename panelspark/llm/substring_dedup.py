@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, fresh, materialize
 
+RESULTS = ("clean_text", "n_units", "kept_spans", "removed_spans")
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 _BLANKS = re.compile(rb"[ \t\r\n\x0b\x0c]+")
 
@@ -71,8 +72,10 @@ def dedup_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", uni
     occurrence with the smallest (doc_id, hash of the text, position) stays, null ids first, and every other is removed, inside a document too.
     Spans are (start, end) character offsets in the original text; ``clean_text`` joins the kept units by the separator. A null text stays null, with
     no units; an empty text is one unit that is never removed. Rows that agree in id and text are one document: they are cut alike. A text
-    of which every unit was removed becomes empty; the row stays. An empty table gives an empty result.
+    of which every unit was removed becomes empty; the row stays. Columns of ``docs`` that are named like a result are replaced by it. An empty table gives an empty result.
     """
+    docs = docs.drop(*RESULTS)
+    out = docs.columns
     units = materialize(_units(docs, doc_id, text, unit, min_words), "units")
     place = F.struct("doc", "mark", "at")
     first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -86,10 +89,6 @@ def dedup_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", uni
     same = F.col(doc_id).eqNullSafe(F.col(cuts.columns[0])) & (F.col(mark) == F.col(cuts.columns[1]))
     joined = marked.join(cuts, same, "left").drop(mark, cuts.columns[0], cuts.columns[1])
 
-    out = [f"{f.name}" for f in docs.schema]
-    clash = {c.lower() for c in out} & {"clean_text", "n_units", "kept_spans", "removed_spans"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken by the result")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     separator = SEPARATORS[unit]
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from panelspark.llm.components import connected_components
-from panelspark.llm.simhash import covering_masks, drop_near_duplicates, fingerprint, shingle_hashes, simhash_classes
+from panelspark.llm.simhash import covering_masks, drop_near_duplicates, fingerprint, hamming_links, refining_masks, shingle_hashes, simhash_classes
 from panelspark.llm.substring_dedup import dedup_units
 
 SCHEMA = "doc_id long, text string, digest string, kept string"
@@ -71,8 +71,9 @@ def test_units_edges(spark):
     rows = [(1, "one two three four\n\nfive six seven eight", "", ""), (2, "Five six\nseven eight\n\nnew", "", "")]
     got = {r["doc_id"]: r for r in dedup_units(spark.createDataFrame(rows, SCHEMA), unit="paragraph").collect()}
     assert got[2]["clean_text"] == "new" and got[1]["clean_text"] == rows[0][1]
-    with pytest.raises(ValueError):
-        dedup_units(spark.createDataFrame([], SCHEMA + ", clean_text string"))
+    clash = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as clean_text", "2 as n_units", "3 as text_mark", "4 as cut_doc", "5 as at", "6 as mark")
+    got = dedup_units(clash, unit="paragraph").collect()
+    assert sorted(r["clean_text"] for r in got) == sorted([rows[0][1], "new"]) and got[0]["text_mark"] == 3
 
 
 def plain_fingerprint(text, k):
@@ -142,14 +143,35 @@ def test_simhash_like_plain(spark):
 
 
 def test_large_runs_are_compared_in_blocks(spark):
-    from panelspark.llm.simhash import hamming_links
-
     rng = random.Random(8)
     values = {1 << a | 1 << b for a in range(40) for b in range(a)} | {rng.getrandbits(63) for _ in range(50)}
     fps = spark.createDataFrame([(v,) for v in values], "fp0 long")
-    got = connected_components(hamming_links(fps, 1, 2, block=16)).collect()
     want = plain_components(sorted(values), lambda a, b: (a ^ b).bit_count() <= 2)
-    assert {r["node"]: r["root"] for r in got} == {n: r for n, r in want.items() if n != r or list(want.values()).count(n) > 1}
+    want = {n: r for n, r in want.items() if n != r or list(want.values()).count(n) > 1}
+    for block in (16, 400, 1024):
+        got = connected_components(hamming_links(fps, 1, 2, block=block)).collect()
+        assert {r["node"]: r["root"] for r in got} == want
+
+
+def test_links_of_several_words(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows = sorted({(rng.getrandbits(63), base[rng.randrange(6)] ^ (1 << rng.randrange(60) if rng.random() < 0.5 else 0)) for _ in range(150)})
+    fps = spark.createDataFrame(rows, "fp0 long, fp1 long")
+    got = {r["node"]: r["root"] for r in connected_components(hamming_links(fps, 2, 2, block=8)).collect()}
+    want = plain_components(range(len(rows)), lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(rows[a], rows[b])))
+    assert {n: got.get(rows[n][0], rows[n][0]) for n in want} == {n: rows[r][0] for n, r in want.items()}
+
+
+@pytest.mark.parametrize("radius", [2, 4])
+def test_refined_masks_cover(radius):
+    masks, finer = covering_masks(radius), refining_masks(radius)
+    rng = random.Random(2)
+    for _ in range(2000):
+        at = rng.randrange(len(masks))
+        free = [i for i in range(64) if not masks[at] >> i & 1]
+        bits = sum(1 << b for b in rng.sample(free, radius))
+        assert any(m & bits == 0 and m & masks[at] == masks[at] for m in finer[at])
 
 
 def test_drop_near_duplicates(spark):
@@ -162,6 +184,8 @@ def test_drop_near_duplicates(spark):
     kept = drop_near_duplicates(docs).collect()
     assert sorted((r["mine"] for r in kept)) == ["b", "c", "e"]
     assert kept[0].asDict().keys() == {"doc_id", "text", "mine"}
+    clash = docs.selectExpr("*", "1 as k0", "2 as k1", "3 as text_mark", "4 as kept_id", "5 as root", "6 as fp0")
+    assert sorted(r["mine"] for r in drop_near_duplicates(clash).collect()) == ["b", "c", "e"]
     assert drop_near_duplicates(docs.limit(0)).collect() == []
 
 
