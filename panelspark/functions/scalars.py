@@ -65,11 +65,6 @@ def mean_strict(value: ColumnOrName) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
 
 
-def sd_strict(value: ColumnOrName) -> Column:
-    c = as_col(value)
-    return F.when(F.count(c) == F.count(F.lit(1)), F.stddev_samp(c))
-
-
 # -- dates --------------------------------------------------------------------
 
 
@@ -186,13 +181,6 @@ def day_text(date: ColumnOrName) -> Column:
     return F.lower(F.date_format(as_col(date), "ddMMMyyyy"))
 
 
-def all_present(cols: Sequence[ColumnOrName]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & as_col(c).isNotNull()
-    return cond
-
-
 def signif(value: ColumnOrName, digits: int = 9, zero_below: float = 1e-9) -> Column:
     """Round to significant digits; values under ``zero_below`` become 0."""
     x = as_col(value).cast("double")

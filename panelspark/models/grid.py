@@ -198,12 +198,3 @@ def f_statistics(grid: GridResult, term: str, digits: int = 3) -> DataFrame:
     return grid.coefficients.sparkSession.createDataFrame(
         rows, "model_id string, f double, df1 int, df2 double, p_value double"
     )
-
-
-def by_role(grid: GridResult, roles: Mapping[str, str]) -> DataFrame:
-    """Coefficients with terms renamed for display."""
-    out = grid.coefficients
-    case = F.col("role")
-    for old, new in roles.items():
-        case = F.when(F.col("role") == old, new).otherwise(case)
-    return out.withColumn("role", case)

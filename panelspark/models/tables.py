@@ -80,6 +80,12 @@ def coef_table(
     )
 
 
-def header_row(groups: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
-    """(model, column group) pairs in table order."""
-    return [(m, g) for g, members in groups.items() for m in members]
+def with_header(table: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The table with two lines above it: the column group of each model, told once over its first column, and the models'
+    numbers. Columns follow the order of the groups."""
+    members = [(m, g if i == 0 else "") for g, ms in groups.items() for i, m in enumerate(ms)]
+    names = ["row", "label", *[m for m, _ in members]]
+    lines = [(-2, "", *[g for _, g in members]), (-1, "", *[f"({i})" for i in range(1, len(members) + 1)])]
+    schema = ", ".join(["row int", "label string", *[f"`{m}` string" for m, _ in members]])
+    head = table.sparkSession.createDataFrame(lines, schema)
+    return head.unionByName(table.select(*[F.col(f"`{c}`") for c in names]))

@@ -97,9 +97,6 @@ def w5(spark, sf):
     return out.withColumns({c: F.round(c, 9) + 0.0 for c in out.columns if c.startswith("d_log_")})
 
 
-CHANGE_SQL = "{p} AS pct, {l} AS log"
-
-
 def _change_sql(over):
     prev = f"lag(revenue) {over}"
     return f"SELECT state, t, {sig_sql(f'(revenue - {prev}) / {prev}')} AS pct, {sig_sql(f'ln(revenue) - ln({prev})')} AS log FROM weekly"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.models import grid
 from panelspark.models.spec import ModelSpec
-from panelspark.models.tables import coef_table
+from panelspark.models.tables import coef_table, with_header
 from panelspark.operators.panel import Panel, chain_index, panel_features
 from panelspark.plans import cross_section, ingest, panels, suites
 from panelspark.sources.readers import read_wide_csv, read_years
@@ -160,6 +160,9 @@ def test_store_and_export(spark, tmp_path):
     export_table(table, str(tmp_path / "t"), order=["row"])
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()]
     assert len(lines) == 7 and all(x.endswith("\\\\") for x in lines)
+    export_table(with_header(table, {"first": ["b"], "second": ["a"]}), str(tmp_path / "h"), order=["row"])
+    headed = [r["value"] for r in spark.read.text(str(tmp_path / "h")).collect()]
+    assert headed[0] == " & first & second \\\\" and headed[1] == " & (1) & (2) \\\\" and len(headed) == 9
     est = g["a"].coef("avg_precip")
     assert f"{abs(est):,.3f}" in lines[0]
 
