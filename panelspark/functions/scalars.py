@@ -6,7 +6,6 @@ ANSI mode is assumed on: divisions and casts that may fail use the ``try_`` form
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F

@@ -24,7 +24,8 @@ def name_shared_folder(spark: SparkSession) -> None:
     session gets one that is removed at exit. On a cluster the folder has to be named."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="panelspark-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)

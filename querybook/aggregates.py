@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalars import clock_to_date, mean_strict, sum_strict, sum_zero, week52
 from panelspark.operators import aggregates as agg
 from panelspark.operators.joins import duplicate_keys
-from panelspark.operators.reshape import union_all
 
-from .common import DAILY_SQL, SEGMENTS, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, sig, sig_sql, table, week_sql, weekly_panel, weekly_table, with_sql
+from .common import DAILY_SQL, SEGMENTS, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, sig, sig_sql, table, week_sql, weekly_table, with_sql
 
 SPARSE = "docs AS (SELECT lang, source, CASE WHEN toxic = 0 THEN n_chars END AS chars FROM documents LEFT JOIN labels USING (doc_id))"
 

@@ -9,7 +9,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalars import clock_to_date, safe_div, week52
+from panelspark.functions.scalars import clock_to_date, safe_div
 from panelspark.models.spec import coefficients
 from panelspark.models.wald import tests_table
 from panelspark.operators.panel import DELAY_COLUMNS

@@ -9,9 +9,8 @@ from panelspark.models.linear import residualize
 from panelspark.models.spec import ModelSpec
 from panelspark.operators import joins
 from panelspark.operators.panel import step_panel_long
-from panelspark.operators.reshape import append_total
 
-from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, event_days, query, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
+from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, event_days, query, sig, sig_sql, table, weekly_table, with_sql
 
 KEYS = ["state", "yr", "wk"]
 

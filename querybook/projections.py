@@ -13,7 +13,7 @@ from panelspark.operators import clean
 from panelspark.operators.panel import Panel, lag_by
 from panelspark.operators.reshape import mapping_table, to_long
 
-from .common import DAILY_SQL, WEEKLY_SQL, daily_types, query, sig, sig_sql, table, weekly_panel, with_sql
+from .common import WEEKLY_SQL, daily_types, query, sig, sig_sql, table, weekly_panel, with_sql
 
 
 @query(

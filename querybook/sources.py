@@ -6,11 +6,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalars import clock_to_date, parse_mdy2, week52
+from panelspark.functions.scalars import clock_to_date, parse_mdy2
 from panelspark.models.grid import run_grid
 from panelspark.models.spec import ModelSpec
 from panelspark.models.tables import coef_table
-from panelspark.operators.clean import rename
 from panelspark.operators.joins import Side, merge_many
 from panelspark.operators.reshape import literal_table
 from panelspark.session import scratch_path
