@@ -114,6 +114,12 @@ def forest(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, n
     near = np.empty((n, n), bool)
     for i in range(0, n, 256):
         near[i : i + 256] = np.bitwise_count(bits[i : i + 256, None] ^ bits[None, :]) <= radius
+    return spanning(near, node)
+
+
+def spanning(near: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of nodes that hang together by ``near``: links to its first node."""
+    n = len(near)
     label = np.arange(n)
     while True:
         least = np.concatenate([np.where(near[i : i + 256], label[None, :], n).min(axis=1) for i in range(0, n, 256)])
@@ -267,13 +273,17 @@ def simhash_classes(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4, words: int = 4
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id's (null ids last, then by a hash of the text).
+    Rows are linked if their sets of ``shingle``-word runs have a Jaccard similarity of ``similarity`` or more; candidates are
+    found by MinHash bands (see ``minhash``), every link is checked exactly. Texts without words are alike.
     Rows that repeat its id and text are cut to one. All columns stay as they are."""
+    from .minhash import near_copy_classes
+
     mark = fresh(docs, "text_mark")
     marked = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
-    rows = _classes(marked, [doc_id, mark], text, shingle, radius, words)
+    rows = near_copy_classes(marked, [doc_id, mark], text, shingle, similarity)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("k0").isNull().alias("late"), "k0", "k1")).alias("first"))
     kept = materialize(first.select("first.k0", "first.k1"), "kept")
     left, right = fresh(marked, "kept_id"), fresh(marked, "kept_mark")

@@ -1,0 +1,31 @@
+"""Near copies in the pipeline's stage: groups of two."""
+
+import random
+
+from panelspark.llm.simhash import drop_near_duplicates
+
+
+def _pair(rng, n, changed):
+    """Two texts of n words that differ in so many words, six apart."""
+    words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    other = list(words)
+    for k in range(changed):
+        other[5 + 6 * k] = f"x{rng.randrange(10**9)}"
+    return words, other
+
+
+def _similarity(a, b, k=5):
+    a, b = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def _kept(spark, pairs):
+    rows = [(2 * i + k, " ".join(p[k])) for i, p in enumerate(pairs) for k in (0, 1)]
+    return {r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_pairs_just_above_the_threshold_are_linked(spark):
+    rng = random.Random(1)
+    pairs = [_pair(rng, 204, 4) for _ in range(150)]  # 20 of 200 shingles differ: 180 / 220
+    assert all(0.8 <= _similarity(*p) < 0.83 for p in pairs)
+    assert len(_kept(spark, pairs)) == len(pairs)
