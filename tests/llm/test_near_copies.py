@@ -1,7 +1,11 @@
-"""Near copies in the pipeline's stage: groups of two."""
+"""Near copies in the pipeline's stage: groups of two, and links under the threshold."""
 
 import random
 
+import numpy as np
+
+from panelspark.llm.components import connected_components
+from panelspark.llm.minhash import band_keys, near_links, similar
 from panelspark.llm.simhash import drop_near_duplicates
 
 
@@ -29,3 +33,45 @@ def test_pairs_just_above_the_threshold_are_linked(spark):
     pairs = [_pair(rng, 204, 4) for _ in range(150)]  # 20 of 200 shingles differ: 180 / 220
     assert all(0.8 <= _similarity(*p) < 0.83 for p in pairs)
     assert len(_kept(spark, pairs)) == len(pairs)
+
+
+def test_pairs_under_the_threshold_stay(spark):
+    rng = random.Random(2)
+    pairs = [_pair(rng, 104, 3) for _ in range(80)]  # 15 of 100 shingles differ: 85 / 115
+    assert all(0.7 < _similarity(*p) < 0.75 for p in pairs)
+    assert len(_kept(spark, pairs)) == 2 * len(pairs)
+
+
+def test_links_like_all_pairs(spark):
+    """One crowd with many failed links to any hub, in blocks of several sizes, against all pairs that share a band."""
+    rng = np.random.default_rng(3)
+    base, sets = rng.integers(0, 1 << 63, 60, np.uint64), {}
+    for i in range(150):
+        one = base.copy()
+        at = rng.choice(60, rng.integers(0, 16), replace=False)
+        one[at] = rng.integers(0, 1 << 63, len(at), np.uint64) if i % 3 else base[at] ^ np.uint64(1)
+        sets[f"{i:03d}"] = np.unique(one)
+    keys = {n: band_keys(s) for n, s in sets.items()}
+    names = sorted(sets)
+    near = similar([sets[n] for n in names], 0.8)
+    root = {n: n for n in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[:i]):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            assert near[i, j] == (len(x & y) / len(x | y) >= 0.8)
+            if near[i, j] and any(p == q for p, q in zip(keys[a], keys[b])):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    want = {n: find(n) for n in names}
+    assert 5 < len(set(want.values())) < 145
+    nodes = spark.createDataFrame([(n, k) for n, k in keys.items()], "node string, keys array<long>")
+    grams = spark.createDataFrame([(n, bytearray(s.astype("<u8").tobytes())) for n, s in sets.items()], "node string, grams binary")
+    for block in (16, 256):
+        got = {r["node"]: r["root"] for r in connected_components(near_links(nodes, grams, 0.8, block)).collect()}
+        assert {n: got.get(n, n) for n in names} == want
