@@ -31,15 +31,24 @@ BPE = "byte_bpe_50k.json"
 PIECES = "byte_bpe_50k.tiktoken"
 
 
-def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of four words or more that came earlier are cut from every document."""
-    cut = dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _cut_lines(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
+    cut = dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=min_words)
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return cut.select(
         "doc_id", F.col("clean_text").alias("text"), "n_units", F.size("removed_spans").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans")
     )
 
 
+def op1_substring_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of any length that came earlier are cut from every document."""
+    return _cut_lines(spark, sf_dir, 1)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of four words or more that came earlier are cut from every document."""
+    return _cut_lines(spark, sf_dir, 4)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word fingerprints differ in two bits at most."""
     return simhash_classes(table(spark, sf_dir, "documents"), shingle=3, radius=2, words=1)
@@ -109,7 +118,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_simhash, op3_packing, op4_token_file, op5_maxscore, op6_language, op7_url_reputation, op8_toxicity,
+        op1_substring_dedup_all, op1_substring_dedup, op2_simhash, op3_packing, op4_token_file, op5_maxscore, op6_language, op7_url_reputation, op8_toxicity,
         op9_winnowing, op10_quality,
     )
 }
@@ -135,6 +144,8 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') EN
        CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(removed_spans, '') AS removed_spans
 FROM documents d LEFT JOIN g USING (doc_id)"""
 
+_ALL_LINES_SQL = _LINES_SQL.replace("norm <> '' AND len(string_split(norm, ' ')) >= 4 AS counted", "norm <> '' AS counted")
+
 _TOP_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS x FROM embeddings
@@ -207,6 +218,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup_all": _ALL_LINES_SQL,
     "op1_substring_dedup": _LINES_SQL,
     "op5_maxscore": _TOP_SQL,
     "op7_url_reputation": _URL_SQL,
