@@ -70,8 +70,8 @@ def test_links_like_all_pairs(spark):
                 root[q] = p
     want = {n: find(n) for n in names}
     assert 5 < len(set(want.values())) < 145
-    nodes = spark.createDataFrame([(n, k) for n, k in keys.items()], "node string, keys array<long>")
-    grams = spark.createDataFrame([(n, bytearray(s.astype("<u8").tobytes())) for n, s in sets.items()], "node string, grams binary")
+    nodes = spark.createDataFrame([(n, k.tolist()) for n, k in keys.items()], "node string, keys array<long>")
+    grams = spark.createDataFrame([(n, s.view(np.int64).tolist()) for n, s in sets.items()], "node string, grams array<long>")
     for block in (16, 256):
         got = {r["node"]: r["root"] for r in connected_components(near_links(nodes, grams, 0.8, block)).collect()}
         assert {n: got.get(n, n) for n in names} == want
