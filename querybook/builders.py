@@ -806,6 +806,14 @@ def l19_f(spark, sf):
     return S.G.f_statistics(grid, "d_avg_precip").select("model_id", "f", "df1", "df2")
 
 
+@query("L19_first_stage_f_list")
+def l19_f_list(spark, sf):
+    """F of rain in every first stage: three measures by four models, clustered by state."""
+    features = S.weekly_features(week_panel(spark, sf), lags=1)
+    specs = S.G.first_stage_specs(S.MEASURES, "d_avg_precip", ["EmergDec", "GathRestrictAny", "d_COVID_mortality_pc_m1"], "state_id", "week")
+    return S.G.f_statistics(S.G.run_grid(features, specs), "d_avg_precip").select("model_id", "f", "df1", "df2")
+
+
 @query("L20_daily_model_suite")
 def l20(spark, sf):
     parts = stand_ins(spark, sf)
