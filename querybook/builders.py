@@ -864,8 +864,8 @@ def l21(spark, sf):
 def l22(spark, sf):
     grid, joint = S.country_suite(materialize(C.country_cross_section(*country_tables(spark, sf)), "countries"))
     tests = tests_table(spark, [joint]).select(F.lit("fs_final").alias("model_id"), "test", "statistic", "p_value")
-    coefs = grid.coefficients.select("model_id", F.col("term").alias("test"), "statistic", "p_value")
-    return coefs.unionByName(tests)
+    coefs = grid.coefficients.select("model_id", F.col("term").alias("test"), "estimate", "std_error", "statistic", "p_value")
+    return coefs.unionByName(tests, allowMissingColumns=True)
 
 
 @query(
@@ -889,8 +889,9 @@ def l23(spark, sf):
 @query("L24_state_iv_suite")
 def l24(spark, sf):
     grid, tests = S.state_iv_suite(materialize(cross_section(spark, sf), "cross"))
-    coefs = grid.coefficients.select("model_id", F.col("term").alias("test"), "statistic", "p_value")
-    return coefs.unionByName(tests_table(spark, tests).select(F.lit("iv").alias("model_id"), "test", "statistic", "p_value"))
+    coefs = grid.coefficients.select("model_id", F.col("term").alias("test"), "estimate", "std_error", "statistic", "p_value")
+    rows = tests_table(spark, tests).select(F.lit("iv").alias("model_id"), "test", "statistic", "p_value")
+    return coefs.unionByName(rows, allowMissingColumns=True)
 
 
 @query("L25_shift_share_models")
