@@ -15,6 +15,7 @@ from .maxscore import top_k
 from .packing import pack_documents
 from .simhash import simhash_classes
 from .substring_dedup import dedup_units
+from .token_counts import count_tokens
 from .token_file import read_tokens, write_tokens
 from .url_reputation import Rule, judge_urls
 from .winnowing import contamination
@@ -115,11 +116,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model, extra=out)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 1,024 tokens."""
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BPE), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup_all, op1_substring_dedup, op2_simhash, op3_packing, op4_token_file, op5_maxscore, op6_language, op7_url_reputation, op8_toxicity,
-        op9_winnowing, op10_quality,
+        op9_winnowing, op10_quality, op11_token_counts,
     )
 }
 
