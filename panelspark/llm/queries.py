@@ -14,6 +14,7 @@ from .common import held_out, table, tokenizer_path
 from .maxscore import top_k
 from .packing import pack_documents
 from .simhash import simhash_classes
+from .source_divergence import divergence
 from .substring_dedup import dedup_units
 from .token_counts import count_tokens
 from .token_file import read_tokens, write_tokens
@@ -121,11 +122,16 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BPE), limit=1024)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms and other sources that every source of every language differs from most."""
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup_all, op1_substring_dedup, op2_simhash, op3_packing, op4_token_file, op5_maxscore, op6_language, op7_url_reputation, op8_toxicity,
-        op9_winnowing, op10_quality, op11_token_counts,
+        op9_winnowing, op10_quality, op11_token_counts, op13_source_divergence,
     )
 }
 
@@ -223,10 +229,40 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
+_DIVERGENCE_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+         translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+w AS (SELECT lang, source, id, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+      FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+own AS (SELECT lang, source, sum(n) AS total, count(*) AS v FROM x GROUP BY lang, source),
+lx AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY lang, term),
+ln AS (SELECT lang, sum(n) AS total FROM lx GROUP BY lang),
+p AS (
+  SELECT x.lang, x.source, x.term, x.n, 1 + (CAST(1000000000 AS HUGEINT) * (x.n + 1)) // (own.total + own.v) AS p,
+         1 + (CAST(1000000000 AS HUGEINT) * (lx.n + 1)) // (ln.total + own.v) AS q
+  FROM x JOIN own ON own.lang = x.lang AND own.source = x.source JOIN lx ON lx.lang = x.lang AND lx.term = x.term JOIN ln ON ln.lang = x.lang),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup_all": _ALL_LINES_SQL,
     "op1_substring_dedup": _LINES_SQL,
     "op5_maxscore": _TOP_SQL,
     "op7_url_reputation": _URL_SQL,
     "op9_winnowing": _WINDOWS_SQL,
+    "op13_source_divergence": _DIVERGENCE_SQL,
 }
