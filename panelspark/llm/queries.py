@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.session import scratch_path
 
 from . import langid, quality, toxicity
+from .collocations import collocations
 from .common import held_out, table, tokenizer_path
 from .maxscore import top_k
 from .packing import pack_documents
@@ -122,6 +123,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BPE), limit=1024)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of two to four words that every language binds most."""
+    return collocations(table(spark, sf_dir, "documents"), least=30, inside=80, top=2000)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and other sources that every source of every language differs from most."""
     return divergence(table(spark, sf_dir, "documents"))
@@ -131,7 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup_all, op1_substring_dedup, op2_simhash, op3_packing, op4_token_file, op5_maxscore, op6_language, op7_url_reputation, op8_toxicity,
-        op9_winnowing, op10_quality, op11_token_counts, op13_source_divergence,
+        op9_winnowing, op10_quality, op11_token_counts, op12_collocations, op13_source_divergence,
     )
 }
 
@@ -258,11 +264,37 @@ f AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200"""
 
+_PHRASES_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') for i in range(1, len(w) - m + 2)]) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+t AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.k, k.a, x.a AS l, y.a AS r, (CAST(2000000 AS HUGEINT) * k.a) // (x.a + y.a) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:k.m], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a, unnest([array_to_string(w[j:j + size - 1], ' ') for j in range(1, m - size + 2)]) AS phrase
+      FROM c, (VALUES (2), (3)) v(size) WHERE size < m),
+o AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY lang, phrase),
+z AS (
+  SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank
+  FROM low LEFT JOIN o ON o.lang = low.lang AND o.phrase = low.phrase WHERE o.longer IS NULL OR 100 * o.longer < 80 * low.a)
+SELECT z.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z JOIN t ON t.lang = z.lang WHERE rank <= 2000"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup_all": _ALL_LINES_SQL,
     "op1_substring_dedup": _LINES_SQL,
     "op5_maxscore": _TOP_SQL,
     "op7_url_reputation": _URL_SQL,
     "op9_winnowing": _WINDOWS_SQL,
+    "op12_collocations": _PHRASES_SQL,
     "op13_source_divergence": _DIVERGENCE_SQL,
 }

@@ -49,6 +49,6 @@ def test_stages(spark, tmp_path):
 
 def test_registry():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(SQL) <= set(entry.oracle_sql())
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
