@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .spec import FitResult, ModelSpec, column_of, label_of
 
+Vectors = Callable[[FitResult], dict[str, np.ndarray]]
 PIVOT_TOL = 1e-9
 ABSORB_TOL = 1e-12
 ROUNDING = 1e-14
@@ -352,32 +353,64 @@ def _sum_terms(terms: list[Column]) -> Column:
     return out
 
 
-def _outer_sums(df: DataFrame, names: Sequence[str], weight: str = "") -> dict[int, np.ndarray]:
-    """Per model the matrix of Σ weight·name_i·name_j."""
+def _outer_sums(df: DataFrame, names: Sequence[str], weight: str = "", keys: Sequence[str] = ("model",)) -> dict:
+    """Per model (or per key) the matrix of Σ weight·name_i·name_j."""
     w = f"{weight} * " if weight else ""
     aggs = [F.expr(f"sum({w}{names[i]} * {names[j]}) AS M_{i}_{j}") for i, j in _pairs(len(names))]
     out = {}
-    for r in df.groupBy("model").agg(*aggs).collect():  # one row per model
+    for r in df.groupBy(*keys).agg(*aggs).collect():  # one row per model and test
         m = np.zeros((len(names), len(names)))
         for i, j in _pairs(len(names)):
             m[i, j] = m[j, i] = r[f"M_{i}_{j}"] or 0.0
-        out[r["model"]] = m
+        out[r[keys[0]] if len(keys) == 1 else tuple(r[k] for k in keys)] = m
     return out
 
 
-def _cluster_meat(table: DataFrame, batch: _Batch, sols: dict[int, _Solution]) -> dict[int, np.ndarray]:
+def _cluster_meat(table: DataFrame, batch: _Batch, members: Sequence[int], coef: DataFrame, keys: Sequence[str] = ("model",)) -> dict:
     """Score sums per cluster are linear in the cluster's cross-products."""
     w = batch.width
-    coef = _resid_table(table.sparkSession, sols, batch.p, False)
-    own = _model_in([m for m in sols if not batch.specs[m].entity])
+    own = _model_in([m for m in members if not batch.specs[m].entity])
     const = " + ".join([f"e[0] * n", *[f"e[{l + 1}] * s_{l}" for l in range(w)]])
     scores = [f"CASE WHEN {own} THEN {const} ELSE 0.0D END AS u0"]
     for z in range(w):
         terms = [f"CASE WHEN {own} THEN e[0] * s_{z} ELSE 0.0D END"]
         terms += [f"e[{l + 1}] * {_at('A', z, l)}" for l in range(w)]
         scores.append(" + ".join(terms) + f" AS u{z + 1}")
-    picked = table.filter(_model_in(list(sols))).join(coef, ["model"])
-    return _outer_sums(picked.selectExpr("model", *scores), [f"u{i}" for i in range(w + 1)])
+    picked = table.filter(_model_in(list(members))).join(coef, ["model"])
+    return _outer_sums(picked.selectExpr(*keys, *scores), [f"u{i}" for i in range(w + 1)], keys=keys)
+
+
+def _vector_meats(stacked: DataFrame, table: DataFrame, batch: _Batch, vectors: dict[tuple[int, str], np.ndarray]) -> dict:
+    """Sums of squared scores of any residuals of the models: each vector combines a model's (constant, slots) to one. Clusters that are the
+    groups come from the group table, the others from one scan of the rows for all vectors."""
+    w, keys = batch.width, ("model", "test")
+    spark, out = stacked.sparkSession, {}
+
+    def coefficients(part):
+        rows = [(m, t, [float(v) for v in np.pad(e, (0, batch.p + 1 - len(e)))]) for (m, t), e in part.items()]
+        return F.broadcast(spark.createDataFrame(rows, "model int, test string, e array<double>"))  # a row per model and test
+
+    by_group = {k: e for k, e in vectors.items() if batch.specs[k[0]].vce == "cluster" and batch.specs[k[0]].cluster == batch.group}
+    if by_group:
+        out |= _cluster_meat(table, batch, sorted({m for m, _ in by_group}), coefficients(by_group), keys)
+    rest: dict[tuple, dict] = {}
+    for k, e in vectors.items():
+        if k not in by_group:
+            spec = batch.specs[k[0]]
+            rest.setdefault(spec.cluster if spec.vce == "cluster" else (), {})[k] = e
+    for cluster, part in rest.items():
+        members = sorted({m for m, _ in part})
+        own = [m for m in members if not batch.specs[m].entity]
+        one = F.when(F.col("model").isin(*own), F.lit(1.0)).otherwise(F.lit(0.0)) if own else F.lit(0.0)
+        names = ["z0"] + [f"v{i}" for i in range(w)]
+        rows = _within_rows(stacked, table, batch).filter(F.col("model").isin(*members)).withColumn("z0", one).join(coefficients(part), ["model"])
+        rows = rows.withColumn("err", F.expr(" + ".join(f"e[{i}] * {c}" for i, c in enumerate(names))))
+        if cluster:
+            scores = rows.groupBy(*keys, *cluster).agg(*[F.expr(f"sum(err * {c}) AS u{i}") for i, c in enumerate(names)])
+            out |= _outer_sums(scores, [f"u{i}" for i in range(w + 1)], keys=keys)
+        else:
+            out |= _outer_sums(rows, names, "err * err", keys)
+    return out
 
 
 def _within_rows(stacked: DataFrame, table: DataFrame, batch: _Batch) -> DataFrame:
@@ -594,10 +627,13 @@ def _effects(table: DataFrame, batch: _Batch, m: int, sol: _Solution, scales: tu
 
 
 def fit_all(
-    df: DataFrame, specs: Sequence[ModelSpec], keep_effects: bool = False, cache: bool = True
+    df: DataFrame, specs: Sequence[ModelSpec], keep_effects: bool = False, cache: bool = True, scores: Vectors | None = None
 ) -> list[FitResult]:
     """Fit every model; results come back in the order of the specs.
 
+    ``scores`` may name, for each fit, further residuals as combinations of its moment columns; their sums of squared scores
+    (by the model's own clusters, if any) are put into the fit's ``scores``, for one more scan in all.
+
     The rows are scanned two or three times per batch, so their used columns are kept (memory,
     then disk) while the fits run; ``cache=False`` scans ``df`` again instead, which is better
     for a plain file scan.
@@ -613,7 +649,7 @@ def fit_all(
     if cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        results = _fit_rows(rows, inner, names_by_key, keep_effects)
+        results = _fit_rows(rows, inner, names_by_key, keep_effects, scores)
     finally:
         if cache:
             rows.unpersist()
@@ -625,7 +661,9 @@ def fit_all(
     return results
 
 
-def _fit_rows(rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, keep_effects: bool) -> list[FitResult]:
+def _fit_rows(
+    rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, keep_effects: bool, scores: Vectors | None
+) -> list[FitResult]:
     scales = _centre_and_scale(rows, list(names_by_key.values()))
     batches: dict[tuple, list[int]] = {}
     for i, s in enumerate(specs):
@@ -649,7 +687,7 @@ def _fit_rows(rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, k
             counts: dict[int, int] = {m: int(totals[m]["groups"]) for m in totals}
             by_group = {m: s for m, s in sols.items() if batch.specs[m].vce == "cluster" and batch.specs[m].cluster == group}
             if by_group:
-                meats |= _cluster_meat(table, batch, by_group)
+                meats |= _cluster_meat(table, batch, list(by_group), _resid_table(table.sparkSession, by_group, batch.p, False))
             row_kinds: dict[tuple, dict[int, _Solution]] = {}
             for m, s in sols.items():
                 spec = batch.specs[m]
@@ -682,6 +720,12 @@ def _fit_rows(rows: DataFrame, specs: Sequence[ModelSpec], names_by_key: dict, k
                     effects = _effects(table, batch, m, sols[m], tscale)
                     fit.effects = (materialize(effects, "effects"), batch.plans[m], tscale)
                 results[i] = fit
+            if scores:
+                fits = {m: results[i] for m, i in enumerate(members)}
+                vectors = {(m, name): e for m, f in fits.items() for name, e in scores(f).items()}
+                for (m, name), meat in (_vector_meats(stacked, table, batch, vectors) if vectors else {}).items():
+                    size = len(fits[m].moments)
+                    fits[m].scores[name] = meat[:size, :size]
         finally:
             if reused:
                 table.unpersist()

@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.stats_dist import chi2_upper, f_upper
-from .engine import independent
-from .spec import FitResult
+from .engine import fit_all, independent
+from .spec import FitResult, ModelSpec
 
 
 @dataclass(frozen=True)
@@ -87,55 +87,138 @@ def _rss(gram: np.ndarray, y: np.ndarray, xs: np.ndarray) -> tuple[float, int]:
     return float(y @ gram @ y - c @ np.linalg.solve(g, c)), len(keep)
 
 
+@dataclass(frozen=True)
+class _IV:
+    """A two-stage fit's moments and its parts, as combinations (columns) of the moment columns."""
+
+    gram: np.ndarray
+    y: np.ndarray
+    endog: np.ndarray
+    exog: np.ndarray
+    instr: np.ndarray
+    absorbed: int
+    n: int
+
+    @classmethod
+    def of(cls, fit: FitResult) -> _IV:
+        if not fit.spec.is_iv:
+            raise ValueError("diagnostics are for two-stage least squares")
+        gram = fit.moments
+        eye = np.eye(len(gram))
+        n_e, n_x = len(fit.spec.endog), len(fit.spec.x)
+        exog = eye[:, 2 + n_e : 2 + n_e + n_x]
+        constant = gram[0, 0] > 0
+        if constant:
+            exog = np.column_stack([eye[:, :1], exog])
+        absorbed = fit.k - len([t for t in fit.terms if t != "_cons" and not math.isnan(fit.coef(t))]) - (1 if constant else 0)
+        return cls(gram, eye[:, 1], eye[:, 2 : 2 + n_e], exog, eye[:, 2 + n_e + n_x :], absorbed, fit.n)
+
+    @property
+    def z(self) -> np.ndarray:
+        return np.column_stack([self.exog, self.instr])
+
+    @property
+    def x(self) -> np.ndarray:
+        return np.column_stack([self.exog, self.endog])
+
+    def regress(self, target: np.ndarray, xs: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Independent columns of ``xs``, their coefficients, and the residual as a combination."""
+        g = xs.T @ self.gram @ xs
+        keep = independent(g, np.diag(g))
+        beta = np.linalg.solve(g[np.ix_(keep, keep)], xs[:, keep].T @ self.gram @ target)
+        return keep, beta, target - xs[:, keep] @ beta
+
+    def first_stages(self) -> np.ndarray:
+        """First-stage residuals of the endogenous regressors."""
+        return np.column_stack([self.regress(w, self.z)[2] for w in self.endog.T])
+
+    def second_stage(self) -> np.ndarray:
+        """The two-stage residual."""
+        xh = np.column_stack([self.exog, self.endog - self.first_stages()])
+        return self.y - self.x @ np.linalg.solve(xh.T @ self.gram @ self.x, xh.T @ self.gram @ self.y)
+
+    def augmented(self) -> np.ndarray:
+        """Regressors of the endogeneity test: those of the model and the first-stage residuals."""
+        return np.column_stack([self.x, self.first_stages()])
+
+
+def _iv_residuals(fit: FitResult) -> dict[str, np.ndarray]:
+    """The residuals whose squared scores the robust diagnostics need."""
+    iv = _IV.of(fit)
+    out = {f"first:{i}": e for i, e in enumerate(iv.first_stages().T)}
+    out["augmented"] = iv.regress(iv.y, iv.augmented())[2]
+    out["second"] = iv.second_stage()
+    return out
+
+
+def _robust_f(fit: FitResult, iv: _IV, target: np.ndarray, xs: np.ndarray, last: int, meat: np.ndarray, name: str) -> TestResult:
+    """F form of the robust Wald test that the last ``last`` columns of a regression have no effect."""
+    keep, beta, _ = iv.regress(target, xs)
+    some = xs[:, keep]
+    bread = np.linalg.inv(some.T @ iv.gram @ some)
+    v = bread @ (some.T @ meat @ some) @ bread
+    df2 = float(iv.n - len(keep) - iv.absorbed)
+    if fit.spec.vce == "cluster":
+        g = fit.n_clusters
+        v, df2 = v * (g / (g - 1.0)) * ((iv.n - 1.0) / df2), g - 1.0
+    elif fit.spec.vce != "hc0":
+        v = v * (iv.n / df2)
+    tested = [i for i, k in enumerate(keep) if k >= xs.shape[1] - last]
+    if not tested:
+        return TestResult(name, math.nan, 0, df2, math.nan)
+    f = float(beta[tested] @ np.linalg.solve(v[np.ix_(tested, tested)], beta[tested])) / len(tested)
+    return TestResult(name, f, len(tested), df2, f_upper(f, len(tested), df2))
+
+
+def robust_iv_diagnostics(df: DataFrame, spec: ModelSpec) -> tuple[FitResult, list[TestResult]]:
+    """The fit and its diagnostics in forms that hold under the model's own errors (heteroskedasticity or clusters), for one scan more than
+    the fit: weak instruments and endogeneity as Wald F tests of the first stages and of the regression augmented by their residuals, and the score
+    test of the over-identifying restrictions: the instruments that the second stage does not need, net of its regressors, must
+    not move with its residual."""
+    if spec.vce not in ("hc0", "hc1", "cluster"):
+        raise ValueError("robust diagnostics are for hc0, hc1 and clustered errors")
+    fit = fit_all(df, [spec], scores=_iv_residuals)[0]
+    iv = _IV.of(fit)
+    out = [
+        _robust_f(fit, iv, w, iv.z, iv.instr.shape[1], fit.scores[f"first:{i}"], f"weak_instruments:{fit.moment_labels[2 + i]}")
+        for i, w in enumerate(iv.endog.T)
+    ]
+    out.append(_robust_f(fit, iv, iv.y, iv.augmented(), iv.endog.shape[1], fit.scores["augmented"], "endogeneity"))
+    hats = np.column_stack([iv.exog, iv.endog - iv.first_stages()])
+    spare = np.column_stack([iv.regress(z, hats)[2] for z in iv.instr.T])
+    left = spare.T @ iv.gram @ spare
+    keep = independent(left, np.diag(iv.instr.T @ iv.gram @ iv.instr))
+    if keep:
+        r = spare[:, keep]
+        s = r.T @ iv.gram @ iv.second_stage()
+        score = float(s @ np.linalg.solve(r.T @ fit.scores["second"] @ r, s))
+        out.append(TestResult("overidentification_score", score, len(keep), None, chi2_upper(score, len(keep))))
+    return fit, out
+
+
 def iv_diagnostics(fit: FitResult) -> list[TestResult]:
     """Weak instruments (first-stage F per endogenous regressor), endogeneity (Wu–Hausman) and
     over-identification (Sargan), in their classical forms, from the moments of the fit."""
-    spec = fit.spec
-    if not spec.is_iv:
-        raise ValueError("diagnostics are for two-stage least squares")
-    gram = fit.moments
-    size = len(gram)
-    eye = np.eye(size)
-    n_e, n_x = len(spec.endog), len(spec.x)
-    endog = eye[:, 2 : 2 + n_e]
-    exog = eye[:, 2 + n_e : 2 + n_e + n_x]
-    instr = eye[:, 2 + n_e + n_x :]
-    if gram[0, 0] > 0:
-        exog = np.column_stack([eye[:, :1], exog])
-    y = eye[:, 1]
-    absorbed = fit.k - len([t for t in fit.terms if t != "_cons" and not math.isnan(fit.coef(t))])
-    absorbed -= 1 if gram[0, 0] > 0 else 0
-    n = fit.n
-    z = np.column_stack([exog, instr])
+    iv = _IV.of(fit)
+    gram, y, endog, exog, z, n = iv.gram, iv.y, iv.endog, iv.exog, iv.z, iv.n
     out = []
-    hat = []
-    for i in range(n_e):
+    for i in range(endog.shape[1]):
         w = endog[:, i]
         small, k_small = _rss(gram, w, exog) if exog.shape[1] else (float(w @ gram @ w), 0)
         full, k_full = _rss(gram, w, z)
-        q, df2 = k_full - k_small, n - k_full - absorbed
+        q, df2 = k_full - k_small, n - k_full - iv.absorbed
         f = ((small - full) / q) / (full / df2)
         out.append(TestResult(f"weak_instruments:{fit.moment_labels[2 + i]}", f, q, float(df2), f_upper(f, q, df2)))
-        g = z.T @ gram @ z
-        keep = independent(g, np.diag(g))
-        pi = np.linalg.solve(g[np.ix_(keep, keep)], z[:, keep].T @ gram @ w)
-        hat.append(z[:, keep] @ pi)
-    x = np.column_stack([exog, endog])
-    hats = np.column_stack(hat)
-    rss_ols, k_ols = _rss(gram, y, x)
-    rss_aug, k_aug = _rss(gram, y, np.column_stack([x, endog - hats]))
-    q, df2 = k_aug - k_ols, n - k_aug - absorbed
+    rss_ols, k_ols = _rss(gram, y, iv.x)
+    rss_aug, k_aug = _rss(gram, y, iv.augmented())
+    q, df2 = k_aug - k_ols, n - k_aug - iv.absorbed
     if q > 0:
         f = ((rss_ols - rss_aug) / q) / (rss_aug / df2)
         out.append(TestResult("wu_hausman", f, q, float(df2), f_upper(f, q, df2)))
-    over = instr.shape[1] - n_e
+    over = iv.instr.shape[1] - endog.shape[1]
     if over > 0:
-        xh = np.column_stack([exog, hats])
-        g = xh.T @ gram @ x
-        beta = np.linalg.solve(g, xh.T @ gram @ y)
-        u = y - x @ beta
-        uu = float(u @ gram @ u)
+        u = iv.second_stage()
         out_rss, _ = _rss(gram, u, z)
-        s = n * (1.0 - out_rss / uu)
+        s = n * (1.0 - out_rss / float(u @ gram @ u))
         out.append(TestResult("sargan", s, over, None, chi2_upper(s, over)))
     return out

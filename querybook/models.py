@@ -416,10 +416,84 @@ def j18(spark, sf):
     return wald.tests_table(spark, [t]).select("test", sig("statistic", 6).alias("statistic"), "df1")
 
 
-@query("J19_iv_diagnostics")
+# One endogenous regressor, two instruments: first stage (h, v), augmented regression (a; s is v net of w), two-stage residual u, spare instrument r.
+IV_TESTS = (
+    "c AS (SELECT state, " + ", ".join(f"{c} - avg({c}) OVER () AS {n}" for c, n in (("revenue", "y"), ("price", "w"), ("qty", "z1"), ("disc", "z2"))) + " FROM weekly)",
+    "p AS (SELECT count(*) AS n, sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS d, sum(z1 * w) AS p1, sum(z2 * w) AS p2 FROM c)",
+    "k AS (SELECT *, (d * p1 - b * p2) / (a * d - b * b) AS k1, (a * p2 - b * p1) / (a * d - b * b) AS k2 FROM p)",
+    "f AS (SELECT c.*, k1 * z1 + k2 * z2 AS h, w - k1 * z1 - k2 * z2 AS v FROM c, k)",
+    "g AS (SELECT sum(h * y) / sum(h * h) AS beta, sum(v * y) / sum(v * v) - sum(h * y) / sum(h * h) AS gamma, sum(v * v) / sum(w * w) AS on_w, sum(z2 * h) / sum(h * h) AS on_h FROM f)",
+    "e AS (SELECT f.*, y - beta * w AS u, y - beta * w - gamma * v AS a, v - on_w * w AS s, z2 - on_h * h AS r, gamma FROM f, g)",
+)
+
+
+def iv_tests_sql(rows):
+    parts = [f"SELECT '{t}' AS test, {sig_sql(s, 6)} AS statistic, {a} AS df1, {b} AS df2 FROM {src}" for t, s, a, b, src in rows]
+    return with_sql(WEEKLY_SQL, *IV_TESTS) + " UNION ALL ".join(parts)
+
+
+FREE = "CAST(max(n) - 3 AS DOUBLE)"
+
+
+@query(
+    "J19_iv_diagnostics",
+    iv_tests_sql(
+        [
+            ("weak_instruments:price", "(max(k1 * p1 + k2 * p2) / 2) / (sum(v * v) / (max(n) - 3.0))", 2, FREE, "f, k"),
+            ("wu_hausman", "max(gamma * gamma) * sum(s * s) / (sum(e.a * e.a) / (max(n) - 3.0))", 1, FREE, "e, k"),
+            (
+                "sargan",
+                "max(n) * (max(d) * pow(sum(z1 * u), 2) - 2 * max(b) * sum(z1 * u) * sum(z2 * u) + max(k.a) * pow(sum(z2 * u), 2)) / max(k.a * d - b * b) / sum(u * u)",
+                1, "NULL", "e, k",
+            ),
+        ]
+    ),
+)
 def j19(spark, sf):
     fit = linear.tsls(weekly_panel(spark, sf), "revenue", ["price"], ["qty", "disc"], name="iv")
-    return wald.tests_table(spark, wald.iv_diagnostics(fit))
+    return _tests(spark, wald.iv_diagnostics(fit))
+
+
+def _tests(spark, tests):
+    return wald.tests_table(spark, tests).select("test", sig("statistic", 6).alias("statistic"), "df1", "df2")
+
+
+@query(
+    "J19_robust_iv_diagnostics",
+    iv_tests_sql(
+        [
+            (
+                "weak_instruments:price",
+                "(max(n) - 3.0) / (2 * max(n)) * (sum(v * v * z2 * z2) * max(p1 * p1) - 2 * sum(v * v * z1 * z2) * max(p1 * p2) + sum(v * v * z1 * z1) * max(p2 * p2)) / (sum(v * v * z1 * z1) * sum(v * v * z2 * z2) - pow(sum(v * v * z1 * z2), 2))",
+                2, FREE, "f, k",
+            ),
+            ("endogeneity", "(max(n) - 3.0) / max(n) * max(gamma * gamma) * pow(sum(s * s), 2) / sum(s * s * e.a * e.a)", 1, FREE, "e, k"),
+            ("overidentification_score", "pow(sum(r * u), 2) / sum(r * r * u * u)", 1, "NULL", "e"),
+        ]
+    ),
+)
+def j19_robust(spark, sf):
+    spec = ModelSpec("iv", "revenue", (), ["price"], ["qty", "disc"], vce="hc1")
+    return _tests(spark, wald.robust_iv_diagnostics(weekly_panel(spark, sf), spec)[1])
+
+
+CLUSTER_TESTS = (
+    "cs AS (SELECT state, sum(v * z1) AS q1, sum(v * z2) AS q2, sum(s * e.a) AS q3, sum(r * u) AS q4 FROM e GROUP BY 1)",
+    "ct AS (SELECT count(*) AS groups, sum(q1 * q1) AS m11, sum(q1 * q2) AS m12, sum(q2 * q2) AS m22, sum(q3 * q3) AS m33, pow(sum(q4), 2) / sum(q4 * q4) AS score FROM cs)",
+    "cn AS (SELECT ct.*, p1, p2, n, (groups - 1.0) / groups * (n - 3.0) / (n - 1.0) AS small FROM ct, k)",
+)
+
+
+@query(
+    "J19_clustered_iv_diagnostics",
+    with_sql(WEEKLY_SQL, *IV_TESTS, *CLUSTER_TESTS)
+    + f"SELECT 'weak_instruments:price' AS test, {sig_sql('small / 2 * (m22 * p1 * p1 - 2 * m12 * p1 * p2 + m11 * p2 * p2) / (m11 * m22 - m12 * m12)', 6)} AS statistic, 2 AS df1, CAST(groups - 1 AS DOUBLE) AS df2 FROM cn "
+    f"UNION ALL SELECT 'endogeneity', {sig_sql('max(small) * max(gamma * gamma) * pow(sum(s * s), 2) / max(m33)', 6)}, 1, CAST(max(groups) - 1 AS DOUBLE) FROM e, cn "
+    f"UNION ALL SELECT 'overidentification_score', {sig_sql('score', 6)}, 1, NULL FROM cn",
+)
+def j19_clustered(spark, sf):
+    spec = ModelSpec("iv", "revenue", (), ["price"], ["qty", "disc"], vce="cluster", cluster="state")
+    return _tests(spark, wald.robust_iv_diagnostics(weekly_panel(spark, sf), spec)[1])
 
 
 @query(

@@ -315,6 +315,55 @@ def test_iv_diagnostics(df, sample):
     assert got["sargan"].statistic == pytest.approx(n * (1 - r / (u @ u)), rel=1e-6)
 
 
+@pytest.mark.parametrize("vce,entity", [("hc0", None), ("hc1", None), ("cluster", None), ("hc1", "g"), ("cluster", "g")])
+def test_robust_iv_diagnostics(df, sample, vce, entity):
+    """Two endogenous regressors, three instruments, against dense regressions."""
+    s = sample.assign(z3=sample.z * sample.z2)
+    s = s.assign(e2=s.e2 + s.z3)
+    given = df.withColumn("z3", F.col("z") * F.col("z2")).withColumn("e2", F.col("e2") + F.col("z3"))
+    spec = ModelSpec("iv", "y", ["x"], ["e", "e2"], ["z", "z2", "z3"], vce=vce, cluster="g" if vce == "cluster" else None, entity=entity)
+    fit, tests = wald.robust_iv_diagnostics(given, spec)
+    got = {t.name: t for t in tests}
+    n = len(s)
+    c = dummies(s.g.values) if entity else np.ones((n, 1))
+    exog, endog, instr = np.c_[c, s.x], np.c_[s.e, s.e2], np.c_[s.z, s.z2, s.z3]
+
+    def meat(x, e):
+        u = x * e[:, None]
+        if vce == "cluster":
+            u = np.array([u[s.g.values == g].sum(axis=0) for g in np.unique(s.g)])
+        return u.T @ u
+
+    def f(y, x, last):
+        b = np.linalg.lstsq(x, y, rcond=None)[0]
+        bread = np.linalg.inv(x.T @ x)
+        v = bread @ meat(x, y - x @ b) @ bread
+        free = n - x.shape[1]
+        v *= {"hc0": 1.0, "hc1": n / free, "cluster": G / (G - 1) * (n - 1) / free}[vce]
+        return b[-last:] @ np.linalg.solve(v[-last:, -last:], b[-last:]) / last
+
+    z = np.c_[exog, instr]
+    hats = z @ np.linalg.lstsq(z, endog, rcond=None)[0]
+    for i, name in enumerate(("e", "e2")):
+        assert got[f"weak_instruments:{name}"].statistic == pytest.approx(f(endog[:, i], z, 3), rel=1e-6)
+    y = s.y.values
+    assert got["endogeneity"].statistic == pytest.approx(f(y, np.c_[exog, endog, endog - hats], 2), rel=1e-6)
+    xh = np.c_[exog, hats]
+    u = y - np.c_[exog, endog] @ np.linalg.lstsq(xh, y, rcond=None)[0]
+    r = instr[:, 0] - xh @ np.linalg.lstsq(xh, instr[:, 0], rcond=None)[0]
+    over = got["overidentification_score"]
+    assert over.statistic == pytest.approx((r @ u) ** 2 / meat(r[:, None], u)[0, 0], rel=1e-5) and over.df1 == 1
+    assert got["endogeneity"].df2 == (G - 1 if vce == "cluster" else n - exog.shape[1] - 4)
+    assert fit.n == n
+
+
+def test_robust_diagnostics_need_their_kind(df):
+    with pytest.raises(ValueError):
+        wald.robust_iv_diagnostics(df, ModelSpec("iv", "y", ["x"], ["e"], ["z"], vce="classical"))
+    _, tests = wald.robust_iv_diagnostics(df, ModelSpec("iv", "y", ["x"], ["e"], ["z"]))
+    assert [t.name for t in tests] == ["weak_instruments:e", "endogeneity"]
+
+
 def test_regression_per_group(df, sample):
     out = {r["g"]: r for r in bygroup.ols_by(df.filter("not isnan(x) and not isnan(y)"), "g", "y", "x").collect()}
     for g, part in sample.groupby("g"):
