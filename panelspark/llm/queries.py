@@ -36,10 +36,9 @@ PIECES = "byte_bpe_50k.tiktoken"
 
 def _cut_lines(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
     cut = dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=min_words)
-    spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
-    return cut.select(
-        "doc_id", F.col("clean_text").alias("text"), "n_units", F.size("removed_spans").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans")
-    )
+    kept, gone = (F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c) for c in ("kept_spans", "removed_spans"))
+    removed = F.size("removed_spans").alias("n_removed")
+    return cut.select("doc_id", F.col("clean_text").alias("text"), "n_units", removed, "passage_words", gone, kept)
 
 
 def op1_substring_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,14 +152,23 @@ n AS (
 c AS (
   SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 4 AS counted,
          row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS later FROM n),
+e AS (SELECT *, counted AND count(*) OVER (PARTITION BY norm) > 1 AS again FROM c),
+s AS (
+  SELECT *, sum(CASE WHEN norm <> '' AND NOT again THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY place) AS run FROM e),
+b AS (
+  SELECT doc_id, max(words) AS words FROM (
+    SELECT doc_id, run, sum(CASE WHEN again THEN len(string_split(norm, ' ')) ELSE 0 END) AS words FROM s GROUP BY doc_id, run) q GROUP BY doc_id),
 g AS (
   SELECT doc_id, string_agg(l, chr(10) ORDER BY place) FILTER (NOT (counted AND later)) AS text, count(*) AS n_units,
+         string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(l) AS BIGINT), ',' ORDER BY place) FILTER (NOT (counted AND later)) AS kept_spans,
          count(*) FILTER (counted AND later) AS n_removed,
          string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(l) AS BIGINT), ',' ORDER BY place) FILTER (counted AND later) AS removed_spans
   FROM c GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text, CAST(coalesce(n_units, 0) AS INTEGER) AS n_units,
-       CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(removed_spans, '') AS removed_spans
-FROM documents d LEFT JOIN g USING (doc_id)"""
+       CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(removed_spans, '') AS removed_spans,
+       coalesce(kept_spans, '') AS kept_spans, CAST(CASE WHEN words > 12 THEN words ELSE 0 END AS INTEGER) AS passage_words
+FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN b USING (doc_id)"""
 
 _ALL_LINES_SQL = _LINES_SQL.replace("norm <> '' AND len(string_split(norm, ' ')) >= 4 AS counted", "norm <> '' AS counted")
 

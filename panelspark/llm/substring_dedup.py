@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, materialize
+from .common import LOWER, fresh, materialize, small_batches
 
-RESULTS = ("clean_text", "n_units", "kept_spans", "removed_spans")
+RESULTS = ("clean_text", "n_units", "kept_spans", "removed_spans", "passage_words")
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 _BLANKS = re.compile(rb"[ \t\r\n\x0b\x0c]+")
+_SPACE = " \t\r\n\x0b\x0c"
+_WORDS = re.compile(r"[^ \t\r\n\x0b\x0c]+")
 
 
 def split_units(text: str, unit: str) -> Iterator[tuple[int, int]]:
@@ -44,7 +46,7 @@ def _units(docs: DataFrame, doc_id: str, text: str, unit: str, min_words: int) -
     kind = plain.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "t"):
             rows, at, digests = [], [], []
             for i, t in enumerate(batch.column("t")):
                 t = t.as_py()
@@ -65,23 +67,37 @@ def _units(docs: DataFrame, doc_id: str, text: str, unit: str, min_words: int) -
     return plain.mapInArrow(run, f"doc {kind}, mark long, at int, digest binary")
 
 
-def dedup_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 4) -> DataFrame:
-    """``docs`` with four more columns: ``clean_text``, ``n_units``, ``kept_spans`` and ``removed_spans``.
+def longest_passage(words: list[int | None]) -> int:
+    """Words of the longest run of repeated units: ``words`` has each unit's number of words, zero for a blank unit (which a run passes over), None for
+    one that stands nowhere else."""
+    best = run = 0
+    for n in words:
+        run = 0 if n is None else run + n
+        best = max(best, run)
+    return best
+
+
+def dedup_units(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 4, passage: int = 12
+) -> DataFrame:
+    """``docs`` with five more columns: ``clean_text``, ``n_units``, ``kept_spans``, ``removed_spans`` and ``passage_words``.
 
     Units of at least ``min_words`` words that agree after normalising (ASCII case and white space) are one content; its
     occurrence with the smallest (doc_id, hash of the text, position) stays, null ids first, and every other is removed, inside a document too.
     Spans are (start, end) character offsets in the original text; ``clean_text`` joins the kept units by the separator. A null text stays null, with
-    no units; an empty text is one unit that is never removed. Rows that agree in id and text are one document: they are cut alike. A text
+    no units; an empty text is one unit that is never removed. ``passage_words`` are the words of the longest run of neighbouring units that also
+    stand elsewhere, kept first occurrences included; 0 where it has no more than ``passage`` words. Rows that agree in id and text are one document: they are cut alike. A text
     of which every unit was removed becomes empty; the row stays. Columns of ``docs`` that are named like a result are replaced by it. An empty table gives an empty result.
     """
     docs = docs.drop(*RESULTS)
     out = docs.columns
     units = materialize(_units(docs, doc_id, text, unit, min_words), "units")
     place = F.struct("doc", "mark", "at")
-    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeats = materialize(first.select("digest", "first"), "repeats")
-    later = units.join(repeats, "digest").where(~place.eqNullSafe(F.col("first"))).select("doc", "mark", "at")
-    cuts = materialize(later.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("at")).alias("cuts")), "cuts")
+    ends = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeats = materialize(ends.where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "repeats")
+    again = units.join(repeats, "digest").select("doc", "mark", "at", place.eqNullSafe(F.col("first")).alias("kept"))
+    of_text = F.collect_set(F.struct("at", "kept")).alias("cuts")
+    cuts = materialize(again.groupBy("doc", "mark").agg(of_text), "cuts")
 
     mark, cut = fresh(docs, "text_mark"), fresh(docs, "text_cuts")
     cuts = cuts.select(F.col("doc").alias(fresh(docs, "cut_doc")), F.col("mark").alias(fresh(docs, "cut_mark")), F.col("cuts").alias(cut))
@@ -93,26 +109,30 @@ def dedup_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", uni
     separator = SEPARATORS[unit]
 
     def rebuild(batches):
-        for batch in batches:
-            texts, counts, kept, removed = [], [], [], []
+        for batch in small_batches(batches, text):
+            texts, counts, kept, removed, passages = [], [], [], [], []
             for t, c in zip(batch.column(text), batch.column(cut)):
                 t, c = t.as_py(), c.as_py()
                 if t is None:
-                    texts.append(None), counts.append(0), kept.append([]), removed.append([])
+                    texts.append(None), counts.append(0), kept.append([]), removed.append([]), passages.append(0)
                     continue
-                drop = set(c or ())
-                stay, gone = [], []
+                repeated = {x["at"]: x["kept"] for x in c or ()}
+                stay, gone, words = [], [], []
                 for n, (a, b) in enumerate(split_units(t, unit)):
-                    (gone if n in drop else stay).append({"start": a, "end": b})
+                    (stay if repeated.get(n, True) else gone).append({"start": a, "end": b})
+                    if repeated:
+                        body = t[a:b].strip(_SPACE)
+                        words.append(len(_WORDS.findall(body)) if n in repeated or not body else None)
+                passages.append(n if (n := longest_passage(words)) > passage else 0)
                 texts.append(t if not gone else separator.join(t[s["start"] : s["end"]] for s in stay))
                 counts.append(len(stay) + len(gone)), kept.append(stay), removed.append(gone)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(x) for x in out] + [pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(kept, spans), pa.array(removed, spans)],
-                names=[*out, "clean_text", "n_units", "kept_spans", "removed_spans"],
+                [batch.column(x) for x in out] + [pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(kept, spans), pa.array(removed, spans), pa.array(passages, pa.int32())],
+                names=[*out, *RESULTS],
             )
 
     schema = docs.schema
-    for name, kind in (("clean_text", "string"), ("n_units", "int"), ("kept_spans", "array<struct<start:int,end:int>>"), ("removed_spans", "array<struct<start:int,end:int>>")):
+    for name, kind in (("clean_text", "string"), ("n_units", "int"), ("kept_spans", "array<struct<start:int,end:int>>"), ("removed_spans", "array<struct<start:int,end:int>>"), ("passage_words", "int")):
         schema = _with(schema, name, kind)
     return joined.select(*[F.col(f"`{x}`") for x in out], F.col(cut)).mapInArrow(rebuild, schema)
 
