@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, materialize
+from .common import LOWER, fresh, materialize, small_batches
 from .components import connected_components
 
 BLOCK = 1024
@@ -76,7 +76,7 @@ def with_fingerprints(docs: DataFrame, text: str, keep: Sequence[str], shingle:
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema[:-1]] + [f"fp{i} long" for i in range(words)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "t"):
             found: list[list[int]] = [[] for _ in range(words)]
             for t in batch.column(len(keep)):
                 h = shingle_hashes(t.as_py(), shingle)
@@ -272,21 +272,18 @@ def simhash_classes(
     )
 
 
-def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id's (null ids last, then by a hash of the text).
-    Rows are linked if their sets of ``shingle``-word runs have a Jaccard similarity of ``similarity`` or more; candidates are
-    found by MinHash bands (see ``minhash``), every link is checked exactly. Texts without words are alike.
-    Rows that repeat its id and text are cut to one. All columns stay as they are."""
-    from .minhash import near_copy_classes
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each component of ``simhash_classes``: the smallest doc_id's (null ids last, then by a hash of the text).
 
+    Rows are linked if their fingerprints over ``shingle``-word runs differ in at most ``radius`` bits. Null, empty and blank texts have one fingerprint, so one
+    of them stays; rows that repeat its id and text are cut to one. Very long texts are hashed whole. All columns stay as they are, whatever
+    their names; an empty table gives an empty result.
+    """
     mark = fresh(docs, "text_mark")
     marked = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
-    rows = near_copy_classes(marked, [doc_id, mark], text, shingle, similarity)
+    rows = materialize(_classes(marked, [doc_id, mark], text, shingle, radius, 1), "rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("k0").isNull().alias("late"), "k0", "k1")).alias("first"))
-    kept = materialize(first.select("first.k0", "first.k1"), "kept")
     left, right = fresh(marked, "kept_id"), fresh(marked, "kept_mark")
-    kept = kept.select(F.col("k0").alias(left), F.col("k1").alias(right))
+    kept = materialize(first.select(F.col("first.k0").alias(left), F.col("first.k1").alias(right)), "kept")
     same = F.col(doc_id).eqNullSafe(F.col(left)) & (F.col(mark) == F.col(right))
     return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, mark]).drop(mark)

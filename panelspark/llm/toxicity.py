@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .winnowing import _WORD_BYTES
 
 POSITIVES, UNLABELLED = 3000, 9000  # bounds of the training sample
@@ -128,8 +128,9 @@ def _counted(rows: DataFrame, among: set[bytes] | None) -> DataFrame:
     def run(batches):
         counter: Counter = Counter()
         for batch in batches:
-            for words in batch.column("words").to_pylist():
-                counter.update(signs_of(_again(words)) if finder is None else finder.find(_again(words)))
+            for row in batch.column("words"):
+                words = _again(row.as_py())
+                counter.update(signs_of(words) if finder is None else finder.find(words))
         yield pa.RecordBatch.from_pydict({"sign": pa.array(list(counter), pa.binary()), "n": pa.array(list(counter.values()), pa.int64())})
 
     return rows.select("words").mapInArrow(run, "sign binary, n long").groupBy("sign").agg(F.sum("n").alias("n"))
@@ -148,7 +149,7 @@ def fit(
     plain = _sampled(docs, labels, learn, doc_id, text, label_id, label)
 
     def split(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "t", 1 << 20):
             words = [sorted(words_of(t.as_py()).items()) for t in batch.column("t")]
             kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
             words = pa.array([[{"word": w, "n": n} for w, n in ws] for ws in words], kind)
@@ -174,7 +175,7 @@ def fit(
 
     def look(batches):
         for batch in batches:
-            found = [[number[w] for w in finder.find(_again(ws))] for ws in batch.column("words").to_pylist()]
+            found = [[number[w] for w in finder.find(_again(ws))] for ws in (x.as_py() for x in batch.column("words"))]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], names=["positive", "words"])
 
     got = rows.select("positive", "words").mapInArrow(look, "positive boolean, words array<int>").collect()  # a bounded sample
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WORDS weights
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "t"):
             score = shared.value.score(batch.column("t").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= limit).astype(np.int32))],
@@ -211,7 +212,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", limit:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, text):
             score = shared.value.score(batch.column(text).to_pylist())
             yield batch.filter(pa.array(score < limit))
 

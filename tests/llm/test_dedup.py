@@ -189,6 +189,23 @@ def test_drop_near_duplicates(spark):
     assert drop_near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_radius_of_the_stage(spark):
+    """One row of each plain component stays, whatever the distance of its ends."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 300))]
+        for _ in range(rng.randint(1, 4)):
+            texts.append(" ".join(words))
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    bits = {i: fingerprint(shingle_hashes(t, 3)) for i, t in rows}
+    root = plain_components(sorted(bits), lambda a, b: ((bits[a] ^ bits[b]) & (1 << 64) - 1).bit_count() <= 2)
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root.values())) and 40 <= len(kept) < len(rows)
+
+
 def test_fingerprint_of_nothing():
     assert fingerprint(shingle_hashes(None, 3)) == 0
 
