@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that hangs together by pairs with a five-word similarity of 0.8 or more."""
-    return drop_near_duplicates(docs, shingle=5, similarity=0.8)
+    """One document of each group that hangs together by three-word fingerprints that differ in two bits at most."""
+    return drop_near_duplicates(docs, shingle=3, radius=2)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
