@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats_dist import normal_two_sided, t_two_sided
 
-Term = str | tuple[str, Column]
+Term = str | tuple[str, Column | str]  # a column, or a label and an expression (a Column or its SQL text)
 
 VCES = ("classical", "hc0", "hc1", "hc2", "cluster")
 DOFS = ("none", "cluster", "full")
@@ -23,7 +23,9 @@ def label_of(term: Term) -> str:
 
 
 def column_of(term: Term) -> Column:
-    return (F.col(term) if isinstance(term, str) else term[1]).cast("double")
+    if isinstance(term, str):
+        return F.col(term).cast("double")
+    return (F.expr(term[1]) if isinstance(term[1], str) else term[1]).cast("double")
 
 
 def _as_tuple(value) -> tuple:
@@ -122,6 +124,8 @@ class FitResult:
     moments: np.ndarray = None
     moment_labels: list[str] = None
     effects: DataFrame | None = None
+    # Sums of squared scores of further residuals, by name (see ``fit_all``).
+    scores: dict[str, np.ndarray] = field(default_factory=dict)
 
     @property
     def se(self) -> np.ndarray:

@@ -104,15 +104,19 @@ def recode(df: DataFrame, col: str, mapping: Mapping[str, str] | DataFrame, trim
 
 
 def poly(col: str | Column, degree: int, name: str | None = None, only: Sequence[int] | None = None):
-    """Power terms ``(name, Column)`` of degree 1..degree, or only the listed degrees."""
-    base = as_col(col).cast("double")
+    """Power terms ``(name, expression)`` of degree 1..degree, or only the listed degrees. For a column's name the expressions are SQL text, so
+    that a list of models can be made before there is a session."""
     label = name or (col if isinstance(col, str) else "x")
     out = []
-    term = base
     for d in range(1, degree + 1):
         if only is None or d in only:
+            if isinstance(col, str):
+                term = " * ".join([f"double(`{col}`)"] * d)
+            else:
+                term = as_col(col).cast("double")
+                for _ in range(d - 1):
+                    term = term * col.cast("double")
             out.append((label if d == 1 else f"{label}^{d}", term))
-        term = term * base
     return out
 
 

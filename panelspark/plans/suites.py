@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import safe_div, safe_ln
+from ..functions.scalars import safe_div
 from ..models import grid as G
 from ..models.lasso import LassoCV, LassoPath, cv_lasso, lasso_path, standardize
 from ..models.linear import fit_two_way, fitted, residualize
 from ..models.spec import ModelSpec
 from ..models.tables import coef_table
-from ..models.wald import TestResult, iv_diagnostics, test_joint
+from ..models.wald import TestResult, robust_iv_diagnostics, test_joint
 from ..operators.clean import complete_cases, keep_not_in, poly
 from ..operators.panel import (
     Panel,
@@ -64,49 +64,48 @@ class WeeklySuite:
 
     def tables(self) -> dict[str, DataFrame]:
         """One table per group of models: first stage, one per delay, two lags, comparison."""
-        policies = ["EmergDec", "GathRestrictAny"]
-        out = {
-            "first_stage": coef_table(
-                self.first_stage.coefficients,
-                self.first_stage.models,
-                ["d_avg_precip", *policies, "d_COVID_mortality_pc_m1", "_cons"],
-                [f.spec.name for f in self.first_stage.fits],
-            )
+        parts = {"first_stage": self.first_stage, "second_stage": self.second_stage, "two_lag": self.two_lag, "attenuation": self.attenuation}
+        shapes = weekly_tables({k: [f.spec for f in g.fits] for k, g in parts.items()})
+        return {
+            name: coef_table(grid.coefficients, grid.models, order, ids, style=style)
+            for name, (order, style, ids) in shapes.items()
+            for grid in [parts["second_stage" if name.startswith("second_stage") else name]]
         }
-        for d in (1, 2, 3, 4):
-            ids = [f.spec.name for f in self.second_stage.fits if f.spec.name.endswith(f"_m{d}")]
-            order = [f"mobility_m{d}", *[f"{p}_m{d}" for p in policies], f"d_COVID_mortality_pc_m{d + 1}", "_cons"]
-            out[f"second_stage_m{d}"] = coef_table(
-                self.second_stage.coefficients, self.second_stage.models, order, ids, style="e"
-            )
-        out["two_lag"] = coef_table(
-            self.two_lag.coefficients,
-            self.two_lag.models,
-            ["mobility_m1", "mobility_m3", "EmergDec_m3", "GathRestrictAny_m3", "_cons"],
-            [f.spec.name for f in self.two_lag.fits],
-            style="e",
-        )
-        out["attenuation"] = coef_table(
-            self.attenuation.coefficients,
-            self.attenuation.models,
-            ["d_una_distance_m3", "EmergDec_m3", "GathRestrictAny_m3", "d_COVID_mortality_pc_m4", "_cons"],
-            [f.spec.name for f in self.attenuation.fits],
-            style="e",
-        )
-        return out
+
+
+def weekly_tables(parts: Mapping[str, Sequence[ModelSpec]]) -> dict[str, tuple[list[str], str, list[str]]]:
+    """(roles in order, number style, models) of the tables of the weekly suite."""
+    ids = {k: [s.name for s in specs] for k, specs in parts.items()}
+    out = {"first_stage": (["d_avg_precip", "EmergDec", "GathRestrictAny", "d_COVID_mortality_pc_m1", "_cons"], "f", ids["first_stage"])}
+    for d in sorted({int(name.rpartition("_m")[2]) for name in ids["second_stage"]}):
+        order = [f"mobility_m{d}", f"EmergDec_m{d}", f"GathRestrictAny_m{d}", f"d_COVID_mortality_pc_m{d + 1}", "_cons"]
+        out[f"second_stage_m{d}"] = (order, "e", [name for name in ids["second_stage"] if name.endswith(f"_m{d}")])
+    out["two_lag"] = (["mobility_m1", "mobility_m3", "EmergDec_m3", "GathRestrictAny_m3", "_cons"], "e", ids["two_lag"])
+    out["attenuation"] = (["d_una_distance_m3", *weekly_controls(), "_cons"], "e", ids["attenuation"])
+    return out
+
+
+def weekly_specs(delays: Sequence[int] = (1, 2, 3, 4)) -> dict[str, list[ModelSpec]]:
+    """The weekly models by part: first stages, second stages by delay, two-lag models, measurement-error comparison."""
+    y, z = "d_COVID_mortality_pc", "d_avg_precip"
+    policies = ["EmergDec", "GathRestrictAny"]
+    return {
+        "first_stage": G.first_stage_specs(MEASURES, z, [*policies, f"{y}_m1"], "state_id", "week"),
+        "second_stage": G.second_stage_specs(y, MEASURES, z, policies, delays, "state_id", "week"),
+        "two_lag": G.two_lag_specs(y, MEASURES, z, policies, (1, 3), "state_id"),
+        "attenuation": G.attenuation_specs(y, "d_una_distance_m3", "d_dl_mobility_m3", f"{z}_m3", weekly_controls(), "state_id"),
+    }
+
+
+def weekly_controls(delay: int = 3) -> list[str]:
+    return [f"EmergDec_m{delay}", f"GathRestrictAny_m{delay}", f"d_COVID_mortality_pc_m{delay + 1}"]
 
 
 def weekly_suite(features: DataFrame, delays: Sequence[int] = (1, 2, 3, 4)) -> WeeklySuite:
     """First stages, second stages by delay, two-lag models, measurement-error comparison and the
     test that two measures have the same effect."""
-    y, z = "d_COVID_mortality_pc", "d_avg_precip"
-    policies = ["EmergDec", "GathRestrictAny"]
-    first = G.first_stage_specs(MEASURES, z, [*policies, f"{y}_m1"], "state_id", "week")
-    second = G.second_stage_specs(y, MEASURES, z, policies, delays, "state_id", "week")
-    two = G.two_lag_specs(y, MEASURES, z, policies, (1, 3), "state_id")
-    controls = ["EmergDec_m3", "GathRestrictAny_m3", f"{y}_m4"]
-    compare = G.attenuation_specs(y, "d_una_distance_m3", "d_dl_mobility_m3", f"{z}_m3", controls, "state_id")
-    fits = G.run_grid(features, [*first, *second, *two, *compare])  # one pass for all
+    parts = weekly_specs(delays)
+    fits = G.run_grid(features, [s for specs in parts.values() for s in specs])  # one pass for all
 
     def part(specs):
         names = {s.name for s in specs}
@@ -116,8 +115,9 @@ def weekly_suite(features: DataFrame, delays: Sequence[int] = (1, 2, 3, 4)) -> W
             fits.models.filter(F.col("model_id").isin(*names)),
         )
 
-    _, equal = G.equality_test(features, y, ("d_dl_mobility_m3", "d_una_distance_m3"), f"{z}_m3", controls, "state_id")
-    return WeeklySuite(part(first), part(second), part(two), part(compare), equal)
+    measures = ("d_dl_mobility_m3", "d_una_distance_m3")
+    _, equal = G.equality_test(features, "d_COVID_mortality_pc", measures, "d_avg_precip_m3", weekly_controls(), "state_id")
+    return WeeklySuite(*map(part, parts.values()), equal)
 
 
 def reduced_form_spec(delay: int = 2) -> ModelSpec:
@@ -293,19 +293,20 @@ def weekly_search_specs(measure: str = "dl_mobility") -> list[ModelSpec]:
 def weekly_search(features: DataFrame) -> G.GridResult:
     """The search grid plus the first stage with entity and week effects."""
     result = G.run_grid(features, weekly_search_specs())
+    return result.with_fits([fit_two_way(features, two_way_spec(), "week")])
+
+
+def two_way_spec() -> ModelSpec:
+    """The first stage that has entity and week effects."""
     six = ["EmergDec", "SchoolClose", "GathRestrictAny", "RestaurantRestrict", "StayAtHome", "NEBusinessClose"]
-    spec = ModelSpec(
-        "fs_levels_two_way", "d_dl_mobility", ["d_avg_precip", *six], entity="state_id", vce="cluster", cluster="state_id"
-    )
-    return result.with_fits([fit_two_way(features, spec, "week")])
+    return ModelSpec("fs_levels_two_way", "d_dl_mobility", ["d_avg_precip", *six], entity="state_id", vce="cluster", cluster="state_id")
 
 
 def state_iv_specs(mean_temp: str = "Influenza_Tavg", senior: str = "65+") -> list[ModelSpec]:
     """Policy strength and social distancing designs of the state cross-section."""
-    log_flu = ("log_flu", safe_ln("Influenza_Deaths_Share"))
-    log_flu2 = ("log_flu^2", safe_ln("Influenza_Deaths_Share") * safe_ln("Influenza_Deaths_Share"))
-    delay = ("log_delay", safe_ln("ndays_first_uscase"))
-    x = [mean_temp, "Population", (senior, F.col(f"`{senior}`"))]
+    flu = "ln(double(Influenza_Deaths_Share))"  # NULL for zero
+    log_flu, log_flu2, delay = ("log_flu", flu), ("log_flu^2", f"{flu} * {flu}"), ("log_delay", "ln(double(ndays_first_uscase))")
+    x = [mean_temp, "Population", (senior, f"`{senior}`")]
     small = {"dof": "full"}
     return [
         ModelSpec("first_stage", delay, [log_flu, log_flu2, *x]),
@@ -319,8 +320,10 @@ def state_iv_specs(mean_temp: str = "Influenza_Tavg", senior: str = "65+") -> li
 
 
 def state_iv_suite(cross: DataFrame) -> tuple[G.GridResult, list[TestResult]]:
-    result = G.run_grid(cross, state_iv_specs())
-    return result, iv_diagnostics(result["iv"])
+    """All models, and the diagnostics of the two-stage one under its robust errors."""
+    specs = state_iv_specs()
+    _, tests = robust_iv_diagnostics(cross, next(s for s in specs if s.name == "iv"))
+    return G.run_grid(cross, specs), tests
 
 
 def shift_share_suite(panel: DataFrame) -> G.GridResult:
@@ -336,12 +339,15 @@ def shift_share_suite(panel: DataFrame) -> G.GridResult:
     df = log_difference(on(df), ["COVID_mortality"])
     df = lag_by(on(df), ["bartik", "d_una_distance"], [2])
     df = lagged_differences(on(df), ["COVID_mortality_pc"], [2, 3])
+    return G.run_grid(materialize(df, "shift-share"), shift_share_specs())
+
+
+def shift_share_specs() -> list[ModelSpec]:
     y = "d_COVID_mortality_pc"
-    specs = [
+    return [
         ModelSpec("mobility", y, [f"{y}_m3"], ["d_una_distance_m2"], ["bartik_m2"], entity="state_id"),
         ModelSpec("own_lag", y, [], [f"{y}_m2"], ["bartik_m2"], entity="state_id"),
     ]
-    return G.run_grid(materialize(df, "shift-share"), specs)
 
 
 def state_year_week_specs() -> list[ModelSpec]:

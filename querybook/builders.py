@@ -20,6 +20,7 @@ from panelspark.plans import panels as P
 from panelspark.plans import suites as S
 from panelspark.session import materialize
 
+from . import suite_sql as Q
 from .common import EVENT_TYPES, query, rounded, sig, sig_sql, table, week_sql, with_sql
 from .sources import PRIORITY_CODE
 
@@ -739,15 +740,59 @@ def week_panel(spark, sf):
     return materialize(P.state_week_panel(**stand_ins(spark, sf)), "week-panel")
 
 
-def result(spark, fits):
-    return coefficients(spark, fits)
+def estimates(coefs, digits=6, zero=1e-9):
+    """(model_id, term, estimate, std_error) as far as they agree between any two ways of summing."""
+    return coefs.select("model_id", "term", sig("estimate", digits, zero).alias("estimate"), sig("std_error", digits, zero).alias("std_error"))
 
 
-@query("L19_weekly_model_suite")
+WEEK_PANEL_SQL = [
+    *WEEK_BASE,
+    "panel AS MATERIALIZED (SELECT state, y AS year, w AS week, date, population, us_c AS \"US_COVID_mortality\", us_t AS \"US_total_mortality\", "
+    "CAST(dense_rank() OVER (ORDER BY state) AS INTEGER) AS state_id, dth / population AS \"COVID_mortality_pc\", inf / population AS \"COVID_infections_pc\", "
+    + zs("tw") + " AS twitter_sd, " + ", ".join(f"p{i} AS \"{p}\"" for i, p in enumerate(P.POLICIES, start=1)) + ", "
+    + ", ".join(f"{e} AS \"{n}\"" for n, e in PANEL_REAL.items())
+    + " FROM base JOIN us USING (y, w) JOIN pop USING (state) WINDOW o AS (PARTITION BY state ORDER BY y, w))",
+]
+WEEKLY_SQL = [*WEEK_PANEL_SQL, Q.features("f", "panel", Q.panel_features(S.WEEKLY_VARS, 5), "state", "date")]
+WEEKLY_PARTS = S.weekly_specs()
+EQUAL = ("d_COVID_mortality_pc", ("d_dl_mobility_m3", "d_una_distance_m3"), "d_avg_precip_m3", S.weekly_controls(), "state_id")
+
+
+def _weekly_suite_sql():
+    more, tag, spec = Q.equality_ctes("f", *EQUAL)
+    test = Q.alone(more, [f"SELECT 'equality', 'number=1:both = number=2:both', {Q.sig(Q.equality_statistic(tag, spec), 5)}, NULL"])
+    return Q.union(WEEKLY_SQL, [*Q.model_rows("f", [s for part in WEEKLY_PARTS.values() for s in part], digits=5), test])
+
+
+@query("L19_weekly_model_suite", _weekly_suite_sql())
 def l19(spark, sf):
+    """Every model's estimates and errors; the row ``equality`` has the statistic of the test that two measures act alike."""
     suite = S.weekly_suite(S.weekly_features(week_panel(spark, sf)))
     parts = [suite.first_stage, suite.second_stage, suite.two_lag, suite.attenuation]
-    return result(spark, [f for p in parts for f in p.fits])
+    out = coefficients(spark, [f for p in parts for f in p.fits])
+    test = tests_table(spark, [suite.equality]).select(F.lit("equality").alias("model_id"), F.col("test").alias("term"), F.col("statistic").alias("estimate"))
+    return estimates(out.unionByName(test, allowMissingColumns=True), 5)
+
+
+def _long(tables):
+    """The cells of coefficient tables, one per row."""
+    parts = []
+    for name, t in tables.items():
+        ids = [c for c in t.columns if c not in ("row", "label")]
+        parts.append(t.unpivot(["row", "label"], ids, "model_id", "cell").where("cell IS NOT NULL").select(F.lit(name).alias("tab"), "row", "label", "model_id", "cell"))
+    return union_all(parts)
+
+
+def _weekly_tables_sql():
+    specs, parts = [s for part in WEEKLY_PARTS.values() for s in part], []
+    for name, (order, style, ids) in S.weekly_tables(WEEKLY_PARTS).items():
+        parts += Q.table_rows("f", [s for s in specs if s.name in ids], name, order, style)
+    return Q.union([*WEEKLY_SQL, Q.CRITICAL], parts)
+
+
+@query("L19_weekly_tables", _weekly_tables_sql())
+def l19_tables(spark, sf):
+    return _long(S.weekly_suite(S.weekly_features(week_panel(spark, sf))).tables())
 
 
 def _first_stage_sql():
@@ -814,12 +859,39 @@ def l19_f_list(spark, sf):
     return S.G.f_statistics(S.G.run_grid(features, specs), "d_avg_precip").select("model_id", "f", "df1", "df2")
 
 
-@query("L20_daily_model_suite")
-def l20(spark, sf):
+DAILY_SQL = [
+    FACTS_SQL,
+    DAYS_SQL,
+    WEEK_BASE[-1],
+    "tz AS (SELECT state, date, " + zs("price / 1e5") + " AS z FROM sday WHERE dayofyear(date) % 2 = 0)",
+    "dp AS (SELECT state, date, population, qty AS \"COVID_mortality\", qty / population AS \"COVID_mortality_pc\", qty AS precip, CAST(dense_rank() OVER (ORDER BY state) AS INTEGER) AS state_id, "
+    + ", ".join(f"CASE WHEN qty > {40 * i} THEN 1 ELSE 0 END AS \"{p}\"" for i, p in enumerate(P.POLICIES, start=1))
+    + f", {DAY_REAL['una_distance']} AS una, {DAY_REAL['dl_mobility']} AS dl, last_value(z IGNORE NULLS) OVER (PARTITION BY state ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS twit"
+    " FROM sday LEFT JOIN tz USING (state, date) JOIN pop USING (state))",
+    Q.features(
+        "f0", "dp",
+        {f"d_{c}": f"{Q.lag(c, 0)} - {Q.lag(c, 1)}" for c in ("precip", "una", "dl", "twit", "COVID_mortality_pc")}
+        | {"d_log_COVID_mortality": "ln(CASE WHEN \"COVID_mortality\" > 0 THEN \"COVID_mortality\" END) - ln(CASE WHEN lag(\"COVID_mortality\") OVER o > 0 THEN lag(\"COVID_mortality\") OVER o END)"}
+        | {f"d_{c}_m{k}": f"({Q.lag(c, k)} - {Q.lag(c, k + 1)}) / 100000.0" for c in ("una", "dl", "twit") for k in (1, 2)}
+        | {f"d_precip_m{k}": f"{Q.lag('precip', k)} - {Q.lag('precip', k + 1)}" for k in (1, 2)}
+        | {f"d_COVID_mortality_pc_m{k}": f"{Q.lag('COVID_mortality_pc', k)} - {Q.lag('COVID_mortality_pc', k + 1)}" for k in (1, 2, 3)}
+        | {f"{c}_m1": Q.lag(c, 1) for c in ("precip", "COVID_mortality_pc")},
+        "state", "date",
+    ),
+    Q.features("f", "f0", {"d_log_COVID_mortality_m1": Q.lag("d_log_COVID_mortality", 1)}, "state", "date"),
+]
+DAILY_POWERS = {f"{c}^2": f'"{c}" * "{c}"' for c in ("d_precip", "d_log_COVID_mortality_m1")}
+
+
+def daily(spark, sf):
     parts = stand_ins(spark, sf)
     parts.pop("mortality")
-    features = S.daily_features(P.state_day_panel(**parts))
-    return S.daily_suite(features)[0].coefficients
+    return S.daily_suite(S.daily_features(P.state_day_panel(**parts)))
+
+
+@query("L20_daily_model_suite", Q.union(DAILY_SQL, Q.model_rows("f", S.daily_specs(), DAILY_POWERS, 5)))
+def l20(spark, sf):
+    return estimates(daily(spark, sf)[0].coefficients, 5)
 
 
 def _reduced_sql():
@@ -860,12 +932,29 @@ def l21(spark, sf):
     return cv.selected(spark)
 
 
-@query("L22_country_iv_suite")
+COUNTRY_ROWS = (
+    COUNTRY_SQL[5:-1]
+    + ", f AS MATERIALIZED (SELECT *, (covid_safety - avg(covid_safety) OVER ()) / stddev_samp(covid_safety) OVER () AS normalized_safety, (hqi - avg(hqi) OVER ()) / stddev_samp(hqi) OVER () AS normalized_hqi, "
+    "CASE WHEN infection_deaths > 0 THEN ln(10000 * infection_deaths) END AS log_deaths, ln(10000.0 * covid_deaths / (pop_thousands * 1000)) AS log_covid_deaths, "
+    "ln(10000.0 * covid_infections / (pop_thousands * 1000)) AS log_covid_infections FROM m)"
+)
+POWERS = {f"{c}^{d}": f"pow({c}, {d})" for c in ("log_deaths", "pop_thousands") for d in (2, 3, 4)}
+
+
+def _country_sql():
+    specs, tested = S.country_specs(), ["log_deaths", "log_deaths^2", "log_deaths^3"]
+    final = next(s for s in specs if s.name == "fs_final")
+    made, tag = Q.fit_ctes("m", "f", final, POWERS)
+    joint = Q.alone(made, [f"SELECT 'fs_final', '{' '.join(tested)}', {Q.sig(Q.joint_statistic(tag, final, tested), 4)}, NULL"])
+    return Q.union([COUNTRY_ROWS], [*Q.model_rows("f", specs, POWERS, 4), joint])
+
+
+@query("L22_country_iv_suite", _country_sql())
 def l22(spark, sf):
+    """Every model's estimates and errors; the last row has the statistic of the joint test of the powers."""
     grid, joint = S.country_suite(materialize(C.country_cross_section(*country_tables(spark, sf)), "countries"))
-    tests = tests_table(spark, [joint]).select(F.lit("fs_final").alias("model_id"), "test", "statistic", "p_value")
-    coefs = grid.coefficients.select("model_id", F.col("term").alias("test"), "estimate", "std_error", "statistic", "p_value")
-    return coefs.unionByName(tests, allowMissingColumns=True)
+    test = tests_table(spark, [joint]).select(F.lit("fs_final").alias("model_id"), F.col("test").alias("term"), F.col("statistic").alias("estimate"))
+    return estimates(grid.coefficients.unionByName(test, allowMissingColumns=True), 4)
 
 
 @query(
@@ -881,9 +970,15 @@ def l22_first(spark, sf):
     return out.select("model_id", sig("estimate", 5).alias("estimate"), sig("std_error", 5).alias("std_error"))
 
 
-@query("L23_weekly_specification_search")
+def _search_sql():
+    two = Q.two_way("f", S.two_way_spec(), "week", range(1, 53), 5)
+    return Q.union(WEEKLY_SQL, [*Q.model_rows("f", S.weekly_search_specs(), {"week^2": "week * week"}, 5), two])
+
+
+@query("L23_weekly_specification_search", _search_sql())
 def l23(spark, sf):
-    return result(spark, S.weekly_search(S.weekly_features(week_panel(spark, sf))).fits)
+    """All models of the search, and the first stage with entity and week effects."""
+    return estimates(S.weekly_search(S.weekly_features(week_panel(spark, sf))).coefficients, 5)
 
 
 @query("L24_state_iv_suite")
@@ -894,9 +989,29 @@ def l24(spark, sf):
     return coefs.unionByName(rows, allowMissingColumns=True)
 
 
-@query("L25_shift_share_models")
+SHIFT_SHARE_SQL = [
+    *WEEK_PANEL_SQL,
+    Q.features(
+        "f1", "panel",
+        {
+            "bartik": 'CASE WHEN lag("COVID_mortality_frac") OVER o = 0 THEN (oth - lag(oth) OVER o) / lag(oth) OVER o ELSE lag("COVID_mortality_frac") OVER o * ("US_COVID_mortality" - lag("US_COVID_mortality") OVER o) / lag("US_COVID_mortality") OVER o '
+            '+ (1 - lag("COVID_mortality_frac") OVER o) * (oth - lag(oth) OVER o) / lag(oth) OVER o END',
+            "d_una_distance": f"{Q.lag('una_distance', 0)} - {Q.lag('una_distance', 1)}",
+            "d_COVID_mortality_pc": f"{Q.lag('COVID_mortality_pc', 0)} - {Q.lag('COVID_mortality_pc', 1)}",
+        },
+        "state", "year, week",
+    ).replace("FROM panel", 'FROM (SELECT *, "US_total_mortality" - "US_COVID_mortality" AS oth FROM panel)'),
+    Q.features(
+        "f", "f1",
+        {f"{c}_m2": Q.lag(c, 2) for c in ("bartik", "d_una_distance", "d_COVID_mortality_pc")} | {"d_COVID_mortality_pc_m3": Q.lag("d_COVID_mortality_pc", 3)},
+        "state", "year, week",
+    ),
+]
+
+
+@query("L25_shift_share_models", Q.union(SHIFT_SHARE_SQL, Q.model_rows("f", S.shift_share_specs(), digits=5)))
 def l25(spark, sf):
-    return S.shift_share_suite(week_panel(spark, sf)).coefficients
+    return estimates(S.shift_share_suite(week_panel(spark, sf)).coefficients, 5)
 
 
 @query(
