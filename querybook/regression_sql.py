@@ -181,18 +181,22 @@ def variance(vector: str, size: str) -> str:
     return f"list_sum([list_sum([{vector}[a] * v[a][b] * {vector}[b] for b in range(1, {size} + 1)]) for a in range(1, {size} + 1)])"
 
 
-def fit_rows(tag: str, spec: ModelSpec, digits: int = 6, zero: str = "1e-9", terms: Sequence[str] | None = None) -> str:
-    """SELECTs of (model_id, term, estimate, std_error) of a model whose CTEs are ``fit_ctes``."""
-    own = spec.constant and not spec.entity
-    size = len(spec.regressors) + (1 if own else 0)
-    parts = []
+def term_lists(spec: ModelSpec, terms: Sequence[str] | None = None) -> list[tuple[str, str, str]]:
+    """(label, estimate, standard error) of a model's terms, the constant last, as expressions over the last of ``fit_ctes``."""
+    size = len(spec.regressors) + (1 if spec.constant and not spec.entity else 0)
+    out = []
     for label, i in terms_of(spec):
         if terms is None or label in terms:
-            dead = f"f[{i}][{i}] = 0"
-            value, error = f"CASE WHEN {dead} THEN NULL ELSE f[{i}][{size + 1}] END", f"CASE WHEN {dead} THEN NULL ELSE sqrt(small * {variance(f'f[{i}]', str(size))}) END"
-            parts.append((label, value, error))
+            here = f"CASE WHEN f[{i}][{i}] <> 0 THEN {{}} END"
+            out.append((label, here.format(f"f[{i}][{size + 1}]"), here.format(f"sqrt(small * {variance(f'f[{i}]', str(size))})")))
     if spec.constant and (terms is None or "_cons" in terms):
-        parts.append(("_cons", "cons", f"sqrt(small * {variance('lv', 'len(lv)')})"))
-    return " UNION ALL ".join(
-        f"SELECT '{spec.name}' AS model_id, '{la}' AS term, {sig_sql(b, digits, zero)} AS estimate, {sig_sql(se, digits, zero)} AS std_error FROM {tag}" for la, b, se in parts
-    )
+        out.append(("_cons", "cons", f"sqrt(small * {variance('lv', 'len(lv)')})"))
+    return out
+
+
+def fit_rows(tag: str, spec: ModelSpec, digits: int = 6, zero: str = "1e-9", terms: Sequence[str] | None = None) -> str:
+    """SELECT of (model_id, term, estimate, std_error) of a model whose CTEs are ``fit_ctes``."""
+    found = term_lists(spec, terms)
+    lists = [", ".join(x) for x in zip(*((f"'{la}'", b, se) for la, b, se in found))]
+    rows = f"(SELECT unnest([{lists[0]}]) AS term, unnest([{lists[1]}]) AS b, unnest([{lists[2]}]) AS se FROM {tag})"
+    return f"SELECT '{spec.name}' AS model_id, term, {sig_sql('b', digits, zero)} AS estimate, {sig_sql('se', digits, zero)} AS std_error FROM {rows}"

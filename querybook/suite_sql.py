@@ -9,7 +9,7 @@ from panelspark.functions.stats_dist import t_two_sided
 from panelspark.models.spec import ModelSpec, label_of
 
 from .common import sig_sql
-from .regression_sql import fit_ctes, fit_rows, quoted, terms_of, variance
+from .regression_sql import fit_ctes, fit_rows, quoted, term_lists, terms_of, variance
 
 
 def features(name: str, src: str, columns: Mapping[str, str], by: str, order: str) -> str:
@@ -123,31 +123,22 @@ def _number(value: str, style: str) -> str:
 def table_rows(src: str, specs: Sequence[ModelSpec], name: str, order: Sequence[str], style: str) -> list[str]:
     """A query of (tab, row, label, model_id, cell) for each model of a coefficient table; ``order`` has the roles. The models' errors are clustered."""
     queries = []
+    mark = "CASE " + " ".join(f"WHEN abs(b / se) > c{j} THEN '{m}'" for j, (_, m) in enumerate(MARKS, 1)) + " ELSE '' END"
     for spec in specs:
         made, tag = fit_ctes("m", src, spec)
-        size, out = len(spec.regressors) + (1 if spec.constant and not spec.entity else 0), []
-        for label, i in [*terms_of(spec), *([("_cons", 0)] if spec.constant else [])]:
-            role = spec.roles.get(label, label)
-            if role not in order:
-                continue
-            at = order.index(role)
-            if label == "_cons":
-                b, se = "cons", f"sqrt(small * {variance('lv', 'len(lv)')})"
-            else:
-                dead = f"f[{i}][{i}] = 0"
-                b, se = f"CASE WHEN {dead} THEN NULL ELSE f[{i}][{size + 1}] END", f"CASE WHEN {dead} THEN NULL ELSE sqrt(small * {variance(f'f[{i}]', str(size))}) END"
-            df = "0" if spec.is_iv and spec.dof != "full" else "CAST(groups - 1 AS INTEGER)"
-            mark = "CASE " + " ".join(f"WHEN abs(b / se) > c{j} THEN '{m}'" for j, (_, m) in enumerate(MARKS, 1)) + " ELSE '' END"
-            rows = f"(SELECT {b} AS b, {se} AS se, {df} AS d FROM {tag}) JOIN critical ON df = d"
-            out.append(f"SELECT '{name}', {2 * at}, '{role}', '{spec.name}', {_number('b', style)} || {mark} FROM {rows}")
-            out.append(f"SELECT '{name}', {2 * at + 1}, '', '{spec.name}', '(' || {_number('se', style)} || ')' FROM {rows}")
-        last = 2 * len(order)
-        out.append(f"SELECT '{name}', {last}, 'N', '{spec.name}', format('{{:,d}}', CAST(n AS BIGINT)) FROM {tag}")
+        found = [(order.index(r), r, b, se) for la, b, se in term_lists(spec) if (r := spec.roles.get(la, la)) in order]
+        lists = [", ".join(x) for x in zip(*((str(at), f"'{r}'", b, se) for at, r, b, se in found))]
+        df = "0" if spec.is_iv and spec.dof != "full" else "CAST(groups - 1 AS INTEGER)"
+        made.append(f"t AS MATERIALIZED (SELECT unnest([{lists[0]}]) AS pos, unnest([{lists[1]}]) AS label, unnest([{lists[2]}]) AS b, unnest([{lists[3]}]) AS se, {df} AS df FROM {tag})")
         adjusted = f"1 - (1 - r2) * (n - {1 if spec.constant or spec.entity else 0}) / (n - k)"
-        fit = f"(SELECT {tag}.*, 1 - rss / tss AS r2 FROM {tag}, (SELECT sum(u * u) AS rss FROM {tag}_u), (SELECT var_pop(c0) * count(*) AS tss FROM {tag}_r))"
-        out.append(f"SELECT '{name}', {last + 1}, 'R2', '{spec.name}', {_number('r2', 'f')} FROM {fit}")
-        out.append(f"SELECT '{name}', {last + 2}, 'Adj. R2', '{spec.name}', {_number(adjusted, 'f')} FROM {fit}")
-        queries.append("SELECT tab, row, label, model_id, cell FROM (" + alone(made, out) + ") q(tab, row, label, model_id, cell) WHERE cell IS NOT NULL")
+        fit = f"(SELECT n, k, 1 - rss / tss AS r2 FROM {tag}, (SELECT sum(u * u) AS rss FROM {tag}_u), (SELECT var_pop(c0) * count(*) AS tss FROM {tag}_r))"
+        last = 2 * len(order)
+        parts = [
+            f"SELECT 2 * pos AS row, label, {_number('b', style)} || {mark} AS cell FROM t JOIN critical USING (df)",
+            f"SELECT 2 * pos + 1, '', '(' || {_number('se', style)} || ')' FROM t",
+            f"SELECT unnest([{last}, {last + 1}, {last + 2}]), unnest(['N', 'R2', 'Adj. R2']), unnest([format('{{:,d}}', CAST(n AS BIGINT)), {_number('r2', 'f')}, {_number(adjusted, 'f')}]) FROM {fit}",
+        ]
+        queries.append(f"SELECT '{name}' AS tab, CAST(row AS INTEGER) AS row, label, '{spec.name}' AS model_id, cell FROM ({alone(made, parts)}) WHERE cell IS NOT NULL")
     return queries
 
 
