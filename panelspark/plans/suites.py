@@ -195,9 +195,12 @@ def daily_specs() -> list[ModelSpec]:
 def daily_suite(features: DataFrame) -> tuple[G.GridResult, DataFrame]:
     """All daily models and the two-period second-stage table."""
     result = G.run_grid(features, daily_specs())
-    ids = [f"{k}_{m}_m2" for m in ("d_una", "d_dl", "d_twit") for k in "abc"]
-    table = coef_table(result.coefficients, result.models, ["mobility_m2", "d_COVID_mortality_pc_m3", "_cons"], ids)
-    return result, table
+    return result, coef_table(result.coefficients, result.models, *daily_table())
+
+
+def daily_table() -> tuple[list[str], list[str]]:
+    """Roles and models of the two-period second-stage table."""
+    return ["mobility_m2", "d_COVID_mortality_pc_m3", "_cons"], [f"{k}_{m}_m2" for m in ("d_una", "d_dl", "d_twit") for k in "abc"]
 
 
 def lag_selection(

@@ -851,7 +851,7 @@ def l19_f(spark, sf):
     return S.G.f_statistics(grid, "d_avg_precip").select("model_id", "f", "df1", "df2")
 
 
-@query("L19_first_stage_f_list")
+@query("L19_first_stage_f_list", Q.union(WEEKLY_SQL, Q.f_rows("f", WEEKLY_PARTS["first_stage"], "d_avg_precip")))
 def l19_f_list(spark, sf):
     """F of rain in every first stage: three measures by four models, clustered by state."""
     features = S.weekly_features(week_panel(spark, sf), lags=1)
@@ -894,6 +894,15 @@ def l20(spark, sf):
     return estimates(daily(spark, sf)[0].coefficients, 5)
 
 
+DAILY_TABLE = S.daily_table()
+
+
+@query("L20_daily_table", Q.union([*DAILY_SQL, Q.CRITICAL], Q.table_rows("f", [s for s in S.daily_specs() if s.name in DAILY_TABLE[1]], "daily", DAILY_TABLE[0], "f")))
+def l20_table(spark, sf):
+    """Cells of the second-stage table at a delay of two days."""
+    return _long({"daily": daily(spark, sf)[1]})
+
+
 def _reduced_sql():
     out = []
     for k in (1, 2):
@@ -981,12 +990,23 @@ def l23(spark, sf):
     return estimates(S.weekly_search(S.weekly_features(week_panel(spark, sf))).coefficients, 5)
 
 
-@query("L24_state_iv_suite")
+_FLU = 'ln(CASE WHEN "Influenza_Deaths_Share" > 0 THEN "Influenza_Deaths_Share" END)'
+CROSS_TERMS = {"log_flu": _FLU, "log_flu^2": f"{_FLU} * {_FLU}", "log_delay": "ln(CASE WHEN ndays_first_uscase > 0 THEN CAST(ndays_first_uscase AS DOUBLE) END)"}
+
+
+def _state_iv_sql():
+    rows = CROSS_SQL.rpartition(' SELECT "State", "Swineflu_Cases"')[0].removeprefix("WITH ")
+    specs = S.state_iv_specs()
+    tests = Q.robust_iv_tests("x", next(s for s in specs if s.name == "iv"), CROSS_TERMS, 4)
+    return Q.union([rows], [*Q.model_rows("x", specs, CROSS_TERMS, 4), f"SELECT 'iv', test, statistic, NULL FROM ({tests})"])
+
+
+@query("L24_state_iv_suite", _state_iv_sql())
 def l24(spark, sf):
+    """Every model's estimates and errors, and the statistics of the two-stage model's robust diagnostics."""
     grid, tests = S.state_iv_suite(materialize(cross_section(spark, sf), "cross"))
-    coefs = grid.coefficients.select("model_id", F.col("term").alias("test"), "estimate", "std_error", "statistic", "p_value")
-    rows = tests_table(spark, tests).select(F.lit("iv").alias("model_id"), "test", "statistic", "p_value")
-    return coefs.unionByName(rows, allowMissingColumns=True)
+    rows = tests_table(spark, tests).select(F.lit("iv").alias("model_id"), F.col("test").alias("term"), F.col("statistic").alias("estimate"))
+    return estimates(grid.coefficients.unionByName(rows, allowMissingColumns=True), 4)
 
 
 SHIFT_SHARE_SQL = [

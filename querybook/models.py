@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.models import bygroup, grid as G, lasso, linear, wald
+from panelspark.models import bygroup, factors, grid as G, lasso, linear, wald
 from panelspark.models.engine import fit_all
 from panelspark.models.spec import ModelSpec, coefficients
 from panelspark.models.tables import coef_table
@@ -14,6 +14,7 @@ from panelspark.operators.panel import Panel, lag_by, panel_features
 from panelspark.session import materialize, scratch_path
 from panelspark.sources.writers import export_table
 
+from . import suite_sql as Q
 from .common import WEEKLY_SQL, query, rounded, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 
 S7 = 7
@@ -223,7 +224,10 @@ def j8_two_way_fit(spark, sf):
     return rounded(out, out.columns, S7)
 
 
-@query("J8_entity_and_period_effects")
+@query(
+    "J8_entity_and_period_effects",
+    Q.union([WEEKLY_SQL], [Q.two_way("weekly", ModelSpec("two_way", "revenue", ["qty", "n_items"], entity="state", vce="cluster", cluster="state"), "wk", range(1, 53), S7)]),
+)
 def j8_two_way(spark, sf):
     panel = weekly_table(spark, sf, "state", "wk", "revenue", "qty", "n_items")
     spec = ModelSpec("two_way", "revenue", ["qty", "n_items"], entity="state", vce="cluster", cluster="state")
@@ -400,6 +404,34 @@ def j17(spark, sf):
     return wald.tests_table(spark, [t]).select("test", sig("statistic", 6).alias("statistic"), "df1", "df2")
 
 
+LEVELS_SQL = with_sql(
+    "r AS (SELECT l_suppkey AS k, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_discount AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)",
+    "a AS (SELECT k, count(*) AS n, avg(v) AS vm, regr_sxx(x, v) AS svv, regr_slope(x, v) AS gx, regr_intercept(x, v) AS hx FROM r GROUP BY 1)",
+    "t AS (SELECT r.*, x - hx - gx * v AS xt, svv FROM r JOIN a USING (k))",
+    "c AS (SELECT sum(xt * y) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM t)",
+    "e AS (SELECT t.k, v, y - b * x AS e, b, sxx, c.n FROM t, c)",
+    "g AS (SELECT k, regr_slope(e, v) AS slope, regr_intercept(e, v) AS icpt FROM e GROUP BY 1)",
+    "s AS (SELECT sum(pow(e - icpt - slope * v, 2)) / (max(n) - 2.0 * (SELECT count(*) FROM a) - 1) AS s2, max(b) AS b, max(sxx) AS sxx FROM e JOIN g USING (k))",
+)
+
+
+@query(
+    "J10_slopes_by_level",
+    LEVELS_SQL
+    + f"SELECT k AS level, 'l_quantity' AS term, {sig_sql('slope', 6)} AS estimate, {sig_sql('sqrt(s2 * (1 / svv + gx * gx / sxx))', 6)} AS std_error FROM g JOIN a USING (k), s "
+    f"UNION ALL SELECT k, '_cons', {sig_sql('icpt', 6)}, {sig_sql('sqrt(s2 * (1.0 / n + vm * vm / svv + hx * hx / sxx))', 6)} FROM g JOIN a USING (k), s "
+    f"UNION ALL SELECT NULL, 'l_discount', {sig_sql('b', 6)}, {sig_sql('sqrt(s2 / sxx)', 6)} FROM s",
+)
+def j10_levels(spark, sf):
+    """Price on discount, with a level and a slope in quantity of each supplier; the suppliers are read from the data."""
+    items = table(spark, sf, "lineitem")
+    spec = ModelSpec("by_supplier", "l_extendedprice", ["l_discount"], vce="classical")
+    fit = factors.fit_levels(items, spec, "l_suppkey", ["l_quantity"])
+    levels = fit.levels.select(F.col("l_suppkey").alias("level"), "term", "estimate", "std_error")
+    common = coefficients(spark, [fit.common]).select(F.lit(None).cast(levels.schema["level"].dataType).alias("level"), "term", "estimate", "std_error")
+    return levels.unionByName(common).select("level", "term", sig("estimate", 6).alias("estimate"), sig("std_error", 6).alias("std_error"))
+
+
 @query(
     "J18_equality_test",
     with_sql(
@@ -562,6 +594,13 @@ def j22(spark, sf):
 MEASURES = ["d_price", "d_qty", "d_disc"]
 
 
+MODEL_SQL = [
+    WEEKLY_SQL,
+    "m0 AS (SELECT state, t, revenue, price, qty, disc, n_items, CASE WHEN n_items > 8 THEN 1 ELSE 0 END AS emerg, CASE WHEN disc > 0.3 THEN 1 ELSE 0 END AS gath FROM weekly)",
+    Q.features("f", "m0", Q.panel_features(["revenue", "price", "qty", "disc", "n_items", "emerg", "gath"], 5), "state", "t"),
+]
+
+
 def model_panel(spark, sf):
     """Weekly panel with two 0/1 policy columns and all lags, written once for the fits."""
     p = weekly_panel(spark, sf).select(
@@ -578,13 +617,17 @@ def model_panel(spark, sf):
     return materialize(panel_features(Panel(p, "state", "t"), ["revenue", "price", "qty", "disc", "n_items", "emerg", "gath"], 5), "grid")
 
 
-@query("J23_model_grid")
+GRID_SPECS = [
+    *G.first_stage_specs(MEASURES, "d_n_items", ["emerg", "gath", "d_revenue_m1"], "state", "t"),
+    *G.second_stage_specs("d_revenue", MEASURES, "d_n_items", ["emerg", "gath"], [1, 2, 3, 4], "state", "t"),
+    *G.two_lag_specs("d_revenue", MEASURES, "d_n_items", ["emerg", "gath"], (1, 3), "state"),
+]
+
+
+@query("J23_model_grid", Q.union(MODEL_SQL, Q.model_rows("f", GRID_SPECS, digits=5)))
 def j23(spark, sf):
-    panel = model_panel(spark, sf)
-    first = G.first_stage_specs(MEASURES, "d_n_items", ["emerg", "gath", "d_revenue_m1"], "state", "t")
-    second = G.second_stage_specs("d_revenue", MEASURES, "d_n_items", ["emerg", "gath"], [1, 2, 3, 4], "state", "t")
-    two = G.two_lag_specs("d_revenue", MEASURES, "d_n_items", ["emerg", "gath"], (1, 3), "state")
-    return G.run_grid(panel, [*first, *second, *two]).coefficients
+    out = G.run_grid(model_panel(spark, sf), GRID_SPECS).coefficients
+    return out.select("model_id", "term", sig("estimate", 5).alias("estimate"), sig("std_error", 5).alias("std_error"))
 
 
 def _grid_sql():
@@ -610,14 +653,20 @@ def j23_b(spark, sf):
     return out.filter(F.col("model_id").startswith("b_") & F.col("role").startswith("mobility")).select("model_id", "role", sig("estimate", 6).alias("estimate"))
 
 
-@query("J24_coefficient_table")
+TABLE_SPECS = G.first_stage_specs(["d_price", "d_qty"], "d_n_items", ["emerg", "d_revenue_m1"], "state", "t")
+TABLE_ORDER, TABLE_LABELS = ["d_n_items", "emerg", "d_revenue_m1", "_cons"], {"d_n_items": "Instrument", "_cons": "Constant"}
+
+
+def _table_sql():
+    rows = Q.union([*MODEL_SQL, Q.CRITICAL], Q.table_rows("f", TABLE_SPECS, "t", TABLE_ORDER, "f", TABLE_LABELS))
+    cells = ", ".join(f"max(cell) FILTER (model_id = '{s.name}') AS \"{s.name}\"" for s in TABLE_SPECS)
+    return f"SELECT row, label, {cells} FROM ({rows}) GROUP BY row, label"
+
+
+@query("J24_coefficient_table", _table_sql())
 def j24(spark, sf):
-    specs = G.first_stage_specs(["d_price", "d_qty"], "d_n_items", ["emerg", "d_revenue_m1"], "state", "t")
-    grid = G.run_grid(model_panel(spark, sf), specs)
-    return coef_table(
-        grid.coefficients, grid.models, ["d_n_items", "emerg", "d_revenue_m1", "_cons"], [s.name for s in specs],
-        labels={"d_n_items": "Instrument", "_cons": "Constant"},
-    )
+    grid = G.run_grid(model_panel(spark, sf), TABLE_SPECS)
+    return coef_table(grid.coefficients, grid.models, TABLE_ORDER, [s.name for s in TABLE_SPECS], labels=TABLE_LABELS)
 
 
 def _cells(y):

@@ -35,10 +35,13 @@ def _matrix(names: Sequence[str], weight: str = "") -> str:
     return "[" + ", ".join("[" + ", ".join(f"sum({w}{names[min(i, j)]} * {names[max(i, j)]})" for j in range(n)) + "]" for i in range(n)) + "]"
 
 
-def fit_ctes(tag: str, src: str, spec: ModelSpec, exprs: Mapping[str, str] | None = None) -> tuple[list[str], str]:
+def fit_ctes(
+    tag: str, src: str, spec: ModelSpec, exprs: Mapping[str, str] | None = None, carry: Mapping[str, str] | None = None
+) -> tuple[list[str], str]:
     """CTEs of one model over the rows ``src``, and the name of the last: one row with ``f`` (inverse and coefficients of the terms in ``terms_of`` order),
-    ``n``, ``k``, ``groups`` and ``v`` (a matrix whose quadratic forms in rows of ``f`` are variances), ``lv`` and ``cons`` (the constant's)."""
-    exprs = exprs or {}
+    ``n``, ``k``, ``groups`` and ``v`` (a matrix whose quadratic forms in rows of ``f`` are variances), ``lv`` and ``cons`` (the constant's). ``<tag>_u`` has the residual ``u`` of each row, the regressors' (projected) values ``h0``, ``h1``, … and the
+    columns of ``carry``."""
+    exprs, carry = exprs or {}, carry or {}
     labels = [label_of(t) for t in spec.columns]
     c = [f"c{i}" for i in range(len(labels))]
     n_e, n_x = len(spec.endog), len(spec.x)
@@ -52,9 +55,10 @@ def fit_ctes(tag: str, src: str, spec: ModelSpec, exprs: Mapping[str, str] | Non
     cols = [f"CAST({exprs.get(la, quoted(la))} AS DOUBLE) AS {a}" for la, a in zip(labels, c)]
     keys = [f"{quoted(e)} AS {a}" for e, a in zip(spec.entity, g)] + [f"{quoted(e)} AS {a}" for e, a in zip(spec.cluster, q)]
     time = [f"CAST({quoted(spec.trend[0])} AS DOUBLE) AS tt"] if degree else []
+    time += [f"{e} AS {a}" for a, e in carry.items()]
     present = " AND ".join(f"{a} IS NOT NULL" for a in [*c, *g, *q, *(["tt"] if degree else [])])
     out.append(f"{tag}_r AS MATERIALIZED (SELECT * FROM (SELECT {', '.join([*cols, *keys, *time])} FROM {src}) WHERE {present})")
-    carried = [*g, *q]
+    carried = [*g, *q, *carry]
     by = f"OVER (PARTITION BY {', '.join(g)})" if g else "OVER ()"
     rows = f"{tag}_r"
     if degree:
@@ -123,7 +127,7 @@ def fit_ctes(tag: str, src: str, spec: ModelSpec, exprs: Mapping[str, str] | Non
     scores = [f"{hats[a]} AS h{i}" for i, a in enumerate(xs)] + (["wb AS hw"] if in_base else [])
     names = [f"h{i}" for i in range(len(xs))] + (["hw"] if in_base else [])
     tables = f"{tag}_w, {tag}_f" + (f", {first} AS first" if n_e else "")
-    out.append(f"{tag}_u AS MATERIALIZED (SELECT {', '.join([*q, f'{resid} AS u', *scores])} FROM {tables})")
+    out.append(f"{tag}_u AS MATERIALIZED (SELECT {', '.join([*q, *carry, f'{resid} AS u', *scores])} FROM {tables})")
     if q:
         of_cluster = f"(SELECT {', '.join(f'sum(u * {h}) AS {h}' for h in names)} FROM {tag}_u GROUP BY {', '.join(q)})"
         out.append(f"{tag}_v AS MATERIALIZED (SELECT {_matrix(names)} AS v, CAST(count(*) AS DOUBLE) AS groups FROM {of_cluster})")

@@ -73,27 +73,67 @@ def equality_statistic(tag: str, spec: ModelSpec) -> str:
 def two_way(src: str, spec: ModelSpec, period: str, values: Sequence, digits: int = 6, zero: str = "1e-9") -> str:
     """Query of the rows of a model with entity effects and a dummy for each period; the first period is the base."""
     dummies = {f"{period}={v}": f"CASE WHEN {quoted(period)} = {v} THEN 1 ELSE 0 END" for v in values}
-    wide = replace(spec, x=(*list(dummies)[1:], *spec.x), constant=False)
+    wide = replace(spec, x=(*list(dummies)[1:], *spec.x))
     made, tag = fit_ctes("m", src, wide, dummies)
-    return alone(made, [fit_rows(tag, wide, digits, zero, [t for t in map(label_of, spec.regressors)])])
+    return alone(made, [fit_rows(tag, wide, digits, zero, [*map(label_of, spec.regressors), "_cons"])])
 
 
 def joint_statistic(tag: str, spec: ModelSpec, terms: Sequence[str]) -> str:
-    """F form of the Wald test that three terms have no effect; a 3 x 3 system by its adjugate."""
+    """F form of the Wald test that one, two or three terms have no effect; the system is solved by its adjugate."""
     at = dict(terms_of(spec))
     size = len(spec.regressors) + (1 if spec.constant and not spec.entity else 0)
-    i = [at[t] for t in terms]
+    i, q = [at[t] for t in terms], len(terms)
     cell = lambda a, b: f"list_sum([list_sum([f[{a}][x] * v[x][y] * f[{b}][y] for y in range(1, {size + 1})]) for x in range(1, {size + 1})])"
-    names = {(r, c): f"w{min(r, c)}{max(r, c)}" for r in range(3) for c in range(3)}
-    inner = ", ".join(f"small * {cell(i[r], i[c])} AS w{r}{c}" for r in range(3) for c in range(r, 3)) + ", " + ", ".join(f"f[{k}][{size + 1}] AS b{j}" for j, k in enumerate(i))
+    names = {(r, c): f"w{min(r, c)}{max(r, c)}" for r in range(q) for c in range(q)}
+    inner = ", ".join(f"small * {cell(i[r], i[c])} AS w{r}{c}" for r in range(q) for c in range(r, q)) + ", " + ", ".join(f"f[{k}][{size + 1}] AS b{j}" for j, k in enumerate(i))
 
     def minor(r: int, c: int) -> str:
+        if q == 1:
+            return "1.0"
+        if q == 2:
+            return names[1 - r, 1 - c] if r == c else f"-{names[1 - r, 1 - c]}"
         r1, r2, c1, c2 = (r + 1) % 3, (r + 2) % 3, (c + 1) % 3, (c + 2) % 3
         return f"({names[r1, c1]} * {names[r2, c2]} - {names[r1, c2]} * {names[r2, c1]})"
 
-    form = " + ".join(f"b{r} * b{c} * {minor(r, c)}" for r in range(3) for c in range(3))
-    det = " + ".join(f"{names[0, c]} * {minor(0, c)}" for c in range(3))
-    return f"(SELECT ({form}) / ({det}) / 3 FROM (SELECT {inner} FROM {tag}))"
+    form = " + ".join(f"b{r} * b{c} * {minor(r, c)}" for r in range(q) for c in range(q))
+    det = " + ".join(f"{names[0, c]} * {minor(0, c)}" for c in range(q))
+    return f"(SELECT ({form}) / ({det}) / {q} FROM (SELECT {inner} FROM {tag}))"
+
+
+def f_rows(src: str, specs: Sequence[ModelSpec], term: str, exprs: Mapping[str, str] | None = None) -> list[str]:
+    """A query of (model_id, f, df1, df2) of one term for each model; errors are clustered."""
+    out = []
+    for spec in specs:
+        made, tag = fit_ctes("m", src, spec, exprs)
+        out.append(alone(made, [f"SELECT '{spec.name}' AS model_id, round({joint_statistic(tag, spec, [term])}, 3) AS f, 1 AS df1, CAST(groups - 1 AS DOUBLE) AS df2 FROM {tag}"]))
+    return out
+
+
+def robust_iv_tests(src: str, spec: ModelSpec, exprs: Mapping[str, str], digits: int) -> str:
+    """Query of (test, statistic) of the robust diagnostics of a model with a constant, one endogenous regressor and up to three instruments, at most
+    one of them spare."""
+    label, value = label_of, lambda t: exprs.get(label_of(t), quoted(label_of(t)))
+    (w,), x, z = spec.endog, list(spec.x), list(spec.instruments)
+    every = " AND ".join(f"({value(t)}) IS NOT NULL" for t in spec.columns)
+    rows = f"q0 AS MATERIALIZED (SELECT * FROM {src} WHERE {every})"
+    carry = {f"k{i}": value(t) for i, t in enumerate([spec.y, w, *x, *z])}
+    raw = {label(t): f"k{i}" for i, t in enumerate([spec.y, w, *x, *z])}
+    first = ModelSpec("first", label(w), [label(t) for t in (*z, *x)], vce=spec.vce)
+    a, ta = fit_ctes("a", "q0", first, {label(t): value(t) for t in spec.columns}, carry)
+    augmented = ModelSpec("augmented", label(spec.y), [*map(label, x), label(w), "v_hat"], vce=spec.vce)
+    b, tb = fit_ctes("b", "a_u", augmented, raw | {"v_hat": "u"})
+    out = [
+        f"SELECT 'weak_instruments:{label(w)}' AS test, {sig(joint_statistic(ta, first, [label(t) for t in z]), digits)} AS statistic",
+        f"SELECT 'endogeneity', {sig(joint_statistic(tb, augmented, ['v_hat']), digits)}",
+    ]
+    made = [rows, *a, *b]
+    if len(z) > 1:
+        c, _ = fit_ctes("c", "q0", replace(spec, roles={}), exprs, carry)
+        spare = ModelSpec("spare", label(z[-1]), [*map(label, x), "w_hat"], vce=spec.vce)
+        d, _ = fit_ctes("d", "c_u", spare, raw | {"w_hat": f"h{1 + len(x)}"}, {"u2": "u"})
+        made += [*c, *d]
+        out.append(f"SELECT 'overidentification_score', {sig('pow(sum(u * u2), 2) / sum(u * u * u2 * u2)', digits)} FROM d_u")
+    return alone(made, out)
 
 
 # -- tables ---------------------------------------------------------------------
@@ -120,14 +160,15 @@ def _number(value: str, style: str) -> str:
     return f"regexp_replace({shape}, '^-', '--')"
 
 
-def table_rows(src: str, specs: Sequence[ModelSpec], name: str, order: Sequence[str], style: str) -> list[str]:
-    """A query of (tab, row, label, model_id, cell) for each model of a coefficient table; ``order`` has the roles. The models' errors are clustered."""
+def table_rows(src: str, specs: Sequence[ModelSpec], name: str, order: Sequence[str], style: str, labels: Mapping[str, str] | None = None) -> list[str]:
+    """A query of (tab, row, label, model_id, cell) for each model of a coefficient table; ``order`` has the roles. Models are clustered, or two-stage."""
     queries = []
     mark = "CASE " + " ".join(f"WHEN abs(b / se) > c{j} THEN '{m}'" for j, (_, m) in enumerate(MARKS, 1)) + " ELSE '' END"
     for spec in specs:
         made, tag = fit_ctes("m", src, spec)
         found = [(order.index(r), r, b, se) for la, b, se in term_lists(spec) if (r := spec.roles.get(la, la)) in order]
-        lists = [", ".join(x) for x in zip(*((str(at), f"'{r}'", b, se) for at, r, b, se in found))]
+        shown = labels or {}
+        lists = [", ".join(x) for x in zip(*((str(at), f"'{shown.get(r, r)}'", b, se) for at, r, b, se in found))]
         df = "0" if spec.is_iv and spec.dof != "full" else "CAST(groups - 1 AS INTEGER)"
         made.append(f"t AS MATERIALIZED (SELECT unnest([{lists[0]}]) AS pos, unnest([{lists[1]}]) AS label, unnest([{lists[2]}]) AS b, unnest([{lists[3]}]) AS se, {df} AS df FROM {tag})")
         adjusted = f"1 - (1 - r2) * (n - {1 if spec.constant or spec.entity else 0}) / (n - k)"

@@ -142,7 +142,12 @@ def test_two_way_effects(df, sample):
     x = np.c_[s.x, s.w, np.ones(len(s)), dummies(s.g.values)[:, 1:], dummies(s.t.values)[:, 1:]]
     ref = dense(s.y.values, x, vce="cluster", cluster=s.g.values)
     fit = linear.fit_two_way(df, ModelSpec("tw", "y", ["x", "w"], entity="g", vce="cluster", cluster="g"), "t")
-    check(fit, ref, count=2)
+    assert fit.terms == ["x", "w", "_cons"] and fit.k == x.shape[1]
+    check(fit, ref, count=3)
+    for vce in ("hc1", "classical"):
+        check(linear.fit_two_way(df, ModelSpec("tw", "y", ["x", "w"], entity="g", vce=vce), "t"), dense(s.y.values, x, vce=vce), count=3)
+    without = linear.fit_two_way(df, ModelSpec("tw", "y", ["x", "w"], entity="g", vce="cluster", cluster="g", constant=False), "t")
+    assert without.terms == ["x", "w"] and without.coef("x") == pytest.approx(fit.coef("x")) and without.k == fit.k
     q, _ = np.linalg.qr(x)
     y = s.y.values
     r2 = 1 - np.sum((y - q @ (q.T @ y)) ** 2) / np.sum((y - y.mean()) ** 2)
@@ -167,6 +172,32 @@ def test_two_way_effects_of_many_periods(spark):
     assert fit.coef("x") == pytest.approx(a @ b / (a @ a), rel=1e-9)
 
 
+def test_two_way_effects_of_a_chain(spark):
+    """5,000 periods that hang together by entities which live for two of them."""
+    rng = np.random.default_rng(4)
+    g = np.repeat(np.arange(4999), 4)
+    t = g + np.tile([0, 0, 1, 1], 4999)
+    x = rng.normal(size=len(g)) + 0.01 * g
+    y = 1.5 * x + np.sin(g) + 0.1 * t + rng.normal(size=len(g))
+    frame = spark.createDataFrame(pd.DataFrame(dict(g=g, t=t, x=x, y=y)))
+    fit = linear.fit_two_way(frame, ModelSpec("tw", "y", ["x"], entity="g", vce="classical"), "t")
+    # in a chain the effects of the periods take up each entity's difference between its periods
+    pair = lambda v: v.reshape(-1, 2) - v.reshape(-1, 2).mean(axis=1, keepdims=True)
+    a, b = pair(x).ravel(), pair(y).ravel()
+    beta = a @ b / (a @ a)
+    assert fit.coef("x") == pytest.approx(beta, rel=1e-8) and fit.k == 1 + 4999 + 5000 - 1
+    assert fit.std_error("x") == pytest.approx(np.sqrt(((b - beta * a) ** 2).sum() / (len(g) - fit.k) / (a @ a)), rel=1e-6)
+
+
+def test_two_way_effects_in_tables(df, monkeypatch):
+    """The solver for more periods than the driver holds gives the same."""
+    spec = ModelSpec("tw", "y", ["x"], entity="g", vce="hc1")
+    want = linear.fit_two_way(df, spec, "t")
+    monkeypatch.setattr(linear, "PERIODS", 3)
+    got = linear.fit_two_way(df, spec, "t")
+    assert got.beta == pytest.approx(want.beta, rel=1e-8) and got.se == pytest.approx(want.se, rel=1e-8)
+
+
 def test_entities_far_apart(spark):
     rng = np.random.default_rng(5)
     g = np.repeat(np.arange(8), 40)
