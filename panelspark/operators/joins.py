@@ -166,19 +166,30 @@ def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in other]
 
 
+def _keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on keys that are missing on both sides or equal; the left table's other columns come first."""
+    others = [c for c in left.columns if c not in on]
+    if how.replace("_", "") not in ("semi", "leftsemi", "anti", "leftanti"):
+        others += [c for c in right.columns if c not in on]
+    if len(set(others)) < len(others):
+        raise ValueError("the tables share columns that are not keys")
+    joined = _encode(left, on, "right").join(_encode(right, on, "right"), _key_names(on), how)
+    return _decode(joined, on, others)
+
+
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Equi-join on every column the two tables share."""
+    """Equi-join on every column the two tables share; missing keys match each other."""
     on = common_columns(left, right)
     if not on:
         raise ValueError("the tables share no column")
-    return left.join(right, on, how)
+    return _keyed_join(left, right, on, how)
 
 
 def join_all(tables: Sequence[DataFrame], on: Sequence[str] | None = None) -> DataFrame:
-    """Inner join of many feature tables, left to right."""
+    """Inner join of many feature tables, left to right; missing keys match each other."""
     if on is None:
         return functools.reduce(natural_join, tables)
-    return functools.reduce(lambda a, b: a.join(b, list(on), "inner"), tables)
+    return functools.reduce(lambda a, b: _keyed_join(a, b, list(on), "inner"), tables)
 
 
 def copy_reference_row(df: DataFrame, entity: str, reference: str, time: str, cols: Sequence[str], prefix: str) -> DataFrame:

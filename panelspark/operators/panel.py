@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import date
@@ -187,25 +188,24 @@ def changes(panel: Panel, cols: Mapping[str, tuple[str, str]], across_entities:
     """
 
     def build(df, w):
-        return df.withColumns({f"__prev_{c}": F.lag(c).over(w) for c in cols} | {"__rn": F.row_number().over(w)})
+        return df.withColumns({f"__prev_{c}": F.lag(c).over(w) for c in cols})
 
-    df = over_rows(replace(panel, block=None) if across_entities else panel, 1, build)
+    df = over_rows(panel, 1, build)
     if across_entities:
         (entity,) = panel.entity
         ids = dense_ids(panel.df, entity, "__id")
         time = F.struct(*panel.time)
-        last = panel.df.groupBy(entity).agg(*[F.max_by(c, time).alias(f"__last_{c}") for c in cols])
+        first = F.coalesce(F.min(F.when(functools.reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in panel.time]), time)), F.min(time))
+        ends = materialize(panel.df.groupBy(entity).agg(first.alias("__first"), *[F.max_by(c, time).alias(f"__last_{c}") for c in cols]), "entity-ends")
         shifted = (
-            last.join(ids, [entity])
+            ends.join(ids, [entity])
             .select((F.col("__id") + 1).alias("__id"), *[f"__last_{c}" for c in cols])
             .join(ids, ["__id"])
             .drop("__id")
         )
-        df = df.join(shifted, [entity], "left").withColumns(
-            {
-                f"__prev_{c}": F.when(F.col("__rn") == 1, F.col(f"__last_{c}")).otherwise(F.col(f"__prev_{c}"))
-                for c in cols
-            }
+        opens = time.eqNullSafe(F.col("__first"))
+        df = df.join(ends.select(entity, "__first"), [entity], "left").join(shifted, [entity], "left").withColumns(
+            {f"__prev_{c}": F.when(opens, F.col(f"__last_{c}")).otherwise(F.col(f"__prev_{c}")) for c in cols}
         )
     out = {}
     for c, (pct, log) in cols.items():
@@ -254,7 +254,10 @@ def fill_forward(panel: Panel, cols: Sequence[str]) -> DataFrame:
 
 def zscore_panel(panel: Panel, cols: Mapping[str, str]) -> DataFrame:
     """Z-scores within the entity in one scan: a panel's entity has one row per period, so the
-    window is bounded by the calendar and shares its shuffle with the ordered functions."""
+    window is bounded by the calendar and shares its shuffle with the ordered functions. With ``block`` no entity is gathered: its mean and
+    spread come from an aggregate."""
+    if panel.block is not None:
+        return zscore_by(panel.df, list(panel.entity), cols)
     w = Window.partitionBy(*panel.entity)
     new = {o: safe_div(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w)) for c, o in cols.items()}
     return panel.df.withColumns(new)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import scalars as S
 from panelspark.operators import aggregates as A
 from panelspark.operators import clean, joins
-from panelspark.operators.panel import Panel, changes, dense_ids, fill_forward, lag_by, zscore, zscore_by
+from panelspark.operators.panel import Panel, changes, dense_ids, fill_forward, lag_by, zscore, zscore_by, zscore_panel
 
 
 def one(spark, expr, **values):
@@ -178,3 +178,36 @@ def test_interval_maxima(spark):
     assert own == {"a": 7.0, "b": 9.0, "never": 0.0}
     national = dict(joins.max_after_first(df, "e", "d", "x", 3, "m", national=True).collect())
     assert national == {"a": 9.0, "b": 9.0, "never": 0.0}
+
+
+def test_natural_joins_match_missing_keys(spark):
+    a = spark.createDataFrame([(1, "x", 10), (None, "x", 20), (None, None, 30), (4, "z", 40)], "k int, s string, a int")
+    b = spark.createDataFrame([(1, "x", 1), (None, "x", 2), (None, None, 3), (5, None, 5)], "k int, s string, b int")
+    inner = {tuple(r) for r in joins.natural_join(a, b).select("k", "s", "a", "b").collect()}
+    assert inner == {(1, "x", 10, 1), (None, "x", 20, 2), (None, None, 30, 3)}
+    full = {tuple(r) for r in joins.natural_join(a, b, "full_outer").select("k", "s", "a", "b").collect()}
+    assert full == inner | {(4, "z", 40, None), (5, None, None, 5)}
+    assert {tuple(r) for r in joins.natural_join(a, b, "left_anti").collect()} == {(4, "z", 40)}
+    c = spark.createDataFrame([(1, "x", 7), (None, None, 9)], "k int, s string, c int")
+    assert {tuple(r) for r in joins.join_all([a, b, c]).select("k", "a", "b", "c").collect()} == {(1, 10, 1, 7), (None, 30, 3, 9)}
+    assert joins.join_all([a, c], ["k", "s"]).count() == 2
+    with pytest.raises(ValueError):
+        joins.join_all([a, b.withColumnRenamed("b", "a")], ["k"])
+
+
+def test_block_in_changes_and_zscores(spark):
+    """Long histories in blocks give what whole entities give."""
+    rows = [(e, t, float((t * 7 + i * 3) % 11 + 1)) for i, e in enumerate("abc") for t in range(3, 60) if (t + i) % 9]
+    df = spark.createDataFrame(rows, "e string, t int, x double").repartition(4)
+    cols = {"x": ("pct", "log")}
+    whole, cut = Panel(df, "e", "t"), Panel(df, "e", "t", block=10)
+
+    def rounded(out):
+        return {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect()}
+
+    for across in (False, True):
+        assert rounded(changes(whole, cols, across)) == rounded(changes(cut, cols, across))
+    ordered = sorted(rows)
+    want = {(e, t): round(x / ordered[i - 1][2] - 1, 9) if i else None for i, (e, t, x) in enumerate(ordered)}
+    assert {(r["e"], r["t"]): None if r["pct"] is None else round(r["pct"], 9) for r in changes(cut, cols, True).collect()} == want
+    assert rounded(zscore_panel(whole, {"x": "z"}).select("e", "t", "z")) == rounded(zscore_panel(cut, {"x": "z"}).select("e", "t", "z"))
