@@ -8,7 +8,7 @@ from panelspark.functions.scalars import clock_to_date, mean_strict, sum_strict,
 from panelspark.operators import aggregates as agg
 from panelspark.operators.joins import duplicate_keys
 
-from .common import DAILY_SQL, SEGMENTS, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, sig, sig_sql, table, week_sql, weekly_table, with_sql
+from .common import DAILY_SQL, USERS_SQL, WEEKLY_SQL, daily_types, daily_users, query, sig, sig_sql, table, values_of, week_sql, weekly_table, with_sql
 
 SPARSE = "docs AS (SELECT lang, source, CASE WHEN toxic = 0 THEN n_chars END AS chars FROM documents LEFT JOIN labels USING (doc_id))"
 
@@ -162,12 +162,11 @@ def d17(spark, sf):
 
 @query(
     "D18_band_rollup",
-    "SELECT c_nationkey, " + ", ".join(f"nullif(count(*) FILTER (c_mktsegment = '{s}'), 0)::BIGINT AS \"{s}\"" for s in SEGMENTS)
-    + ", (nullif(count(*) FILTER (c_mktsegment = 'FURNITURE'), 0) + nullif(count(*) FILTER (c_mktsegment = 'HOUSEHOLD'), 0))::BIGINT AS home FROM customer GROUP BY 1",
+    "SELECT *, \"FURNITURE\" + \"HOUSEHOLD\" AS home FROM (PIVOT (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) ON c_mktsegment USING max(n) GROUP BY c_nationkey)",
 )
 def d18(spark, sf):
     c = table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", F.lit(1).cast("long").alias("one"))
-    return agg.band_rollup(c, ["c_nationkey"], "c_mktsegment", "one", SEGMENTS, {"home": ["FURNITURE", "HOUSEHOLD"]})
+    return agg.band_rollup(c, ["c_nationkey"], "c_mktsegment", "one", values_of(c, "c_mktsegment"), {"home": ["FURNITURE", "HOUSEHOLD"]})
 
 
 @query(

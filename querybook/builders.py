@@ -21,7 +21,7 @@ from panelspark.plans import suites as S
 from panelspark.session import materialize
 
 from . import suite_sql as Q
-from .common import EVENT_TYPES, query, rounded, sig, sig_sql, table, week_sql, with_sql
+from .common import query, rounded, sig, sig_sql, table, values_of, week_sql, with_sql
 from .sources import PRIORITY_CODE
 
 
@@ -246,7 +246,7 @@ def l7(spark, sf):
 )
 def l8_wide(spark, sf):
     rows = table(spark, sf, "events").select(clock_to_date("ts").alias("_c0"), "event_type")
-    wide = rows.groupBy("_c0").pivot("event_type", EVENT_TYPES).agg(F.count(F.lit(1)))
+    wide = rows.groupBy("_c0").pivot("event_type", values_of(rows, "event_type")).agg(F.count(F.lit(1)))
     wide = wide.withColumnsRenamed({"click": " AK", "error": "AL"})
     return I.wide_mobility(wide, "twitter_social_distancing")
 

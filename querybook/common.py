@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalars import clock_to_date, signif, week52
 from panelspark.session import materialize
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
@@ -38,6 +34,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def values_of(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The sorted values of a column that become columns of a result; more than ``most`` are an error."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(found)
+
+
 def event_days(spark: SparkSession, sf: str) -> tuple:
     """First and last day of the events."""
     day = clock_to_date("ts")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import reshape
 
-from .common import DAILY_SQL, EVENT_TYPES, SEGMENTS, daily_types, query, table, with_sql
+from .common import DAILY_SQL, daily_types, query, table, values_of, with_sql
 
 
 @query("E1_sort", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderkey")
@@ -62,17 +62,17 @@ def e6(spark, sf):
 
 @query(
     "E7_long_to_wide",
-    with_sql(DAILY_SQL) + "SELECT date, " + ", ".join(f"max(CASE WHEN state = '{e}' THEN n END) AS \"{e}\"" for e in EVENT_TYPES) + " FROM daily GROUP BY 1",
+    with_sql(DAILY_SQL) + "SELECT * FROM (PIVOT (SELECT date, state, n FROM daily) ON state USING max(n) GROUP BY date)",
 )
 def e7(spark, sf):
-    return reshape.to_wide(daily_types(spark, sf), ["date"], "state", EVENT_TYPES, F.first("n"))
+    types = values_of(table(spark, sf, "events"), "event_type")
+    return reshape.to_wide(daily_types(spark, sf), ["date"], "state", types, F.first("n"))
 
 
 @query(
     "E8_transpose",
     "WITH m AS (SELECT c_mktsegment AS seg, CAST(count(*) AS DOUBLE) AS n, CAST(max(c_acctbal) AS DOUBLE) AS top FROM customer GROUP BY 1) "
-    "SELECT 'n' AS stat, " + ", ".join(f"max(CASE WHEN seg = '{s}' THEN n END) AS \"{s}\"" for s in SEGMENTS) + " FROM m UNION ALL "
-    "SELECT 'top', " + ", ".join(f"max(CASE WHEN seg = '{s}' THEN top END)" for s in SEGMENTS) + " FROM m",
+    "SELECT * FROM (PIVOT (SELECT 'n' AS stat, seg, n AS v FROM m UNION ALL SELECT 'top', seg, top FROM m) ON seg USING max(v) GROUP BY stat)",
 )
 def e8(spark, sf):
     m = (
@@ -80,4 +80,4 @@ def e8(spark, sf):
         .groupBy(F.col("c_mktsegment").alias("seg"))
         .agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("c_acctbal").alias("top"))
     )
-    return reshape.transpose(m, "seg", SEGMENTS, "stat")
+    return reshape.transpose(m, "seg", values_of(table(spark, sf, "customer"), "c_mktsegment"), "stat")
