@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -36,23 +38,52 @@ def hash_fold(keys: Sequence[str], folds: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(folds)).cast("int")
 
 
-def gram_by(df: DataFrame, cols: Sequence[str], by: Column | None = None) -> dict[int, np.ndarray]:
-    """Cross-products of (1, cols) per fold: one aggregate, folds × k² numbers to the driver."""
+@dataclass
+class Moments:
+    """Count, means and sums of co-moments about the means of (y, x…). Means far from zero cost no digits of the spread."""
+
+    n: float
+    mean: np.ndarray
+    c: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        gap = other.mean - self.mean
+        return Moments(n, self.mean + gap * (other.n / n), self.c + other.c + np.outer(gap, gap) * (self.n * other.n / n))
+
+    def __sub__(self, part: Moments) -> Moments:
+        """The moments of the rows that are not in ``part``."""
+        n = self.n - part.n
+        mean = self.mean + (self.mean - part.mean) * (part.n / n)
+        gap = part.mean - mean
+        return Moments(n, mean, self.c - part.c - np.outer(gap, gap) * (n * part.n / self.n))
+
+    @property
+    def raw(self) -> np.ndarray:
+        """Means of products about zero."""
+        return self.c / self.n + np.outer(self.mean, self.mean)
+
+    @property
+    def sd(self) -> np.ndarray:
+        """Population sds of the x; 1 for a constant."""
+        sd = np.sqrt(np.maximum(np.diag(self.c)[1:] / self.n, 0.0))
+        return np.where(sd == 0.0, 1.0, sd)
+
+
+def moments_by(df: DataFrame, cols: Sequence[str], by: Column | None = None) -> dict[int, Moments]:
+    """Moments of the columns per fold: one aggregate, folds × k² numbers to the driver."""
     k = len(cols)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(cols[i]).cast("double") * F.col(cols[j]).cast("double")).alias(f"S_{i}_{j}") for i, j in pairs]
+    at = [F.col(c).cast("double") for c in cols]
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(at)]]
+    aggs += [F.covar_pop(at[i], at[j]).alias(f"C_{i}_{j}") for i, j in pairs]
     fold = by if by is not None else F.lit(0)
     out = {}
     for r in df.groupBy(fold.alias("fold")).agg(*aggs).collect():
-        g = np.zeros((k + 1, k + 1))
-        g[0, 0] = r["n"]
-        for i in range(k):
-            g[0, i + 1] = g[i + 1, 0] = r[f"s_{i}"]
+        c = np.zeros((k, k))
         for i, j in pairs:
-            g[i + 1, j + 1] = g[j + 1, i + 1] = r[f"S_{i}_{j}"]
-        out[r["fold"]] = g
+            c[i, j] = c[j, i] = r[f"C_{i}_{j}"] * r["n"]
+        out[r["fold"]] = Moments(float(r["n"]), np.array([r[f"m_{i}"] for i in range(k)], float), c)
     return out
 
 
@@ -63,17 +94,14 @@ def _soft(value: float, by: float) -> float:
     return np.sign(value) * max(abs(value) - by, 0.0)
 
 
-def _descend(gram: np.ndarray, lambdas: Sequence[float], tol: float = 1e-12) -> np.ndarray:
+def _descend(gram: Moments, lambdas: Sequence[float], tol: float = 1e-12) -> np.ndarray:
     """Coefficients for each lambda on (1/2n)|y − Xb|² + lambda·|b| without intercept.
 
-    ``gram`` is over (1, y, x…). Inside, each x is divided by its population sd.
+    ``gram`` is over (y, x…). Inside, each x is divided by its population sd.
     """
-    n = gram[0, 0]
-    mean = gram[0, 2:] / n
-    sd = np.sqrt(np.maximum(np.diag(gram)[2:] / n - mean**2, 0.0))
-    sd[sd == 0.0] = 1.0
-    a = gram[2:, 2:] / n / np.outer(sd, sd)
-    c = gram[2:, 1] / n / sd
+    sd, raw = gram.sd, gram.raw
+    a = raw[1:, 1:] / np.outer(sd, sd)
+    c = raw[1:, 0] / sd
     b = np.zeros(len(c))
     out = np.zeros((len(lambdas), len(c)))
     for row, lam in enumerate(lambdas):
@@ -93,12 +121,8 @@ def _descend(gram: np.ndarray, lambdas: Sequence[float], tol: float = 1e-12) ->
     return out
 
 
-def _lambda_path(gram: np.ndarray, n_lambda: int, min_ratio: float) -> np.ndarray:
-    n = gram[0, 0]
-    mean = gram[0, 2:] / n
-    sd = np.sqrt(np.maximum(np.diag(gram)[2:] / n - mean**2, 0.0))
-    sd[sd == 0.0] = 1.0
-    top = np.abs(gram[2:, 1] / n / sd).max()
+def _lambda_path(gram: Moments, n_lambda: int, min_ratio: float) -> np.ndarray:
+    top = np.abs(gram.raw[1:, 0] / gram.sd).max()
     return top * np.exp(np.linspace(0.0, np.log(min_ratio), n_lambda))
 
 
@@ -107,7 +131,16 @@ class LassoPath:
     x: list[str]
     lambdas: np.ndarray
     beta: np.ndarray
-    gram: np.ndarray
+    gram: Moments
+
+    def gap(self) -> np.ndarray:
+        """How far each step is from its optimality conditions, as a share of lambda: the slope of the error is lambda against the sign of a term in
+        use, and no steeper than lambda at others."""
+        raw, sd = self.gram.raw, self.gram.sd
+        slope = (raw[1:, 0] - self.beta @ raw[1:, 1:]) / sd
+        used = self.beta != 0.0
+        off = np.where(used, np.abs(slope - np.sign(self.beta) * self.lambdas[:, None]), np.maximum(np.abs(slope) - self.lambdas[:, None], 0.0))
+        return off.max(axis=1) / self.lambdas
 
     def table(self, spark: SparkSession) -> DataFrame:
         """Long form (step, lambda, term, estimate), for a coefficient-path plot."""
@@ -150,7 +183,7 @@ def lasso_path(
     df: DataFrame, y: str, x: Sequence[str], n_lambda: int = N_LAMBDA, min_ratio: float = MIN_RATIO, lambdas=None
 ) -> LassoPath:
     """Path without intercept on the data as given (standardise first, see ``standardize``)."""
-    gram = gram_by(complete_cases(df, [y, *x]), [y, *x])[0]
+    gram = moments_by(complete_cases(df, [y, *x]), [y, *x])[0]
     path = _lambda_path(gram, n_lambda, min_ratio) if lambdas is None else np.asarray(lambdas, dtype=float)
     return LassoPath(list(x), path, _descend(gram, path), gram)
 
@@ -163,22 +196,24 @@ def cv_lasso(
     folds: int = 10,
     n_lambda: int = N_LAMBDA,
     min_ratio: float = MIN_RATIO,
+    fold: Column | None = None,
 ) -> LassoCV:
-    """K-fold cross-validation with the one-standard-error rule and a refit on all rows.
+    """K-fold cross-validation with the one-standard-error rule and a refit on all rows. Rows are dealt by a hash of their keys, or by the
+    column ``fold``.
 
     One aggregate by fold serves all fits: the training cross-products are the total minus the
     fold, and the held-out error follows from the fold's own cross-products.
     """
-    grams = gram_by(complete_cases(df, [y, *x]), [y, *x], hash_fold(keys, folds))
-    total = sum(grams.values())
+    grams = moments_by(complete_cases(df, [y, *x]), [y, *x], hash_fold(keys, folds) if fold is None else fold)
+    total = functools.reduce(operator.add, grams.values())
     lambdas = _lambda_path(total, n_lambda, min_ratio)
     path = LassoPath(list(x), lambdas, _descend(total, lambdas), total)
     errors, weights = [], []
     for _, g in sorted(grams.items()):
         b = _descend(total - g, lambdas)
-        sse = g[1, 1] - 2.0 * b @ g[2:, 1] + np.einsum("ij,jk,ik->i", b, g[2:, 2:], b)
-        errors.append(sse / g[0, 0])
-        weights.append(g[0, 0])
+        raw = g.raw
+        errors.append(raw[0, 0] - 2.0 * b @ raw[1:, 0] + np.einsum("ij,jk,ik->i", b, raw[1:, 1:], b))
+        weights.append(g.n)
     e = np.array(errors)
     w = np.array(weights)
     cvm = np.average(e, axis=0, weights=w)

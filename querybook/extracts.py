@@ -15,7 +15,9 @@ from panelspark.operators.clean import complete_cases, poly
 from panelspark.operators.panel import Panel, difference, lag_by
 from panelspark.operators.reshape import literal_table
 
+from . import lasso_sql as Z
 from .common import DAILY_SQL, WEEKLY_SQL, daily_types, query, rounded, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
+from .models import LAG_SQL, LASSO_X
 from .windows import DELAY_SQL, delays
 
 
@@ -86,8 +88,8 @@ def k5(spark, sf):
     return rounded(X.bars(delays(spark, sf), "user_id", "ndays_first_case", "delay"), ["delay"])
 
 
-@query("K6_coefficient_path")
+@query("K6_coefficient_path", Z.path_sql(LAG_SQL[:2], "(SELECT * FROM lags WHERE qty_m4 IS NOT NULL)", "revenue", LASSO_X))
 def k6(spark, sf):
     p = lag_by(Panel(weekly_panel(spark, sf), "state", "t"), ["qty"], [1, 2, 3, 4])
-    x = [f"qty_m{k}" for k in (1, 2, 3, 4)]
-    return lasso_path(complete_cases(p, x), "revenue", x).table(spark)
+    out = lasso_path(complete_cases(p, LASSO_X), "revenue", LASSO_X).table(spark)
+    return out.select("step", sig("lambda", 6).alias("lambda"), "term", sig("estimate", 5, 1e-6).alias("estimate"))

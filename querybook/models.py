@@ -14,6 +14,7 @@ from panelspark.operators.panel import Panel, lag_by, panel_features
 from panelspark.session import materialize, scratch_path
 from panelspark.sources.writers import export_table
 
+from . import lasso_sql as Z
 from . import suite_sql as Q
 from .common import WEEKLY_SQL, query, rounded, sig, sig_sql, table, weekly_panel, weekly_table, with_sql
 
@@ -581,14 +582,30 @@ def j21_one(spark, sf):
     return out.select("step", sig("lambda", 6).alias("lambda"), sig("estimate", 6, 1e-2).alias("estimate"))
 
 
-@query("J21_lasso_path")
+LAG_SQL = [
+    WEEKLY_SQL,
+    "lags AS (SELECT state, t, revenue, " + ", ".join(f"lag(qty, {k}) OVER (PARTITION BY state ORDER BY t) AS qty_m{k}" for k in (1, 2, 3, 4)) + " FROM weekly)",
+    Z.standardized("z", "lags", "revenue", LASSO_X, ["state", "t"]),
+    "zf AS (SELECT *, (t * 7 + length(state)) % 10 AS fold FROM z)",
+]
+
+
+@query("J21_lasso_path", Z.path_sql(LAG_SQL, "z", "revenue", LASSO_X))
 def j21(spark, sf):
-    return lasso.lasso_path(lag_data(spark, sf), "revenue", LASSO_X).table(spark)
+    out = lasso.lasso_path(lag_data(spark, sf), "revenue", LASSO_X).table(spark)
+    return out.select("step", sig("lambda", 6).alias("lambda"), "term", sig("estimate", 5, 1e-6).alias("estimate"))
 
 
-@query("J22_cross_validated_lasso")
+@query("J22_cross_validated_lasso", Z.selected_sql(LAG_SQL, "zf", "revenue", LASSO_X, 10))
 def j22(spark, sf):
-    return lasso.cv_lasso(lag_data(spark, sf), "revenue", LASSO_X, ["state", "t"]).selected(spark)
+    """Folds are dealt by a column, so that SQL can deal them too."""
+    fold = F.pmod(F.col("t") * 7 + F.length("state"), F.lit(10)).cast("int")
+    return selected(lasso.cv_lasso(lag_data(spark, sf), "revenue", LASSO_X, ["state", "t"], fold=fold).selected(spark))
+
+
+def selected(rows):
+    real = {"lambda_1se": 6, "estimate": 5, "lambda_min": 6, "estimate_min": 5}
+    return rows.withColumns({c: sig(c, d, 1e-6) for c, d in real.items()})
 
 
 MEASURES = ["d_price", "d_qty", "d_disc"]
