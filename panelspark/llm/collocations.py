@@ -1,8 +1,9 @@
 """Phrases whose words occur together more often than apart, from exact counts of all runs of up to four words.
 
-Counting is level by level. Words are counted first; runs of two words only where both words are frequent, and runs of three and four only
-where every two neighbours are: a rarer part rules a phrase out. Frequent parts reach the tasks as a filter of a fixed
-size that may let rare ones through, never the other way, so counts stay exact whatever the corpus' size.
+Counting is level by level, as a rare part rules a phrase out. Words are counted first. Then pairs of frequent words, and triples of frequent pairs, are
+counted by a digest of 48 bits: what a digest stands for is at most as frequent as the digest. Phrases themselves are counted last, where all their
+pairs and triples are such. Frequent words, pairs and triples reach the tasks as filters of a fixed size that may let rare ones through, never the other way, so counts stay exact
+whatever the corpus' size.
 
 In a task phrases are counted in a burst trie: the first word's number leads to a hash container of the remaining words' numbers; a container
 that grows past a bound bursts into a node with a container for each next word. When a task holds too many phrases, the largest subtrees
@@ -12,7 +13,7 @@ of first words are written as sorted runs and forgotten. Runs are dealt by the d
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ BITS = 20  # of a word's number inside a task
 _MASK = (1 << BITS) - 1
 HELD = 600_000  # phrases that a task holds before it writes runs; no effect on results
 BURST = 4096  # entries of a container before it bursts; no effect on results
+WAITING = 1 << 22  # pairs that a task holds before it writes a run; no effect on results
+BUCKET = 1 << 21  # pairs that are merged at a time, about; no effect on results
+DIGEST = 48  # bits of a pair's digest; no effect on results
 FILTER = 1 << 20  # blocks of 64 bits of a filter (8 MB); no effect on results
 _PART = 1 << 21  # bytes of text that are split at a time
 _PREFIX = 3
@@ -68,31 +72,45 @@ class Filter:
         return (self.blocks[at] & bits) == bits
 
 
-def filter_of(frequent: DataFrame, blocks: int) -> Filter:
-    """The filter of (lang, phrase), phrases being of one or two words. Blocks are joined by an aggregate; the driver gets ``blocks`` rows at most."""
+def filter_of(frequent: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], blocks: int) -> Filter:
+    """The filter of a table's rows by their hashes. Blocks are joined by an aggregate; the driver gets ``blocks`` rows at most."""
 
     def run(batches):
         mine = np.zeros(blocks, np.uint64)
         for batch in batches:
-            hashes = []
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                words = phrase.encode().split(b" ")
-                hashes.append([word_hash(lang.encode(), w) for w in (words[0], words[-1])])
-            if not hashes:
-                continue
-            both = np.array(hashes, np.uint64)
-            pair = np.array([" " in p for p in batch.column("phrase").to_pylist()], bool)
-            at, bits = _places(np.where(pair, pair_hashes(both[:, 0], both[:, 1]), both[:, 0]), blocks)
-            np.bitwise_or.at(mine, at, bits)
+            if batch.num_rows:
+                at, bits = _places(hashes(batch), blocks)
+                np.bitwise_or.at(mine, at, bits)
         used = np.flatnonzero(mine)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(mine[used].view(np.int64))], names=["at", "bits"])
 
-    found = frequent.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = frequent.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(blocks, np.uint64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Filter(out)
 
 
+def word_filter(words: DataFrame, blocks: int) -> Filter:
+    """The filter of (lang, phrase), phrases being single words."""
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        rows = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
+        return np.array([word_hash(lang.encode(), w.encode()) for lang, w in rows], np.uint64)
+
+    return filter_of(words.select("lang", "phrase"), hashes, blocks)
+
+
+def _mixed(digests: np.ndarray) -> np.ndarray:
+    """Hashes of digests."""
+    with np.errstate(over="ignore"):
+        h = digests * np.uint64(0x9E3779B97F4A7C15)
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def digest_filter(digests: DataFrame, blocks: int) -> Filter:
+    return filter_of(digests.select("digest"), lambda batch: _mixed(batch.column("digest").to_numpy().view(np.uint64)), blocks)
+
+
 # The trie -------------------------------------------------------------------------------------------------------------
 
 
@@ -199,33 +217,60 @@ def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, inverse.reshape(-1)
 
 
-def runs_of_two(x: np.ndarray, seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, rest, n) of runs of two numbers that end behind the first ``seen`` places."""
+def _digests(hashes: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
+    """Digests of runs of two or three words, given by their numbers."""
+    h = hashes[numbers[0]]
+    for x in numbers[1:]:
+        h = pair_hashes(h, hashes[x])
+    return h >> np.uint64(64 - DIGEST)
+
+
+def pair_digests(x: np.ndarray, seen: int, hashes: np.ndarray) -> np.ndarray:
+    """Digests of runs of two numbers that end behind the first ``seen`` places."""
     at = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
     at = at[at + 1 >= seen]
-    keys, n = np.unique(x[at] << BITS | x[at + 1], return_counts=True)
-    return keys >> BITS, (keys & _MASK) << 2 * BITS, n
+    return _digests(hashes, x[at], x[at + 1])
 
 
-def runs_of_more(x: np.ndarray, seen: int, hashes: np.ndarray, pairs: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first, rest, n) of runs of three and of four numbers whose neighbours are all frequent pairs."""
-    size = len(x)
-    pair = np.full(size, -1, np.int64)  # number of the pair that begins here, in ascending order
+def _pairs_of(x: np.ndarray, hashes: np.ndarray, pairs: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers that may be frequent, in ascending order as packed keys; at each place the number of the pair that begins there, or -1;
+    and the places of the good ones."""
     at = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
     keys, inverse = _unique(x[at] << BITS | x[at + 1])
-    good = pairs.may_hold(pair_hashes(hashes[keys >> BITS], hashes[keys & _MASK]))
-    pair[at] = np.where(good[inverse], inverse, -1)
+    good = pairs.may_hold(_mixed(_digests(hashes, keys >> BITS, keys & _MASK)))
+    number = np.cumsum(good) - 1
+    pair = np.full(len(x), -1, np.int64)
+    at, inverse = at[good[inverse]], inverse[good[inverse]]
+    pair[at] = number[inverse]
+    return keys[good], pair, at
+
+
+def triple_digests(x: np.ndarray, seen: int, hashes: np.ndarray, pairs: Filter) -> np.ndarray:
+    """Digests of runs of three numbers, both of whose pairs may be frequent, that end behind the first ``seen`` places."""
+    _, pair, _ = _pairs_of(x, hashes, pairs)
+    at = np.flatnonzero((pair[:-2] >= 0) & (pair[1:-1] >= 0))
+    at = at[at + 2 >= seen]
+    return _digests(hashes, x[at], x[at + 1], x[at + 2])
+
+
+def phrases_of(x: np.ndarray, seen: int, hashes: np.ndarray, pairs: Filter, triples: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, rest, n) of runs of two, three and four numbers all of whose pairs and triples may be frequent."""
+    keys, pair, at = _pairs_of(x, hashes, pairs)
+    n = np.bincount(pair[at[at + 1 >= seen]], minlength=len(keys))
+    some = n > 0
+    yield keys[some] >> BITS, (keys[some] & _MASK) << 2 * BITS, n[some]
 
     at = np.flatnonzero((pair[:-2] >= 0) & (pair[1:-1] >= 0))
     threes, inverse = _unique(pair[at] << BITS | x[at + 2])
-    n = np.bincount(inverse[at + 2 >= seen], minlength=len(threes))
     first, second, third = keys[threes >> BITS] >> BITS, keys[threes >> BITS] & _MASK, threes & _MASK
-    rest = second << 2 * BITS | third << BITS
-    yield first[n > 0], rest[n > 0], n[n > 0]
+    good = triples.may_hold(_mixed(_digests(hashes, first, second, third)))
+    n = np.bincount(inverse[at + 2 >= seen], minlength=len(threes))
+    rest, some = second << 2 * BITS | third << BITS, good & (n > 0)
+    yield first[some], rest[some], n[some]
 
-    three = np.full(size, -1, np.int64)
-    three[at] = inverse
-    at = np.flatnonzero((three[:-3] >= 0) & (pair[2:-1] >= 0))
+    three = np.full(len(x), -1, np.int64)
+    three[at] = np.where(good[inverse], inverse, -1)
+    at = np.flatnonzero((three[:-3] >= 0) & (three[1:-2] >= 0))
     at = at[at + 3 >= seen]
     fours, n = np.unique(three[at] << BITS | x[at + 3], return_counts=True)
     yield first[fours >> BITS], rest[fours >> BITS] | fours & _MASK, n
@@ -234,8 +279,8 @@ def runs_of_more(x: np.ndarray, seen: int, hashes: np.ndarray, pairs: Filter) ->
 class _Language:
     """Numbers and trie of a language inside a task."""
 
-    def __init__(self, lang: str, words: Filter, pairs: Filter | None, burst: int):
-        self.lang, self.words, self.pairs = lang.encode(), words, pairs
+    def __init__(self, lang: str, words: Filter, burst: int = BURST):
+        self.lang, self.words = lang.encode(), words
         self.numbers, self.trie = _Numbers(), BurstTrie(burst)
         self.hashes, self.often = np.zeros(1, np.uint64), np.zeros(1, bool)
 
@@ -249,17 +294,19 @@ class _Language:
         x = x[x >= 0]
         return np.where(self.often[x], x, 0)
 
-    def count(self, text: bytes) -> None:
+    def parts(self, text: bytes) -> Iterator[tuple[np.ndarray, int]]:
+        """Numbers of the text part by part, and how many of them were in the part before."""
         carried = np.zeros(0, np.int64)
         for words in parts_of(text):
             x = np.concatenate([carried, self._numbered(words)])
-            if self.pairs is None:
-                self.trie.add(*runs_of_two(x, len(carried)))
-            else:
-                for found in runs_of_more(x, len(carried), self.hashes, self.pairs):
-                    self.trie.add(*found)
+            yield x, len(carried)
             carried = x[-3:]
 
+    def count(self, text: bytes, pairs: Filter, triples: Filter) -> None:
+        for x, seen in self.parts(text):
+            for found in phrases_of(x, seen, self.hashes, pairs, triples):
+                self.trie.add(*found)
+
     def run_of(self, head: int) -> list[tuple[bytes, int, int]]:
         """(phrase, words, n) of a first word's subtree, sorted by phrase."""
         text, out = self.numbers.text, []
@@ -317,11 +364,76 @@ def word_runs(plain: DataFrame, held: int) -> DataFrame:
     return plain.mapInArrow(run, _RUNS)
 
 
-def phrase_runs(plain: DataFrame, words: Filter, pairs: Filter | None, held: int, burst: int) -> DataFrame:
-    """Sorted runs of phrases with their counts: of two frequent words, or, given the frequent pairs, of three and four words."""
+_PAIRS = "bucket int, digests binary, counts binary"
+_BYTES = DIGEST // 8
+
+
+def digest_runs(plain: DataFrame, words: Filter, pairs: Filter | None, bits: int, held: int) -> DataFrame:
+    """Sorted runs of pairs' digests, or, given the frequent pairs, of triples', with their counts, cut by their first ``bits`` bits."""
     context = plain.sparkSession.sparkContext
     shared, shared_pairs = context.broadcast(words), None if pairs is None else context.broadcast(pairs)  # of a fixed size
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict[str, _Language] = {}
+        waiting: list[np.ndarray] = []
+
+        def spill() -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            bucket = (found >> np.uint64(DIGEST - bits)).astype(np.int32)
+            starts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1)) if len(found) else np.zeros(0, np.int64)
+            low = found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]
+            spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(found)]))
+            for i in range(0, len(spans), 4096):
+                part = spans[i : i + 4096]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket[[a for a, _ in part]]),
+                        pa.array([low[a:b].tobytes() for a, b in part], pa.binary()),
+                        pa.array([n[a:b].astype("<u4").tobytes() for a, b in part], pa.binary()),
+                    ],
+                    names=["bucket", "digests", "counts"],
+                )
+
+        for batch in small_batches(batches, "t"):
+            for lang, text in _by_language(batch):
+                state = langs.setdefault(lang, _Language(lang, shared.value))
+                for x, seen in state.parts(text):
+                    known = (x, seen, state.hashes)
+                    waiting.append(pair_digests(*known) if shared_pairs is None else triple_digests(*known, shared_pairs.value))
+                    if sum(map(len, waiting)) >= held:
+                        yield from spill()
+                if sum(len(x.numbers) for x in langs.values()) >= _MASK // 2:
+                    langs.clear()
+        if waiting:
+            yield from spill()
+
+    return plain.mapInArrow(run, _PAIRS)
+
+
+def frequent_digests(runs: DataFrame, least: int) -> DataFrame:
+    """(digest) of the digests that are counted ``least`` times or more; the runs of a bucket are merged in one task."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(group.column("digests").to_pylist()), np.uint8).reshape(-1, _BYTES)
+        n = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :_BYTES] = raw
+        found = wide.reshape(-1).view("<u8")
+        order = np.argsort(found, kind="stable")  # nearly free on runs that are sorted
+        found, n = found[order], n[order]
+        starts = np.concatenate(([0], np.flatnonzero(found[1:] != found[:-1]) + 1))
+        total = np.add.reduceat(n, starts)
+        return pa.table({"digest": pa.array(found[starts][total >= least].view(np.int64))})
+
+    return runs.groupBy("bucket").applyInArrow(merge, "digest long")
+
+
+def phrase_runs(plain: DataFrame, words: Filter, pairs: Filter, triples: Filter, held: int, burst: int) -> DataFrame:
+    """Sorted runs of phrases of two to four words, with their counts."""
+    context = plain.sparkSession.sparkContext
+    shared, parts = context.broadcast(words), context.broadcast((pairs, triples))  # of a fixed size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, _Language] = {}
 
@@ -341,9 +453,7 @@ def phrase_runs(plain: DataFrame, words: Filter, pairs: Filter | None, held: int
 
         for batch in small_batches(batches, "t"):
             for lang, text in _by_language(batch):
-                if lang not in langs:
-                    langs[lang] = _Language(lang, shared.value, shared_pairs and shared_pairs.value, burst)
-                langs[lang].count(text)
+                langs.setdefault(lang, _Language(lang, shared.value, burst)).count(text, *parts.value)
                 if sum(len(x.trie) for x in langs.values()) >= held:
                     yield from spill(held // 2)
                 if sum(len(x.numbers) for x in langs.values()) >= _MASK // 2:
@@ -364,22 +474,25 @@ def _merged(runs: DataFrame, least: int) -> DataFrame:
 
 
 def count_phrases(
-    docs: DataFrame, lang: str, text: str, least: int, held: int = HELD, burst: int = BURST, blocks: int = FILTER
+    docs: DataFrame, lang: str, text: str, least: int, held: int = HELD, burst: int = BURST, blocks: int = FILTER, waiting: int = WAITING
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, n) of the runs of 1 to 4 words that occur ``least`` times or more in their language, and (lang, n) of all words."""
     plain = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     runs = materialize(word_runs(plain, held), "words")
     totals = materialize(runs.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = materialize(_merged(runs, least), "frequent")
-    often = filter_of(words, blocks)
-    pairs = materialize(_merged(phrase_runs(plain, often, None, held, burst), least), "frequent")
-    more = materialize(_merged(phrase_runs(plain, often, filter_of(pairs, blocks), held, burst), least), "frequent")
-    return words.unionByName(pairs).unionByName(more), totals
+    often = word_filter(words, blocks)
+    occurrences = totals.agg(F.sum("n")).first()[0] or 0
+    bits = max(8, (occurrences // BUCKET).bit_length())  # no bucket has many more than BUCKET pairs
+    pairs = digest_filter(materialize(frequent_digests(digest_runs(plain, often, None, bits, waiting), least), "pairs"), blocks)
+    triples = digest_filter(materialize(frequent_digests(digest_runs(plain, often, pairs, bits, waiting), least), "triples"), blocks)
+    more = materialize(_merged(phrase_runs(plain, often, pairs, triples, held, burst), least), "frequent")
+    return words.unionByName(more), totals
 
 
 def collocations(
     docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 30, inside: int = 80, top: int = 2000, salts: int = 64,
-    held: int = HELD, burst: int = BURST, blocks: int = FILTER,
+    held: int = HELD, burst: int = BURST, blocks: int = FILTER, waiting: int = WAITING,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to 4 words.
 
@@ -392,7 +505,7 @@ def collocations(
     A null language is ``und``; null and empty texts have no words; repeated rows count as often as they occur; very long texts are split in parts that carry the
     last words over; an empty table gives an empty result. Other columns of ``docs`` are not read, whatever their names.
     """
-    found, totals = count_phrases(docs, lang, text, least, held, burst, blocks)
+    found, totals = count_phrases(docs, lang, text, least, held, burst, blocks, waiting)
     words = F.split("phrase", " ")
     candidates = found.where("size > 1").select("lang", "size", "phrase", F.col("n").alias("a"), words.alias("words"))
 

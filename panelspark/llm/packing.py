@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .tokens import encoder, slices
+from .common import materialize, small_batches
+from .tokens import encoder
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -53,12 +53,9 @@ def token_lengths(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
 
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(a, b - a), pa.array(encode.lengths(texts[a:b]) + end_tokens, pa.int64())], names=["key", "n_tokens"]
-                )
+        for batch in small_batches(batches, "t"):
+            lengths = encode.lengths(batch.column("t").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lengths + end_tokens, pa.int64())], names=["key", "n_tokens"])
 
     return plain.mapInArrow(run, f"key {plain.schema['key'].dataType.simpleString()}, n_tokens long")
 

@@ -8,10 +8,6 @@ the distinct others are given to the library to be merged.
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,39 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .tokens import PRE_TOKENS, added_tokens, encode_pieces, load, taken_whole
 
-# The byte-level pre-tokenizer's pattern: contractions, letters, numbers, other characters, white space. It is written with the standard
-# library's classes, which agree with the tokenizer's but for the characters that ``_Odd`` tells.
-PRE_TOKENS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 KEEP = 32 << 20  # bytes of merged pre-tokens that a task remembers; no effect on results
 
 
-class _Odd(dict):
-    """Tells characters that the two libraries may class differently: numbers that are no decimal digits, four control characters, and
-    what one version of the character tables knows and another does not."""
-
-    def __missing__(self, c: str) -> bool:
-        self[c] = found = "\x1c" <= c <= "\x1f" or unicodedata.category(c) in ("No", "Nl", "Cn")
-        return found
-
-
-ODD = _Odd()
-
-
-def load(path: str):
-    """The library's tokenizer of a file. Raises unless it is a byte-level one that merges inside ``PRE_TOKENS`` only."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    from tokenizers import Tokenizer
-
-    with open(path, encoding="utf-8") as file:
-        about = json.load(file)
-    split, model = about["pre_tokenizer"] or {}, about["model"]
-    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-    if not plain or about["normalizer"] or about["truncation"] or about["padding"] or model["type"] != "BPE" or model.get("dropout"):
-        raise ValueError(f"{path} is not a plain byte-level BPE file")
-    return Tokenizer.from_file(path)
-
-
 def prove_whole(path: str) -> frozenset[str]:
     """The strings that, as a pre-token of any text, are one token: a string of the vocabulary which is one pre-token and
     which the library encodes, alone, as its own id. Strings that are no valid UTF-8 come back as other ids and are left out."""
@@ -64,11 +32,6 @@ def prove_whole(path: str) -> frozenset[str]:
     return frozenset(s for i, s, e in zip(ids, strings, alone) if e.ids == [i] and s not in special and PRE_TOKENS.findall(s) == [s])
 
 
-def added_tokens(tokenizer) -> list[str]:
-    """Strings that the library takes out of a text before it is split."""
-    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-
 class TokenCounter:
     """Counts the tokens of texts. Remembers the sizes of pre-tokens it has merged, up to about ``keep`` bytes."""
 
@@ -79,11 +42,10 @@ class TokenCounter:
         self.held = 0
 
     def _merge(self, pieces: list[str]) -> None:
-        """Sizes of pre-tokens that have not been merged yet; each is a text of its own for the library."""
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            self.merged.update((p, len(e.ids)) for p, e in zip(part, encode(part, add_special_tokens=False)))
+        """Has the library merge pre-tokens and remembers their sizes."""
+        for a in range(0, len(pieces), 50_000):
+            part = pieces[a : a + 50_000]
+            self.merged.update(zip(part, encode_pieces(self.tokenizer, part)[0].tolist()))
         self.held += sum(map(len, pieces)) + 120 * len(pieces)
 
     def counts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +56,7 @@ class TokenCounter:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if any(s in t for s in self.special) or any(map(ODD.__getitem__, set(t))):
+            if taken_whole(t, self.special):
                 total[i] = len(self.tokenizer.encode(t, add_special_tokens=False).ids)
                 continue
             pieces = PRE_TOKENS.findall(t)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from panelspark.session import scratch_path
 
-from .tokens import encoder, slices
+from .common import small_batches
+from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 20
 # Lengths of the four values of each control byte.
@@ -61,12 +62,12 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if wide else "<u2").astype(np.uint32)
 
 
-_RAW = "part int, block int, before long, n long, sizes binary, wide boolean, ids binary"
+_RAW = "part int, block int, before long, n long, sizes binary, wide boolean, ids binary, used binary, times binary"
 
 
 def tokenize(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int | None) -> DataFrame:
     """Blocks of whole documents' ids in ascending order of their keys: (part, block) is a block's place, ``before`` the number of ids in
-    the part's earlier blocks, ``keys`` and ``sizes`` tell its documents."""
+    the part's earlier blocks, ``keys`` and ``sizes`` tell its documents, ``used`` and ``times`` which ids it has how often."""
     plain = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("t"))
     ordered = plain.withColumn("tie", F.xxhash64("t")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
     end = np.array([] if end_id is None else [end_id], np.uint32)
@@ -79,6 +80,8 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: in
         def close() -> pa.RecordBatch:
             ids = np.concatenate(held)
             wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+            times = np.bincount(ids)
+            used = np.flatnonzero(times)
             key = pa.concat_arrays(keys)
             return pa.RecordBatch.from_pydict(
                 {
@@ -89,18 +92,18 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: in
                     "sizes": pa.array([np.array([len(x) for x in held], "<u8").tobytes()]),
                     "wide": pa.array([wide]),
                     "ids": pa.array([_raw(ids, wide)], pa.binary()),
+                    "used": pa.array([used.astype("<u4").tobytes()], pa.binary()),
+                    "times": pa.array([times[used].astype("<u4").tobytes()], pa.binary()),
                     "keys": pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), key),
                 }
             )
 
-        for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for a, b in slices(texts):
-                keys.append(batch.column("key").slice(a, b - a))
-                held += [np.concatenate([x, end]) for x in encode.encode(texts[a:b])]
-                if (n := sum(map(len, held))) >= BLOCK_TOKENS:
-                    yield close()
-                    block, before, keys, held = block + 1, before + n, [], []
+        for batch in small_batches(batches, "t"):
+            keys.append(batch.column("key"))
+            held += [np.concatenate([x, end]) for x in encode.encode(batch.column("t").to_pylist())]
+            if (n := sum(map(len, held))) >= BLOCK_TOKENS:
+                yield close()
+                block, before, keys, held = block + 1, before + n, [], []
         if held:
             yield close()
 
@@ -108,19 +111,20 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: in
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
-    """(id, n): how often each id occurs; counted in each task, then summed."""
+    """(id, n): how often each id occurs; the blocks' own counts, summed in each task and then over all."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, wide in zip(batch.column("ids"), batch.column("wide").to_pylist()):
-                found = np.bincount(_ids(raw.as_py(), wide), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            for used, times in zip(batch.column("used"), batch.column("times")):
+                at = np.frombuffer(used.as_py(), "<u4")
+                if len(at) and at[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(at[-1]) + 1 - len(total), np.int64)])
+                total[at] += np.frombuffer(times.as_py(), "<u4")
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
 
-    return tokens.select("ids", "wide").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("used", "times").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 2) -> None:
@@ -133,7 +137,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     spark = docs.sparkSession
     raw = tokenize(docs, doc_id, text, tokenizer, end_id)
     place = scratch_path(spark, "tokens")
-    raw.write.option("compression", "zstd").parquet(place)
+    raw.write.parquet(place)
     tokens = spark.read.schema(raw.schema).parquet(place)
     counted = frequencies(tokens).collect()  # a row per id of the vocabulary at most
     order = [r["id"] for r in sorted(counted, key=lambda r: (-r["n"], r["id"]))]
@@ -152,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
             )
 
     kind = raw.schema["keys"].dataType.simpleString()
-    blocks = tokens.mapInArrow(recode, f"part int, block int, before long, n long, sizes binary, keys {kind}, control binary, data binary")
+    blocks = tokens.drop("used", "times").mapInArrow(recode, f"part int, block int, before long, n long, sizes binary, keys {kind}, control binary, data binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 

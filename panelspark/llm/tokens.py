@@ -1,131 +1,219 @@
-"""Byte-level BPE ids of whole texts, with each distinct chunk encoded once.
+"""Byte-level BPE ids of whole texts, with each distinct pre-token encoded once.
 
-The vocabulary's pre-tokenizer always breaks before white space that follows something else, so a text may be cut before
-every blank or newline that follows another character, and the ids of the pieces put together again. Texts with other white space or
-the special token's own string are given to the library whole.
+A byte-level tokenizer merges inside pre-tokens only, so a pre-token's ids do not depend on its neighbours. Texts are split by the pre-tokenizer's
+pattern, and the ids of the pieces put together again. Texts with the string of an added token, or with a character that the two
+libraries' character tables may class differently, are given to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 
-SPECIAL = "<|endoftext|>"
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+# The byte-level pre-tokenizer's pattern: contractions, letters, numbers, other characters, white space. It is written with the standard
+# library's classes, which agree with the tokenizer's but for the characters that ``_Odd`` tells.
+PRE_TOKENS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_KEEP = 600_000
+_FIRST = "\0"  # marks the first part of a text, which has no blank before it
+_KEEP = 300_000
+
+
+class _Odd(dict):
+    """Tells characters that the two libraries may class differently: numbers that are no decimal digits, four control characters, and
+    what one version of the character tables knows and another does not."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = found = "\x1c" <= c <= "\x1f" or unicodedata.category(c) in ("No", "Nl", "Cn")
+        return found
+
+
+ODD = _Odd()
+
+
+def load(path: str):
+    """The library's tokenizer of a file. Raises unless it is a byte-level one that merges inside ``PRE_TOKENS`` only."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        about = json.load(file)
+    split, model = about["pre_tokenizer"] or {}, about["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain or about["normalizer"] or about["truncation"] or about["padding"] or model["type"] != "BPE" or model.get("dropout"):
+        raise ValueError(f"{path} is not a plain byte-level BPE file")
+    return Tokenizer.from_file(path)
+
+
+def added_tokens(tokenizer) -> list[str]:
+    """Strings that the library takes out of a text before it is split."""
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
+def taken_whole(text: str, special: Sequence[str]) -> bool:
+    """True for texts that the library has to encode itself."""
+    return any(s in text for s in special) or any(map(ODD.__getitem__, set(text)))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable bytes for themselves, the others for the letters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_LETTERS = _byte_letters()
+
+
+def encode_pieces(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of pre-tokens, in their order; the library's model merges each by itself."""
+    merge = tokenizer.model.tokenize
+    found = [[t.id for t in merge(p.encode().decode("latin-1").translate(_LETTERS))] for p in pieces]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
+
+def gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``at``, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(at - (ends - sizes), sizes) + np.arange(total)]
 
 
 class _Numbers(dict):
-    """Numbers unseen chunks and remembers them."""
+    """Numbers unseen strings and remembers them."""
 
     def __init__(self):
         self.fresh: list[str] = []
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.fresh.append(chunk)
+    def __missing__(self, string: str) -> int:
+        self[string] = n = len(self)
+        self.fresh.append(string)
         return n
 
 
+class _Ids:
+    """Numbered strings with their ids, one after another in ``flat``."""
+
+    def __init__(self):
+        self.numbers, self.sizes, self.flat = _Numbers(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Takes the ids of the fresh strings."""
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        self.numbers.fresh = []
+
+    def gather(self, which: np.ndarray) -> np.ndarray:
+        starts = np.cumsum(self.sizes) - self.sizes
+        return gathered(self.flat, starts[which], self.sizes[which])
+
+
+def cut_at_blanks(text: str) -> list[str] | None:
+    """The text cut before each blank and line end, as pre-tokens never reach across these cuts; every part but the first and those that begin
+    with a line end has lost the blank before it. None for texts with other or longer runs of white space."""
+    if "  " in text or " \n" in text or "\n\n\n" in text or text.endswith((" ", "\n\n")) or _OTHER_SPACE.search(text):
+        return None
+    parts = text.replace("\n", " \n").split(" ")
+    parts[0] = _FIRST + parts[0]
+    return parts
+
+
+def _restored(part: str) -> str:
+    """A part with its blank."""
+    if part[:1] == _FIRST:
+        return part[1:]
+    return part if part[:1] == "\n" else " " + part
+
+
 class ChunkEncoder:
-    """Encodes lists of texts with one tokenizer file of the tokenizers library; remembers at most about ``keep`` chunks
-    from one list to the next, which bounds its memory."""
+    """Encodes lists of texts with one byte-level file of the tokenizers library. Distinct parts between blanks are split into pre-tokens once, and
+    distinct pre-tokens merged once. At most about ``keep`` parts are remembered from one list to the next; when there are more, those used most often
+    stay, half as many."""
 
     def __init__(self, path: str, keep: int = _KEEP):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a blank
-        self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
+        self.tokenizer, self.keep = load(path), keep
+        self.special = added_tokens(self.tokenizer)
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers, self.sizes, self.flat = _Numbers(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.parts, self.pieces, self.uses = _Ids(), _Ids(), np.zeros(0, np.int64)
 
-    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of chunks, in their order. Those of a blank and a word are given to the library as
-        running text and told apart by the blanks; all others one by one."""
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        plain = np.array([c[0] == " " and len(c) > 1 and c[1] not in " \n" for c in chunks], bool)
-        sizes, parts = np.zeros(len(chunks), np.int64), []
-        words = [c for c, p in zip(chunks, plain) if p]
-        found = encode(["".join(words[i : i + 500]) for i in range(0, len(words), 500)], add_special_tokens=False)
-        ids = np.array([x for e in found for x in e.ids], np.uint32)
-        begins = np.flatnonzero(self.opens[ids])
-        if len(begins) == len(words):
-            sizes[plain] = np.diff(np.append(begins, len(ids)))
-            parts.append(ids)
-            rest = np.flatnonzero(~plain)
-        else:
-            rest = np.arange(len(chunks))
-        each = [e.ids for e in encode([chunks[i] for i in rest], add_special_tokens=False)]
-        sizes[rest] = np.fromiter(map(len, each), np.int64, len(each))
-        parts.append(np.array([x for e in each for x in e], np.uint32))
-        # bring the ids of both groups into the chunks' order
-        order = np.concatenate([np.flatnonzero(plain), rest]) if len(rest) < len(chunks) else rest
-        flat = np.concatenate(parts)
-        at = np.zeros(len(chunks), np.int64)
-        at[order] = np.cumsum(sizes[order]) - sizes[order]
-        ends = np.cumsum(sizes)
-        return sizes, flat[np.repeat(at - (ends - sizes), sizes) + np.arange(len(flat))]
-
-    def _learn(self) -> None:
-        if self.numbers.fresh:
-            sizes, flat = self._encode_chunks(self.numbers.fresh)
-            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-            self.numbers.fresh = []
-
-    def _numbered(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
-        """Chunk numbers of each text; None where the text goes to the library whole."""
-        if len(self.numbers) > self.keep:
-            self._reset()
-        look, found = self.numbers.__getitem__, []
+    def _forget(self) -> None:
+        """Keeps the parts used most often."""
+        strings, old, uses = list(self.parts.numbers), self.parts, self.uses
+        often = np.sort(np.argsort(uses, kind="stable")[::-1][: self.keep // 2])
+        often = often[uses[often] > 1]
+        self._reset()
+        self.parts.numbers.update((strings[i], n) for n, i in enumerate(often.tolist()))
+        self.parts.sizes, self.parts.flat, self.uses = old.sizes[often], old.gather(often), np.ones(len(often), np.int64)
+
+    def _merged(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of lists of pre-tokens."""
+        look = self.pieces.numbers.__getitem__
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        which = np.fromiter(map(look, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        if self.pieces.numbers.fresh:
+            self.pieces.learn(*encode_pieces(self.tokenizer, self.pieces.numbers.fresh))
+        before = np.concatenate(([0], np.cumsum(self.pieces.sizes[which])))
+        ends = np.cumsum(counts)
+        return before[ends] - before[ends - counts], self.pieces.gather(which)
+
+    def _numbered(self, texts: Sequence[str | None]) -> list[np.ndarray | list[str] | None]:
+        """Of each text the numbers of its parts, or its pre-tokens where it cannot be cut; None where it goes to the library whole."""
+        if len(self.parts.numbers) > self.keep:
+            self._forget()
+        look, found = self.parts.numbers.__getitem__, []
         for t in texts:
             t = t or ""
-            if SPECIAL in t or _OTHER_SPACE.search(t):
+            if taken_whole(t, self.special):
                 found.append(None)
+            elif (parts := cut_at_blanks(t)) is None:
+                found.append(PRE_TOKENS.findall(t))
             else:
-                found.append(np.array(list(map(look, _PIECES.findall(t))), np.int64))
-        self._learn()
+                found.append(np.fromiter(map(look, parts), np.int64, len(parts)))
+        fresh = self.parts.numbers.fresh
+        if fresh:
+            self.parts.learn(*self._merged([PRE_TOKENS.findall(_restored(p)) for p in fresh]))
+        self.uses = np.append(self.uses, np.zeros(len(self.parts.sizes) - len(self.uses), np.int64))
+        numbered = [x for x in found if isinstance(x, np.ndarray)]
+        if numbered:
+            self.uses += np.bincount(np.concatenate(numbered), minlength=len(self.uses))
         return found
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text is an empty one."""
         found = self._numbered(texts)
-        starts, out = np.cumsum(self.sizes) - self.sizes, []
-        for t, chunks in zip(texts, found):
-            if chunks is None:
+        starts, out = np.cumsum(self.parts.sizes) - self.parts.sizes, []
+        for t, parts in zip(texts, found):
+            if parts is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            sizes = self.sizes[chunks]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(starts[chunks] - (ends - sizes), sizes) + np.arange(total)])
+            elif isinstance(parts, list):
+                out.append(self._merged([parts])[1])
+            else:
+                out.append(gathered(self.parts.flat, starts[parts], self.parts.sizes[parts]))
         return out
 
     def lengths(self, texts: Sequence[str | None]) -> np.ndarray:
         """The number of ids of each text."""
-        found = self._numbered(texts)
-        return np.array(
-            [
-                len(self.tokenizer.encode(t, add_special_tokens=False).ids) if chunks is None else int(self.sizes[chunks].sum())
-                for t, chunks in zip(texts, found)
-            ],
-            np.int64,
-        )
+        out = np.zeros(len(texts), np.int64)
+        for i, (t, parts) in enumerate(zip(texts, self._numbered(texts))):
+            if parts is None:
+                out[i] = len(self.tokenizer.encode(t, add_special_tokens=False).ids)
+            else:
+                out[i] = self._merged([parts])[0][0] if isinstance(parts, list) else self.parts.sizes[parts].sum()
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """This process's encoder for a file; Python workers are reused, and so is what theirs has learned."""
+    """This process's encoder of a file: Python workers are reused, and so is what theirs has learned."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
@@ -215,8 +215,10 @@ def lag_selection(
     lags: int = 4,
     folds: int = 10,
     excluded: Sequence[str] = NOT_STATES,
+    fold: Column | None = None,
 ) -> tuple[LassoCV, LassoPath]:
-    """Projection on the instrument, partialling-out of the controls, lags, cross-validated LASSO."""
+    """Projection on the instrument, partialling-out of the controls, lags, cross-validated LASSO. ``fold`` may deal the rows by their
+    state and order columns."""
     df = keep_not_in(panel, "state", list(excluded)) if excluded else panel
     trend = {"entity": entity, "trend": (time, 2)}
     df = fitted(df, ModelSpec("projection", measure, [instrument, *policies], **trend), "hat")
@@ -225,7 +227,7 @@ def lag_selection(
     x = [f"hat_resid_m{k}" for k in range(1, lags + 1)]
     keys = ["state", *order]
     data = materialize(standardize(complete_cases(df, x).select(*keys, outcome, *x), outcome, x), "lasso")
-    return cv_lasso(data, outcome, x, keys, folds), lasso_path(data, outcome, x)
+    return cv_lasso(data, outcome, x, keys, folds, fold=fold), lasso_path(data, outcome, x)
 
 
 def country_specs() -> list[ModelSpec]:

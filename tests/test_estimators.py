@@ -457,3 +457,25 @@ def test_unknown_options_fail():
         ModelSpec("m", "y", (), ["e"], [])
     with pytest.raises(ValueError):
         replace(ModelSpec("m", "y", ["x"]), vce="cluster")
+
+
+def test_lasso_moments_far_from_zero(spark):
+    """Means a million sds from zero cost the spread no digits, also after a fold is taken out."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 3)) @ np.array([[1, 0.3, 0], [0, 1, 0.2], [0, 0, 1]]) + 1e6
+    y = x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=4000)
+    d = pd.DataFrame(np.c_[y, x], columns=["y", "a", "b", "c"]).assign(f=np.arange(4000) % 5)
+    parts = lasso.moments_by(spark.createDataFrame(d), ["y", "a", "b", "c"], F.col("f").cast("int"))
+    total = sum(list(parts.values())[1:], list(parts.values())[0])
+    assert total.sd == pytest.approx(x.std(axis=0), rel=1e-9)
+    rest = total - parts[2]
+    assert rest.n == 3200 and rest.sd == pytest.approx(x[d.f != 2].std(axis=0), rel=1e-8)
+    assert rest.c / rest.n == pytest.approx(np.cov(d[d.f != 2][["y", "a", "b", "c"]].values.T, bias=True), rel=1e-7)
+
+
+def test_lasso_certificate(df):
+    data = lasso.standardize(df.select("g", "t", "y", "x", "z", "z2", "e"), "y", ["x", "z", "z2", "e"])
+    path = lasso.lasso_path(data.where("not isnan(x) and not isnan(y)"), "y", ["x", "z", "z2", "e"])
+    assert path.gap().max() < 1e-6
+    path.beta[50] += 0.1
+    assert path.gap()[50] > 1e-3

@@ -8,8 +8,8 @@ from querybook import check, load_all
 
 SF = os.environ.get("PANELSPARK_TEST_SF", "/root/testdata/sf0.001")
 REGISTRY = load_all()
-# Suites of dozens of models have tests of their own; run them here with PANELSPARK_FULL=1.
-SLOW = ("J23_model_grid", "L19", "L20", "L21", "L23", "L24", "L25")
+# Written lines whose order depends on the file system; their cells are compared by A12_table_lines.
+WITHOUT_SQL = {"A12_table_export"}
 # No row of the smallest part table passes the filter.
 MAY_BE_EMPTY = {"L2_health_index"}
 
@@ -21,10 +21,11 @@ def con():
 
 @pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, con, name):
-    if name.startswith(SLOW) and not os.environ.get("PANELSPARK_FULL"):
-        pytest.skip("set PANELSPARK_FULL=1")
     got = check.compare(spark, con, SF, name)
-    assert got.startswith(("ok", "rows-only")) or (name in MAY_BE_EMPTY and got == "EMPTY"), got
+    if name in WITHOUT_SQL:
+        assert got.startswith("rows-only"), got
+    else:
+        assert got.startswith("ok") or (name in MAY_BE_EMPTY and got == "EMPTY"), got
 
 
 def test_contract():
