@@ -7,7 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from panelspark.llm.common import tokenizer_path
-from panelspark.llm.token_counts import ODD, PRE_TOKENS, TokenCounter, count_tokens, prove_whole
+from panelspark.llm.token_counts import TokenCounter, count_tokens, prove_whole
+from panelspark.llm.tokens import ODD, PRE_TOKENS
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 TEXTS = [
