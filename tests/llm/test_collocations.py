@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from panelspark.llm.collocations import BITS, BurstTrie, Filter, collocations, filter_of, pair_hashes, parts_of
+from panelspark.llm.collocations import (
+    BITS, BurstTrie, Filter, _mixed, collocations, digest_filter, digest_runs, frequent_digests, pair_hashes, parts_of, word_filter, word_hash,
+)
 
 
 def pieces(text):
@@ -54,7 +56,7 @@ def frame(spark, rows, parts=4):
     return spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "1 as n", "'x' as phrase", "2 as rank", "'y' as t", "3 as size").repartition(parts)
 
 
-@pytest.mark.parametrize("settings", [{}, {"held": 40, "burst": 3, "blocks": 1}, {"held": 500, "burst": 2, "blocks": 64, "salts": 2}])
+@pytest.mark.parametrize("settings", [{}, {"held": 40, "burst": 3, "blocks": 1, "waiting": 50}, {"held": 500, "burst": 2, "blocks": 64, "salts": 2}])
 def test_against_plain(spark, settings):
     rows = made(2)
     got = collocations(frame(spark, rows), least=8, top=25, **settings)
@@ -76,19 +78,19 @@ def test_long_text_is_one(spark):
     rows = [("en", text), ("en", "aa bb"), ("en", "x")]
     keep, module.parts_of.__defaults__ = module.parts_of.__defaults__, (11,)
     try:
-        state = module._Language("en", Filter(np.full(4, 2**64 - 1, np.uint64)), None, 4)
+        every = Filter(np.full(4, 2**64 - 1, np.uint64))
+        state, digests = module._Language("en", every, 4), []
         for _, t in rows:
-            state.count(t.encode())
-        two = Counter({p: n for head in list(state.trie.root) for p, _, n in state.run_of(head)})
-        state = module._Language("en", Filter(np.full(4, 2**64 - 1, np.uint64)), Filter(np.full(4, 2**64 - 1, np.uint64)), 4)
-        for _, t in rows:
-            state.count(t.encode())
-        more = Counter({p: n for head in list(state.trie.root) for p, _, n in state.run_of(head)})
+            state.count(t.encode(), every, every)
+            digests += [d for x, seen in state.parts(t.encode()) for d in module.pair_digests(x, seen, state.hashes).tolist()]
+        found = Counter({p: n for head in list(state.trie.root) for p, _, n in state.run_of(head)})
     finally:
         module.parts_of.__defaults__ = keep
-    for m, found in ((2, [two]), (3, [more]), (4, [more])):
+    for m in (2, 3, 4):
         want = Counter(b" ".join(w[i : i + m]) for _, t in rows for w in [t.encode().split()] for i in range(len(w) - m + 1))
-        assert {p: n for p, n in found[0].items() if p.count(b" ") == m - 1} == want
+        assert {p: n for p, n in found.items() if p.count(b" ") == m - 1} == want
+        if m == 2:
+            assert sorted(Counter(digests).values()) == sorted(want.values())
     assert {tuple(r) for r in collocations(frame(spark, rows), least=30).collect()} == plain(rows, 30)
 
 
@@ -113,14 +115,30 @@ def test_trie_like_a_counter():
 
 def test_filter_loses_none(spark):
     rng = random.Random(3)
-    rows = [("en", f"w{rng.random()}") for _ in range(500)] + [("fr", f"a{rng.random()} b{rng.random()}") for _ in range(500)]
-    from panelspark.llm.collocations import word_hash
-
-    found = filter_of(spark.createDataFrame(rows, "lang string, phrase string").repartition(3), 256)
-    h = [[word_hash(la.encode(), w.encode()) for w in (p.split()[0], p.split()[-1])] for la, p in rows]
-    both = np.array(h, np.uint64)
-    assert found.may_hold(both[:500, 0]).all() and found.may_hold(pair_hashes(both[500:, 0], both[500:, 1])).all()
-    assert found.may_hold(rng_hashes := np.random.default_rng(0).integers(0, 2**63, 10_000, np.uint64)).sum() < len(rng_hashes) // 3
+    rows = [("en", f"w{rng.random()}") for _ in range(500)] + [("fr", f"a{rng.random()}") for _ in range(500)]
+    found = word_filter(spark.createDataFrame(rows, "lang string, phrase string").repartition(3), 256)
+    assert found.may_hold(np.array([word_hash(la.encode(), w.encode()) for la, w in rows], np.uint64)).all()
+    others = np.random.default_rng(0).integers(0, 2**63, 10_000, np.uint64)
+    assert found.may_hold(others).sum() < 3000
+    digests = others[:700] >> np.uint64(16)
+    held = digest_filter(spark.createDataFrame([(int(d),) for d in digests], "digest long").repartition(3), 256)
+    assert held.may_hold(_mixed(digests)).all() and held.may_hold(_mixed(others[700:] >> np.uint64(16))).sum() < 3000
+
+
+def test_counts_by_digest(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    every = Filter(np.full(4, 2**64 - 1, np.uint64))
+    plain = spark.createDataFrame([("en", t) for t in texts], "lang string, t string").repartition(3)
+    h = {w: np.array([word_hash(b"en", w.encode())], np.uint64) for w in "abcdefgh"}
+    pairs = Counter((a, b) for t in texts for a, b in zip(t.split(), t.split()[1:]))
+    got = frequent_digests(digest_runs(plain, every, None, 8, 50), 20)
+    assert sorted(r["digest"] for r in got.collect()) == sorted(int(pair_hashes(h[a], h[b])[0] >> np.uint64(16)) for (a, b), n in pairs.items() if n >= 20)
+    often = digest_filter(got, 1 << 12)  # large enough to be nearly exact
+    triples = Counter(w for t in texts for w in zip(t.split(), t.split()[1:], t.split()[2:]))
+    found = {r["digest"] for r in frequent_digests(digest_runs(plain, every, often, 8, 50), 4).collect()}
+    want = {int(pair_hashes(pair_hashes(h[a], h[b]), h[c])[0] >> np.uint64(16)) for (a, b, c), n in triples.items() if n >= 4 and pairs[a, b] >= 20 <= pairs[b, c]}
+    assert want <= found and len(found) < len(want) + 20 and len(want) > 10
 
 
 def test_exact_beyond_64_bits(spark):
