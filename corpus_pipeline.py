@@ -17,24 +17,37 @@ from panelspark.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose toxicity is 0.3 or more; learned from all labels."""
+    """Without the documents whose toxicity is 0.3 or more; learned from all labels.
+
+    Null and empty texts score as texts without words, so they stay unless the labels' share of toxic ones is 0.3 or more; rows with a null id are scored, but
+    nothing is learned from them; repeated rows go or stay together; very long texts are scored whole; without a label or without a row the score
+    is the labels' smoothed share."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull())
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that hangs together by three-word fingerprints that differ in two bits at most."""
+    """One document of each group that hangs together by three-word fingerprints that differ in two bits at most.
+
+    The smallest id stays, null ids last, then by a hash of the text. Null, empty and blank texts are one group; repeated rows are cut to one; very long
+    texts are hashed whole; an empty table stays empty."""
     return drop_near_duplicates(docs, shingle=3, radius=2)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of any length that came earlier are cut; n_chars follows the text, and every document stays."""
+    """Lines of any length that came earlier are cut; n_chars follows the text, and every document stays.
+
+    Earlier is by (id, hash of the text, place), null ids first. A null text stays null, an empty one empty; rows that agree in id and text are cut alike;
+    very long texts are cut whole; an empty table stays empty."""
     kept = [F.col("clean_text").alias("text") if c == "text" else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return dedup_units(docs, min_words=1).select(*kept)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that share ten words in a row, or a whole shorter item, with the benchmark."""
+    """Without the documents that share ten words in a row, or a whole shorter item, with the benchmark.
+
+    Null and empty texts share nothing; rows with a null id are judged like others, repeated rows go or stay together; very long texts are searched whole;
+    without a benchmark or without a row all stay."""
     id_ = fresh(docs, "hit_id")
     mark = fresh(docs, "hit_mark")
     marked = docs.withColumn(mark, F.xxhash64(F.col("doc_id"), F.col("text")))
@@ -44,7 +57,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in a training batch."""
+    """The place of every piece of every document in a training batch.
+
+    Null and empty texts are pieces of the end token alone; rows with null or repeated ids are packed like others, each once; a text of more than 2,048 tokens
+    is cut into pieces; an empty table gives no place."""
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
