@@ -47,6 +47,29 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
 
 
+def test_edges(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, and no row at all go through every stage."""
+    rng = random.Random(5)
+    long = "\n".join(_words(rng, 30) for _ in range(20_000))
+    rows = [(None, _words(rng, 50)), (None, None), (1, ""), (2, long), (3, _words(rng, 40)), (3, _words(rng, 40)), (4, " \n\t ")]
+    rows += [(5, _words(rng, 60))] * 3
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, root int"
+    full = [(i, t, None, "s", None, None, 1) for i, t in rows]
+    for name, given in (("full", full), ("none", [])):
+        place = f"{tmp_path}/{name}"
+        spark.createDataFrame(given, schema).repartition(3).write.parquet(f"{place}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0), (5, 0, None)] if given else [], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "")] if given else [], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+        packed = corpus_pipeline.run(spark, place).collect()
+        if not given:
+            assert packed == []
+            continue
+        # one blank text, one of the repeated rows, every other text
+        assert sorted((r["doc_id"] or 0, r["piece"]) for r in packed if r["doc_id"] != 2) == [(0, 0), (1, 0), (3, 0), (3, 0), (5, 0)]
+        assert [r["piece"] for r in sorted(packed, key=lambda r: r["piece"]) if r["doc_id"] == 2] == list(range(sum(r["doc_id"] == 2 for r in packed)))
+        assert sum(r["doc_id"] == 2 for r in packed) > 500
+
+
 def test_registry():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES}
