@@ -222,7 +222,7 @@ def _absorb(table: DataFrame, batch: _Batch) -> DataFrame:
         table = table.selectExpr("*", f"{inverse} AS inv{d}", f"CASE WHEN {usable} THEN 1 ELSE 0 END AS used{d}")
         table = table.selectExpr("*", *[f"{_at('A', i, t)} * inv{d} AS b{d}_{i}" for i in range(p) if i != t])
         swept = {f"A_{i}_{j}" for i, j in _pairs(p) if t not in (i, j)}
-        kept = [c for c in table.columns if c not in swept and c not in ("rank", f"inv{d}", f"used{d}")]
+        kept = [c for c in table.columns if c not in swept and c not in ("rank", f"used{d}")]
         table = table.selectExpr(
             *kept,
             f"rank + used{d} AS rank",
@@ -234,7 +234,7 @@ def _absorb(table: DataFrame, batch: _Batch) -> DataFrame:
 def _totals(table: DataFrame, batch: _Batch) -> dict[int, dict]:
     width = batch.width
     base = ["n", *batch.group, *[f"a_{i}" for i in range(batch.p)]]
-    base += [f"b{d}_{i}" for d in range(batch.degree) for i in range(batch.p) if i != width + d]
+    base += [f"b{d}_{i}" for d in range(batch.degree) for i in range(batch.p) if i != width + d] + [f"inv{d}" for d in range(batch.degree)]
     aggs = [F.expr(e) for e in ("sum(n) AS n", "sum(rank) AS rank", "count(1) AS groups")]
     aggs += [F.expr(f"sum(s_{i}) AS s_{i}") for i in range(width)]
     aggs += [F.expr(f"sum(S_{i}_{i}) AS S_{i}_{i}") for i in range(width)]
@@ -430,24 +430,26 @@ def _within_rows(stacked: DataFrame, table: DataFrame, batch: _Batch) -> DataFra
 def _row_meat(
     rows: DataFrame, batch: _Batch, sols: dict[int, _Solution], totals: dict[int, dict], kind: str, cluster: Sequence[str] = ()
 ) -> dict[int, np.ndarray]:
-    """Score sums from the rows. Position 0 is the constant, or with absorbed effects the mean
-    over the base entity, which carries the sampling error of the reported constant."""
+    """Score sums from the rows. Position 0 is the constant, or with absorbed effects the base entity's rows with their weights in its
+    intercept, which carry the sampling error of the reported constant."""
     w = batch.width
     own = [m for m in sols if not batch.specs[m].entity]
     one = F.when(F.col("model").isin(*own), F.lit(1.0)).otherwise(F.lit(0.0)) if own else F.lit(0.0)
     bases, types = None, ""
     if len(own) < len(sols):
         bases = {
-            m: (1.0 / totals[m]["base"]["n"], *[totals[m]["base"][g] for g in batch.group]) for m in sols
+            m: (1.0 / totals[m]["base"]["n"], *[float(w) for w in totals[m].get("weights", [0.0] * batch.degree)], *[totals[m]["base"][g] for g in batch.group])
+            for m in sols
         }
-        types = ", wb double" + "".join(
+        types = ", wb double" + "".join(f", w{d} double" for d in range(batch.degree)) + "".join(
             f", base_{g} {rows.schema[g].dataType.simpleString()}" for g in batch.group
         )
         in_base = F.lit(True)
         for g in batch.group:
             in_base = in_base & (F.col(g) == F.col(f"base_{g}"))
         is_own = F.col("model").isin(*own) if own else F.lit(False)
-        one = F.when(is_own, F.lit(1.0)).when(in_base, F.col("wb")).otherwise(F.lit(0.0))
+        weight = _sum_terms([F.col("wb"), *[F.col(f"w{d}") * F.col(f"v{w + d}") for d in range(batch.degree)]])
+        one = F.when(is_own, F.lit(1.0)).when(in_base, weight).otherwise(F.lit(0.0))
     coef = _resid_table(rows.sparkSession, sols, batch.p, kind == "hc2", bases, types)
     df = rows.filter(F.col("model").isin(*sols)).join(coef, ["model"]).withColumn("z0", one)
     names = ["z0"] + [f"v{i}" for i in range(w)]
@@ -490,6 +492,28 @@ def _trend_intercept(base: dict, batch: _Batch, scales: tuple[float, float], deg
     return value[:width]
 
 
+def _intercept_weights(base: dict, batch: _Batch, scales: tuple[float, float], degree: int) -> tuple[list[float], float]:
+    """What each swept trend column of the base group adds to a row's weight in the group's intercept at time zero, and the sum of the
+    squared weights."""
+    width = batch.width
+    u0 = (0.0 - scales[0]) / scales[1]
+    now = np.array([-base[f"a_{i}"] for i in range(batch.p)], dtype=float)
+    for d in range(degree):
+        now[width + d] += u0 ** (d + 1)
+    out, square = [], 1.0 / base["n"]
+    for d in range(batch.degree):
+        t = width + d
+        out.append(now[t] * base[f"inv{d}"])
+        square += now[t] * now[t] * base[f"inv{d}"]
+        for i in range(t + 1, batch.p):
+            now[i] -= base[f"b{d}_{i}"] * now[t]
+    # Rows of a trend column are less the later columns as well (see ``_within_rows``).
+    for d in range(batch.degree):
+        for e in range(d + 1, batch.degree):
+            out[e] += out[d] * base[f"b{e}_{width + d}"]
+    return out, square
+
+
 def _assemble(plan: _Plan, batch: _Batch, tot: dict, sol: _Solution, meat, clusters, scales) -> FitResult:
     spec = plan.spec
     n, absorbed = int(tot["n"]), int(tot["rank"])
@@ -516,8 +540,8 @@ def _assemble(plan: _Plan, batch: _Batch, tot: dict, sol: _Solution, meat, clust
     sloped = np.vstack([np.eye(m), pull])
     if spec.vce == "classical":
         cov = sloped @ sol.bread @ sloped.T
-        if based and degree == 0:
-            cov[-1, -1] += 1.0 / tot["base"]["n"]
+        if based:
+            cov[-1, -1] += tot["square"]
         cov = cov * (sigma2 if spec.dof == "full" else sol.rss / n)
     else:
         influence = sloped @ (sol.bread @ sol.proj.T)
@@ -561,10 +585,6 @@ def _assemble(plan: _Plan, batch: _Batch, tot: dict, sol: _Solution, meat, clust
     beta[dropped] = math.nan
     cov_out[dropped, :] = math.nan
     cov_out[:, dropped] = math.nan
-    if based and degree and not (spec.vce == "cluster" and spec.cluster == spec.entity):
-        # With trends the base intercept has a sampling term of its own, which is not formed.
-        cov_out[-1, :] = math.nan
-        cov_out[:, -1] = math.nan
     r2 = 1.0 - rss / tss if tss > 0 else math.nan
     has_const = 1 if (spec.constant or spec.entity) else 0
     adj = 1.0 - (1.0 - r2) * (n - has_const) / df_resid if df_resid > 0 else math.nan
@@ -683,6 +703,11 @@ def _fit_rows(
                 if m not in totals:
                     raise ValueError(f"model {plan.spec.name}: no complete row")
                 sols[m] = _solve(plan, totals[m], batch.width)
+                if plan.spec.entity:
+                    trend = plan.spec.trend
+                    tscale = scales[names_by_key[_key(trend[0])]] if trend else (0.0, 1.0)
+                    weights, square = _intercept_weights(totals[m]["base"], batch, tscale, trend[1] if trend else 0)
+                    totals[m] |= {"weights": weights, "square": square}
             meats: dict[int, np.ndarray] = {}
             counts: dict[int, int] = {m: int(totals[m]["groups"]) for m in totals}
             by_group = {m: s for m, s in sols.items() if batch.specs[m].vce == "cluster" and batch.specs[m].cluster == group}

@@ -137,6 +137,29 @@ def test_batch_matches_dense(df, sample):
         check(fit, ref)
 
 
+@pytest.mark.parametrize("degree", [1, 2])
+@pytest.mark.parametrize("vce", ["classical", "hc0", "hc1", "cluster"])
+def test_constant_under_trends(df, sample, degree, vce):
+    """The base entity's intercept at time zero with its error, also where clusters are not the entities; mixed with models of other trends."""
+    s = sample.assign(c=sample.t % 5)
+    given = df.withColumn("c", F.col("t") % 5)
+    d, t, one = dummies(s.g.values), s.t.values[:, None].astype(float), np.ones(len(s))
+    effects = np.c_[one, d[:, 1:], d * t] if degree == 1 else np.c_[one, d[:, 1:], d * t, d * t * t]
+    x = np.c_[s.x, s.w, effects]
+    opt = dict(entity="g", vce=vce, cluster="c" if vce == "cluster" else None)
+    ref = dense(s.y.values, x, vce=vce, cluster=s.c.values)
+    other = ModelSpec("other", "y", ["x"], trend=("t", 3 - degree), **opt)
+    fit = engine.fit_all(given, [ModelSpec("m", "y", ["x", "w"], trend=("t", degree), **opt), other, ModelSpec("fe", "y", ["x"], **opt)])[0]
+    assert fit.terms[-1] == "_cons"
+    check(fit, ref, tol=1e-5)
+    if vce == "classical":
+        return
+    iv = linear.fit(given, ModelSpec("iv", "y", ["x"], ["e"], ["z", "z2"], trend=("t", degree), dof="none" if vce != "cluster" else "cluster", **opt))
+    z, xe = np.c_[s.z, s.z2, s.x, effects], np.c_[s.e, s.x, effects]
+    want = dense(s.y.values, xe, z, vce="cluster" if vce == "cluster" else "hc0", cluster=s.c.values, dof="cluster" if vce == "cluster" else "none")
+    assert iv.beta == pytest.approx(want[0][:3], rel=1e-5) and iv.se == pytest.approx(want[1][:3], rel=1e-5)
+
+
 def test_two_way_effects(df, sample):
     s = sample
     x = np.c_[s.x, s.w, np.ones(len(s)), dummies(s.g.values)[:, 1:], dummies(s.t.values)[:, 1:]]
