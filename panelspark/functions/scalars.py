@@ -171,10 +171,6 @@ def fixed_text(value: ColumnOrName, digits: int) -> Column:
     return F.format_number(as_col(value), digits)
 
 
-def sci_text(value: ColumnOrName, digits: int) -> Column:
-    return F.format_string(f"%.{digits}e", as_col(value))
-
-
 def day_text(date: ColumnOrName) -> Column:
     """Date shown like 05feb2020."""
     return F.lower(F.date_format(as_col(date), "ddMMMyyyy"))

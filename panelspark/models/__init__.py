@@ -1,3 +1,3 @@
-from . import bygroup, engine, grid, lasso, linear, spec, tables, wald
+from . import bygroup, engine, factors, grid, lasso, linear, spec, tables, wald
 
-__all__ = ["bygroup", "engine", "grid", "lasso", "linear", "spec", "tables", "wald"]
+__all__ = ["bygroup", "engine", "factors", "grid", "lasso", "linear", "spec", "tables", "wald"]

@@ -163,12 +163,3 @@ def population_shares(raw: DataFrame) -> DataFrame:
         "Population",
     )
     return share_of_group(rows, ["State", "Year"], "Population", "PopShare", total="TotPop")
-
-
-def total_population(shares: DataFrame) -> DataFrame:
-    return shares.groupBy("State", "Year").agg(F.max("TotPop").alias("TotPop"))
-
-
-def dated(df: DataFrame, col: str = "date") -> DataFrame:
-    """Clock column → calendar day."""
-    return df.withColumn(col, clock_to_date(col))
