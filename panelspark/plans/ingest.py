@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import (
     ascii_only,
-    clock_to_date,
     count_from_text,
     month_start,
     parse_mdy2,
