@@ -502,3 +502,21 @@ def test_lasso_certificate(df):
     assert path.gap().max() < 1e-6
     path.beta[50] += 0.1
     assert path.gap()[50] > 1e-3
+
+
+@pytest.mark.parametrize("entity", [None, "g"])
+def test_robust_diagnostics_without_a_usable_instrument(spark, entity):
+    """Instruments that are zero everywhere leave the endogenous regressor out: no test has a value, and the others' estimates are those of least squares."""
+    rows = [(i % 4, float(i % 7) + 0.5 * (i % 3), float(i % 5), float(i * i % 11), 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, y double, x double, e double, z double").withColumn("z2", F.col("z") * F.col("z"))
+    fit, tests = wald.robust_iv_diagnostics(df, ModelSpec("iv", "y", ["x"], ["e"], ["z", "z2"], vce="hc1", entity=entity))
+    assert [t.name for t in tests] == ["weak_instruments:e", "endogeneity"] and all(np.isnan(t.statistic) for t in tests)
+    assert np.isnan(fit.coef("e"))
+    ols = linear.fit(df, ModelSpec("ols", "y", ["x"], entity=entity))
+    assert fit.coef("x") == pytest.approx(ols.coef("x"))
+
+
+def test_robust_diagnostics_with_as_many_rows_as_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, 1.0, 3.0), (4.0, 5.0, 2.0)], "y double, e double, z double")
+    _, tests = wald.robust_iv_diagnostics(df, ModelSpec("iv", "y", [], ["e"], ["z"]))
+    assert {t.name: np.isnan(t.statistic) for t in tests} == {"weak_instruments:e": False, "endogeneity": True}
