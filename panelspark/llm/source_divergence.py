@@ -120,10 +120,14 @@ def kept_terms(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10**9 * (n + 1) / (total + terms)); exact, as the product may pass 64 bits."""
-    whole = F.greatest(total + terms, F.lit(1)).cast("decimal(20,0)")
-    product = (n + 1).cast("decimal(20,0)") * F.lit(1_000_000_000).cast("decimal(10,0)")
-    return F.lit(1) + F.call_function("div", product, whole)
+    """1 + floor(10**9 * (n + 1) / (total + terms)), three decimal digits at a time, as the product may pass 64 bits. A total of more than 9 * 10**15 is
+    an error."""
+    whole = F.greatest(total + terms, F.lit(1))
+    rest, found = n + 1, F.lit(0).cast("long")
+    for _ in range(3):
+        found = found * 1000 + F.call_function("div", rest * 1000, whole)
+        rest = rest * 1000 % whole
+    return found + 1
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -172,6 +176,34 @@ def divergence(
     return result.unionByName(terms.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
 
 
+def _common(kept: DataFrame, side: DataFrame) -> DataFrame:
+    """(lang, source, item, value): what the terms that both sources of a pair use add to its sum beyond their parts in the sums over each source's own
+    terms. A pair is met once and answers for both directions; its parts are sums of longs, the upper and the lower bits apart, and meet in the tasks first."""
+    a = side.select("lang", "source", F.col("total").alias("total_a"), "terms", F.col("zero").alias("zero_a"))
+    b = side.select("lang", F.col("source").alias("item"), F.col("total").alias("total_b"), F.col("zero").alias("zero_b"))
+    first = kept.where(F.size("per") > 1).select("lang", F.inline("per").alias("source", "n_a"), "per").join(a, ["lang", "source"])
+    first = first.select("lang", "source", "terms", "zero_a", _share(F.col("n_a"), F.col("total_a"), F.col("terms")).alias("p"), "per")
+    later = F.filter("per", lambda x: x["source"] > F.col("source"))
+    met = first.withColumn("per", later).select("lang", "source", "terms", "zero_a", "p", F.inline("per").alias("item", "n_b")).join(b, ["lang", "item"])
+    met = met.withColumn("q", _share(F.col("n_b"), F.col("total_b"), F.col("terms")))
+
+    def beyond(p: str, q: str, zero_p: str, zero_q: str) -> Column:
+        p, q, zero_p, zero_q = F.col(p), F.col(q), F.col(zero_p), F.col(zero_q)
+        return _gap(p, q) - _gap(p, zero_q) - _gap(zero_p, q) + _gap(zero_p, zero_q)
+
+    met = met.select("lang", "source", "item", beyond("p", "q", "zero_a", "zero_b").alias("there"), beyond("q", "p", "zero_b", "zero_a").alias("back"))
+    bits = 31
+    high, low = (lambda v: F.sum(F.shiftright(v, bits))), (lambda v: F.sum(F.col(v).bitwiseAND((1 << bits) - 1)))
+    sums = met.groupBy("lang", "source", "item").agg(*[f(v).alias(f"{v}_{k}") for v in ("there", "back") for k, f in (("high", high), ("low", low))])
+
+    def whole(v: str) -> Column:
+        return (F.col(f"{v}_high").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(10,0)") + F.col(f"{v}_low")).cast("decimal(38,0)").alias("value")
+
+    there = F.struct("source", "item", whole("there"))
+    back = F.struct(F.col("item").alias("source"), F.col("source").alias("item"), whole("back"))
+    return sums.select("lang", F.inline(F.array(there, back)))
+
+
 def _pairs(used: DataFrame, kept: DataFrame, stats: DataFrame) -> DataFrame:
     """(lang, source, item, value) for every two sources of a language; see the head of the module."""
     zero = _share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))
@@ -191,10 +223,7 @@ def _pairs(used: DataFrame, kept: DataFrame, stats: DataFrame) -> DataFrame:
     counts = materialize(used.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("m")), "histogram")
     of_a = added(counts.withColumnRenamed("n", "n_a"), ["lang", "source"], only_a - none)
     of_b = added(counts.select("lang", F.col("source").alias("item"), F.col("n").alias("n_b"), "m"), ["lang", "item"], only_b - none)
-    both = kept.where(F.size("per") > 1).select("lang", F.inline("per").alias("source", "n_a"), "per")
-    both = both.select("lang", "source", "n_a", F.inline("per").alias("item", "n_b")).where("source <> item")
-    both = both.groupBy("lang", "source", "item", "n_a", "n_b").agg(F.count(F.lit(1)).alias("m"))
-    of_both = added(both, ["lang", "source", "item"], _gap(p, q) - only_a - only_b + none)
+    of_both = _common(kept, stats.select("lang", "source", "total", "terms", zero.alias("zero")))
     of_all = sides.select("lang", "source", "item", (none.cast("decimal(20,0)") * F.col("terms").cast("decimal(18,0)")).cast("decimal(38,0)").alias("value"))
     parts = of_all.unionByName(of_a).unionByName(of_b).unionByName(of_both)
     return parts.groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))

@@ -5,7 +5,9 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from panelspark.llm import source_divergence
 from panelspark.llm.source_divergence import divergence, term_digest, terms_of
 
 
@@ -77,3 +79,29 @@ def test_ties_at_the_last_rank(spark):
     rows = [("en", "a", " ".join(f"t{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)))] * 3 + [("en", "b", "other words")] * 4
     got = {tuple(r) for r in divergence(frame(spark, rows)).collect()}
     assert got == plain(rows) and sum(r[1:3] == ("a", "term") for r in got) == 200
+
+
+def test_shares_and_sums_past_64_bits(spark):
+    """Shares whose product passes 64 bits, and a pair's sum of values up to 10**18, both directions of a pair met once."""
+    counts = [(0, 1), (10**12, 3 * 10**12), (10**15 - 1, 10**15), (6, 7), (4 * 10**15, 9 * 10**15)]
+    df = spark.createDataFrame(counts, "n long, total long").withColumn("terms", F.lit(0).cast("long"))
+    got = [r[0] for r in df.select(source_divergence._share(F.col("n"), F.col("total"), F.col("terms"))).collect()]
+    assert got == [1 + 10**9 * (n + 1) // total for n, total in counts]
+
+    big = 10**9
+    per = [("a", 5), ("b", big), ("c", 1)]
+    kept = spark.createDataFrame([("x", per)] * 40 + [("x", [("a", 2)]), ("y", [("a", 3), ("b", 3)])], "lang string, per array<struct<source:string,n:long>>")
+    sizes = {("x", "a"): 2 * big, ("x", "b"): 2 * big, ("x", "c"): 2 * big, ("y", "a"): 3, ("y", "b"): 3}
+    zero = {k: 1 + 10**9 // (v + 41) for k, v in sizes.items()}
+    side = spark.createDataFrame([(*k, v, 41, zero[k]) for k, v in sizes.items()], "lang string, source string, total long, terms long, zero long")
+    want = {}
+    for lang, rows in (("x", [per] * 40), ("y", [[("a", 3), ("b", 3)]])):
+        for a, n in rows[0]:
+            for b, m in rows[0]:
+                if a != b:
+                    p, q = (1 + 10**9 * (k + 1) // (sizes[lang, s] + 41) for s, k in ((a, n), (b, m)))
+                    za, zb = zero[lang, a], zero[lang, b]
+                    gap = lambda u, v: (u - v) ** 2 // v
+                    want[lang, a, b] = len(rows) * (gap(p, q) - gap(p, zb) - gap(za, q) + gap(za, zb))
+    got = {(r["lang"], r["source"], r["item"]): int(r["value"]) for r in source_divergence._common(kept, side).collect()}
+    assert got == want
