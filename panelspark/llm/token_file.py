@@ -25,7 +25,7 @@ from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 20
 # Lengths of the four values of each control byte.
-LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.int64)
+LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.uint8)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -35,16 +35,16 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[: len(v)] = code
     four = padded.reshape(-1, 4)
-    control = (four << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    data = v.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    width = 4 if len(v) and code.max() > 1 else 2  # short values need no four bytes each
+    data = v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width, dtype=np.uint8) <= code[:, None]]
     return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values of a block."""
     sizes = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
     raw = np.frombuffer(data, np.uint8)
     out = raw[starts].astype(np.uint32) if n else np.zeros(0, np.uint32)
     for i in (1, 2, 3):

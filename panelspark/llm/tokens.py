@@ -11,15 +11,20 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Sequence
-from itertools import chain
+from collections.abc import Iterable, Sequence
+from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The byte-level pre-tokenizer's pattern: contractions, letters, numbers, other characters, white space. It is written with the standard
 # library's classes, which agree with the tokenizer's but for the characters that ``_Odd`` tells.
 PRE_TOKENS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_ASCII_SPACE = [chr(c) for c in range(128) if _OTHER_SPACE.match(chr(c))]
+_MARKS = frozenset(".,;:!?)")
 _FIRST = "\0"  # marks the first part of a text, which has no blank before it
 _KEEP = 300_000
 
@@ -34,6 +39,7 @@ class _Odd(dict):
 
 
 ODD = _Odd()
+_ODD_ASCII = [chr(c) for c in range(128) if ODD[chr(c)]]
 
 
 def load(path: str):
@@ -57,7 +63,9 @@ def added_tokens(tokenizer) -> list[str]:
 
 def taken_whole(text: str, special: Sequence[str]) -> bool:
     """True for texts that the library has to encode itself."""
-    return any(s in text for s in special) or any(map(ODD.__getitem__, set(text)))
+    if any(s in text for s in special):
+        return True
+    return any(c in text for c in _ODD_ASCII) if text.isascii() else any(map(ODD.__getitem__, set(text)))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,14 +76,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_BREAK = b"\xff"  # no byte of UTF-8
+_ID = attrgetter("id")
 
 
 def encode_pieces(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and ids of pre-tokens, in their order; the library's model merges each by itself."""
-    merge = tokenizer.model.tokenize
-    found = [[t.id for t in merge(p.encode().decode("latin-1").translate(_LETTERS))] for p in pieces]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+    spelled = _BREAK.join(map(str.encode, pieces)).decode("latin-1").translate(_LETTERS).split(_LETTERS[_BREAK[0]])
+    sizes, ids = [], []
+    for tokens in map(tokenizer.model.tokenize, spelled if pieces else ()):
+        sizes.append(len(tokens))
+        ids.extend(map(_ID, tokens))
+    return np.array(sizes, np.int64), np.array(ids, np.uint32)
 
 
 def gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,42 +97,43 @@ def gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return flat[np.repeat(at - (ends - sizes), sizes) + np.arange(total)]
 
 
-class _Numbers(dict):
-    """Numbers unseen strings and remembers them."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, string: str) -> int:
-        self[string] = n = len(self)
-        self.fresh.append(string)
-        return n
-
-
 class _Ids:
     """Numbered strings with their ids, one after another in ``flat``."""
 
     def __init__(self):
-        self.numbers, self.sizes, self.flat = _Numbers(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.numbers: dict[str, int] = {}
+        self.fresh: list[str] = []
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def number(self, strings: pa.Array) -> np.ndarray:
+        """The numbers of strings; those without one are numbered and are ``fresh``. Arrow tells which are equal, so each is looked up once."""
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.numbers.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(found < 0)
+        found[new] = np.arange(len(self.numbers), len(self.numbers) + len(new))
+        self.fresh = [distinct[i] for i in new.tolist()]
+        self.numbers.update(zip(self.fresh, found[new].tolist()))
+        return found[coded.indices.to_numpy()]
 
     def learn(self, sizes: np.ndarray, flat: np.ndarray) -> None:
         """Takes the ids of the fresh strings."""
         self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        self.numbers.fresh = []
+        self.fresh = []
 
     def gather(self, which: np.ndarray) -> np.ndarray:
         starts = np.cumsum(self.sizes) - self.sizes
         return gathered(self.flat, starts[which], self.sizes[which])
 
 
-def cut_at_blanks(text: str) -> list[str] | None:
-    """The text cut before each blank and line end, as pre-tokens never reach across these cuts; every part but the first and those that begin
-    with a line end has lost the blank before it. None for texts with other or longer runs of white space."""
-    if "  " in text or " \n" in text or "\n\n\n" in text or text.endswith((" ", "\n\n")) or _OTHER_SPACE.search(text):
+def with_cuts(text: str) -> str | None:
+    """The text with a blank wherever it is cut, which is at each blank and line end, as pre-tokens never reach across these cuts; every part but the first
+    and those that begin with a line end has lost the blank before it. None for texts with other or longer runs of white space."""
+    if "  " in text or " \n" in text or "\n\n\n" in text or text.endswith((" ", "\n\n")):
+        return None
+    if any(c in text for c in _OTHER_ASCII_SPACE) if text.isascii() else _OTHER_SPACE.search(text):
         return None
-    parts = text.replace("\n", " \n").split(" ")
-    parts[0] = _FIRST + parts[0]
-    return parts
+    return _FIRST + text.replace("\n", " \n")
 
 
 def _restored(part: str) -> str:
@@ -130,6 +143,15 @@ def _restored(part: str) -> str:
     return part if part[:1] == "\n" else " " + part
 
 
+def split_part(part: str) -> list[str]:
+    """The pre-tokens of a part. Letters alone, or before one mark, need no pattern."""
+    if part.isalpha():
+        return [" " + part]
+    if part[-1:] in _MARKS and part[:-1].isalpha():
+        return [" " + part[:-1], part[-1]]
+    return PRE_TOKENS.findall(_restored(part))
+
+
 class ChunkEncoder:
     """Encodes lists of texts with one byte-level file of the tokenizers library. Distinct parts between blanks are split into pre-tokens once, and
     distinct pre-tokens merged once. At most about ``keep`` parts are remembered from one list to the next; when there are more, those used most often
@@ -152,13 +174,15 @@ class ChunkEncoder:
         self.parts.numbers.update((strings[i], n) for n, i in enumerate(often.tolist()))
         self.parts.sizes, self.parts.flat, self.uses = old.sizes[often], old.gather(often), np.ones(len(often), np.int64)
 
-    def _merged(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def _merged(self, lists: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of lists of pre-tokens."""
-        look = self.pieces.numbers.__getitem__
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        which = np.fromiter(map(look, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        if self.pieces.numbers.fresh:
-            self.pieces.learn(*encode_pieces(self.tokenizer, self.pieces.numbers.fresh))
+        counts, flat = [], []
+        for pieces in lists:
+            counts.append(len(pieces))
+            flat += pieces
+        counts, which = np.array(counts, np.int64), self.pieces.number(pa.array(flat, pa.large_string()))
+        if self.pieces.fresh:
+            self.pieces.learn(*encode_pieces(self.tokenizer, self.pieces.fresh))
         before = np.concatenate(([0], np.cumsum(self.pieces.sizes[which])))
         ends = np.cumsum(counts)
         return before[ends] - before[ends - counts], self.pieces.gather(which)
@@ -167,24 +191,30 @@ class ChunkEncoder:
         """Of each text the numbers of its parts, or its pre-tokens where it cannot be cut; None where it goes to the library whole."""
         if len(self.parts.numbers) > self.keep:
             self._forget()
-        look, found = self.parts.numbers.__getitem__, []
-        for t in texts:
+        found, cut = [], []
+        for i, t in enumerate(texts):
             t = t or ""
             if taken_whole(t, self.special):
                 found.append(None)
-            elif (parts := cut_at_blanks(t)) is None:
+            elif (blanks := with_cuts(t)) is None:
                 found.append(PRE_TOKENS.findall(t))
             else:
-                found.append(np.fromiter(map(look, parts), np.int64, len(parts)))
-        fresh = self.parts.numbers.fresh
-        if fresh:
-            self.parts.learn(*self._merged([PRE_TOKENS.findall(_restored(p)) for p in fresh]))
+                found.append(np.zeros(0, np.int64))
+                cut.append((i, blanks))
+        numbers, ends = self._look(cut)
+        for (i, _), a, b in zip(cut, ends, ends[1:]):
+            found[i] = numbers[a:b]
+        if self.parts.fresh:
+            self.parts.learn(*self._merged(map(split_part, self.parts.fresh)))
         self.uses = np.append(self.uses, np.zeros(len(self.parts.sizes) - len(self.uses), np.int64))
-        numbered = [x for x in found if isinstance(x, np.ndarray)]
-        if numbered:
-            self.uses += np.bincount(np.concatenate(numbered), minlength=len(self.uses))
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         return found
 
+    def _look(self, cut: list[tuple[int, str]]) -> tuple[np.ndarray, list[int]]:
+        """The numbers of all parts of texts, and where each text's begin and end."""
+        parts = pc.split_pattern(pa.array([t for _, t in cut], pa.large_string()), " ")
+        return self.parts.number(parts.flatten()), parts.offsets.to_pylist()
+
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text is an empty one."""
         found = self._numbered(texts)

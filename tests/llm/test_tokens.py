@@ -4,13 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from panelspark.llm.common import tokenizer_path
 from panelspark.llm.packing import best_bounds, pack_documents, pack_lengths
 from panelspark.llm.token_file import pack, read_tokens, unpack, write_tokens
-from panelspark.llm.tokens import ChunkEncoder
+from panelspark.llm.tokens import PRE_TOKENS, ChunkEncoder, _Ids, encode_pieces, load, split_part
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 TEXTS = [None, "", "  a  b\n\n c ", "\n", " ", "don't  'll x\ty z", "x <|endoftext|> y", "a \n b\n\n\n", "été  \n 12 3!!  ?", "日本語 　テキスト", "one two  three", "word " * 30000, "\x00\x1c a"]
@@ -110,3 +111,20 @@ def test_packing_of_texts(spark):
     for r in got:
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
     assert total == {i: 1 + len(whole.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
+
+
+def test_parts_like_pattern():
+    """Parts that are cut without the pattern, and the text around them, give what the pattern gives."""
+    rng = random.Random(3)
+    letters = ["a", "B", "é", "ß", "ñ", "日", "́", "ا", "7", "_", "'", "'s", ".", ",", ";", ":", "!", "?", ")", "(", "*", "ª", "ǅ"]
+    for _ in range(5000):
+        part = "".join(rng.choices(letters, k=rng.randrange(0, 5)))
+        assert split_part(part) == PRE_TOKENS.findall(" " + part)
+        assert split_part("\n" + part) == PRE_TOKENS.findall("\n" + part) and split_part("\0" + part) == PRE_TOKENS.findall(part)
+    pieces = ["a", " ÿ", "\n", "日本", "\x00", "", " zebra"]
+    sizes, ids = encode_pieces(load(PATH), [p for p in pieces if p])
+    assert ids.tolist() == [i for p in pieces for i in Tokenizer.from_file(PATH).encode(p, add_special_tokens=False).ids] and sizes.sum() == len(ids)
+    assert [len(x) for x in encode_pieces(load(PATH), [])] == [0, 0]
+    known = _Ids()
+    assert known.number(pa.array(["x", "y", "x"])).tolist() == [0, 1, 0] and known.fresh == ["x", "y"]
+    assert known.number(pa.array(["z", "y"])).tolist() == [2, 1] and known.fresh == ["z"] and known.number(pa.array([], pa.string())).tolist() == []
