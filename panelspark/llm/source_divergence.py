@@ -12,19 +12,22 @@ sources use adds one of four values, of which three depend on one source's count
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-HELD = 400_000  # distinct (lang, source, term) a task holds before it writes them; no effect on results
+HELD = 400_000  # about as many distinct (lang, source, term) does a task count at a time, from texts of 16 bytes each; no effect on results
 _PART = 1 << 20  # bytes of a text that are split at a time
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_ROWS = "lang string, source string, digest long, n long, docs long, term string"
+_ROWS = "lang string, source string, digest long, n long, docs long, term string, lead boolean"
 
 
 def term_digest(term: bytes) -> int:
@@ -44,46 +47,71 @@ def terms_of(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
+def _long_text(batch: pa.RecordBatch, digest: Callable[[bytes], int]) -> Iterator[pa.RecordBatch]:
+    """The rows of one text, which is split part by part."""
+    counts = Counter(chain.from_iterable(terms_of(batch.column("t")[0].as_py())))
+    terms = list(counts)
+    digests, n = [digest(t) for t in terms], np.fromiter(counts.values(), np.int64, len(terms))
+    at = pa.array(np.zeros(len(terms), np.int64))
+    lang, source, ones = batch.column("lang").take(at), batch.column("source").take(at), np.ones_like(n)
+    yield from _in_slices(lang, source, digests, n, ones, pa.array(terms, pa.binary()).cast(pa.string()), ones.astype(bool))
+
+
+def _counted_texts(texts: pa.Table, digest: Callable[[bytes], int]) -> Iterator[pa.RecordBatch]:
+    """The rows of several texts: Arrow splits them and numbers their terms, and sorted numbers are counted."""
+    lang, source = (texts[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    width = len(source.dictionary)
+    group = lang.indices.to_numpy().astype(np.int64) * width + source.indices.to_numpy()
+    plain = [t.encode("utf-8", "surrogatepass").translate(_TERM_BYTES) for t in texts["t"].to_pylist()]
+    split = pc.ascii_split_whitespace(pa.array(plain, pa.large_binary()).cast(pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    terms, code, text = coded.dictionary, coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(split).to_numpy()
+    empty = pc.index(terms, "").as_py()
+    if empty >= 0:  # blanks at the ends of a text
+        code, text = code[code != empty], text[code != empty]
+    all_terms = max(len(terms), 1)
+    of_text, times = np.unique(text * all_terms + code, return_counts=True)
+    key = group[of_text // all_terms] * all_terms + of_text % all_terms
+    order = np.argsort(key, kind="stable")
+    found, starts, texts_with = np.unique(key[order], return_index=True, return_counts=True)
+    n = np.add.reduceat(times[order], starts) if len(starts) else times
+    which, at = found // all_terms, pa.array(found % all_terms)
+    digests = np.array([digest(t) for t in terms.cast(pa.large_binary()).to_pylist()], np.int64)
+    lead = np.zeros(len(found), bool)
+    lead[np.unique(found % all_terms, return_index=True)[1]] = True
+    lang, source = lang.dictionary.take(pa.array(which // width)), source.dictionary.take(pa.array(which % width))
+    yield from _in_slices(lang, source, digests[found % all_terms], n, texts_with, terms.take(at).cast(pa.string()), lead)
+
+
+def _in_slices(lang: pa.Array, source: pa.Array, digests: Sequence[int], n: np.ndarray, docs: np.ndarray, term: pa.Array, lead: np.ndarray) -> Iterator[pa.RecordBatch]:
+    columns = [lang, source, pa.array(digests, pa.int64()), pa.array(n, pa.int64()), pa.array(docs, pa.int64()), term, pa.array(lead)]
+    rows = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "digest", "n", "docs", "term", "lead"])
+    for i in range(0, len(term), 50_000):
+        yield rows.slice(i, 50_000)
+
+
 def term_rows(docs: DataFrame, lang: str, source: str, text: str, digest: Callable[[bytes], int], held: int) -> DataFrame:
-    """(lang, source, digest, n, docs, term): occurrences, and texts that have the term, summed within a task."""
+    """(lang, source, digest, n, docs, term, lead): occurrences, and texts that have the term, summed over the texts that a task holds at a time. ``lead`` is
+    true in one row of each term of these texts."""
     columns = ((lang, "lang"), (source, "source"), (text, "t"))
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in columns])
 
+    size = 16 * held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (a, b), (n, seen) in groups.items():
-                terms = list(n)
-                for i in range(0, len(terms), 50_000):
-                    part = terms[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([a] * len(part), pa.string()),
-                            pa.array([b] * len(part), pa.string()),
-                            pa.array([digest(t) for t in part], pa.int64()),
-                            pa.array([n[t] for t in part], pa.int64()),
-                            pa.array([seen[t] for t in part], pa.int64()),
-                            pa.array(part, pa.binary()).cast(pa.string()),
-                        ],
-                        names=["lang", "source", "digest", "n", "docs", "term"],
-                    )
-            groups.clear()
-
-        size = 0
-        for batch in small_batches(batches, "t"):
-            for a, b, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "t"))):
-                n, seen = groups.setdefault((a, b), (Counter(), Counter()))
-                before, once = len(n), set()
-                for words in terms_of(t):
-                    n.update(words)
-                    once.update(words)
-                seen.update(once)
-                size += len(n) - before
-                if size >= held:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+        waiting, waits = [], 0
+        for batch in small_batches(batches, "t", size):
+            length = pc.sum(pc.binary_length(batch.column("t"))).as_py()
+            if batch.num_rows == 1 and length > size:
+                yield from _long_text(batch, digest)
+                continue
+            waiting.append(batch)
+            waits += length
+            if waits >= size:
+                yield from _counted_texts(pa.Table.from_batches(waiting).combine_chunks(), digest)
+                waiting, waits = [], 0
+        if waiting:
+            yield from _counted_texts(pa.Table.from_batches(waiting).combine_chunks(), digest)
 
     return plain.mapInArrow(run, _ROWS)
 
@@ -105,7 +133,7 @@ def kept_terms(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     plain = rows.select("lang", "source", "digest", F.lit(0).alias("part"), "n", "docs")
     counted = materialize(_counted(plain, least), "digests")
     wanted = counted.select("digest")
-    spelled = rows.select("digest", "term").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
+    spelled = rows.where("lead").select("digest", "term").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
     spelled = materialize(spelled, "spelled")
     single = spelled.where("lo = hi").select("digest", F.lit(0).alias("part"), F.col("lo").alias("term"))
     shared = spelled.where("lo <> hi").select("digest")
@@ -120,14 +148,15 @@ def kept_terms(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10**9 * (n + 1) / (total + terms)), three decimal digits at a time, as the product may pass 64 bits. A total of more than 9 * 10**15 is
-    an error."""
+    """1 + floor(10**9 * (n + 1) / (total + terms)), three decimal digits at a time where the product may pass 64 bits. A total of more than 9 * 10**15 is
+    an error then."""
     whole = F.greatest(total + terms, F.lit(1))
     rest, found = n + 1, F.lit(0).cast("long")
     for _ in range(3):
         found = found * 1000 + F.call_function("div", rest * 1000, whole)
         rest = rest * 1000 % whole
-    return found + 1
+    short = F.call_function("div", (n + 1) * 1_000_000_000, whole)
+    return F.when(n < 9_000_000_000, short).otherwise(found) + 1
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -188,19 +217,24 @@ def _common(kept: DataFrame, side: DataFrame) -> DataFrame:
     met = met.withColumn("q", _share(F.col("n_b"), F.col("total_b"), F.col("terms")))
 
     def beyond(p: str, q: str, zero_p: str, zero_q: str) -> Column:
+        """What a term adds, but for the value of the two zero shares, which is the same for all terms of a pair."""
         p, q, zero_p, zero_q = F.col(p), F.col(q), F.col(zero_p), F.col(zero_q)
-        return _gap(p, q) - _gap(p, zero_q) - _gap(zero_p, q) + _gap(zero_p, zero_q)
+        return _gap(p, q) - _gap(p, zero_q) - _gap(zero_p, q)
 
-    met = met.select("lang", "source", "item", beyond("p", "q", "zero_a", "zero_b").alias("there"), beyond("q", "p", "zero_b", "zero_a").alias("back"))
+    pair = ["lang", "source", "item", "zero_a", "zero_b"]
+    met = met.select(*pair, beyond("p", "q", "zero_a", "zero_b").alias("there"), beyond("q", "p", "zero_b", "zero_a").alias("back"))
     bits = 31
     high, low = (lambda v: F.sum(F.shiftright(v, bits))), (lambda v: F.sum(F.col(v).bitwiseAND((1 << bits) - 1)))
-    sums = met.groupBy("lang", "source", "item").agg(*[f(v).alias(f"{v}_{k}") for v in ("there", "back") for k, f in (("high", high), ("low", low))])
+    parts = [f(v).alias(f"{v}_{k}") for v in ("there", "back") for k, f in (("high", high), ("low", low))]
+    sums = met.groupBy(*pair).agg(F.count(F.lit(1)).alias("m"), *parts)
 
-    def whole(v: str) -> Column:
-        return (F.col(f"{v}_high").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(10,0)") + F.col(f"{v}_low")).cast("decimal(38,0)").alias("value")
+    def whole(v: str, zero_p: str, zero_q: str) -> Column:
+        total = F.col(f"{v}_high").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(10,0)") + F.col(f"{v}_low")
+        none = _gap(F.col(zero_p), F.col(zero_q)).cast("decimal(20,0)") * F.col("m").cast("decimal(17,0)")
+        return (total + none).cast("decimal(38,0)").alias("value")
 
-    there = F.struct("source", "item", whole("there"))
-    back = F.struct(F.col("item").alias("source"), F.col("source").alias("item"), whole("back"))
+    there = F.struct("source", "item", whole("there", "zero_a", "zero_b"))
+    back = F.struct(F.col("item").alias("source"), F.col("source").alias("item"), whole("back", "zero_b", "zero_a"))
     return sums.select("lang", F.inline(F.array(there, back)))
 
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,20 @@ def test_shares_and_sums_past_64_bits(spark):
                     want[lang, a, b] = len(rows) * (gap(p, q) - gap(p, zb) - gap(za, q) + gap(za, zb))
     got = {(r["lang"], r["source"], r["item"]): int(r["value"]) for r in source_divergence._common(kept, side).collect()}
     assert got == want
+
+
+def test_counted_texts_like_long_ones():
+    """Texts counted together and one by one give the same counts, and each term of a batch leads once."""
+    rng = random.Random(4)
+    texts = ["", "  ", " a B7b. ", *("".join(rng.choices(["a", "B", "é", " ", "-", "日", "\n"], k=rng.randrange(60))) for _ in range(80))]
+    rows = pa.table({"lang": [rng.choice(("", "x", "y")) for _ in texts], "source": [rng.choice(("", "p", "q")) for _ in texts], "t": texts}).combine_chunks()
+    want = Counter()
+    for batch in rows.to_batches(max_chunksize=1):
+        for part in source_divergence._long_text(batch, term_digest):
+            for r in part.to_pylist():
+                want[r["lang"], r["source"], r["digest"], r["term"], "n"] += r["n"]
+                want[r["lang"], r["source"], r["digest"], r["term"], "docs"] += r["docs"]
+    got = [r for part in source_divergence._counted_texts(rows, term_digest) for r in part.to_pylist()]
+    assert {(r["lang"], r["source"], r["digest"], r["term"], k): r[k] for r in got for k in ("n", "docs")} == dict(want)
+    assert Counter(r["term"] for r in got if r["lead"]) == Counter({r["term"] for r in got}) and len(got) > 50
+    assert [p.num_rows for p in source_divergence._counted_texts(rows.slice(0, 2).combine_chunks(), term_digest)] == []
