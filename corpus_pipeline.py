@@ -35,7 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of any length, and passages of 51 words or more, that came earlier are cut; n_chars follows the text, and every document stays.
+    """Lines of any length that came earlier, and passages of 51 words or more that an earlier document has, are cut; n_chars follows the text, and every
+    document stays.
 
     Passages may begin and end inside lines. Earlier is by (id, hash of the text, place), null ids first. A null text stays null, an empty one empty; rows that agree in id and text are cut alike;
     very long texts are cut whole; an empty table stays empty."""

@@ -15,18 +15,17 @@ SCHEMA = "doc_id long, text string"
 
 
 def plain(rows: set, size: int) -> dict:
-    """Text without later lines and without the words of later windows; places go by (id, text's rank among those of the id, word)."""
+    """Text without later lines and without the words of windows that an earlier text has; places go by (id, text's rank among those of the id, word)."""
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     words = {r: list(re.finditer(r"[^ \t\r\n\x0b\x0c]+", r[1])) for r in order}
-    seen, lines, cut = set(), set(), {}
+    seen, lines, cut = {}, set(), {}
     for r in order:
         norm = [m.group().lower() for m in words[r]]
         cut[r] = [False] * len(norm)
         for i in range(len(norm) - size + 1):
             key = tuple(norm[i : i + size])
-            if key in seen:
+            if seen.setdefault(key, r) != r:
                 cut[r][i : i + size] = [True] * size
-            seen.add(key)
     out = {}
     for r in order:
         left, a = [], 0
@@ -100,10 +99,11 @@ def test_long_texts_in_blocks(monkeypatch):
 
 def test_pipeline_cuts_passages_inside_lines(spark, tmp_path):
     passage = " ".join(f"word{i}" for i in range(60))
-    rows = [(1, f"first {passage} one", 0), (2, f"second begins\nhere {passage.replace('word30 ', 'Word30' + chr(10))} and ends", 0), (3, "own text\nof two lines", 0), (4, " ".join(passage.split()[:50]), 0)]
+    own = " ".join(f"own{i}" for i in range(60))  # what a document repeats of itself alone stays
+    rows = [(1, f"first {passage} one", 0), (2, f"second begins\nhere {passage.replace('word30 ', 'Word30' + chr(10))} and ends", 0), (3, "own text\nof two lines", 0), (4, " ".join(passage.split()[:50]), 0), (5, f"{own} {own}", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_repeated_lines(spark, docs, str(tmp_path)).collect()}
-    want = {1: rows[0][1], 2: "second begins\nhere\nand ends", 3: rows[2][1], 4: rows[3][1]}
+    want = {1: rows[0][1], 2: "second begins\nhere\nand ends", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1]}
     assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
