@@ -9,7 +9,9 @@ import pytest
 import corpus_pipeline
 from panelspark.llm import passages
 from panelspark.llm.passages import _FACTORS, run_hashes
+from panelspark.llm.queries import QUERIES, SQL
 from panelspark.llm.substring_dedup import dedup_units
+from querybook import check
 
 SCHEMA = "doc_id long, text string"
 
@@ -107,5 +109,46 @@ def test_pipeline_cuts_passages_inside_lines(spark, tmp_path):
     assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
+def shared_words(rows: set, size: int) -> dict:
+    """Words of each text that lie in ``size`` neighbouring words which another text has too."""
+    words = {r: re.findall(r"[^ \t\r\n\x0b\x0c]+", r[1].translate(str.maketrans("W", "w"))) for r in rows}
+    having = {}
+    for r, w in words.items():
+        for i in range(len(w) - size + 1):
+            having.setdefault(tuple(w[i : i + size]), set()).add(r)
+    return {r: len({j for i in range(len(w) - size + 1) if len(having[tuple(w[i : i + size])]) > 1 for j in range(i, i + size)}) for r, w in words.items()}
+
+
+@pytest.mark.parametrize("size", [12, 25])
+def test_passage_words_against_plain(spark, size):
+    rows = passage_rows()
+    want = shared_words({r for r in rows if r[1] is not None}, size)
+    got = dedup_units(spark.createDataFrame(rows, SCHEMA), min_words=1, window=size).collect()
+    assert [(r["doc_id"], r["passage_words"]) for r in got] == [(r["doc_id"], want.get((r["doc_id"], r["text"]), 0)) for r in got]
+    assert sum(r["passage_words"] > 0 and r["clean_text"] == r["text"] for r in got) > 0  # first copies
+
+
+def test_op1_query_cuts_and_tells_passages_inside_lines(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, f"first {passage} one\nAll rights reserved."),
+        (2, f"second begins\nhere {passage.replace('word30 ', 'Word30' + chr(10))} and\tends\nall  rights RESERVED."),
+        (3, "own text\n\nAll rights reserved."),
+        (4, " ".join(passage.split()[:50])),
+        (5, None),
+        (6, ""),
+    ]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_substring_dedup_passages"](spark, str(tmp_path))
+    cols, found = check._rows(got.columns, [tuple(r) for r in got.collect()])
+    by_id = {r[cols.index("doc_id")]: dict(zip(cols, r)) for r in found}
+    assert {i: r["text"] for i, r in by_id.items()} == {**dict(rows), 2: "second begins\nhere\nand\tends", 3: "own text\n"}
+    assert {i: r["passage_words"] for i, r in by_id.items()} == {1: 60, 2: 60, 3: 0, 4: 0, 5: 0, 6: 0}
+    con = check.duck("/nowhere")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(SQL["op1_substring_dedup_passages"])
+    assert check._rows([d[0] for d in cur.description], cur.fetchall()) == (cols, found)
+
+
 def test_no_rows(spark):
     assert dedup_units(spark.createDataFrame([], SCHEMA), window=51).collect() == []
