@@ -128,6 +128,14 @@ def test_passage_words_against_plain(spark, size):
     assert sum(r["passage_words"] > 0 and r["clean_text"] == r["text"] for r in got) > 0  # first copies
 
 
+def test_passage_twice_in_the_earliest_text(spark):
+    """Of two copies in text 1, each amid other words, text 2 has the second one's neighbours too, text 3 neither's."""
+    passage, around = (" ".join(f"{x}{i}" for i in range(20)) for x in "pa")
+    rows = [(1, f"{' '.join(f'b{i}' for i in range(20))} {passage} x {around} {passage} {around}"), (2, f"y {around} {passage} {around}"), (3, f"z z {passage} u u")]
+    got = dedup_units(spark.createDataFrame(rows, SCHEMA), min_words=1, window=12).collect()
+    assert {r["doc_id"]: (r["passage_words"], r["clean_text"]) for r in got} == {1: (80, rows[0][1]), 2: (60, "y"), 3: (20, "z z u u")}
+
+
 def test_op1_query_cuts_and_tells_passages_inside_lines(spark, tmp_path):
     passage = " ".join(f"word{i}" for i in range(60))
     rows = [
