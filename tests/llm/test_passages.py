@@ -136,6 +136,23 @@ def test_passage_twice_in_the_earliest_text(spark):
     assert {r["doc_id"]: (r["passage_words"], r["clean_text"]) for r in got} == {1: (80, rows[0][1]), 2: (60, "y"), 3: (20, "z z u u")}
 
 
+def test_common_passage_among_many_others(spark, monkeypatch):
+    """One passage in 40 texts, other words around it in each: its outer anchors have a run in every text, and are joined from written tables, so that Spark can split them."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{' '.join(f'a{i}x{j}' for j in range(20))} {passage} {' '.join(f'z{i}x{j}' for j in range(20))}") for i in range(40)]
+    plans, write = {}, passages.materialize
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(passages, "materialize", watched)
+    got = dedup_units(spark.createDataFrame(rows, SCHEMA), min_words=1, window=25).collect()
+    assert [r["clean_text"] for r in got] == [t if i == 0 else t.replace(f" {passage}", "") for i, t in rows]
+    assert {r["passage_words"] for r in got} == {40}
+    assert "Join" in plans["open-runs"] and "Aggregate" not in plans["open-runs"]
+
+
 def test_op1_query_cuts_and_tells_passages_inside_lines(spark, tmp_path):
     passage = " ".join(f"word{i}" for i in range(60))
     rows = [
